@@ -1,5 +1,7 @@
 """Exact interpolated quantiles in two scans, without a buffer of all distinct values."""
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -7,60 +9,70 @@ from pyspark.sql import functions as F
 def exact_quantiles(df, columns, shares=(0.5,), accuracy=10_000, stats=None):
     """Rows (column_name, share, value) with linear interpolation between neighbours.
 
-    The first scan brackets each wanted rank with a mergeable sketch. The second
-    counts the values below the bracket and keeps the value counts inside it, about
-    8/accuracy of the rows. Columns with at most `accuracy` values need no bracket.
-    `stats` maps further result columns to aggregates, computed by the first scan.
+    The first scan brackets each wanted rank with a mergeable sketch and returns a
+    few numbers per column. The second counts the values below the bracket and keeps
+    the value counts inside it, about 8/accuracy of the rows. Columns with at most
+    `accuracy` values need no bracket. `stats` maps further result columns to
+    SQL aggregates of {c} with their type, which the first scan computes as well.
     """
-    margin, stats = 4.0 / accuracy, stats or {}
-    sketch = df.agg(
-        *[F.count(c).alias(f"{c}__n") for c in columns],
-        *[
-            F.percentile_approx(
-                F.col(c).cast("double"),
-                [p for q in shares for p in (max(q - margin, 0.0), min(q + margin, 1.0))],
-                accuracy,
-            ).alias(f"{c}__b")
-            for c in columns
-        ],
-        *[aggregate(c).alias(f"{c}__s_{s}") for c in columns for s, aggregate in stats.items()],
-    )
-    wanted = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.lit(q).alias("share"),
-            F.col(f"{c}__n").alias("_n"),
-            F.when(F.col(f"{c}__n") > accuracy, F.col(f"{c}__b")[2 * i]).alias("_lo"),
-            F.when(F.col(f"{c}__n") > accuracy, F.col(f"{c}__b")[2 * i + 1]).alias("_hi"),
-            *[F.col(f"{c}__s_{s}").alias(s) for s in stats],
-        )
-        for c in columns
-        for i, q in enumerate(shares)
-    ]
-    brackets = sketch.select(F.inline(F.array(*wanted))).withColumn("_at", F.col("share") * (F.col("_n") - 1))
-    tall = (
-        df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-        .unpivot([], columns, "column_name", "_v")
-        .filter(F.col("_v").isNotNull())
-    )
-    inside = F.coalesce(F.col("_v") >= F.col("_lo"), F.lit(True))
+    spark, margin, stats = df.sparkSession, 4.0 / accuracy, stats or {}
+    wanted_ends = ", ".join(f"{p!r}D" for q in shares for p in (max(q - margin, 0.0), min(q + margin, 1.0)))
+
+    def measures(c):
+        fields = {"n": "count({c})", "ends": f"percentile_approx(cast({{c}} AS double), array({wanted_ends}), {accuracy})"}
+        fields.update({s: f"cast({aggregate} AS {kind})" for s, (aggregate, kind) in stats.items()})
+        body = ", ".join(f"'{s}', {sql}" for s, sql in fields.items())
+        return F.expr(f"named_struct({body})".format(c=f"`{c}`")).alias(c)
+
+    first = df.agg(*map(measures, columns)).first()
+
+    pieces, wanted, known = [], [], []
+    for c in columns:
+        n, borders = first[c]["n"], first[c]["ends"]
+        if 0 < n <= accuracy:
+            pieces.append(_piece(len(pieces), c, None, None))
+        for i, q in enumerate(shares):
+            if n > accuracy:
+                pieces.append(_piece(len(pieces), c, borders[2 * i], borders[2 * i + 1]))
+            at = q * (n - 1)
+            if n > 0:
+                wanted.append((len(pieces) - 1, c, q, math.floor(at), math.ceil(at), at - math.floor(at)))
+            known.append((c, q, *[first[c][s] for s in stats]))
+    fields = ["column_name string", "share double", *[f"{s} {kind}" for s, (_, kind) in stats.items()]]
+    known = spark.createDataFrame(known, ", ".join(fields))
+    if not pieces:
+        return known.withColumn("value", F.lit(None).cast("double")).select("column_name", "share", "value", *stats)
+
     counted = (
-        tall.join(F.broadcast(brackets.drop(*stats)), "column_name")  # columns * shares rows
-        .filter(F.coalesce(F.col("_v") <= F.col("_hi"), F.lit(True)))
-        .groupBy("column_name", "share", "_at", F.when(inside, F.col("_v")).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        df.select(F.inline(F.array(*pieces)))
+        .filter("keep")
+        .groupBy("piece", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = W.partitionBy("column_name", "share").orderBy(F.col("_v").asc_nulls_first())
-    ranked = counted.withColumn("_upto", F.sum("_rows").over(upto))
-    below, above = F.floor("_at"), F.ceil("_at")
-    ends = ranked.groupBy("column_name", "share", "_at").agg(
-        F.min_by(F.struct("_v"), F.when(F.col("_upto") > below, F.col("_upto"))).alias("_a"),
-        F.min_by(F.struct("_v"), F.when(F.col("_upto") > above, F.col("_upto"))).alias("_b"),
+    upto = W.partitionBy("piece").orderBy(F.col("v").asc_nulls_first())
+    ranked = counted.withColumn("upto", F.sum("n").over(upto))
+    ranks = spark.createDataFrame(
+        wanted, "piece int, column_name string, share double, below bigint, above bigint, weight double"
     )
-    a, b = F.col("_a")["_v"], F.col("_b")["_v"]
     missed = F.raise_error(F.lit("quantile bracket missed its rank; use a higher accuracy"))
-    value = F.when(a.isNull() | b.isNull(), missed.cast("double")).otherwise(
-        a + (b - a) * (F.col("_at") - below)
+    low, high = (F.min(F.when(F.col("upto") > F.col(rank), F.col("v"))) for rank in ("below", "above"))
+    short = F.max("upto") <= F.max("above")
+    early = F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("upto"))), F.lit(0)) > F.min("below")
+    values = (
+        ranked.join(F.broadcast(ranks), "piece")  # columns * shares rows
+        .groupBy("column_name", "share")
+        .agg(
+            F.when(short | early, missed.cast("double"))
+            .otherwise(low + (high - low) * F.max("weight"))
+            .alias("value")
+        )
     )
-    values = ends.select("column_name", "share", value.alias("value"))
-    return brackets.join(values, ["column_name", "share"], "left").select("column_name", "share", "value", *stats)
+    return known.join(values, ["column_name", "share"], "left").select("column_name", "share", "value", *stats)
+
+
+def _piece(number, column, low, high):
+    """One value of a column for the second scan: null stands for everything below the bracket."""
+    c = f"cast(`{column}` AS double)"
+    keep = f"{c} IS NOT NULL" if high is None else f"coalesce({c} <= double('{high}'), false)"
+    v = c if low is None else f"CASE WHEN {c} >= double('{low}') THEN {c} END"
+    return F.expr(f"named_struct('piece', {number}, 'v', {v}, 'keep', {keep})")

@@ -28,12 +28,12 @@ def profile_numeric(df, columns=None, accuracy=10_000):
         (0.5,),
         accuracy,
         {
-            "n_rows": lambda c: F.count(F.lit(1)),
-            "null_count": lambda c: F.count_if(F.col(c).isNull()),
-            "min": lambda c: F.min(F.col(c).cast("double")),
-            "max": lambda c: F.max(F.col(c).cast("double")),
-            "mean": F.avg,
-            "std": F.stddev_samp,
+            "n_rows": ("count(*)", "bigint"),
+            "null_count": ("count_if({c} IS NULL)", "bigint"),
+            "min": ("min({c})", "double"),
+            "max": ("max({c})", "double"),
+            "mean": ("avg({c})", "double"),
+            "std": ("stddev_samp({c})", "double"),
         },
     )
     names = F.create_map(*[F.lit(x) for c in columns for x in (c, types[c])])
@@ -100,11 +100,11 @@ def describe_exact(df, columns=None, accuracy=10_000):
     columns = columns or S.numeric_columns(df)
     shares = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
     stats = {
-        "count": F.count,
-        "mean": F.avg,
-        "std": F.stddev_samp,
-        "min": lambda c: F.min(F.col(c).cast("double")),
-        "max": lambda c: F.max(F.col(c).cast("double")),
+        "count": ("count({c})", "bigint"),
+        "mean": ("avg({c})", "double"),
+        "std": ("stddev_samp({c})", "double"),
+        "min": ("min({c})", "double"),
+        "max": ("max({c})", "double"),
     }
     found = exact_quantiles(df, columns, tuple(shares.values()), accuracy, stats)
     return (
