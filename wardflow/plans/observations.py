@@ -10,38 +10,60 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def observations(spark, folder, parts=False, max_rows=MAX_ROWS):
-    """One row per event, shaped as an hourly observation of a patient.
-
-    The hour is the position of the event among those of its patient. `parts` keeps
-    the part columns so that a following gap fill works on the same partitioning.
-    """
+def _numbered(spark, folder, max_rows):
+    """Events with their patient id and hour: the position among the events of the patient."""
     e = table(spark, folder, "events")
     user = F.col("user_id").cast("string")
-    kind, value = F.col("event_type"), F.col("value")
+    digits = F.lpad(user, F.greatest(F.length(user), F.lit(6)), F.lit("0"))
     keyed = e.select(
-        F.lpad(user, F.greatest(F.length(user), F.lit(6)), F.lit("0")).alias("_digits"),
-        "user_id", "event_id", "event_type", "value", "ts",
-    ).select(F.concat(F.lit("p"), "_digits").alias(S.KEY), "user_id", "event_id", "event_type", "value", "ts")
-    numbered = row_position(keyed, S.KEY, ["ts", "event_id"], max_rows, S.HOUR)
-    rows = numbered.select(
-        S.KEY,
-        S.HOUR,
-        F.when(kind == "view", value).alias("HR"),
-        F.when(kind == "click", value).alias("Temp"),
-        F.when(kind == "purchase", value).alias("MAP"),
-        F.when(kind == "signup", value).alias("BUN"),
-        F.when(F.col("event_id") % 3 == 0, value).alias("WBC"),
-        F.when((kind == "signup") & (value > 100), value).alias("Hct"),
-        F.when((kind == "error") & (F.col("event_id") % 10 == 0), value).alias("AST"),
-        (20 + F.col("user_id") % 70).cast("double").alias("Age"),
-        (F.col("user_id") % 3).alias("Gender"),
-        (F.col("user_id") % 2).cast("double").alias("Unit1"),
-        (1 - F.col("user_id") % 2).cast("double").alias("Unit2"),
-        (0 - F.col("user_id") % 100).cast("double").alias("HospAdmTime"),
-        F.when((kind == "error") & (value > 100), 1).otherwise(0).cast("bigint").alias(S.LABEL),
-        "ts",
-        "event_id",
-        *part_columns(numbered),
+        F.concat(F.lit("p"), digits).alias(S.KEY), "user_id", "event_id", "event_type", "value", "ts"
     )
+    return row_position(keyed, S.KEY, ["ts", "event_id"], max_rows, S.HOUR)
+
+
+def _context():
+    """The columns that every event of a user shares, and the label."""
+    user = F.col("user_id")
+    positive = (F.col("event_type") == "error") & (F.col("value") > 100)
+    return {
+        "Age": (20 + user % 70).cast("double"),
+        "Gender": user % 3,
+        "Unit1": (user % 2).cast("double"),
+        "Unit2": (1 - user % 2).cast("double"),
+        "HospAdmTime": (0 - user % 100).cast("double"),
+        S.LABEL: F.when(positive, 1).otherwise(0).cast("bigint"),
+    }
+
+
+def observations(spark, folder, parts=False, max_rows=MAX_ROWS):
+    """One row per event, shaped as an hourly observation with a few sparse measurements.
+
+    `parts` keeps the part columns so that a following gap fill works on the same
+    partitioning.
+    """
+    numbered = _numbered(spark, folder, max_rows)
+    kind, value = F.col("event_type"), F.col("value")
+    measured = {
+        "HR": F.when(kind == "view", value),
+        "Temp": F.when(kind == "click", value),
+        "MAP": F.when(kind == "purchase", value),
+        "BUN": F.when(kind == "signup", value),
+        "WBC": F.when(F.col("event_id") % 3 == 0, value),
+        "Hct": F.when((kind == "signup") & (value > 100), value),
+        "AST": F.when((kind == "error") & (F.col("event_id") % 10 == 0), value),
+    }
+    columns = [c.alias(name) for name, c in {**measured, **_context()}.items()]
+    rows = numbered.select(S.KEY, S.HOUR, *columns, "ts", "event_id", *part_columns(numbered))
     return rows if parts else drop_parts(rows)
+
+
+def raw_observations(spark, folder, max_rows=MAX_ROWS):
+    """One row per event with all raw columns: measurement i is known in every third hour."""
+    numbered = _numbered(spark, folder, max_rows)
+    measured = {
+        c: F.when((F.col("event_id") + i) % 3 == 0, F.round(F.col("value") + i, 2))
+        for i, c in enumerate(S.MEASUREMENTS)
+    }
+    columns = {**measured, **_context(), S.HOUR: F.col(S.HOUR), S.KEY: F.col(S.KEY)}
+    raw = [columns[c].alias(c) for c in S.OBSERVATIONS.names]
+    return numbered.select("event_id", *raw, *part_columns(numbered))

@@ -335,3 +335,27 @@ ORACLES = {
     "mean_abs_contribution": f"{PREP} " + " UNION ALL ".join(
         f"SELECT '{c}' AS feature, round(avg(abs({b} * ({c} - (SELECT avg({c}) FROM prep)))), 6) AS importance FROM prep" for c, b in COEFFICIENTS.items()),
 }
+
+ORACLES.update(
+    {
+        "request_parse": f"""{WITH} SELECT Patient_ID, ICULOS, CASE WHEN o.event_id % 3 = 0 THEN round(value, 2) END AS HR,
+        CASE WHEN (o.event_id + 2) % 3 = 0 THEN round(value + 2, 2) END AS Temp,
+        CASE WHEN (o.event_id + 33) % 3 = 0 THEN round(value + 33, 2) END AS "Platelets", Age, Gender FROM obs o JOIN events e USING (event_id)""",
+        "request_rejects": """SELECT doc_id AS request, CASE doc_id % 4 WHEN 0 THEN 'no JSON payload' WHEN 1 THEN '''data'' field is missing'
+        WHEN 2 THEN '''columns'' field is missing' ELSE 'invalid input shape' END AS reason FROM documents""",
+        "profile_saved": "SELECT column_name, dtype, min, max, round(mean, 6) AS mean, round(median, 6) AS median, round(std, 6) AS std, null_count, n_rows FROM ("
+        + " UNION ALL ".join(
+            f"SELECT '{c}' AS column_name, '{k}' AS dtype, cast(min({c}) AS double) AS min, cast(max({c}) AS double) AS max, avg({c}) AS mean, "
+            f"cast(median({c}) AS double) AS median, stddev_samp({c}) AS std, count(*) - count({c}) AS null_count, count(*) AS n_rows FROM lineitem"
+            for c, k in [("l_orderkey", "int64"), ("l_partkey", "int64"), ("l_suppkey", "int64"), ("l_linenumber", "int32"),
+                         ("l_quantity", "float64"), ("l_extendedprice", "float64"), ("l_discount", "float64"), ("l_tax", "float64")]
+        )
+        + ")",
+        "versioned_merge": f"{HALVES} SELECT side, count(*) AS n, 'merged' AS version FROM sides GROUP BY side "
+        "UNION ALL SELECT side, count(*) AS n, 'reverted' AS version FROM sides WHERE side = 'train' GROUP BY side",
+        "stream_ingest": "SELECT event_id, user_id, event_type, value FROM events",
+        "stream_latency_window": """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS requests, count(*) AS rows,
+        round(sum(value), 6) AS total_latency, round(max(value), 6) AS max_latency FROM events GROUP BY date_trunc('day', ts)
+        HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+    }
+)

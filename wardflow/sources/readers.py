@@ -21,8 +21,8 @@ def patient_files(spark, paths, id_rule="file_name", name_glob="*.psv"):
     """
     reader = spark.read.schema(S.RAW_FILE).options(**CSV).option("pathGlobFilter", name_glob)
     rows = reader.csv(paths)
-    if not rows.inputFiles():
-        raise NoFiles(f"no {name_glob} files in {paths}")
+    if rows.isEmpty():
+        raise NoFiles(f"no rows in {name_glob} files of {paths}")
     return rows.withColumn(S.KEY, X.id_from_path(F.col("_metadata.file_path"), id_rule))
 
 

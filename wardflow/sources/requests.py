@@ -41,14 +41,14 @@ def parse_requests(lines, body="value", request="request", expected=S.REQUEST_CO
     checked = opened.withColumn("reason", reason)
     rejects = checked.filter(F.col("reason").isNotNull()).select(request, "reason")
     types = {f.name: f.dataType.simpleString() for f in S.OBSERVATIONS}
-    cells = checked.filter(F.col("reason").isNull()).select(
-        request, "_names", F.posexplode("_data").alias("row", "_cells")
+    places = F.array(*[F.array_position("_names", F.lit(c)).cast("int") for c in expected])
+    cells = (
+        checked.filter(F.col("reason").isNull())
+        .select(request, places.alias("_places"), "_data")
+        .select(request, "_places", F.posexplode("_data").alias("row", "_cells"))
     )
-    by_name = cells.select(request, "row", F.map_from_arrays("_names", "_cells").alias("_m"))
-    rows = by_name.select(
-        request, "row", *[F.col("_m")[c].try_cast(types[c]).alias(c) for c in expected]
-    )
-    return rows, rejects
+    values = [F.element_at("_cells", F.col("_places")[i]).try_cast(types[c]).alias(c) for i, c in enumerate(expected)]
+    return cells.select(request, "row", *values), rejects
 
 
 def as_request(df, columns, request="request", row="row", rows_per_request=500):

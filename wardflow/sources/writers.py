@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from wardflow import schema as S
+from wardflow.functions.scalars import model_version
 
 
 def exists(spark, path):
@@ -91,15 +92,11 @@ class Versioned:
 
 
 def next_model_path(spark, folder, prefix, stamp):
-    """folder/prefix_<stamp>_v<N>, N one above the highest version of the prefix."""
-    from wardflow.functions.scalars import model_version
-
+    """folder/prefix_<stamp>_v<N>.model, N one above the highest version of the prefix."""
     p = spark._jvm.org.apache.hadoop.fs.Path(folder)
     system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    # folder names only: one per saved model
     names = [s.getPath().getName() for s in system.listStatus(p)] if system.exists(p) else []
-    listed = spark.createDataFrame([(n + "/.",) if "." not in n else (n,) for n in names], "path string")
-    versions = listed.filter(F.col("path").startswith(prefix)).select(
-        model_version(F.regexp_replace("path", r"/\.$", ".model")).alias("v")
-    )
-    top = versions.agg(F.coalesce(F.max("v"), F.lit(0))).first()[0]
-    return f"{folder}/{prefix}_{stamp}_v{top + 1}"
+    versions = spark.createDataFrame([(n,) for n in names], "name string").filter(F.col("name").startswith(prefix))
+    top = versions.agg(F.coalesce(F.max(model_version("name")), F.lit(0))).first()[0]
+    return f"{folder}/{prefix}_{stamp}_v{top + 1}.model"
