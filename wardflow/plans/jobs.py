@@ -113,11 +113,10 @@ def score_requests(spark, rows, artifacts, model=None):
         run = readers.latest_run(spark, f"{artifacts}/models")
         model = PipelineModel.load(f"{run['path']}/model")
     fitted = readers.json_table(spark, f"{artifacts}/scaler", FITTED)
+    carried = [S.KEY, *[c for c in rows.columns if c not in (*S.REQUEST_COLUMNS, "row")]]
     # the same patient in two requests is two groups of the fill
     grouped = rows.withColumn("_unit", F.concat_ws("#", "request", S.KEY))
-    prepared = P.prepare_features(
-        grouped.drop("created_at"), key="_unit", order=(S.HOUR, "row"), keep=("request", S.KEY)
-    ).drop("_unit")
+    prepared = P.prepare_features(grouped, key="_unit", order=(S.HOUR, "row"), keep=carried).drop("_unit")
     return training.predictions(model, P.scaler_apply(prepared, fitted))
 
 

@@ -8,20 +8,20 @@ from wardflow.operators.joins import symmetric_difference
 ENVELOPE = "data string, columns array<string>"
 
 
-def parse_requests(lines, body="value", request="request", expected=S.REQUEST_COLUMNS):
+def parse_requests(lines, body="value", request="request", expected=S.REQUEST_COLUMNS, keep=()):
     """(rows, rejects): one typed row per data row, and one reason per refused request.
 
     Columns are bound by name, so their order does not matter. A flat list of values
     is a request with one row. Names must equal the expected ones and every row must
     have as many values; otherwise the whole request is refused. `row` numbers the
-    rows of a request from 0.
+    rows of a request from 0. `keep` names columns of the lines to carry to their rows.
     """
     nested = F.from_json(F.col("_e.data"), "array<array<string>>")
     flat = F.from_json(F.col("_e.data"), "array<string>")
     is_flat = F.col("_e.data").rlike(r"^\s*\[\s*[^\[\s]")
     names = F.array(*map(F.lit, expected))
     opened = (
-        lines.select(request, F.col(body).alias("_body"), F.from_json(body, ENVELOPE).alias("_e"))
+        lines.select(request, *keep, F.col(body).alias("_body"), F.from_json(body, ENVELOPE).alias("_e"))
         .withColumn("_data", F.when(is_flat, F.array(flat)).otherwise(nested))
         .withColumn("_names", F.col("_e.columns"))
     )
@@ -44,11 +44,11 @@ def parse_requests(lines, body="value", request="request", expected=S.REQUEST_CO
     places = F.array(*[F.array_position("_names", F.lit(c)).cast("int") for c in expected])
     cells = (
         checked.filter(F.col("reason").isNull())
-        .select(request, places.alias("_places"), "_data")
-        .select(request, "_places", F.posexplode("_data").alias("row", "_cells"))
+        .select(request, *keep, places.alias("_places"), "_data")
+        .select(request, *keep, "_places", F.posexplode("_data").alias("row", "_cells"))
     )
     values = [F.element_at("_cells", F.col("_places")[i]).try_cast(types[c]).alias(c) for i, c in enumerate(expected)]
-    return cells.select(request, "row", *values), rejects
+    return cells.select(request, "row", *keep, *values), rejects
 
 
 def as_request(df, columns, request="request", row="row", rows_per_request=500):

@@ -39,14 +39,19 @@ def ingest(stream, out, checkpoint):
 
 
 def per_batch(stream, work, out, checkpoint):
-    """For every micro-batch, write the tables that work(batch) yields, each into the batch's own folder.
+    """Call work(batch, save) on every micro-batch; save(name, df) writes and re-reads a table of it.
 
-    A batch that is repeated after a failure overwrites its folder, so nothing doubles.
+    Each table has one folder per batch. A batch that is repeated after a failure
+    overwrites its folders, so nothing doubles.
     """
 
     def write(batch, batch_id):
-        for name, df in work(batch):
-            writers.save_table(df.withColumn("batch_id", F.lit(batch_id)), f"{out}/{name}/run={batch_id}")
+        def save(name, df):
+            path = f"{out}/{name}/run={batch_id}"
+            writers.save_table(df, path)
+            return batch.sparkSession.read.parquet(path)
+
+        work(batch, save)
 
     return _run(stream.writeStream.foreachBatch(write), checkpoint)
 
@@ -54,19 +59,16 @@ def per_batch(stream, work, out, checkpoint):
 def score_stream(stream, score, out, checkpoint):
     """Score request lines: tables `scored`, `rejects` and `log` below `out`.
 
-    score(rows) returns the rows with a prediction. Latency is the time from the
-    arrival of a line (column arrived) to its scoring.
+    score(rows) returns the rows with a prediction and their other columns. Latency is
+    the time from the arrival of a line (column arrived) to its scoring.
     """
 
-    def work(lines):
-        rows, rejects = parse_requests(lines)
-        yield "rejects", rejects
+    def work(lines, save):
+        rows, rejects = parse_requests(lines, keep=["arrived"])
+        save("rejects", rejects)
         seconds = F.current_timestamp().cast("double") - F.col("arrived").cast("double")
-        stamped = score(rows).join(lines.select("request", "arrived"), "request")
-        stamped = stamped.withColumns({"latency": seconds, "created_at": F.current_timestamp()}).persist()
-        yield "scored", stamped
-        yield "log", M.scoring_log(stamped, "request", "row", "prediction", "latency", "arrived")
-        stamped.unpersist()
+        scored = save("scored", score(rows).withColumns({"latency": seconds, "created_at": F.current_timestamp()}))
+        save("log", M.scoring_log(scored, "request", "row", "prediction", "latency", "arrived"))
 
     return per_batch(stream, work, out, checkpoint)
 
@@ -74,8 +76,8 @@ def score_stream(stream, score, out, checkpoint):
 def drift_stream(stream, profile, out, checkpoint, skip=(S.LABEL,)):
     """Findings of every micro-batch against a saved profile."""
 
-    def work(batch):
-        yield "findings", V.monitor(batch, profile["schema"], profile["statistics"], profile["values"], skip)
+    def work(batch, save):
+        save("findings", V.monitor(batch, profile["schema"], profile["statistics"], profile["values"], skip))
 
     return per_batch(stream, work, out, checkpoint)
 
