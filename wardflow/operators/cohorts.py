@@ -50,7 +50,8 @@ def running_positives(counts, key=S.KEY, seed="order"):
     """
     ranked = hash_rank(counts, key, seed, "count_of_1", name="_in_level")
     levels = _by_count(counts).drop("_patients")
-    return ranked.join(levels, "count_of_1").select(
+    # k distinct counts need k * (k - 1) / 2 positives, so there are at most sqrt(2 * rows)
+    return ranked.join(F.broadcast(levels), "count_of_1").select(
         *counts.columns,
         (F.col("_rank") + F.col("_in_level")).alias("position"),
         (F.col("_above") + F.col("count_of_1") * F.col("_in_level")).alias("cumulative_count_of_1"),

@@ -170,14 +170,14 @@ def range_number(at, splits, cuts=RANGE_CUTS):
     lo, hi = F.element_at(borders, found + 1), F.element_at(borders, found + 2)
     share = (F.col(at) - lo) / F.greatest((hi - lo).cast("double"), F.lit(1e-12))
     inner = F.greatest(F.lit(0), F.least(F.lit(cuts - 1), F.floor(share * cuts)))
-    return F.coalesce(found * cuts + inner, F.lit(0)).cast("bigint")
+    return F.when(F.col(at).isNull(), 0).otherwise(found * cuts + inner).cast("bigint")
 
 
 def running_totals(df, order, at, sums=None, position="position", ranges=RANGES, cuts=RANGE_CUTS, max_rows=MAX_ROWS):
     """Whole-table row number and running sums, in the order of the given columns.
 
     `at` is a numeric expression that grows with that order (for a descending order,
-    its negative). `sums` maps a result name to the summed column. A first aggregate
+    its negative), its nulls first. `sums` maps a result name to the summed column. A first aggregate
     counts the rows and takes their approximate quantiles. Tables above max_rows are
     bucketed by those; only the bucket totals, ranges * cuts rows at most, pass
     through a single task.

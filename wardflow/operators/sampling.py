@@ -6,8 +6,6 @@ table; samples of a given size need only one cut value per class, which turns
 membership into a row-local comparison with no join on the sampled key.
 """
 
-from functools import reduce
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,23 +22,22 @@ def hash_of(key, seed):
 def hash_rank(df, key, seed, by=(), digits=DIGITS, name="position", total=None):
     """1-based rank of each row in hash order inside each `by` group, and the group's size as `total`."""
     by = [by] if isinstance(by, str) else list(by)
-    hashed = df.withColumn("_h", hash_of(key, seed)).withColumn("_b", F.substring("_h", 1, digits))
-    sizes = hashed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    upto = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    hashed = df.withColumn("_h", hash_of(key, seed))
+    # a struct is never null, so null classes are a group of their own; the window and
+    # the join below share one shuffle on it
+    grouped = hashed.withColumn("_g", F.struct(*by, F.substring("_h", 1, digits).alias("_b")))
+    sizes = grouped.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    classes = [F.col("_g")[c] for c in by]
+    upto = W.partitionBy(*classes).orderBy(F.col("_g._b")).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
-        *by,
-        "_b",
+        F.col("_g").alias("_og"),
         F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"),
-        F.sum("_n").over(W.partitionBy(*by)).alias("_total"),
+        F.sum("_n").over(W.partitionBy(*classes)).alias("_total"),
     )
-    inside = W.partitionBy(*by, "_b").orderBy("_h")
-    # a null in `by` is its own group, so the join must match nulls
-    groups = [*by, "_b"]
-    offsets = offsets.withColumnsRenamed({c: f"_o_{c}" for c in groups})
-    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in groups])
+    inside = W.partitionBy("_g").orderBy("_h")
     return (
-        hashed.withColumn("_r", F.row_number().over(inside))
-        .join(offsets, same)
+        grouped.withColumn("_r", F.row_number().over(inside))
+        .join(offsets, F.col("_g") == F.col("_og"))
         .select(
             *df.columns,
             (F.col("_r") + F.col("_before")).cast("bigint").alias(name),

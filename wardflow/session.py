@@ -43,10 +43,13 @@ def new_folder(spark, name):
 
 
 def materialize(df):
-    """Write df once to the shared folder and go on from the copy.
+    """Write df once as a table in the shared folder and go on from there.
 
-    Used where one input feeds several actions (model fits, folds). The copy is on
-    shared storage, so a lost executor costs a re-read and never a recompute.
+    Used where one input feeds several actions (fits, folds, small border tables). A
+    lost executor costs a re-read, never a recompute, and the planner sees the real
+    size. The folders belong to the run; whoever owns the shared folder clears it.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = new_folder(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
