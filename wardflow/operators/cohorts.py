@@ -48,6 +48,10 @@ def running_positives(counts, key=S.KEY, seed="order"):
     Within one positive count the running sum is arithmetic, so a global order needs
     only the table of distinct counts and the hash rank inside each count.
     """
+    return _running(materialize(counts), key, seed)
+
+
+def _running(counts, key, seed):
     ranked = hash_rank(counts, key, seed, "count_of_1", name="_in_level")
     levels = _by_count(counts).drop("_patients")
     # k distinct counts need k * (k - 1) / 2 positives, so there are at most sqrt(2 * rows)
@@ -80,11 +84,12 @@ def threshold_cohorts(counts, key=S.KEY, shares=(0.7, 0.2), seed="order"):
     What follows the first cohort stays in the second until that closes; everything
     after is the third. The borders come from the table of distinct positive counts.
     """
+    counts = materialize(counts)  # read four times below
     levels = materialize(_by_count(counts))
     total = levels.agg(F.sum(F.col("count_of_1") * F.col("_patients"))).first()[0] or 0
     targets = [math.ceil(total * s) for s in shares]
     first = _closing(levels, 0, 0, targets[0])
-    ordered = running_positives(counts, key, seed)
+    ordered = _running(counts, key, seed)
     cohort = F.lit(1)
     if first is not None:
         second = _closing(levels, first["total"], first["rank"], targets[1])
@@ -98,7 +103,7 @@ def quota_names(df, key, quotas, rest, name="destination"):
 
     quotas: list of (name, count), as numbers.
     """
-    keys = df.select(key).filter(F.col(key).isNotNull()).distinct()
+    keys = materialize(df.select(key).filter(F.col(key).isNotNull()).distinct())
     ranked = running_totals(keys, [key], text_number(key))
     upto, chosen = 0, None
     for target, count in quotas:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from wardflow import schema as S
 from wardflow.operators.ordered import running_totals, text_number
+from wardflow.session import materialize
 
 
 def rows_of(df, ids, key=S.KEY):
@@ -48,11 +49,7 @@ def sets_differ(a, b):
 
 def label_encode(df, column, name):
     """Codes 0..k-1 in text order. The code table is joined without a hint, so its size decides."""
-    codes = running_totals(
-        df.select(column).filter(F.col(column).isNotNull()).distinct(),
-        [column],
-        text_number(column),
-        position="_code",
-    )
+    values = materialize(df.select(column).filter(F.col(column).isNotNull()).distinct())
+    codes = running_totals(values, [column], text_number(column), position="_code")
     coded = df.join(codes, column, "left")
     return coded.withColumn(name, (F.col("_code") - 1).cast("bigint")).drop("_code")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from wardflow import schema as S
 from wardflow.operators.ordered import running_totals
+from wardflow.session import materialize
 
 
 def _inline(df, rows):
@@ -108,11 +109,12 @@ def classification_report(df, truth, guess, classes=(0, 1)):
 
 def _by_score(df, label, score, positive):
     hit = F.col(label) == positive
-    return (
+    counted = (
         df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
         .groupBy(F.col(score).alias("threshold"))
         .agg(F.count_if(hit).alias("_pos"), F.count_if(~hit).alias("_neg"))
     )
+    return materialize(counted)  # the curve reads it several times
 
 
 def roc_points(df, label, score, positive=1):

@@ -12,7 +12,7 @@ from wardflow.operators import prepare as P
 from wardflow.operators import profile as R
 from wardflow.operators import sampling as G
 from wardflow.operators import validate as V
-from wardflow.plans.observations import observations, table
+from wardflow.plans.observations import observations, raw_observations, table
 
 KEYS = [S.KEY, S.HOUR]
 MEASURED = ["HR", "Temp", "MAP", "BUN", "WBC", "Hct", "AST"]
@@ -84,6 +84,12 @@ def first_rows(spark, folder):
     return observations(spark, folder).select(*KEYS, "HR", S.LABEL).orderBy(*KEYS).limit(1000)
 
 
+@query
+def last_rows(spark, folder):
+    o = observations(spark, folder).select(*KEYS, "HR", S.LABEL)
+    return o.orderBy(F.col(S.KEY).desc(), F.col(S.HOUR).desc()).limit(1000)
+
+
 @query
 def content_dedup_count(spark, folder):
     return table(spark, folder, "documents").agg(
@@ -240,6 +246,14 @@ def prepare_features(spark, folder):
     return rounded(P.to_feature_order(p, (S.KEY, "event_id", S.LABEL)), "MAP", "BUN", "WBC")
 
 
+@query
+def prepare_all_columns(spark, folder):
+    """The same steps on the full raw schema, all thirteen scaled columns."""
+    raw = raw_observations(spark, folder)
+    p = P.prepare_features(raw, keep=("event_id",))
+    return rounded(P.to_feature_order(p, ("event_id",)), *S.SCALED)
+
+
 @query
 def scaler_fit(spark, folder):
     return rounded(P.scaler_fit(prepared(spark, folder), SCALED), "mean", "std")

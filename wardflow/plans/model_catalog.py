@@ -4,14 +4,15 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from wardflow import schema as S
+from wardflow.operators import cohorts as C
+from wardflow.operators import joins as J
 from wardflow.operators import metrics as M
 from wardflow.operators import prepare as P
 from wardflow.operators import profile as R
 from wardflow.operators import sampling as G
-from wardflow.operators import validate as V
 from wardflow.operators.ordered import drop_parts
 from wardflow.plans import jobs, training
-from wardflow.plans.catalog import QUERIES, query, rounded
+from wardflow.plans.catalog import QUERIES, query, requests_log, rounded
 from wardflow.plans.observations import observations, raw_observations, table
 from wardflow.session import materialize, new_folder
 from wardflow.sources import readers, writers
@@ -159,6 +160,46 @@ def versioned_merge(spark, folder):
     return merged.unionByName(before)
 
 
+@query
+def merged_csv(spark, folder):
+    """The raw observations exported as CSV with a header and read back by the declared schema."""
+    path = f"{new_folder(spark, 'merged')}/observations.csv"
+    writers.save_csv(drop_parts(raw_observations(spark, folder)).select(*S.OBSERVATIONS.names), path)
+    back = readers.observation_table(spark, path)
+    return back.select(S.KEY, S.HOUR, "HR", "Temp", "Platelets", "Age", "Gender", S.LABEL)
+
+
+@query
+def cohort_files(spark, folder):
+    """Cohorts written as delimited files, one folder each, and counted after reading."""
+    o = observations(spark, folder)
+    cohorts = C.threshold_cohorts(C.label_counts(o)).select(S.KEY, "cohort")
+    path = f"{new_folder(spark, 'cohorts')}/files"
+    writers.save_csv(o.select("event_id", S.KEY).join(cohorts, S.KEY), path, "|", ["cohort"])
+    back = spark.read.schema("event_id bigint, Patient_ID string, cohort int").option("header", True).option("sep", "|").csv(path)
+    return back.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(S.KEY).alias("patients"))
+
+
+@query
+def appended_log(spark, folder):
+    """The scoring log written in two appends, halved by request, and read back."""
+    log = requests_log(spark, folder)
+    path = f"{new_folder(spark, 'log')}/rows"
+    sides = G.group_split(log, "request", 0.5)
+    for side in ("train", "test"):
+        writers.append_log(sides.filter(F.col("side") == side).drop("side"), path)
+    back = writers.read_log(spark, path)
+    return rounded(back.select("request", "segment", "n_input_rows", "predictions", "total_latency"), "total_latency")
+
+
+@query
+def patient_split_training(spark, folder):
+    """Patients shared by training and validation rows when whole patients are split."""
+    p = P.prepare_features(observations(spark, folder, parts=True).drop("ts"), keep=("event_id",))
+    train, validation = training.training_sets(p, "event_id", by_patient=True)
+    return J.leakage(train, validation)
+
+
 # streams ------------------------------------------------------------------------------
 
 

@@ -359,3 +359,32 @@ ORACLES.update(
         HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
     }
 )
+
+SHIFTS = {
+    "HR": 0, "O2Sat": 1, "Temp": 2, "MAP": 4, "Resp": 6, "BUN": 15, "Chloride": 18, "Creatinine": 19, "Glucose": 21,
+    "Hct": 28, "Hgb": 29, "WBC": 31, "Platelets": 33,
+}
+LOGS = ["MAP", "BUN", "Creatinine", "Glucose", "WBC", "Platelets"]
+RAW = (
+    WITH
+    + ", raw AS (SELECT o.event_id, Patient_ID, ICULOS, Age, Gender, HospAdmTime, SepsisLabel, "
+    + ", ".join(f"CASE WHEN (o.event_id + {i}) % 3 = 0 THEN round(value + {i}, 2) END AS {c}" for c, i in SHIFTS.items())
+    + " FROM obs o JOIN events e USING (event_id))"
+)
+
+ORACLES.update(
+    {
+        "last_rows": f"{WITH} SELECT Patient_ID, ICULOS, HR, SepsisLabel FROM obs ORDER BY Patient_ID DESC, ICULOS DESC LIMIT 1000",
+        "prepare_all_columns": RAW
+        + ", filled AS (SELECT event_id, Age, Gender, HospAdmTime, ICULOS, " + each(SHIFTS, FILL) + " FROM raw) SELECT event_id, "
+        + ", ".join(f"round({f'ln(1 + {c})' if c in LOGS else c}, 6) AS {c}" for c in SHIFTS)
+        + """, Age, HospAdmTime, ICULOS, cast(CASE WHEN Gender = 0 THEN 1 ELSE 0 END AS integer) AS "F",
+        cast(CASE WHEN Gender = 1 THEN 1 ELSE 0 END AS integer) AS "M" FROM filled WHERE """
+        + each(SHIFTS, "{c} IS NOT NULL", " AND "),
+        "merged_csv": f"{RAW} SELECT Patient_ID, ICULOS, HR, Temp, Platelets, Age, Gender, SepsisLabel FROM raw",
+        "cohort_files": f"""{RUNNING} SELECT cohort, count(*) AS n, count(DISTINCT obs.Patient_ID) AS patients
+        FROM obs JOIN cohorts USING (Patient_ID) GROUP BY cohort""",
+        "appended_log": f"WITH {LOG} SELECT request, segment, n_input_rows, predictions, round(total_latency, 6) AS total_latency FROM log",
+        "patient_split_training": "SELECT false AS left_in_right, false AS right_in_left, cast(0 AS bigint) AS shared_keys",
+    }
+)

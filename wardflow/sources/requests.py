@@ -8,6 +8,14 @@ from wardflow.operators.joins import symmetric_difference
 ENVELOPE = "data string, columns array<string>"
 
 
+def text_array_sql(names):
+    return "array({})".format(", ".join(f"'{n}'" for n in names))
+
+
+def text_array(names):
+    return F.expr(text_array_sql(names))
+
+
 def parse_requests(lines, body="value", request="request", expected=S.REQUEST_COLUMNS, keep=()):
     """(rows, rejects): one typed row per data row, and one reason per refused request.
 
@@ -19,17 +27,23 @@ def parse_requests(lines, body="value", request="request", expected=S.REQUEST_CO
     nested = F.from_json(F.col("_e.data"), "array<array<string>>")
     flat = F.from_json(F.col("_e.data"), "array<string>")
     is_flat = F.col("_e.data").rlike(r"^\s*\[\s*[^\[\s]")
-    names = F.array(*map(F.lit, expected))
-    opened = (
-        lines.select(request, *keep, F.col(body).alias("_body"), F.from_json(body, ENVELOPE).alias("_e"))
-        .withColumn("_data", F.when(is_flat, F.array(flat)).otherwise(nested))
-        .withColumn("_names", F.col("_e.columns"))
+    names = text_array(expected)
+    # explode of one element: the JSON is parsed once, not again in the filters on it
+    opened = lines.select(
+        request, *keep, F.col(body).alias("_body"), F.explode(F.array(F.from_json(body, ENVELOPE))).alias("_e")
+    ).select(
+        request,
+        *keep,
+        "_body",
+        F.col("_e.columns").alias("_names"),
+        F.col("_e.data").alias("_text"),
+        F.explode(F.array(F.when(is_flat, F.array(flat)).otherwise(nested))).alias("_data"),
     )
     different = symmetric_difference(names, F.col("_names"))
     width = len(expected)
     reason = (
         F.when(F.coalesce(F.trim("_body"), F.lit("")).isin("", "{}", "null", "[]"), "no JSON payload")
-        .when(F.col("_e.data").isNull(), "'data' field is missing")
+        .when(F.col("_text").isNull(), "'data' field is missing")
         .when(F.col("_names").isNull(), "'columns' field is missing")
         .when(F.size(different) > 0, F.concat(F.lit("extra or missing columns: "), F.array_join(different, ", ")))
         .when(
@@ -41,14 +55,14 @@ def parse_requests(lines, body="value", request="request", expected=S.REQUEST_CO
     checked = opened.withColumn("reason", reason)
     rejects = checked.filter(F.col("reason").isNotNull()).select(request, "reason")
     types = {f.name: f.dataType.simpleString() for f in S.OBSERVATIONS}
-    places = F.array(*[F.array_position("_names", F.lit(c)).cast("int") for c in expected])
+    places = F.expr("transform({}, c -> cast(array_position(_names, c) AS int))".format(text_array_sql(expected)))
     cells = (
         checked.filter(F.col("reason").isNull())
         .select(request, *keep, places.alias("_places"), "_data")
         .select(request, *keep, "_places", F.posexplode("_data").alias("row", "_cells"))
     )
-    values = [F.element_at("_cells", F.col("_places")[i]).try_cast(types[c]).alias(c) for i, c in enumerate(expected)]
-    return cells.select(request, "row", *keep, *values), rejects
+    values = [f"try_cast(element_at(_cells, _places[{i}]) AS {types[c]}) AS `{c}`" for i, c in enumerate(expected)]
+    return cells.selectExpr(f"`{request}`", "row", *keep, *values), rejects
 
 
 def as_request(df, columns, request="request", row="row", rows_per_request=500):
@@ -56,12 +70,12 @@ def as_request(df, columns, request="request", row="row", rows_per_request=500):
 
     `row` numbers the rows of a request name from 0; long ones become several lines.
     """
-    values = F.array(*[F.col(c).cast("string") for c in columns])
+    values = F.expr("array({})".format(", ".join(f"cast(`{c}` AS string)" for c in columns)))
     numbered = df.withColumn("chunk", F.floor(F.col(row) / rows_per_request))
     listed = numbered.groupBy(request, "chunk").agg(
         F.array_sort(F.collect_list(F.struct(F.col(row).alias("r"), values.alias("v")))).alias("rows")
     )
-    body = F.struct(F.transform("rows", lambda r: r["v"]).alias("data"), F.array(*map(F.lit, columns)).alias("columns"))
+    body = F.struct(F.transform("rows", lambda r: r["v"]).alias("data"), text_array(columns).alias("columns"))
     return listed.select(
         F.concat_ws("#", request, "chunk").alias(request), F.to_json(body, {"ignoreNullFields": "false"}).alias("value")
     )
