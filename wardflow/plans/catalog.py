@@ -13,6 +13,7 @@ from wardflow.operators import profile as R
 from wardflow.operators import sampling as G
 from wardflow.operators import validate as V
 from wardflow.plans.observations import observations, raw_observations, table
+from wardflow.session import materialize
 
 KEYS = [S.KEY, S.HOUR]
 MEASURED = ["HR", "Temp", "MAP", "BUN", "WBC", "Hct", "AST"]
@@ -44,7 +45,7 @@ def scored(spark, folder):
 
 def halves(df):
     """A recorded and a new table: all rows, divided by patient."""
-    sides = G.group_split(df, share=0.5)
+    sides = materialize(G.group_split(df, share=0.5))  # both halves are read several times
     return [sides.filter(F.col("side") == s).drop("side") for s in ("train", "test")]
 
 
@@ -261,13 +262,13 @@ def scaler_fit(spark, folder):
 
 @query
 def scale_apply(spark, folder):
-    p = prepared(spark, folder)
+    p = materialize(prepared(spark, folder))  # read by the fit and again by its use
     return rounded(P.scaler_apply(p, P.scaler_fit(p, SCALED), SCALED).select("event_id", *SCALED), *SCALED)
 
 
 @query
 def scaled_by_label(spark, folder):
-    p = prepared(spark, folder)
+    p = materialize(prepared(spark, folder))
     s = P.scaler_apply(p, P.scaler_fit(p, SCALED), SCALED)
     return s.groupBy(S.LABEL).agg(
         F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in P.features_in(s)]
@@ -287,7 +288,7 @@ def impute_mean(spark, folder):
 
 @query
 def profile_numeric(spark, folder):
-    o = observations(spark, folder).drop("ts", "event_id")
+    o = materialize(observations(spark, folder).drop("ts", "event_id"))  # scanned twice
     return rounded(R.profile_numeric(o), "mean", "median", "std")
 
 
@@ -718,11 +719,11 @@ COEFFICIENTS = {"HR": 0.5, "Temp": -0.25, "MAP": 1.5, "WBC": 2.0}
 
 @query
 def linear_contributions(spark, folder):
-    c = M.linear_contributions(prepared(spark, folder), COEFFICIENTS, ["event_id"])
+    c = M.linear_contributions(materialize(prepared(spark, folder)), COEFFICIENTS, ["event_id"])
     return rounded(c, *COEFFICIENTS)
 
 
 @query
 def mean_abs_contribution(spark, folder):
-    c = M.linear_contributions(prepared(spark, folder), COEFFICIENTS, ["event_id"])
+    c = M.linear_contributions(materialize(prepared(spark, folder)), COEFFICIENTS, ["event_id"])
     return rounded(M.mean_abs_contribution(c, list(COEFFICIENTS)), "importance")

@@ -175,7 +175,8 @@ def cohort_files(spark, folder):
     o = observations(spark, folder)
     cohorts = C.threshold_cohorts(C.label_counts(o)).select(S.KEY, "cohort")
     path = f"{new_folder(spark, 'cohorts')}/files"
-    writers.save_csv(o.select("event_id", S.KEY).join(cohorts, S.KEY), path, "|", ["cohort"])
+    rows = o.select("event_id", S.KEY).join(cohorts, S.KEY)
+    writers.save_csv(rows.select("event_id", S.KEY, "cohort"), path, "|", ["cohort"])
     back = spark.read.schema("event_id bigint, Patient_ID string, cohort int").option("header", True).option("sep", "|").csv(path)
     return back.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(S.KEY).alias("patients"))
 
