@@ -45,19 +45,28 @@ def test_first_run(spark, first, artifacts):
 
 
 def test_batch_run(spark, halves, first, artifacts):
-    before = jobs.batch_run(spark, halves[0], "batch-1", artifacts, GRIDS, 2, "20240102-000000")
-    assert before["next_batch"] == "batch-2"
-    out = jobs.batch_run(spark, halves[1], "batch-2", artifacts, GRIDS, 2, "20240103-000000")
+    out = jobs.batch_run(spark, halves[1], "batch-1", artifacts, GRIDS, 2, "20240102-000000")
+    assert out["next_batch"] == "batch-2"
     merged = writers.Versioned(spark, f"{artifacts}/data").read()
     assert merged.count() == halves[0].count() + halves[1].count()
     assert out["decision"]["decision"] in ("keep", "warn", "retrain")
     assert (out["model"] is not None) == (out["decision"]["decision"] == "retrain")
 
 
+def test_drifted_batch_retrains(spark, halves, first, artifacts):
+    flipped = halves[1].withColumn(S.LABEL, 1 - F.col(S.LABEL)).filter(F.rand(1) < 0.2).drop("side")
+    few = flipped.withColumn(S.KEY, F.concat(F.lit("x"), S.KEY))
+    out = jobs.batch_run(spark, few, "batch-2", artifacts, GRIDS, 2, "20240103-000000")
+    assert out["decision"]["decision"] == "retrain"
+    assert readers.latest_run(spark, f"{artifacts}/models")["run"] == "model-run-20240103-000000"
+
+
 def test_broken_batch_is_refused(spark, halves, first, artifacts):
+    before = writers.Versioned(spark, f"{artifacts}/data").read().count()
     with pytest.raises(jobs.ValidationFailed) as failed:
         jobs.batch_run(spark, halves[1].drop("HR"), "batch-3", artifacts, GRIDS)
     assert failed.value.findings.filter("rule = 'missing_column'").count() == 1
+    assert writers.Versioned(spark, f"{artifacts}/data").read().count() == before
 
 
 @pytest.mark.parametrize("name", list(training.ESTIMATORS))

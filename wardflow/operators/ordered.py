@@ -18,8 +18,12 @@ CUTS = 1 << 20  # most cuts of one group
 
 
 def order_number(df, name):
-    """Numeric form of an order column: microseconds for times, the value itself otherwise."""
+    """Numeric form of an order column: microseconds, days, leading bytes, or the value itself."""
     kind = dict(df.dtypes)[name]
+    if kind == "string":
+        return text_number(name)
+    if kind == "date":
+        return F.unix_date(name)
     if kind == "timestamp":
         return F.unix_micros(name)
     if kind == "timestamp_ntz":

@@ -47,13 +47,26 @@ def prepare_and_scale(df, scaler_path=None, keep=()):
 
 
 def first_run(spark, source, artifacts, grids=training.FULL_GRIDS, folds=5, stamp=None, strict=False):
-    """Profile or validate, split by patient, prepare, scale, search, select, save.
+    """Store the data as the first version, profile or validate it, train on it.
+
+    Every later step reads the stored table, so the raw files are scanned once.
+    """
+    data = writers.Versioned(spark, f"{artifacts}/data")
+    staged = data.stage(source)
+    stored = spark.read.parquet(staged)
+    profile = readers.profile_or_new(spark, stored, f"{artifacts}/profile")
+    findings = check(stored, profile, "initial", strict)
+    path, found = train_run(spark, stored, artifacts, grids, folds, stamp)
+    data.switch(staged)
+    return path, found, findings
+
+
+def train_run(spark, source, artifacts, grids=training.FULL_GRIDS, folds=5, stamp=None):
+    """Split by patient, prepare, scale, search, select and save: (path of the model run, metrics).
 
     The gap fill never crosses patients and the split never cuts one, so the rows are
     prepared once and split afterwards.
     """
-    profile = readers.profile_or_new(spark, source, f"{artifacts}/profile")
-    findings = check(source, profile, "initial", strict)
     split = group_split(source.filter(F.col(S.KEY).isNotNull()))
     scaled, fitted = prepare_and_scale(split, keep=("side",))
     writers.save_json(fitted, f"{artifacts}/scaler")
@@ -67,7 +80,7 @@ def first_run(spark, source, artifacts, grids=training.FULL_GRIDS, folds=5, stam
     row = (name, found["accuracy"], found["precision"], found["recall"], found["f1_score"])
     writers.save_json(spark.createDataFrame([row], METRICS), f"{path}/metrics")
     writers.save_json(results, f"{path}/grid_results")
-    return path, found, findings
+    return path, found
 
 
 def score_batch(spark, batch, artifacts):
@@ -85,20 +98,20 @@ def batch_run(spark, batch, name, artifacts, grids=training.FULL_GRIDS, folds=5,
     """Validate and score a batch, merge it into the data, retrain when recall fell too far.
 
     Merging stages a new version of the data; the pointer moves only after the steps
-    on the merged data went through.
+    on the merged data went through. The stored scaler changes only with the model.
     """
     profile = readers.profile_or_new(spark, batch, f"{artifacts}/profile")
+    batch = materialize(batch)
     findings = check(batch, profile, f"batch/{name}", strict)
     _, found, old = score_batch(spark, batch, artifacts)
     data = writers.Versioned(spark, f"{artifacts}/data")
     existing = data.read()
-    merged = batch if existing is None else append_batch(existing, batch)
-    staged = data.stage(merged)
+    staged = data.stage(batch if existing is None else append_batch(existing, batch))
     pair = spark.createDataFrame([(old["recall"], found["recall"])], "old_recall double, new_recall double")
     decision = V.model_drift(pair).first()
     path = None
     if decision["decision"] == "retrain":
-        path, _, _ = first_run(spark, spark.read.parquet(staged), artifacts, grids, folds, stamp)
+        path, _ = train_run(spark, spark.read.parquet(staged), artifacts, grids, folds, stamp)
     data.switch(staged)
     state = V.next_batch(spark.createDataFrame([(name,)], "batch string")).first()
     return {"metrics": found, "decision": decision, "model": path, "findings": findings, "next_batch": state["next_batch"]}

@@ -388,3 +388,17 @@ ORACLES.update(
         "patient_split_training": "SELECT false AS left_in_right, false AS right_in_left, cast(0 AS bigint) AS shared_keys",
     }
 )
+
+ORACLES.update(
+    {
+        "alert_text": f"""{HALVES}, recorded AS ({profile(["HR", "WBC", "ICULOS"], "sides", "WHERE side = 'train'")}),
+        observed AS ({profile(["HR", "WBC", "ICULOS"], "sides", "WHERE side = 'test'")}), findings AS ({stat_checks()})
+        SELECT rule, column_name, concat('Validation of schema and statistics failed [monitor] ', severity, ': column ', column_name,
+        ', rule ', rule, ', expected ', cast(expected AS varchar), ', observed ', cast(observed AS varchar)) AS message FROM findings""",
+        "stream_drift": f"""WITH recorded AS ({profile(["event_id", "user_id", "value"], "events", "WHERE event_type = 'error'")}),
+        observed AS ({profile(["event_id", "user_id", "value"], "events")}), findings AS ({stat_checks()})
+        SELECT rule, column_name, severity, cast(expected AS varchar) AS expected, cast(observed AS varchar) AS observed FROM findings
+        UNION ALL SELECT 'unique_values', 'event_type', 'warning', '1.0', cast(cast(count(DISTINCT event_type) AS double) AS varchar) FROM events
+        HAVING count(DISTINCT event_type) > 1""",
+    }
+)
