@@ -7,6 +7,9 @@ parts, the work runs inside each part, and the little that crosses part borders
 (counts, sums, last seen values) goes through a table with one row per part.
 """
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -155,26 +158,27 @@ RANGES = 1024  # quantile ranges of a whole-table order
 RANGE_CUTS = 256  # equal cuts inside one range
 
 
-def range_number(at, splits, cuts=RANGE_CUTS):
-    """Bucket number that grows with the column `at`, from sorted split values.
+def with_range(df, at, splits, cuts=RANGE_CUTS, name="_range"):
+    """Add a bucket number that grows with `at`, from sorted split values.
 
-    The range is found by bisection and cut into equal pieces between its borders.
-    Splits set only the balance of the buckets, never a result. Nulls get bucket 0.
+    Each range between two splits is cut into equal pieces. Splits set only the
+    balance of the buckets, never a result. Nulls get bucket 0.
     """
-    ranges = len(splits) - 1
-    borders = F.array(*[F.lit(s) for s in splits])
-    steps = [1 << k for k in reversed(range(max(ranges - 1, 1).bit_length()))]
-
-    def bisect(found, step):
-        beyond = (found + step < ranges) & (F.element_at(borders, F.least(found + step, F.lit(ranges)) + 1) < F.col(at))
-        return F.when(beyond, found + step).otherwise(found)
-
-    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), bisect)
-    # the borders of the range that was found, again by a lookup and not by a join
-    lo, hi = F.element_at(borders, found + 1), F.element_at(borders, found + 2)
-    share = (F.col(at) - lo) / F.greatest((hi - lo).cast("double"), F.lit(1e-12))
-    inner = F.greatest(F.lit(0), F.least(F.lit(cuts - 1), F.floor(share * cuts)))
-    return F.when(F.col(at).isNull(), 0).otherwise(found * cuts + inner).cast("bigint")
+    borders = sorted({float(s) for s in splits})
+    if len(borders) < 3:
+        lo, hi = borders[0], max(borders[-1], borders[0] + max(1.0, abs(borders[0])))
+        borders = [lo, lo + (hi - lo) / 2, hi]
+    last = len(borders) - 2
+    ranges = Bucketizer(
+        splits=[-math.inf, *borders[1:-1], math.inf], inputCol="_at", outputCol="_r", handleInvalid="keep"
+    )
+    found = ranges.transform(df.withColumn("_at", at.cast("double")))
+    listed = F.lit(borders)
+    number = F.least(F.col("_r").cast("int"), F.lit(last))
+    lo, hi = F.element_at(listed, number + 1), F.element_at(listed, number + 2)
+    inner = F.greatest(F.lit(0), F.least(F.lit(cuts - 1), F.floor((F.col("_at") - lo) / (hi - lo) * cuts)))
+    bucket = F.when(F.col("_at").isNull(), 0).otherwise(number * cuts + inner)
+    return found.withColumn(name, bucket.cast("bigint")).drop("_at", "_r")
 
 
 def running_totals(df, order, at, sums=None, position="position", ranges=RANGES, cuts=RANGE_CUTS, max_rows=MAX_ROWS):
@@ -197,7 +201,7 @@ def running_totals(df, order, at, sums=None, position="position", ranges=RANGES,
             F.row_number().over(whole).cast("bigint").alias(position),
             *[F.sum(c).over(upto).alias(name) for name, c in sums.items()],
         )
-    parted = df.withColumn("_at", at).withColumn("_range", range_number("_at", splits, cuts)).drop("_at")
+    parted = with_range(df, at, splits, cuts)
     totals = parted.groupBy("_range").agg(
         F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"_t_{name}") for name, c in sums.items()]
     )
