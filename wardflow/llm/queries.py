@@ -1,8 +1,6 @@
 """Queries of this package over the given tables, and their SQL."""
 
-from pyspark.sql import functions as F
-
-from wardflow.llm import hilbert, quality
+from wardflow.llm import hilbert, pieces, quality, simhash, tokenfiles
 
 
 def _table(spark, folder, name):
@@ -14,10 +12,28 @@ def op1_quality_rules(spark, folder):
     return out.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op2_simhash_near_dedup(spark, folder):
+    return simhash.near_duplicates(_table(spark, folder, "documents"), n=3, seed=42, radius=3)
+
+
+def op3_sentencepiece(spark, folder):
+    return pieces.encoded_documents(_table(spark, folder, "documents"))
+
+
+def op6_token_files(spark, folder):
+    return tokenfiles.token_table(_table(spark, folder, "documents"), end_id=0)
+
+
 def op10_hilbert_shards(spark, folder):
     return hilbert.document_shards(_table(spark, folder, "documents"), 40)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op10_hilbert_shards)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules,
+    op2_simhash_near_dedup,
+    op3_sentencepiece,
+    op6_token_files,
+    op10_hilbert_shards,
+)}
 
 ORACLES = {}

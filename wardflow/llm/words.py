@@ -11,6 +11,9 @@ import pyarrow as pa
 BLOCK = 1 << 21
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Space and ASCII punctuation, and ASCII letters in lower case: the borders and bytes of tokens.
+PUNCTUATION = SPACE | np.array([33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126 for b in range(256)])
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 _random = np.random.default_rng(20240229)
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,31 +67,32 @@ def slices(batch, column="text", size=BLOCK):
         at = to
 
 
-def _cut(data, offsets, at, size):
+def _cut(data, offsets, at, size, space):
     """End of the block that begins at `at`: a space or a text border after `size` bytes."""
     end, stop = int(offsets[-1]), at + size
     if stop >= end:
         return end
     border = int(offsets[np.searchsorted(offsets, stop)])
     while stop < border:
-        found = np.flatnonzero(SPACE[data[stop : min(stop + 65536, border)]])
+        found = np.flatnonzero(space[data[stop : min(stop + 65536, border)]])
         if len(found):
             return stop + int(found[0])
         stop += 65536
     return border
 
 
-def words(data, offsets, size=BLOCK):
+def words(data, offsets, size=BLOCK, borders_at=SPACE, fold=None):
     """(starts, ends, hashes, first): all words; words first[i] to first[i + 1] are of text i.
 
-    The hash is a mixed polynomial of the bytes and depends on nothing else.
+    The hash is a mixed polynomial of the bytes, after fold if given, and depends on
+    nothing else. borders_at marks the bytes between words.
     """
     starts, ends, hashes, at = [], [], [], 0
     total = int(offsets[-1])
     while at < total:
-        to = _cut(data, offsets, at, size)
+        to = _cut(data, offsets, at, size, borders_at)
         block = data[at:to]
-        space = SPACE[block]
+        space = borders_at[block]
         begins, closes = ~space, ~space
         begins[1:] &= space[:-1]
         closes[:-1] &= space[1:]
@@ -98,6 +102,7 @@ def words(data, offsets, size=BLOCK):
         closes[borders - 1] = ~space[borders - 1]
         s, e = np.flatnonzero(begins), np.flatnonzero(closes) + 1
         up, down = _powers(to - at + 1)
+        block = block if fold is None else fold[block]
         sums = np.zeros(to - at + 1, np.uint64)
         np.cumsum(_BYTE[block] * up[: to - at], out=sums[1:])
         starts.append(s + at)
