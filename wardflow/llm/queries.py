@@ -1,6 +1,6 @@
 """Queries of this package over the given tables, and their SQL."""
 
-from wardflow.llm import hilbert, pieces, quality, simhash, tokenfiles
+from wardflow.llm import hilbert, mixing, pieces, quality, simhash, tokenfiles, toxicity
 
 
 def _table(spark, folder, name):
@@ -24,6 +24,14 @@ def op6_token_files(spark, folder):
     return tokenfiles.token_table(_table(spark, folder, "documents"), end_id=0)
 
 
+def op8_toxicity(spark, folder):
+    return toxicity.scored_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op9_soft_mixing(spark, folder):
+    return mixing.mixed_rates(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op10_hilbert_shards(spark, folder):
     return hilbert.document_shards(_table(spark, folder, "documents"), 40)
 
@@ -33,6 +41,8 @@ QUERIES = {f.__name__: f for f in (
     op2_simhash_near_dedup,
     op3_sentencepiece,
     op6_token_files,
+    op8_toxicity,
+    op9_soft_mixing,
     op10_hilbert_shards,
 )}
 
