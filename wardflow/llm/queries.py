@@ -1,6 +1,6 @@
 """Queries of this package over the given tables, and their SQL."""
 
-from wardflow.llm import ann, hilbert, mixing, pieces, quality, simhash, tokenfiles, toxicity
+from wardflow.llm import ann, hilbert, mixing, pieces, quality, repeats, simhash, tokenfiles, toxicity
 
 
 def _table(spark, folder, name):
@@ -24,6 +24,10 @@ def op4_nearest_neighbours(spark, folder):
     return ann.search(_table(spark, folder, "embeddings"), "id % 100 = 0", 10)
 
 
+def op5_substring_dedup(spark, folder):
+    return repeats.digests(_table(spark, folder, "documents"), window=50)
+
+
 def op6_token_files(spark, folder):
     return tokenfiles.token_table(_table(spark, folder, "documents"), end_id=0)
 
@@ -45,6 +49,7 @@ QUERIES = {f.__name__: f for f in (
     op2_simhash_near_dedup,
     op3_sentencepiece,
     op4_nearest_neighbours,
+    op5_substring_dedup,
     op6_token_files,
     op8_toxicity,
     op9_soft_mixing,
