@@ -1,6 +1,6 @@
 """Queries of this package over the given tables, and their SQL."""
 
-from wardflow.llm import ann, hilbert, mixing, pieces, quality, repeats, simhash, tokenfiles, toxicity
+from wardflow.llm import ann, hilbert, lines, mixing, pieces, quality, repeats, simhash, tokenfiles, toxicity
 
 
 def _table(spark, folder, name):
@@ -32,6 +32,10 @@ def op6_token_files(spark, folder):
     return tokenfiles.token_table(_table(spark, folder, "documents"), end_id=0)
 
 
+def op7_line_dedup(spark, folder):
+    return lines.line_verdicts(_table(spark, folder, "documents"))
+
+
 def op8_toxicity(spark, folder):
     return toxicity.scored_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -44,6 +48,12 @@ def op10_hilbert_shards(spark, folder):
     return hilbert.document_shards(_table(spark, folder, "documents"), 40)
 
 
+def pipeline(spark, folder):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules,
     op2_simhash_near_dedup,
@@ -51,9 +61,11 @@ QUERIES = {f.__name__: f for f in (
     op4_nearest_neighbours,
     op5_substring_dedup,
     op6_token_files,
+    op7_line_dedup,
     op8_toxicity,
     op9_soft_mixing,
     op10_hilbert_shards,
+    pipeline,
 )}
 
 ORACLES = {}
