@@ -33,7 +33,7 @@ from wardflow.llm.words import mix, slices, text_buffer
 
 SPACE = "▁"
 #: Chunks that a Python worker remembers; a full table is emptied.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 #: Longer chunks are searched alone, by the streaming search, and not remembered.
 SHORT = 24
 #: Bits of the table of remembered pairs.
@@ -185,7 +185,7 @@ class Pieces:
     def _apart(self, a, b):
         found = self.apart.get((a, b))
         if found is None:
-            if len(self.apart) >= REMEMBERED:
+            if len(self.apart) >= REMEMBERED // 4:
                 self.apart.clear()
             found = self.apart[a, b] = self._stays_apart(a, b)
         return found
@@ -304,10 +304,10 @@ class Pieces:
         """Ids of each text as little-endian 32-bit bytes."""
         split = [self._chunks(t) if t else [] for t in texts]
         known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if len(known) + len(new) > REMEMBERED:
+        seen = set().union(*split)
+        if len(known) + len(seen) > REMEMBERED:
             known.clear()
-            new = {w for words in split for w in words}
+        new = seen.difference(known)
         whole = {w: (w if w[0] == SPACE else SPACE + w) if self.chunked else w for w in new}
         short = [c for c in whole.values() if len(c) <= SHORT]
         found = self.search_many(short) if short else {}

@@ -142,5 +142,5 @@ def keep_one(docs, key="doc_id", text="text", **options):
     """The documents whose id is the smallest of its component, one row of each."""
     found = near_duplicates(docs, key, text, **options)
     kept = found.filter(F.col("component_id") == F.col(key)).select(F.col(key).alias("_kept")).distinct()
-    rows = docs.join(kept, docs[key] == F.col("_kept"), "left_semi").dropDuplicates([key])
+    rows = docs.join(kept, docs[key] == kept["_kept"], "left_semi").dropDuplicates([key])
     return rows.unionByName(docs.filter(F.col(key).isNull()))
