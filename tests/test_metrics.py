@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardflow.operators import metrics as M
-from wardflow.operators import ordered as O
 
 
 @pytest.fixture(scope="module")
@@ -59,23 +58,34 @@ def test_roc_points(scored):
 def test_roc_through_ranges(scored, monkeypatch):
     df, _ = scored
     plain = M.roc_auc(df, "y", "s").first()["auc"]
-    whole = O.running_totals
-    monkeypatch.setattr(M, "running_totals", lambda *a, **k: whole(*a, **k, ranges=8, cuts=4, max_rows=5))
-    assert M.roc_auc(df, "y", "s").first()["auc"] == pytest.approx(plain)
+    odd = df.unionByName(df.limit(5).withColumn("s", F.lit(float("nan")))).unionByName(df.limit(5).withColumn("s", F.lit(None).cast("double")))
+    assert M.roc_auc(odd, "y", "s").first()["auc"] == pytest.approx(plain)
+    assert M.roc_points(odd, "y", "s").count() == M.roc_points(df, "y", "s").count()
 
 
 def test_one_class_has_no_auc(spark):
     assert M.roc_auc(spark.createDataFrame([(1, 0.5)], "y int, s double"), "y", "s").first()["auc"] is None
 
 
-def test_segments_of_a_long_request(spark):
-    rows = [("a", i, i % 2, 2.0) for i in range(25)] + [("b", 0, 1, 1.0)]
-    df = spark.createDataFrame(rows, "request string, row bigint, p int, latency double").withColumn("t", F.lit("2024-01-01").cast("timestamp"))
-    log = M.scoring_log(df, "request", "row", "p", "latency", "t", 10).orderBy("request", "segment").collect()
-    assert [(r["request"], r["segment"], r["n_input_rows"]) for r in log] == [("a", 0, 25), ("a", 1, 25), ("a", 2, 25), ("b", 0, 1)]
-    joined = ", ".join(r["predictions"] for r in log if r["request"] == "a")
-    assert joined == ", ".join(str(i % 2) for i in range(25))
-    assert log[0]["average_latency_per_row"] == pytest.approx(0.08)
+def test_a_request_is_one_log_row(spark):
+    rows = [("a", i, 2.0) for i in range(12)] + [("b", 0, 1.0)]
+    df = spark.createDataFrame(rows, "request string, row bigint, latency double").withColumn("t", F.lit("2024-01-01").cast("timestamp"))
+    log = M.scoring_log(df, "request", "latency", "t")
+    assert [(r["request"], r["n_input_rows"], r["total_latency"]) for r in log.orderBy("request").collect()] == [("a", 12, 2.0), ("b", 1, 1.0)]
+    assert tuple(M.latency_summary(log).first())[:3] == (2, 13, 3.0)
+
+
+def test_classes_come_from_the_data(spark):
+    df = spark.createDataFrame([(i % 4, i % 4 if i < 75 else (i + 1) % 4) for i in range(100)], "y int, p int")
+    right = M.accuracy(df, "y", "p").first()["accuracy"]
+    assert M.weighted_metrics(df, "y", "p").first()["accuracy"] == pytest.approx(right) == pytest.approx(0.75)
+    assert M.confusion_matrix(df, "y", "p").count() == 16
+    assert M.classification_report(df, "y", "p").count() == 7
+
+
+def test_unusable_candidates_lose(spark):
+    df = spark.createDataFrame([("a", None), ("b", 0.9), ("c", float("nan"))], "model string, f1 double")
+    assert M.best_candidate(df, "model", "f1").first()["model"] == "b"
 
 
 def test_best_of_ties(spark):

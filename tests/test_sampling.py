@@ -141,5 +141,11 @@ def test_quotas(rows):
 
 
 def test_chunks(spark):
-    got = C.chunks(spark.range(1201), ["id"], F.col("id")).groupBy("chunk").count().orderBy("chunk").collect()
+    got = C.chunks(spark.range(1201), ["id"]).groupBy("chunk").count().orderBy("chunk").collect()
     assert [tuple(r) for r in got] == [(0, 500), (1, 500), (2, 201)]
+
+
+def test_strata_of_four_classes(spark):
+    df = spark.range(400).withColumn("c", (F.col("id") % 4).cast("int"))
+    got = G.stratified_sample(df, "id", 40, by="c").groupBy("c").count().collect()
+    assert sorted(map(tuple, got)) == [(c, 10) for c in range(4)]

@@ -106,14 +106,19 @@ def test_versions(spark, tmp_path):
     assert data.read().count() == 3
     data.switch(staged)
     assert data.read().count() == 5
+    data.switch(data.stage(spark.range(7)))
+    data.revert()
+    assert data.read().count() == 5
     data.revert()
     assert data.read().count() == 3
+    with pytest.raises(ValueError):
+        data.revert()
 
 
 def test_scoring_log_appends(spark, tmp_path):
     path = f"{tmp_path}/log"
     assert writers.read_log(spark, path).count() == 0
-    row = spark.createDataFrame([(2, "0, 1", 0.5, 0.25)], "n_input_rows int, predictions string, total_latency double, average_latency_per_row double")
+    row = spark.createDataFrame([(2, 0.5, 0.25)], "n_input_rows int, total_latency double, average_latency_per_row double")
     for _ in range(2):
         writers.append_log(row.withColumn("timestamp", F.current_timestamp()), path)
     assert writers.read_log(spark, path).count() == 2

@@ -31,7 +31,7 @@ def test_same_table_has_no_findings(base, recorded):
 
 def test_missing_column_and_wrong_type(base, recorded):
     changed = base.drop("HR").withColumn("ward", F.lit(1.0))
-    assert rules(changed, recorded) == [("missing_column", "HR"), ("wrong_type", "ward")]
+    assert rules(changed, recorded) == [("missing_column", "HR"), ("missing_statistics", "HR"), ("wrong_type", "ward")]
 
 
 def test_age_may_be_whole(base, recorded):

@@ -2,11 +2,10 @@
 
 import math
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardflow import schema as S
-from wardflow.operators.ordered import running_totals, text_number
+from wardflow.operators.ordered import running_totals
 from wardflow.operators.sampling import hash_rank
 from wardflow.session import materialize
 
@@ -32,13 +31,15 @@ def label_counts_joined(df, key=S.KEY, label=S.LABEL):
 
 def _by_count(counts):
     """One row per distinct positive count: patients with it, patients and positives above it."""
-    above = W.orderBy(F.col("count_of_1").desc()).rowsBetween(W.unboundedPreceding, -1)
     levels = counts.groupBy("count_of_1").agg(F.count(F.lit(1)).alias("_patients"))
-    return levels.withColumns(
-        {
-            "_rank": F.coalesce(F.sum("_patients").over(above), F.lit(0)),
-            "_above": F.coalesce(F.sum(F.col("_patients") * F.col("count_of_1")).over(above), F.lit(0)),
-        }
+    positives = F.col("_patients") * F.col("count_of_1")
+    order = [F.col("count_of_1").desc()]
+    upto = running_totals(levels, order, {"_rank": F.col("_patients"), "_above": positives}, "_place")
+    return upto.select(
+        "count_of_1",
+        "_patients",
+        (F.col("_rank") - F.col("_patients")).alias("_rank"),
+        (F.col("_above") - positives).alias("_above"),
     )
 
 
@@ -54,8 +55,7 @@ def running_positives(counts, key=S.KEY, seed="order"):
 def _running(counts, key, seed):
     ranked = hash_rank(counts, key, seed, "count_of_1", name="_in_level")
     levels = _by_count(counts).drop("_patients")
-    # k distinct counts need k * (k - 1) / 2 positives, so there are at most sqrt(2 * rows)
-    return ranked.join(F.broadcast(levels), "count_of_1").select(
+    return ranked.join(levels, "count_of_1").select(
         *counts.columns,
         (F.col("_rank") + F.col("_in_level")).alias("position"),
         (F.col("_above") + F.col("count_of_1") * F.col("_in_level")).alias("cumulative_count_of_1"),
@@ -104,7 +104,7 @@ def quota_names(df, key, quotas, rest, name="destination"):
     quotas: list of (name, count), as numbers.
     """
     keys = materialize(df.select(key).filter(F.col(key).isNotNull()).distinct())
-    ranked = running_totals(keys, [key], text_number(key))
+    ranked = running_totals(keys, [key])
     upto, chosen = 0, None
     for target, count in quotas:
         upto += count
@@ -113,7 +113,7 @@ def quota_names(df, key, quotas, rest, name="destination"):
     return ranked.withColumn(name, F.lit(rest) if chosen is None else chosen.otherwise(rest))
 
 
-def chunks(df, order, at, size=500, name="chunk"):
+def chunks(df, order, size=500, name="chunk"):
     """Consecutive chunks of `size` rows in the given order, numbered from 0."""
-    numbered = running_totals(df, order, at, position="_position")
+    numbered = running_totals(df, order, position="_position")
     return numbered.withColumn(name, F.floor((F.col("_position") - 1) / size)).drop("_position")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wardflow import schema as S
-from wardflow.operators.ordered import running_totals, text_number
+from wardflow.operators.ordered import running_totals
 from wardflow.session import materialize
 
 
@@ -15,11 +15,12 @@ def rows_of(df, ids, key=S.KEY):
 def leakage(left, right, key=S.KEY):
     """One row: does any key occur on both sides, asked from each side."""
     a, b = left.select(key).distinct(), right.select(key).distinct()
-    shared = a.join(b, key, "left_semi").agg(F.count(F.lit(1)).alias("n"))
-    return shared.select(
-        (F.col("n") > 0).alias("left_in_right"),
-        (F.col("n") > 0).alias("right_in_left"),
-        F.col("n").alias("shared_keys"),
+    forth = a.join(b, key, "left_semi").select(F.lit(1).alias("l"), F.lit(0).alias("r"))
+    back = b.join(a, key, "left_semi").select(F.lit(0).alias("l"), F.lit(1).alias("r"))
+    return forth.unionByName(back).agg(
+        (F.coalesce(F.sum("l"), F.lit(0)) > 0).alias("left_in_right"),
+        (F.coalesce(F.sum("r"), F.lit(0)) > 0).alias("right_in_left"),
+        F.coalesce(F.sum("l"), F.lit(0)).cast("bigint").alias("shared_keys"),
     )
 
 
@@ -50,6 +51,6 @@ def sets_differ(a, b):
 def label_encode(df, column, name):
     """Codes 0..k-1 in text order. The code table is joined without a hint, so its size decides."""
     values = materialize(df.select(column).filter(F.col(column).isNotNull()).distinct())
-    codes = running_totals(values, [column], text_number(column), position="_code")
+    codes = running_totals(values, [column], position="_code")
     coded = df.join(codes, column, "left")
     return coded.withColumn(name, (F.col("_code") - 1).cast("bigint")).drop("_code")

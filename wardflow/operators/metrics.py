@@ -11,8 +11,19 @@ def _inline(df, rows):
     return df.select(F.inline(F.array(*rows)))
 
 
-def confusion_matrix(df, truth, guess, classes=(0, 1)):
-    """All (truth, prediction) pairs of the classes with their counts, in one aggregate."""
+def classes_of(df, *columns):
+    """The labels in the columns, sorted; 0 and 1 are always among them where nothing else is."""
+    sets = df.agg(*[F.collect_set(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    found = set().union(*sets)
+    return sorted(found | {0, 1} if found <= {0, 1} else found)
+
+
+def confusion_matrix(df, truth, guess, classes=None):
+    """All (truth, prediction) pairs of the classes with their counts, in one aggregate.
+
+    Without a list of classes, one more aggregate takes them from both columns.
+    """
+    classes = classes_of(df, truth, guess) if classes is None else classes
     pairs = [(a, b) for a in classes for b in classes]
     counts = df.agg(
         *[
@@ -33,7 +44,7 @@ def _ratio(a, b):
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
-def class_metrics(df, truth, guess, classes=(0, 1)):
+def class_metrics(df, truth, guess, classes=None):
     """Per class: support, hits, precision, recall, f1; 0 where a denominator is 0."""
     cells = confusion_matrix(df, truth, guess, classes)
     n = F.col("n")
@@ -64,7 +75,7 @@ def accuracy(df, truth, guess):
     return df.agg(F.avg((F.col(truth) == F.col(guess)).cast("double")).alias("accuracy"))
 
 
-def weighted_metrics(df, truth, guess, classes=(0, 1)):
+def weighted_metrics(df, truth, guess, classes=None):
     """Accuracy and support-weighted precision, recall and f1 in one row."""
     total = F.sum("support")
 
@@ -84,7 +95,7 @@ def binary_metrics(df, truth, guess):
     return class_metrics(df, truth, guess).filter("label = 1").select("precision", "recall", "f1_score")
 
 
-def classification_report(df, truth, guess, classes=(0, 1)):
+def classification_report(df, truth, guess, classes=None):
     """One row per class, then accuracy, macro average and weighted average."""
     per_class = class_metrics(df, truth, guess, classes)
     total = F.sum("support")
@@ -110,7 +121,7 @@ def classification_report(df, truth, guess, classes=(0, 1)):
 def _by_score(df, label, score, positive):
     hit = F.col(label) == positive
     counted = (
-        df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
+        df.filter(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
         .groupBy(F.col(score).alias("threshold"))
         .agg(F.count_if(hit).alias("_pos"), F.count_if(~hit).alias("_neg"))
     )
@@ -120,14 +131,13 @@ def _by_score(df, label, score, positive):
 def roc_points(df, label, score, positive=1):
     """Threshold, false and true positive rate for every distinct score, plus the origin.
 
-    Equal scores form one point. The running counts go through score ranges, so no
-    task sees all distinct scores.
+    Equal scores form one point; a null or NaN score has no place and is left out. The
+    running counts go through score ranges, so no task sees all distinct scores.
     """
     by_score = _by_score(df, label, score, positive)
     sizes = by_score.agg(F.sum("_pos").alias("p"), F.sum("_neg").alias("n")).first()
     curve = running_totals(
-        by_score, [F.col("threshold").desc()], -F.col("threshold"),
-        {"_tp": F.col("_pos"), "_fp": F.col("_neg")},
+        by_score, [F.col("threshold").desc()], {"_tp": F.col("_pos"), "_fp": F.col("_neg")},
     )
     points = curve.select(
         "threshold",
@@ -145,7 +155,7 @@ def roc_auc(df, label, score, positive=1):
     """Area under the curve: each score's negatives times the positives ranked above them."""
     by_score = _by_score(df, label, score, positive)
     curve = running_totals(
-        by_score, [F.col("threshold").desc()], -F.col("threshold"), {"_tp": F.col("_pos")}
+        by_score, [F.col("threshold").desc()], {"_tp": F.col("_pos")}
     )
     area = F.sum((F.col("_neg") * (F.col("_tp") - F.col("_pos") / 2)).cast("double"))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg")
@@ -157,33 +167,17 @@ def patient_verdict(df, prediction="prediction", key=S.KEY):
     return df.groupBy(key).agg(F.max(F.col(prediction).cast("int")).alias("prediction"))
 
 
-def scoring_log(df, request, order, prediction, latency, stamp, segment_rows=10_000):
-    """Log rows of scored requests: row count, predictions as text, latency, latency per row.
+def scoring_log(df, request, latency, stamp):
+    """One row for each scored request: rows, first time, latency, latency per row.
 
-    `order` numbers the rows of a request from 0, without gaps. A request of up to
-    segment_rows rows gives one row. Larger ones give one row per segment, each with
-    the counts of the whole request, so no text holds an unbounded number of predictions.
+    The predictions stay rows of their own table, so no log row grows with its request.
     """
     sizes = df.groupBy(request).agg(
         F.count(F.lit(1)).alias("n_input_rows"),
         F.min(stamp).alias("timestamp"),
         F.max(latency).alias("total_latency"),
     )
-    entries = F.array_sort(F.collect_list(F.struct(F.col(order), F.col(prediction).cast("string").alias("p"))))
-    texts = (
-        df.withColumn("segment", F.floor(F.col(order) / segment_rows))
-        .groupBy(request, "segment")
-        .agg(F.array_join(F.transform(entries, lambda e: e["p"]), ", ").alias("predictions"))
-    )
-    return texts.join(sizes, request).select(
-        request,
-        "segment",
-        "n_input_rows",
-        "predictions",
-        "timestamp",
-        "total_latency",
-        F.try_divide(F.col("total_latency"), F.col("n_input_rows")).alias("average_latency_per_row"),
-    )
+    return sizes.withColumn("average_latency_per_row", F.try_divide(F.col("total_latency"), F.col("n_input_rows")))
 
 
 def latency_summary(log):
@@ -204,9 +198,10 @@ def grid_pivot(results, index, column, values, score, third=None):
 
 
 def best_candidate(results, name, score):
-    """Name with the highest score; the first name in text order on ties."""
+    """Name with the highest score, null and NaN left out; the first in text order on ties."""
+    usable = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
     top = F.min(F.struct((-F.col(score)).alias("s"), F.col(name).alias("name")))
-    return results.agg(top["name"].alias(name), (-top["s"]).alias(score))
+    return results.filter(usable).agg(top["name"].alias(name), (-top["s"]).alias(score))
 
 
 def linear_contributions(df, coefficients, keys):

@@ -7,9 +7,6 @@ parts, the work runs inside each part, and the little that crosses part borders
 (counts, sums, last seen values) goes through a table with one row per part.
 """
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,66 +14,35 @@ from wardflow.session import materialize
 
 MAX_ROWS = 1_000_000  # rows of one group that a single task may sort
 PART, HOT = "_part", "_hot"
-CUTS = 1 << 20  # most cuts of one group
-
-
-def order_number(df, name):
-    """Numeric form of an order column: microseconds, days, leading bytes, or the value itself."""
-    kind = dict(df.dtypes)[name]
-    if kind == "string":
-        return text_number(name)
-    if kind == "date":
-        return F.unix_date(name)
-    if kind == "timestamp":
-        return F.unix_micros(name)
-    if kind == "timestamp_ntz":
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(name))
-    return F.col(name)
-
-
-def split_hot(df, key, order, max_rows=MAX_ROWS, levels=2):
-    """Add `_part`, so that (key, _part) groups are bounded and follow `order`.
-
-    One aggregate over (key, order) looks for keys with more than max_rows rows.
-    Without any, `_part` is the constant 0. Otherwise each hot key is cut into equal
-    ranges of its order value, ranges that are still too full are cut once more, and
-    `_hot` marks the rows concerned. At most rows / max_rows groups can be hot, which
-    bounds the broadcast of their borders.
+
+
+def split_hot(df, key, order, max_rows=MAX_ROWS):
+    """Add `_part`, so that (key, _part) groups hold max_rows rows at most and follow `order`.
+
+    One aggregate looks for keys with more rows. Without any, `_part` is the constant 0.
+    Otherwise the rows of hot keys are numbered in the order of (key, *order), and every
+    max_rows numbers are a part; `_hot` marks them. Equal rows are cut apart as well, so
+    the bound holds for every distribution of the order columns.
     """
-    at = order_number(df, order)
-    rows, group = df.withColumn(PART, F.lit(0).cast("bigint")), [key]
-    for level in range(levels):
-        measured = rows.filter(HOT) if level else rows
-        hot = (
-            measured.groupBy(*group)
-            .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-            .filter(F.col("_n") > max_rows)
-        )
-        if hot.isEmpty():
-            break
-        hot = materialize(hot)
-        cuts = F.least(F.ceil(F.col("_n") / max_rows) + 1, F.lit(CUTS))
-        share = (at - F.col("_lo")) / F.greatest((F.col("_hi") - F.col("_lo")).cast("double"), F.lit(1e-9))
-        cut = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * cuts), cuts - 1).cast("bigint")
-        cut = F.when(F.col("_n").isNull(), 0).otherwise(cut * (1 if level else CUTS))
-        found = F.col("_n").isNotNull()
-        rows = rows.join(F.broadcast(hot), group, "left").select(
-            *df.columns,
-            (F.col(PART) + cut).alias(PART),
-            ((F.col(HOT) | found) if level else found).alias(HOT),
-        )
-        group = [key, PART]
-    return rows
+    order = [order] if isinstance(order, str) else list(order)
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
+    hot = materialize(sizes.select(F.col(key).alias("_key")))
+    if hot.isEmpty():
+        return df.withColumn(PART, F.lit(0).cast("bigint"))
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    numbered = running_totals(df.join(hot, same, "left_semi"), [key, *order], position="_at")
+    cut = numbered.withColumn(PART, (F.floor((F.col("_at") - 1) / max_rows) + 1).cast("bigint")).withColumn(HOT, F.lit(True))
+    rest = df.join(hot, same, "left_anti").withColumn(PART, F.lit(0).cast("bigint")).withColumn(HOT, F.lit(False))
+    return rest.unionByName(cut.drop("_at"))
 
 
 def row_position(df, key, order, max_rows=MAX_ROWS, name="position"):
     """1-based row number inside key, in the order of the given columns.
 
-    The first order column decides the parts, all of them decide the position. The
-    part columns stay on the result so that later steps reuse the partitioning.
+    The part columns stay on the result so that later steps reuse the partitioning.
     """
     if PART not in df.columns:
-        df = split_hot(df, key, order[0], max_rows)
+        df = split_hot(df, key, order, max_rows)
     inside = F.row_number().over(W.partitionBy(key, PART).orderBy(*order))
     numbered = df.withColumn(name, inside.cast("bigint"))
     if HOT not in df.columns:
@@ -111,7 +77,7 @@ def fill_gaps(df, key, order, columns, direction="both", max_rows=MAX_ROWS):
         raise ValueError(f"unknown direction {direction!r}")
     df = df.filter(F.col(key).isNotNull())
     if PART not in df.columns:
-        df = split_hot(df, key, order[0], max_rows)
+        df = split_hot(df, key, order, max_rows)
     back = direction == "both"
     group = W.partitionBy(key, PART)
     along = group.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -154,73 +120,31 @@ def _carry(df, key, order, columns, back):
     return materialize(carry.select(key, PART, *[c for c in carry.columns if c.startswith(("_cp_", "_cn_"))]))
 
 
-RANGES = 1024  # quantile ranges of a whole-table order
-RANGE_CUTS = 256  # equal cuts inside one range
-
-
-def with_range(df, at, splits, cuts=RANGE_CUTS, name="_range"):
-    """Add a bucket number that grows with `at`, from sorted split values.
-
-    Each range between two splits is cut into equal pieces. Splits set only the
-    balance of the buckets, never a result. Nulls get bucket 0.
-    """
-    borders = sorted({float(s) for s in splits})
-    if len(borders) < 3:
-        lo, hi = borders[0], max(borders[-1], borders[0] + max(1.0, abs(borders[0])))
-        borders = [lo, lo + (hi - lo) / 2, hi]
-    last = len(borders) - 2
-    ranges = Bucketizer(
-        splits=[-math.inf, *borders[1:-1], math.inf], inputCol="_at", outputCol="_r", handleInvalid="keep"
-    )
-    found = ranges.transform(df.withColumn("_at", at.cast("double")))
-    listed = F.lit(borders)
-    number = F.least(F.col("_r").cast("int"), F.lit(last))
-    lo, hi = F.element_at(listed, number + 1), F.element_at(listed, number + 2)
-    inner = F.greatest(F.lit(0), F.least(F.lit(cuts - 1), F.floor((F.col("_at") - lo) / (hi - lo) * cuts)))
-    bucket = F.when(F.col("_at").isNull(), 0).otherwise(number * cuts + inner)
-    return found.withColumn(name, bucket.cast("bigint")).drop("_at", "_r")
-
-
-def running_totals(df, order, at, sums=None, position="position", ranges=RANGES, cuts=RANGE_CUTS, max_rows=MAX_ROWS):
+def running_totals(df, order, sums=None, position="position"):
     """Whole-table row number and running sums, in the order of the given columns.
 
-    `at` is a numeric expression that grows with that order (for a descending order,
-    its negative), its nulls first. `sums` maps a result name to the summed column. A first aggregate
-    counts the rows and takes their approximate quantiles. Tables above max_rows are
-    bucketed by those; only the bucket totals, ranges * cuts rows at most, pass
-    through a single task.
+    `sums` maps a result name to the summed column. The rows are range-partitioned by the
+    order columns themselves, whatever their types, sorted and written once; the totals of
+    the partitions, a row for each, pass through a single task. One path for every size.
+    Spark's order holds: nulls first, NaN above all numbers.
     """
     sums = dict(sums or {})
-    shares = [i / ranges for i in range(ranges + 1)]
-    n, splits = df.agg(F.count(F.lit(1)), F.percentile_approx(at, shares, 8 * ranges)).first()
-    if n <= max_rows or splits is None:
-        whole = W.orderBy(*order)
-        upto = whole.rowsBetween(W.unboundedPreceding, W.currentRow)
-        return df.select(
-            "*",
-            F.row_number().over(whole).cast("bigint").alias(position),
-            *[F.sum(c).over(upto).alias(name) for name, c in sums.items()],
-        )
-    parted = with_range(df, at, splits, cuts)
-    totals = parted.groupBy("_range").agg(
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialize(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_range", F.shiftright("_id", 33))
+    totals = rows.groupBy("_range").agg(
         F.count(F.lit(1)).alias("_rows"), *[F.sum(c).alias(f"_t_{name}") for name, c in sums.items()]
     )
-    upto = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
         "_range",
-        F.coalesce(F.sum("_rows").over(upto), F.lit(0)).alias("_rows"),
-        *[F.coalesce(F.sum(f"_t_{name}").over(upto), F.lit(0)).alias(f"_t_{name}") for name in sums],
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows"),
+        *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_t_{name}") for name in sums],
     )
-    inside = W.partitionBy("_range").orderBy(*order)
-    upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    return parted.join(F.broadcast(offsets), "_range").select(  # ranges * cuts rows
+    upto = W.partitionBy("_range").orderBy("_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_rows") + 1
+    return rows.join(offsets, "_range").select(
         *df.columns,
-        (F.row_number().over(inside) + F.col("_rows")).cast("bigint").alias(position),
+        place.cast("bigint").alias(position),
         *[(F.sum(c).over(upto) + F.col(f"_t_{name}")).alias(name) for name, c in sums.items()],
     )
-
-
-def text_number(c):
-    """Number that grows with the text order, from its first seven bytes."""
-    code = F.rpad(F.hex(F.coalesce(F.col(c), F.lit("")).cast("binary")), 14, "0")
-    return F.conv(code, 16, 10).cast("bigint")

@@ -148,8 +148,13 @@ def largest_remainder(draws):
     return quota
 
 
-def stratified_sample(df, key, draws, by=S.LABEL, classes=(0, 1), seed="strata"):
-    """Exactly `draws` rows with class shares kept, ties of remainders to the lower class."""
+def stratified_sample(df, key, draws, by=S.LABEL, classes=None, seed="strata"):
+    """Exactly `draws` rows with class shares kept, ties of remainders to the lower class.
+
+    Without a list of classes, they are taken from the data.
+    """
+    if classes is None:
+        classes = sorted(r[0] for r in df.select(by).filter(F.col(by).isNotNull()).distinct().collect())
     cuts = hash_cuts(df, key, seed, largest_remainder(draws), by=by, classes=classes)
     return df.filter(in_sample(cuts, key, seed, by))
 

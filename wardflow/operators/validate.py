@@ -34,10 +34,12 @@ def schema_findings(actual, expected, skip=(), first_only=False):
 def stat_findings(observed, recorded, skip=(), rates=False):
     """Range, mean, median and null findings from two numeric profiles.
 
+    A recorded column that is not observed is a finding; one that is new is not.
+
     rates compares null shares in place of null counts.
     """
     o, r = (lambda c: F.col(f"o.{c}")), (lambda c: F.col(f"r.{c}"))
-    pairs = recorded.alias("r").join(observed.alias("o"), "column_name")
+    pairs = recorded.alias("r").join(observed.alias("o"), "column_name", "full")
     if skip:
         pairs = pairs.filter(~F.col("column_name").isin(*skip))
 
@@ -54,6 +56,7 @@ def stat_findings(observed, recorded, skip=(), rates=False):
         ("mean", far("mean"), r("mean"), o("mean")),
         ("median", far("median"), r("median"), o("median")),
         ("null_rate" if rates else "null_count", nulls(o) > nulls(r), nulls(r), nulls(o)),
+        ("missing_statistics", o("n_rows").isNull() & r("n_rows").isNotNull(), r("n_rows").cast("double"), o("n_rows").cast("double")),
     ]
     rows = F.array(
         *[

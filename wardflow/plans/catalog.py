@@ -490,7 +490,7 @@ def ntile_batches(spark, folder):
 
 @query
 def chunk_500(spark, folder):
-    return C.chunks(table(spark, folder, "events").select("event_id"), ["event_id"], F.col("event_id"))
+    return C.chunks(table(spark, folder, "events").select("event_id"), ["event_id"])
 
 
 @query
@@ -661,12 +661,10 @@ def patient_verdict(spark, folder):
 
 
 def requests_log(spark, folder):
-    """Each user's events of one type as one request, logged in segments of 5 rows."""
+    """Each user's events of one type as one request."""
     e = table(spark, folder, "events").select("event_id", "user_id", "event_type", "ts", "value")
     named = e.withColumn("request", F.concat_ws("-", "user_id", "event_type"))
-    rows = O.row_position(named, "request", ["event_id"], name="row").withColumn("row", F.col("row") - 1)
-    guess = (F.col("value") >= 20).cast("int")
-    return M.scoring_log(rows.withColumn("prediction", guess), "request", "row", "prediction", "value", "ts", 5)
+    return M.scoring_log(named, "request", "value", "ts")
 
 
 @query
@@ -676,8 +674,7 @@ def scoring_log(spark, folder):
 
 @query
 def latency_summary(spark, folder):
-    log = requests_log(spark, folder).filter("segment = 0")
-    m = M.latency_summary(log)
+    m = M.latency_summary(requests_log(spark, folder))
     return rounded(m, "total_latency", "max_latency", "average_latency_per_row")
 
 

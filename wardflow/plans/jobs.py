@@ -1,5 +1,6 @@
 """End-to-end jobs: first training run, batch scoring and retraining, request scoring, monitoring."""
 
+import uuid
 from datetime import datetime
 
 from pyspark.ml import PipelineModel
@@ -69,25 +70,27 @@ def train_run(spark, source, artifacts, grids=training.FULL_GRIDS, folds=5, stam
     """
     split = group_split(source.filter(F.col(S.KEY).isNotNull()))
     scaled, fitted = prepare_and_scale(split, keep=("side",))
-    writers.save_json(fitted, f"{artifacts}/scaler")
     writers.save_table(scaled, f"{artifacts}/features", by=("side",))
     features = spark.read.parquet(f"{artifacts}/features")
     # train and test rows are searched together, as one balanced set
     train, validation = training.training_sets(features.drop("side"), ROW)
     model, name, found, results = training.train_and_select(train, validation, ROW, grids, folds)
     path = f"{artifacts}/models/model-run-{stamp or datetime.now().strftime('%Y%m%d-%H%M%S')}"
-    model.write().overwrite().save(f"{path}/model")
+    staged = f"{artifacts}/staged/{uuid.uuid4().hex}"  # a run is visible whole or not at all
+    model.write().overwrite().save(f"{staged}/model")
     row = (name, found["accuracy"], found["precision"], found["recall"], found["f1_score"])
-    writers.save_json(spark.createDataFrame([row], METRICS), f"{path}/metrics")
-    writers.save_json(results, f"{path}/grid_results")
+    writers.save_json(fitted, f"{staged}/scaler")
+    writers.save_json(spark.createDataFrame([row], METRICS), f"{staged}/metrics")
+    writers.save_json(results, f"{staged}/grid_results")
+    writers.publish(spark, staged, path)
     return path, found
 
 
 def score_batch(spark, batch, artifacts):
-    """(predictions, metrics row, metrics of the saved model): newest model, stored scaler."""
+    """(predictions, metrics row, metrics of the saved model): newest model with its scaler."""
     run = readers.latest_run(spark, f"{artifacts}/models")
     model = PipelineModel.load(f"{run['path']}/model")
-    scaled, _ = prepare_and_scale(batch, f"{artifacts}/scaler")
+    scaled, _ = prepare_and_scale(batch, f"{run['path']}/scaler")
     scored = training.predictions(model, scaled)
     found = M.weighted_metrics(scored, S.LABEL, "prediction").first()
     old = readers.json_table(spark, f"{run['path']}/metrics", METRICS).first()
@@ -98,7 +101,7 @@ def batch_run(spark, batch, name, artifacts, grids=training.FULL_GRIDS, folds=5,
     """Validate and score a batch, merge it into the data, retrain when recall fell too far.
 
     Merging stages a new version of the data; the pointer moves only after the steps
-    on the merged data went through. The stored scaler changes only with the model.
+    on the merged data went through. A scaler belongs to the run of its model.
     """
     profile = readers.profile_or_new(spark, batch, f"{artifacts}/profile")
     batch = materialize(batch)
@@ -118,19 +121,24 @@ def batch_run(spark, batch, name, artifacts, grids=training.FULL_GRIDS, folds=5,
 
 
 def score_requests(spark, rows, artifacts, model=None):
-    """Predictions of parsed request rows; rows that keep nulls after the fill have none.
+    """Predictions of parsed request rows, with keys and request columns.
 
-    Keys and request columns are carried, so rows without a prediction stay visible.
+    Rows that keep nulls after the fill, or have no patient, get a null prediction. A model
+    that is handed in uses the scaler in the artifacts folder, else both are of the newest run.
     """
+    home = artifacts
     if model is None:
-        run = readers.latest_run(spark, f"{artifacts}/models")
-        model = PipelineModel.load(f"{run['path']}/model")
-    fitted = readers.json_table(spark, f"{artifacts}/scaler", FITTED)
+        home = readers.latest_run(spark, f"{artifacts}/models")["path"]
+        model = PipelineModel.load(f"{home}/model")
+    fitted = readers.json_table(spark, f"{home}/scaler", FITTED)
     carried = [S.KEY, *[c for c in rows.columns if c not in (*S.REQUEST_COLUMNS, "row")]]
     # the same patient in two requests is two groups of the fill
-    grouped = rows.withColumn("_unit", F.concat_ws("#", "request", S.KEY))
+    unit = F.when(F.col(S.KEY).isNotNull(), F.struct("request", S.KEY))
+    grouped = rows.withColumn("_unit", unit)
     prepared = P.prepare_features(grouped, key="_unit", order=(S.HOUR, "row"), keep=carried).drop("_unit")
-    return training.predictions(model, P.scaler_apply(prepared, fitted))
+    scored = materialize(training.predictions(model, P.scaler_apply(prepared, fitted)))
+    without = rows.join(scored.select("request", "row"), ["request", "row"], "left_anti")
+    return scored.unionByName(without.select(*carried, S.HOUR, "row"), allowMissingColumns=True)
 
 
 def monitor_requests(df, profile):

@@ -112,7 +112,7 @@ def batch_score(spark, folder):
 
 
 def request_lines(spark, folder):
-    """The raw observations of each patient as JSON requests of up to 500 rows."""
+    """The raw observations of each patient as one JSON request."""
     raw = drop_parts(raw_observations(spark, folder))
     rows = raw.withColumns({"request": F.col(S.KEY), "row": F.col(S.HOUR) - 1})
     return as_request(rows, S.REQUEST_COLUMNS)
@@ -121,7 +121,7 @@ def request_lines(spark, folder):
 @query
 def request_parse(spark, folder):
     rows, _ = parse_requests(request_lines(spark, folder))
-    return rows.select(S.KEY, S.HOUR, "HR", "Temp", "Platelets", "Age", "Gender")
+    return rows.select(*S.REQUEST_COLUMNS)
 
 
 @query
@@ -166,7 +166,7 @@ def merged_csv(spark, folder):
     path = f"{new_folder(spark, 'merged')}/observations.csv"
     writers.save_csv(drop_parts(raw_observations(spark, folder)).select(*S.OBSERVATIONS.names), path)
     back = readers.observation_table(spark, path)
-    return back.select(S.KEY, S.HOUR, "HR", "Temp", "Platelets", "Age", "Gender", S.LABEL)
+    return back.select(*S.OBSERVATIONS.names)
 
 
 @query
@@ -190,7 +190,7 @@ def appended_log(spark, folder):
     for side in ("train", "test"):
         writers.append_log(sides.filter(F.col("side") == side).drop("side"), path)
     back = writers.read_log(spark, path)
-    return rounded(back.select("request", "segment", "n_input_rows", "predictions", "total_latency"), "total_latency")
+    return rounded(back.select("request", "n_input_rows", "total_latency"), "total_latency")
 
 
 @query
@@ -206,13 +206,14 @@ def patient_split_training(spark, folder):
 
 def event_stream(spark, folder):
     schema = table(spark, folder, "events").schema
-    return streams.file_stream(spark, folder, schema, "parquet", "events.parquet")
+    # a pattern, so that the table may be one file or a folder of files
+    return streams.file_stream(spark, f"{folder}/events.parquet*", schema, "parquet")
 
 
 @query
 def stream_ingest(spark, folder):
     out = new_folder(spark, "ingest")
-    streams.ingest(event_stream(spark, folder).drop("props", "ts"), f"{out}/rows", f"{out}/checkpoint")
+    streams.ingest(event_stream(spark, folder), f"{out}/rows", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/rows")
 
 
@@ -259,7 +260,7 @@ def stream_score(spark, folder):
     lines = streams.file_stream(spark, f"{out}/lines", spark.read.parquet(f"{out}/lines").schema, "parquet")
     streams.score_stream(lines, lambda rows: jobs.score_requests(spark, rows, out, model), f"{out}/out", f"{out}/checkpoint")
     log = spark.read.parquet(f"{out}/out/log")
-    return log.groupBy("request").agg(F.max("n_input_rows").alias("n_input_rows"), F.count(F.lit(1)).alias("segments"))
+    return log.select("request", "n_input_rows")
 
 
 MODEL_QUERIES = [n for n, f in QUERIES.items() if f.__module__ == __name__]

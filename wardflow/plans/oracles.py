@@ -3,6 +3,8 @@
 Single windows and plain aggregates throughout: these state what the result is.
 """
 
+from wardflow import schema as S
+
 VALUES = ["HR", "Temp", "MAP", "BUN", "WBC", "Hct", "AST"]
 SCALED = ["HR", "Temp", "MAP", "BUN", "Hct", "WBC"]
 TYPES = {
@@ -138,13 +140,9 @@ PATHS = (
     "CASE WHEN event_type = 'error' THEN '.txt' ELSE '.psv' END) AS path FROM events)"
 )
 LOG = (
-    "rows AS (SELECT *, concat_ws('-', user_id, event_type) AS request, "
-    "row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS r FROM events), "
+    "rows AS (SELECT *, concat_ws('-', user_id, event_type) AS request FROM events), "
     "sizes AS (SELECT request, count(*) AS n_input_rows, min(ts) AS timestamp, max(value) AS total_latency FROM rows GROUP BY request), "
-    "texts AS (SELECT request, cast(floor(r / 5) AS bigint) AS segment, "
-    "string_agg(CASE WHEN value >= 20 THEN '1' ELSE '0' END, ', ' ORDER BY r) AS predictions FROM rows GROUP BY 1, 2), "
-    "log AS (SELECT request, segment, n_input_rows, predictions, timestamp, total_latency, "
-    "total_latency / n_input_rows AS average_latency_per_row FROM texts JOIN sizes USING (request))"
+    "log AS (SELECT *, total_latency / n_input_rows AS average_latency_per_row FROM sizes)"
 )
 GRID = (
     "grid AS (SELECT concat('model-', event_type) AS model, "
@@ -318,10 +316,10 @@ ORACLES = {
         SELECT round((sum(CASE WHEN SepsisLabel = 1 THEN r END) - sum(SepsisLabel) * (sum(SepsisLabel) + 1) / 2.0)
         / (cast(sum(SepsisLabel) AS double) * sum(1 - SepsisLabel)), 6) AS auc FROM ranked""",
     "patient_verdict": f"{WITH}, {SCORED} SELECT Patient_ID, max(prediction) AS prediction FROM scored GROUP BY Patient_ID",
-    "scoring_log": f"""WITH {LOG} SELECT request, segment, n_input_rows, predictions, timestamp, round(total_latency, 6) AS total_latency,
+    "scoring_log": f"""WITH {LOG} SELECT request, n_input_rows, timestamp, round(total_latency, 6) AS total_latency,
         round(average_latency_per_row, 6) AS average_latency_per_row FROM log""",
     "latency_summary": f"""WITH {LOG} SELECT count(*) AS requests, cast(sum(n_input_rows) AS bigint) AS rows, round(sum(total_latency), 6) AS total_latency,
-        round(max(total_latency), 6) AS max_latency, round(sum(total_latency) / sum(n_input_rows), 6) AS average_latency_per_row FROM log WHERE segment = 0""",
+        round(max(total_latency), 6) AS max_latency, round(sum(total_latency) / sum(n_input_rows), 6) AS average_latency_per_row FROM log""",
     "grid_pivot": f"""WITH {GRID} SELECT max_depth, n_estimators, """
     + ", ".join(f"round(avg(score) FILTER (WHERE learning_rate = '{v}'), 6) AS {n}" for v, n in [("0.01", "rate_001"), ("0.1", "rate_01"), ("0.2", "rate_02")])
     + " FROM grid GROUP BY max_depth, n_estimators",
@@ -338,9 +336,6 @@ ORACLES = {
 
 ORACLES.update(
     {
-        "request_parse": f"""{WITH} SELECT Patient_ID, ICULOS, CASE WHEN o.event_id % 3 = 0 THEN round(value, 2) END AS HR,
-        CASE WHEN (o.event_id + 2) % 3 = 0 THEN round(value + 2, 2) END AS Temp,
-        CASE WHEN (o.event_id + 33) % 3 = 0 THEN round(value + 33, 2) END AS "Platelets", Age, Gender FROM obs o JOIN events e USING (event_id)""",
         "request_rejects": """SELECT doc_id AS request, CASE doc_id % 4 WHEN 0 THEN 'no JSON payload' WHEN 1 THEN '''data'' field is missing'
         WHEN 2 THEN '''columns'' field is missing' ELSE 'invalid input shape' END AS reason FROM documents""",
         "profile_saved": "SELECT column_name, dtype, min, max, round(mean, 6) AS mean, round(median, 6) AS median, round(std, 6) AS std, null_count, n_rows FROM ("
@@ -353,7 +348,7 @@ ORACLES.update(
         + ")",
         "versioned_merge": f"{HALVES} SELECT side, count(*) AS n, 'merged' AS version FROM sides GROUP BY side "
         "UNION ALL SELECT side, count(*) AS n, 'reverted' AS version FROM sides WHERE side = 'train' GROUP BY side",
-        "stream_ingest": "SELECT event_id, user_id, event_type, value FROM events",
+        "stream_ingest": "SELECT * FROM events",
         "stream_latency_window": """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS requests, count(*) AS rows,
         round(sum(value), 6) AS total_latency, round(max(value), 6) AS max_latency FROM events GROUP BY date_trunc('day', ts)
         HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
@@ -367,11 +362,18 @@ SHIFTS = {
 LOGS = ["MAP", "BUN", "Creatinine", "Glucose", "WBC", "Platelets"]
 RAW = (
     WITH
-    + ", raw AS (SELECT o.event_id, Patient_ID, ICULOS, Age, Gender, HospAdmTime, SepsisLabel, "
+    + ", raw AS (SELECT o.event_id, Patient_ID, ICULOS, Age, Gender, Unit1, Unit2, HospAdmTime, SepsisLabel, "
     + ", ".join(f"CASE WHEN (o.event_id + {i}) % 3 = 0 THEN round(value + {i}, 2) END AS {c}" for c, i in SHIFTS.items())
     + " FROM obs o JOIN events e USING (event_id))"
 )
 
+ALL_RAW = (
+    WITH
+    + ", raw AS (SELECT Patient_ID, ICULOS, Age, Gender, Unit1, Unit2, HospAdmTime, SepsisLabel, "
+    + ", ".join(f'CASE WHEN (o.event_id + {i}) % 3 = 0 THEN round(value + {i}, 2) END AS "{c}"' for i, c in enumerate(S.MEASUREMENTS))
+    + " FROM obs o JOIN events e USING (event_id))"
+)
+
 ORACLES.update(
     {
         "last_rows": f"{WITH} SELECT Patient_ID, ICULOS, HR, SepsisLabel FROM obs ORDER BY Patient_ID DESC, ICULOS DESC LIMIT 1000",
@@ -381,10 +383,12 @@ ORACLES.update(
         + """, Age, HospAdmTime, ICULOS, cast(CASE WHEN Gender = 0 THEN 1 ELSE 0 END AS integer) AS "F",
         cast(CASE WHEN Gender = 1 THEN 1 ELSE 0 END AS integer) AS "M" FROM filled WHERE """
         + each(SHIFTS, "{c} IS NOT NULL", " AND "),
-        "merged_csv": f"{RAW} SELECT Patient_ID, ICULOS, HR, Temp, Platelets, Age, Gender, SepsisLabel FROM raw",
+        "merged_csv": f"{ALL_RAW} SELECT * FROM raw",
+        "request_parse": f"{ALL_RAW} SELECT * EXCLUDE (SepsisLabel) FROM raw",
         "cohort_files": f"""{RUNNING} SELECT cohort, count(*) AS n, count(DISTINCT obs.Patient_ID) AS patients
         FROM obs JOIN cohorts USING (Patient_ID) GROUP BY cohort""",
-        "appended_log": f"WITH {LOG} SELECT request, segment, n_input_rows, predictions, round(total_latency, 6) AS total_latency FROM log",
+        "appended_log": f"WITH {LOG} SELECT request, n_input_rows, round(total_latency, 6) AS total_latency FROM log",
+        "stream_score": f"{RAW} SELECT Patient_ID AS request, count(*) AS n_input_rows FROM raw GROUP BY Patient_ID",
         "patient_split_training": "SELECT false AS left_in_right, false AS right_in_left, cast(0 AS bigint) AS shared_keys",
     }
 )

@@ -67,7 +67,6 @@ REQUEST_COLUMNS = [f.name for f in OBSERVATIONS if f.name != LABEL]
 SCORING_LOG = T.StructType(
     [
         T.StructField("n_input_rows", T.LongType(), False),
-        T.StructField("predictions", T.StringType(), False),
         T.StructField("timestamp", T.TimestampType(), False),
         T.StructField("total_latency", T.DoubleType(), False),
         T.StructField("average_latency_per_row", T.DoubleType(), False),

@@ -65,17 +65,19 @@ def parse_requests(lines, body="value", request="request", expected=S.REQUEST_CO
     return cells.selectExpr(f"`{request}`", "row", *keep, *values), rejects
 
 
-def as_request(df, columns, request="request", row="row", rows_per_request=500):
-    """JSON request lines of up to rows_per_request rows each, from rows with a position.
+def as_request(df, columns, request="request", row="row", rows_per_request=None):
+    """JSON request lines, one for each request name, from rows with a position from 0.
 
-    `row` numbers the rows of a request name from 0; long ones become several lines.
+    With rows_per_request, long requests become several lines and are separate requests
+    from then on; cut only where the rows of a unit (a patient) need not stay together.
     """
     values = F.expr("array({})".format(", ".join(f"cast(`{c}` AS string)" for c in columns)))
-    numbered = df.withColumn("chunk", F.floor(F.col(row) / rows_per_request))
+    chunk = F.floor(F.col(row) / rows_per_request) if rows_per_request else F.lit(0)
+    numbered = df.withColumn("chunk", chunk)
     listed = numbered.groupBy(request, "chunk").agg(
         F.array_sort(F.collect_list(F.struct(F.col(row).alias("r"), values.alias("v")))).alias("rows")
     )
     body = F.struct(F.transform("rows", lambda r: r["v"]).alias("data"), text_array(columns).alias("columns"))
     return listed.select(
-        F.concat_ws("#", request, "chunk").alias(request), F.to_json(body, {"ignoreNullFields": "false"}).alias("value")
+        (F.concat_ws("#", request, "chunk") if rows_per_request else F.col(request)).alias(request), F.to_json(body, {"ignoreNullFields": "false"}).alias("value")
     )

@@ -46,6 +46,9 @@ def read_log(spark, path):
     return spark.read.parquet(path)
 
 
+POINTER = "version bigint, path string, parent bigint"
+
+
 class Versioned:
     """A table of which every write is a new folder, and a pointer row that names the current one.
 
@@ -59,13 +62,13 @@ class Versioned:
         path = f"{self.folder}/pointers"
         if not exists(self.spark, path):
             return None
-        return self.spark.read.schema("version bigint, path string").json(path)
+        return self.spark.read.schema(POINTER).json(path)
 
     def _current(self):
-        """Number and path of the current version; (0, None) before the first."""
+        """Pointer of the current version; version 0 without a path before the first."""
         pointers = self._pointers()
-        row = pointers.agg(F.max("version").alias("v"), F.max_by("path", "version").alias("p")).first() if pointers else None
-        return (row["v"], row["p"]) if row and row["v"] is not None else (0, None)
+        row = pointers.orderBy(F.desc("version")).first() if pointers else None
+        return (row["version"], row["path"], row["parent"]) if row else (0, None, None)
 
     def read(self):
         path = self._current()[1]
@@ -77,18 +80,30 @@ class Versioned:
         df.write.parquet(path)
         return path
 
-    def switch(self, path):
-        """Make a staged version the current one."""
-        pointer = self.spark.createDataFrame([(self._current()[0] + 1, path)], "version bigint, path string")
+    def _point(self, path, parent):
+        pointer = self.spark.createDataFrame([(self._current()[0] + 1, path, parent)], POINTER)
         pointer.coalesce(1).write.mode("append").json(f"{self.folder}/pointers")
 
+    def switch(self, path):
+        """Make a staged version the current one; the version before it becomes its parent."""
+        self._point(path, self._current()[0] or None)
+
     def revert(self):
-        """Go back to the version before the current one."""
-        version = self._current()[0]
-        row = self._pointers().filter(F.col("version") == version - 1).first() if version > 1 else None
+        """Go back to the parent of the current version; repeated, to its parent, and so on."""
+        parent = self._current()[2]
+        row = self._pointers().filter(F.col("version") == parent).first() if parent else None
         if row is None:
             raise ValueError("there is no earlier version")
-        self.switch(row["path"])
+        self._point(row["path"], row["parent"])
+
+
+def publish(spark, staged, path):
+    """Rename a finished folder to its final name, in one step of the file system."""
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (staged, path))
+    system = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(target.getParent())
+    if not system.rename(source, target):
+        raise OSError(f"cannot rename {staged} to {path}")
 
 
 def next_model_path(spark, folder, prefix, stamp):

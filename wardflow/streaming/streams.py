@@ -68,7 +68,7 @@ def score_stream(stream, score, out, checkpoint):
         save("rejects", rejects)
         seconds = F.current_timestamp().cast("double") - F.col("arrived").cast("double")
         scored = save("scored", score(rows).withColumns({"latency": seconds, "created_at": F.current_timestamp()}))
-        save("log", M.scoring_log(scored, "request", "row", "prediction", "latency", "arrived"))
+        save("log", M.scoring_log(scored, "request", "latency", "arrived"))
 
     return per_batch(stream, work, out, checkpoint)
 
