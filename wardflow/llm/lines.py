@@ -28,7 +28,9 @@ from wardflow.llm.components import components
 from wardflow.llm.stages import repeated_keys, stored
 from wardflow.llm.words import _powers, mix, slices, text_buffer
 
-SHINGLE = 5
+#: Characters of a shingle. Random lines share few shingles of this length, so buckets of
+#: unrelated lines are rare; very many lines (10**9 and more) call for more ROWS and BANDS.
+SHINGLE = 9
 THRESHOLD = 0.8
 BANDS, ROWS = 9, 4
 _SEEDS = np.random.default_rng(7).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -135,12 +137,15 @@ def _texts(rows):
         for batch in batches:
             for part in slices(batch, size=1 << 20):
                 lines = _Lines(part)
-                ids = lines.ids()
+                ids, hits = lines.ids(), []
                 wanted = [set(w.as_py()) for w in part.column("wanted")]
-                hits = [i for i, (row, line) in enumerate(zip(lines.row.tolist(), ids.tolist())) if line in wanted[row]]
+                for i, (row, line) in enumerate(zip(lines.row.tolist(), ids.tolist())):
+                    if line in wanted[row]:
+                        wanted[row].discard(line)  # once, however often the text repeats it
+                        hits.append(i)
                 yield _batch([ids[hits], pa.array([lines.text(i) for i in hits], pa.string())], ["line", "text"])
 
-    return rows.mapInArrow(run, "line long, text string").dropDuplicates(["line"])
+    return rows.mapInArrow(run, "line long, text string")
 
 
 def shingles(text, n=SHINGLE):
@@ -174,8 +179,9 @@ def line_classes(rows, threshold=THRESHOLD):
     keys = [f"b{i}" for i in range(BANDS)]
     distinct = signed.groupBy("line").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), *[F.max(b).alias(b) for b in keys])
     distinct = stored(distinct, "lines")
-    banded = distinct.select("line", "copies", F.explode(F.array(*keys)).alias("key"))
-    buckets = stored(repeated_keys(banded, "key", ["line"]), "buckets")
+    banded = distinct.select("line", F.explode(F.array(*keys)).alias("key"))
+    buckets = repeated_keys(banded, "key", ["line"]).join(distinct.select("line", "copies"), "line")
+    buckets = stored(buckets, "buckets")
     best = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(-F.col("copies"), "line")).alias("best"))
     best = best.filter("n > 1").select("key", F.col("best.line").alias("pivot"))
     buckets = stored(buckets.select("key", "line").join(best, "key"), "pivots")
@@ -204,10 +210,9 @@ def line_verdicts(docs, key="doc_id", text="text", threshold=THRESHOLD):
     classes = line_classes(rows, threshold)
     places = _places(rows).join(classes, "line", "left").withColumn("component", F.coalesce("root", "line")).drop("root")
     places = stored(places, "places")
-    docs_of = places.groupBy("component").agg(F.min("doc").alias("first_doc"))
-    first = places.join(docs_of, "component").filter("doc = first_doc").groupBy("component", "first_doc").agg(F.min("place").alias("first_place"))
+    first = places.groupBy("component").agg(F.min(F.struct("doc", "place")).alias("first"))
     out = places.join(first, "component")
-    kept = (F.col("doc") == F.col("first_doc")) & (F.col("place") == F.col("first_place"))
+    kept = F.struct("doc", "place") == F.col("first")
     return out.select(F.col("doc").alias(key), "place", "line", "component", kept.alias("kept"))
 
 

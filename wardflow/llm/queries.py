@@ -68,4 +68,42 @@ QUERIES = {f.__name__: f for f in (
     pipeline,
 )}
 
-ORACLES = {}
+#: Words of the documents, a row each; rid tells repeated rows apart.
+_WORDS = r"""docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+split AS (SELECT rid, doc_id, string_split_regex(text, '[\x20\x09-\x0D]+') AS ws FROM docs),
+loose AS (SELECT rid, doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM split),
+words AS (SELECT rid, doc_id, w, row_number() OVER (PARTITION BY rid ORDER BY p) AS i FROM loose WHERE w <> '')"""
+
+_QUALITY = rf"""WITH {_WORDS},
+three AS (SELECT rid, i, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY rid ORDER BY i)),
+seen AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w, w2, w3) AS n FROM three WHERE w3 IS NOT NULL),
+covered AS (SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM seen, (VALUES (0), (1), (2)) AS v(j) WHERE n > 1 GROUP BY rid),
+lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM docs),
+repeated AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^ 	-]') GROUP BY rid),
+sizes AS (SELECT rid, count(*) AS n_words, sum(length(w)) AS word_chars FROM words GROUP BY rid),
+counts AS (SELECT doc_id, source, cast(coalesce(n_words, 0) AS bigint) AS n_words, cast(coalesce(word_chars, 0) AS bigint) AS word_chars,
+  cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS bigint) AS n_symbols,
+  cast(coalesce(n_dup_lines, 0) AS bigint) AS n_dup_lines, cast(coalesce(n_repeat_words, 0) AS bigint) AS n_repeat_words
+  FROM docs LEFT JOIN sizes USING (rid) LEFT JOIN repeated USING (rid) LEFT JOIN covered USING (rid)),
+rules AS (SELECT source, rule, fails FROM (SELECT source, n_words < 50 AS few_words, 100 * n_repeat_words > 50 * n_words AS repeats,
+  10 * n_symbols > n_words AS symbols, word_chars > 20 * n_words AS long_words, 10 * n_dup_lines > n_words AS dup_lines FROM counts)
+  UNPIVOT (fails FOR rule IN (few_words, repeats, symbols, long_words, dup_lines)) WHERE source IS NOT NULL),
+hosts AS (SELECT rule, source, count(*) AS n, cast(count(*) FILTER (WHERE fails) AS double) AS k FROM rules GROUP BY rule, source),
+moments AS (SELECT rule, sum(k) / sum(n) AS m, sum(k * k / n) / sum(n) - (sum(k) / sum(n)) * (sum(k) / sum(n)) AS v FROM hosts GROUP BY rule),
+priors AS (SELECT rule, m, CASE WHEN v > 1e-12 THEN least(greatest(m * (1 - m) / v - 1, 0), 1e6) ELSE 1e6 END AS s FROM moments),
+bad AS (SELECT DISTINCT source FROM hosts JOIN priors USING (rule) WHERE (k + m * s) / (n + s) > 0.5),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(source NOT IN (SELECT source FROM bad), true) AS kept FROM judged"""
+
+_REPEATS = rf"""WITH {_WORDS},
+windows AS (SELECT rid, doc_id, i, md5(string_agg(w, ' ') OVER o) AS h, count(*) OVER o AS n FROM words
+  WINDOW o AS (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+later AS (SELECT rid, i, doc_id > min(doc_id) OVER (PARTITION BY h) AS gone FROM windows WHERE n = 50),
+marked AS (SELECT words.rid, words.i, w, coalesce(max(cast(gone AS int)) OVER (PARTITION BY words.rid ORDER BY words.i
+  ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone FROM words LEFT JOIN later USING (rid, i)),
+texts AS (SELECT rid, count(*) AS n_words, sum(gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM marked GROUP BY rid)
+SELECT doc_id, cast(coalesce(n_words, 0) AS bigint) AS n_words, cast(coalesce(n_removed, 0) AS bigint) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256 FROM docs LEFT JOIN texts USING (rid)"""
+
+ORACLES = {"op1_quality_rules": _QUALITY, "op5_substring_dedup": _REPEATS}
