@@ -122,7 +122,7 @@ def grams(hashes, first, n):
     out = np.zeros(m, np.uint64)
     for k in range(n):
         part = np.zeros(m, np.uint64)
-        part[: m - k] = hashes[k:]
+        part[: max(m - k, 0)] = hashes[k:]
         out = out * np.uint64(_BASE) + part
     last = np.repeat(first[1:], np.diff(first))
     return mix(out), np.arange(m) + n <= last
