@@ -138,7 +138,7 @@ def next_version(spark, folder):
 
 @query
 def unit_column(spark, folder):
-    return P.add_unit(observations(spark, folder)).select("event_id", "Unit")
+    return P.add_unit(observations(spark, folder, hours=False)).select("event_id", "Unit")
 
 
 @query
@@ -188,7 +188,7 @@ def log_clipped(spark, folder):
 
 @query
 def one_hot_gender(spark, folder):
-    return observations(spark, folder).select("event_id", X.gender_letter().alias("letter"), *X.one_hot_gender())
+    return observations(spark, folder, hours=False).select("event_id", X.gender_letter().alias("letter"), *X.one_hot_gender())
 
 
 @query
@@ -330,12 +330,12 @@ def describe_exact(spark, folder):
 
 @query
 def value_counts(spark, folder):
-    return R.value_counts(observations(spark, folder), "Gender")
+    return R.value_counts(observations(spark, folder, hours=False), "Gender")
 
 
 @query
 def prevalence(spark, folder):
-    return rounded(R.prevalence(observations(spark, folder)), "prevalence")
+    return rounded(R.prevalence(observations(spark, folder, hours=False)), "prevalence")
 
 
 @query
@@ -349,12 +349,12 @@ def pearson_corr(spark, folder):
 
 @query
 def outer_count_join(spark, folder):
-    return C.label_counts_joined(observations(spark, folder).select(S.KEY, S.LABEL))
+    return C.label_counts_joined(observations(spark, folder, hours=False).select(S.KEY, S.LABEL))
 
 
 @query
 def label_counts(spark, folder):
-    return C.label_counts(observations(spark, folder))
+    return C.label_counts(observations(spark, folder, hours=False))
 
 
 @query
@@ -367,7 +367,7 @@ def semi_join_cohort(spark, folder):
 @query
 def leakage_check(spark, folder):
     """Patients shared by the two sides of a row-level split."""
-    o = observations(spark, folder).select("event_id", S.KEY)
+    o = observations(spark, folder, hours=False).select("event_id", S.KEY)
     sides = G.row_split(o, "event_id")
     return J.leakage(sides.filter("side = 'train'"), sides.filter("side = 'test'"))
 
@@ -388,7 +388,7 @@ def anti_join_missing(spark, folder):
 
 @query
 def distinct_patients(spark, folder):
-    return observations(spark, folder).select(S.KEY).distinct()
+    return observations(spark, folder, hours=False).select(S.KEY).distinct()
 
 
 @query
@@ -438,7 +438,7 @@ def group_split(spark, folder):
 
 @query
 def row_split(spark, folder):
-    return G.row_split(observations(spark, folder).select("event_id", S.LABEL), "event_id")
+    return G.row_split(observations(spark, folder, hours=False).select("event_id", S.LABEL), "event_id")
 
 
 @query
@@ -449,13 +449,13 @@ def undersample_2to1(spark, folder):
 @query
 def stratified_sample(spark, folder):
     """A quarter of the rows, class shares kept."""
-    o = observations(spark, folder).select("event_id", S.LABEL)
+    o = observations(spark, folder, hours=False).select("event_id", S.LABEL)
     return G.stratified_sample(o, "event_id", lambda n: F.floor(n * F.lit(0.25)))
 
 
 @query
 def kfold_assignment(spark, folder):
-    return G.assign_folds(observations(spark, folder).select("event_id", S.LABEL), "event_id")
+    return G.assign_folds(observations(spark, folder, hours=False).select("event_id", S.LABEL), "event_id")
 
 
 @query
@@ -466,12 +466,12 @@ def kfold_sizes(spark, folder):
 
 @query
 def running_positives(spark, folder):
-    return C.running_positives(C.label_counts(observations(spark, folder)))
+    return C.running_positives(C.label_counts(observations(spark, folder, hours=False)))
 
 
 @query
 def cohort_by_threshold(spark, folder):
-    cohorts = C.threshold_cohorts(C.label_counts(observations(spark, folder)))
+    cohorts = C.threshold_cohorts(C.label_counts(observations(spark, folder, hours=False)))
     return cohorts.select(S.KEY, "count_of_1", "cohort")
 
 
@@ -485,7 +485,7 @@ def cohort_batches(spark, folder):
 
 @query
 def ntile_batches(spark, folder):
-    return G.equal_parts(observations(spark, folder).select("event_id"), "event_id")
+    return G.equal_parts(observations(spark, folder, hours=False).select("event_id"), "event_id")
 
 
 @query
@@ -496,14 +496,14 @@ def chunk_500(spark, folder):
 @query
 def ordered_quota(spark, folder):
     """The first 24 patients, and whether they are among the first 18 or the last 6."""
-    named = C.quota_names(observations(spark, folder), S.KEY, [("train", 18), ("test", 6)], "unused")
+    named = C.quota_names(observations(spark, folder, hours=False), S.KEY, [("train", 18), ("test", 6)], "unused")
     return named.filter("destination <> 'unused'").select(S.KEY, "destination")
 
 
 @query
 def quota_distribution(spark, folder):
     quotas = [("initial", 60), ("batch-1", 12), ("batch-2", 12), ("batch-3", 12)]
-    return C.quota_names(observations(spark, folder), S.KEY, quotas, "client").select(S.KEY, "destination")
+    return C.quota_names(observations(spark, folder, hours=False), S.KEY, quotas, "client").select(S.KEY, "destination")
 
 
 # validation and control decisions -----------------------------------------------------

@@ -10,15 +10,17 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _numbered(spark, folder, max_rows):
-    """Events with their patient id and hour: the position among the events of the patient."""
+def _keyed(spark, folder):
+    """Events with their patient id."""
     e = table(spark, folder, "events")
     user = F.col("user_id").cast("string")
     digits = F.lpad(user, F.greatest(F.length(user), F.lit(6)), F.lit("0"))
-    keyed = e.select(
-        F.concat(F.lit("p"), digits).alias(S.KEY), "user_id", "event_id", "event_type", "value", "ts"
-    )
-    return row_position(keyed, S.KEY, ["ts", "event_id"], max_rows, S.HOUR)
+    return e.select(F.concat(F.lit("p"), digits).alias(S.KEY), "user_id", "event_id", "event_type", "value", "ts")
+
+
+def _numbered(spark, folder, max_rows):
+    """Keyed events with the hour: the position among the events of the patient."""
+    return row_position(_keyed(spark, folder), S.KEY, ["ts", "event_id"], max_rows, S.HOUR)
 
 
 def _context():
@@ -35,13 +37,13 @@ def _context():
     }
 
 
-def observations(spark, folder, parts=False, max_rows=MAX_ROWS):
+def observations(spark, folder, parts=False, max_rows=MAX_ROWS, hours=True):
     """One row per event, shaped as an hourly observation with a few sparse measurements.
 
     `parts` keeps the part columns so that a following gap fill works on the same
-    partitioning.
+    partitioning. Without `hours` there is no hour, and no scan for long patients.
     """
-    numbered = _numbered(spark, folder, max_rows)
+    numbered = _numbered(spark, folder, max_rows) if hours else _keyed(spark, folder)
     kind, value = F.col("event_type"), F.col("value")
     measured = {
         "HR": F.when(kind == "view", value),
@@ -53,7 +55,7 @@ def observations(spark, folder, parts=False, max_rows=MAX_ROWS):
         "AST": F.when((kind == "error") & (F.col("event_id") % 10 == 0), value),
     }
     columns = [c.alias(name) for name, c in {**measured, **_context()}.items()]
-    rows = numbered.select(S.KEY, S.HOUR, *columns, "ts", "event_id", *part_columns(numbered))
+    rows = numbered.select(S.KEY, *([S.HOUR] if hours else []), *columns, "ts", "event_id", *part_columns(numbered))
     return rows if parts else drop_parts(rows)
 
 
