@@ -386,3 +386,39 @@ def test_no_labels(docs, labels, rows):
     none = labels.filter("doc_id < 0")
     assert {r.score for r in toxicity.scored_documents(docs, none).collect()} == {0.5}
     assert mixing.mix_documents(docs, none).count() >= len(rows)
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    """Many lines share a passage, so they meet without being near; some are near."""
+    rng, passage = random.Random(6), "".join(random.Random(1).choice("abcdefgh ") for _ in range(150)).strip()
+
+    def noise(n):
+        return "".join(rng.choice("abcdefghijklmnop ") for _ in range(n)).strip()
+
+    rows = [(2 * i, noise(30) + passage + noise(30)) for i in range(120)]
+    rows += [(2 * i + 1, rows[i][1][:-3] + "xyz") for i in range(0, 120, 3)]
+    monkeypatch.setattr(lines, "BLOCK", 16)
+    got = lines.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "place", "kept").collect()
+    assert bag(tuple(r) for r in got) == bag(brute_lines(rows))
+
+
+def test_forest_equals_all_pairs():
+    rng = random.Random(3)
+    base = [set(rng.sample(range(400), 40)) for _ in range(8)]
+    sets = [{str(x) for x in s if rng.random() > 0.06} for s in base for _ in range(12)]
+    roots = np.arange(len(sets))
+    for sides in (np.zeros(len(sets), int), np.arange(len(sets)) % 2):
+        found = lines._forest(sets, sides, roots, 0.8)
+
+        def near(i, j, sides=sides):
+            crossing = sides.min() == sides.max() or sides[i] != sides[j]
+            return crossing and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+
+        joined = {tuple(sorted(p)) for p in found}
+        assert all(near(i, j) for i, j in joined) and len(joined) < len(sets)
+        n = range(len(sets))
+        assert same_classes(classes_of(list(n), near), classes_of(list(n), lambda i, j: tuple(sorted((i, j))) in joined))
+
+
+def same_classes(a, b):
+    return len(set(a)) == len(set(b)) == len(set(zip(a, b)))

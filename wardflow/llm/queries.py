@@ -1,9 +1,11 @@
 """Queries of this package over the given tables, and their SQL."""
 
 from wardflow.llm import ann, hilbert, lines, mixing, pieces, quality, repeats, simhash, tokenfiles, toxicity
+from wardflow.llm.stages import share_package
 
 
 def _table(spark, folder, name):
+    share_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -51,6 +53,7 @@ def op10_hilbert_shards(spark, folder):
 def pipeline(spark, folder):
     import corpus_pipeline
 
+    share_package(spark)
     return corpus_pipeline.run(spark, folder)
 
 
@@ -79,7 +82,8 @@ three AS (SELECT rid, i, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FRO
 seen AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w, w2, w3) AS n FROM three WHERE w3 IS NOT NULL),
 covered AS (SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM seen, (VALUES (0), (1), (2)) AS v(j) WHERE n > 1 GROUP BY rid),
 lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM docs),
-repeated AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^ 	-]') GROUP BY rid),
+repeated AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY rid),
 sizes AS (SELECT rid, count(*) AS n_words, sum(length(w)) AS word_chars FROM words GROUP BY rid),
 counts AS (SELECT doc_id, source, cast(coalesce(n_words, 0) AS bigint) AS n_words, cast(coalesce(word_chars, 0) AS bigint) AS word_chars,
   cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS bigint) AS n_symbols,

@@ -1,5 +1,9 @@
 """Tables between the steps of an operator, ranks over a whole table, keys that repeat."""
 
+import os
+import shutil
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -8,6 +12,22 @@ from pyspark.sql.window import Window
 from wardflow.session import new_folder
 
 
+_SHARED = set()
+
+
+def share_package(spark):
+    """Send this package to the executors of a session, once, as --py-files would.
+
+    Needed where Python workers start in another folder than the repository.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SHARED:
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/package", "zip", root, "wardflow")
+        context.addPyFile(archive)
+        _SHARED.add(context.applicationId)
+
+
 def stored(df, name="step"):
     """Write df into the shared folder (spark.checkpoint.dir) and go on from there.
 
