@@ -261,7 +261,7 @@ def spans(docs, key="doc_id", text="text", window=WINDOW, prefix=PREFIX, leaves=
     classes = shared.groupBy("g", "ctx").agg(F.min(F.struct("doc", "spot")).alias("rep"), F.max("doc").alias("last"))
     classes = stored(classes.select("g", "ctx", "rep.*", "last"), "leaves")
     groups = classes.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("_low"), F.max("last").alias("_high"))
-    groups = groups.filter("_low < _high").select("g", "n")
+    groups = stored(groups.filter("_low < _high").select("g", "n"), "groups")  # a plain join can split a hot prefix
     several = stored(classes.join(groups, "g"), "several")
 
     alone = several.filter("n = 1").select("g", "ctx", *[(F.shiftright("spot", s).bitwiseAND(255)).alias(c) for c, s in (("a", 8), ("b", 0))], F.col("doc").alias("least"))
