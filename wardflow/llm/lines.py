@@ -8,9 +8,11 @@ minima are banded, so a pair at the threshold meets with probability
 
 Equal lines are one row from then on. Pairs that meet are compared in two rounds. First all
 rows of a bucket with one of them, the line with the most copies; these links join nearly
-all of a group of copies. Then the pairs of a bucket that are still in different components.
-So every pair that meets is either compared exactly or already joined, and a bucket does not
-give all its pairs. Components come from distributed union-find, and the first line of each,
+all of a group of copies. Then buckets that still hold lines of different components are cut
+into blocks of at most about BLOCK lines, and a task compares two blocks by counting the
+shingles that lines share, with links of a spanning forest as its only output. So every pair
+that meets is either compared exactly or already joined, and no bucket gives its pairs as
+rows. Components come from distributed union-find, and the first line of each,
 by document and place, stays.
 
 Defined results: a null text has no lines; a row without an id takes no part and stays; rows
@@ -32,6 +34,8 @@ from wardflow.llm.words import _powers, mix, slices, text_buffer
 #: unrelated lines are rare; very many lines (10**9 and more) call for more ROWS and BANDS.
 SHINGLE = 9
 THRESHOLD = 0.8
+#: Lines of a block, and shingles that a task counts at once.
+BLOCK, COLUMNS = 1024, 4096
 BANDS, ROWS = 9, 4
 _SEEDS = np.random.default_rng(7).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -173,6 +177,76 @@ def _verified(pairs, texts, threshold):
     return ordered.mapInArrow(run, "u long, v long")
 
 
+def _forest(sets, sides, roots, threshold):
+    """Links (i, j) that join near sets of different roots; with two sides, only across them."""
+    n = len(sets)
+    sizes, counts = np.array([len(s) for s in sets], float), {}
+    for s in sets:
+        for x in s:
+            counts[x] = counts.get(x, 0) + 1
+    number = {x: i for i, x in enumerate(x for x, c in counts.items() if c > 1)}
+    row = np.array([i for i, s in enumerate(sets) for x in s if x in number], np.int64)
+    column = np.array([number[x] for s in sets for x in s if x in number], np.int64)
+    same = np.zeros((n, n), np.float32)
+    for at in range(0, len(number), COLUMNS):
+        part = (column >= at) & (column < at + COLUMNS)
+        held = np.zeros((n, min(COLUMNS, len(number) - at)), np.float32)
+        held[row[part], column[part] - at] = 1
+        same += held @ held.T
+    same = same.astype(float)
+    near = same >= threshold * (sizes[:, None] + sizes - same)
+    if sides.min() != sides.max():
+        near &= sides[:, None] != sides
+    near &= roots[:, None] != roots
+    out, left = [], np.ones(n, bool)
+    for start in range(n):
+        queue = [start] if left[start] else []
+        left[start] = False
+        while queue:
+            i = queue.pop()
+            found = np.flatnonzero(near[i] & left)
+            left[found] = False
+            out += [(i, j) for j in found.tolist()]
+            queue += found.tolist()
+    return out
+
+
+def _compared(open_, texts, threshold):
+    """Links between the lines of each bucket of open_ (key, line, root)."""
+    sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = open_.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("line"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "line", "root")
+    rows = rows.join(texts, "line").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    names = ["key", "x", "y"]
+
+    def solve(table):
+        lines_, sets = table.column("line").to_numpy(), [shingles(t) for t in table.column("text").to_pylist()]
+        found = _forest(sets, table.column("block").to_numpy(), table.column("root").to_numpy(), threshold)
+        return [(lines_[i], lines_[j]) for i, j in found]
+
+    def run(batches):
+        held, out = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            keys = np.stack([held.column(c).to_numpy().astype(np.int64) for c in names])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for a, b in zip(np.r_[0, cuts], cuts):  # the last group may go on
+                out += solve(held.slice(a, b - a)) if b - a > 1 else []
+            held = held.slice(cuts[-1]) if len(cuts) else held
+            u, v = ([int(p[k]) for p in out] for k in (0, 1))
+            out = []
+            yield _batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        if held is not None and held.num_rows > 1:
+            u, v = (np.array([p[k] for p in solve(held)], np.int64) for k in (0, 1))
+            yield _batch([u, v], ["u", "v"])
+
+    return rows.select(*names, "block", "line", "root", "text").mapInArrow(run, "u long, v long")
+
+
 def line_classes(rows, threshold=THRESHOLD):
     """(line, root) for lines that are near another one; rows: (id, text), id never null."""
     signed = _signed(rows)
@@ -195,11 +269,8 @@ def line_classes(rows, threshold=THRESHOLD):
     roots = stored(components(links), "roots")
     named = buckets.join(roots.withColumnRenamed("id", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     open_ = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    named = stored(named.join(open_, "key").filter("line <> pivot"), "open")
-    one = named.select("key", F.col("line").alias("u"), F.col("root").alias("ru"))
-    two = named.select("key", F.col("line").alias("v"), F.col("root").alias("rv"))
-    rest = one.join(two, "key").filter("ru < rv").select("u", "v").distinct()
-    links = links.unionByName(_verified(rest, texts, threshold))
+    named = stored(named.join(open_, "key").filter("line <> pivot").select("key", "line", "root"), "open")
+    links = links.unionByName(_compared(named, texts, threshold))
     return components(links).withColumnRenamed("id", "line")
 
 
