@@ -422,3 +422,13 @@ def test_forest_equals_all_pairs():
 
 def same_classes(a, b):
     return len(set(a)) == len(set(b)) == len(set(zip(a, b)))
+
+
+def test_shards_as_files(spark, tmp_path):
+    frame = spark.createDataFrame([(i, "x" * (i % 7), "en", f"s{i % 3}") for i in range(50)], "doc_id long, text string, lang string, source string")
+    placed = hilbert.document_shards(frame, 4)
+    hilbert.write_shards(frame, placed, f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert back.count() == 50 and back.select("shard").distinct().count() == 4
+    boxes = hilbert.shard_boxes(placed, ["size", "source"]).collect()
+    assert sum(b.n_rows for b in boxes) == 50 and all(b.min_size <= b.max_size for b in boxes)
