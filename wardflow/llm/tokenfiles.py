@@ -17,6 +17,7 @@ writes no file.
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from wardflow.llm.stages import stored
 from wardflow.llm.words import slices, text_buffer
 from wardflow.session import new_folder
 
-REMEMBERED = 300_000
+#: Words that a Python worker remembers, and their length; a full table is emptied.
+REMEMBERED = 1_000_000
 LONGEST_REMEMBERED = 48
 
 
@@ -55,37 +57,47 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.known = {}
+        self.known = {}  # ids of a word after a space
 
     def _ids(self, texts):
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pieces(self, words):
+        """The parts of a text between the library's borders, from its split at spaces."""
+        pieces = [words[0]]
+        for word in words[1:]:
+            if word and not word[0].isspace():
+                pieces.append(" " + word)
+            else:
+                pieces[-1] += " " + word
+        return pieces
 
     def encode_all(self, texts):
-        """Ids of each text as little-endian 32-bit bytes."""
-        out, open_, pieces_of, known = [None] * len(texts), [], [], self.known
-        for i, text in enumerate(texts):
-            if self.added and self.added.search(text):
-                out[i] = self._ids([text])[0]
-                continue
-            words = text.split(" ")
-            pieces = [words[0]]
-            for word in words[1:]:
-                if word and not word[0].isspace():
-                    pieces.append(" " + word)
-                else:
-                    pieces[-1] += " " + word
-            open_.append(i)
-            pieces_of.append(pieces)
-        new = list({p for pieces in pieces_of for p in pieces if p not in known})
-        if len(known) + len(new) > REMEMBERED:
+        """Ids of each text as 32-bit bytes in the order of this machine (little-endian)."""
+        whole = {i: t for i, t in enumerate(texts) if self.added and self.added.search(t)}
+        split = [[""] if i in whole else t.split(" ") for i, t in enumerate(texts)]
+        tails = set().union(*(words[1:] for words in split))
+        odd = {w for w in tails if not w or w[0].isspace()}
+        odd_rows = {i: self._pieces(words) for i, words in enumerate(split) if odd and not odd.isdisjoint(words[1:])}
+        other = {words[0] for words in split}.union(*odd_rows.values())
+        known = self.known
+        if len(known) + len(tails) > REMEMBERED:
             known.clear()
-            new = list({p for pieces in pieces_of for p in pieces})
-        known.update(zip(new, self._ids(new)))
-        for i, pieces in zip(open_, pieces_of):
-            out[i] = b"".join(map(known.__getitem__, pieces))
-        for p in new:
-            if len(p) > LONGEST_REMEMBERED:
-                del known[p]
+        new = list(tails.difference(known, odd))
+        known.update(zip(new, self._ids([" " + w for w in new])))
+        other = list(other)
+        pieces = dict(zip(other, self._ids(other)))
+        out = []
+        for i, words in enumerate(split):
+            if i in whole:
+                out.append(self._ids([whole[i]])[0])
+            elif i in odd_rows:
+                out.append(b"".join(map(pieces.__getitem__, odd_rows[i])))
+            else:
+                out.append(pieces[words[0]] + b"".join(map(known.__getitem__, words[1:])))
+        for w in new:
+            if len(w) > LONGEST_REMEMBERED:
+                del known[w]
         return out
 
 
