@@ -303,6 +303,22 @@ def test_bands_meet_at_the_threshold(spark):
     assert missed <= 6
 
 
+def test_a_changed_character_in_an_ordinary_line(spark):
+    """Near means 0.8 of the sets of five characters; the sets are built here, not by the module."""
+    rng, rows = random.Random(11), []
+    for i in range(200):
+        line = "".join(rng.choice("abcdefghij ") for _ in range(58 + i % 20))
+        line = "<" + line + ">"
+        at = 20 + i % 15
+        rows += [(2 * i, line), (2 * i + 1, line[:at] + "#" + line[at + 1 :])]
+    sets = [{text[i : i + 5] for i in range(len(text) - 4)} for _, text in rows]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    got = lines.line_verdicts(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = {r.doc_id for r in got if r.kept}
+    assert len(got) == 400 and kept >= {2 * i for i in range(200)}
+    assert len(kept) <= 200 + 6
+
+
 def test_sharding(docs, rows):
     got = hilbert.document_shards(docs, 40).collect()
     want = [(r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows]

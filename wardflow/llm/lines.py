@@ -30,15 +30,16 @@ from wardflow.llm.components import components
 from wardflow.llm.stages import repeated_keys, stored
 from wardflow.llm.words import _powers, mix, slices, text_buffer
 
-#: Characters of a shingle. Random lines share few shingles of this length, so buckets of
-#: unrelated lines are rare; very many lines (10**9 and more) call for more ROWS and BANDS.
-SHINGLE = 9
+#: Characters of a shingle. It decides with THRESHOLD which lines are near, so it is part of
+#: the result; what unrelated lines cost is set by ROWS and BANDS alone.
+SHINGLE = 5
 THRESHOLD = 0.8
 #: Lines of a block, and shingles that a task counts at once.
 BLOCK, COLUMNS = 1024, 4096
-BANDS, ROWS = 9, 4
-_SEEDS = np.random.default_rng(7).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: More rows make buckets of unrelated lines rarer; bands then keep the 0.99 at the threshold.
+BANDS, ROWS = 16, 6
+_SEEDS = np.random.default_rng(7).integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+_STEP, _STEP32 = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x9E3779B1)
 _BLANK = np.array([32, 9, 11, 12, 13], np.uint32)
 
 
@@ -91,13 +92,14 @@ class _Lines:
         first = np.searchsorted(at, self.starts)
         for i in np.flatnonzero(self.ends - self.starts < SHINGLE):
             hashes[first[i]] = self.mixed[self.starts[i] : self.ends[i]].sum()
-        hashes = mix(hashes)
-        out = []
+        hashes = (mix(hashes) >> np.uint64(32)).astype(np.uint32)
+        turned, out = np.empty_like(hashes), []
         for band in range(BANDS):
             key = np.full(n, band + 1, np.uint64)
             for seed in _SEEDS[band * ROWS : (band + 1) * ROWS]:
-                least = np.minimum.reduceat((hashes ^ seed) * _STEP, first)
-                key = mix(key * _STEP + least)
+                np.bitwise_xor(hashes, seed, out=turned)
+                np.multiply(turned, _STEP32, out=turned)
+                key = mix(key * _STEP + np.minimum.reduceat(turned, first))
             out.append(key.view(np.int64))
         return out
 
