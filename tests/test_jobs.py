@@ -125,6 +125,19 @@ def test_stream_scores_requests(spark, halves, first, artifacts, tmp_path):
     assert log.filter("total_latency < 0").isEmpty()
 
 
+def test_scoring_finds_the_anomalous_request(spark, first, artifacts, tmp_path):
+    lines = request_lines(spark, "/root/testdata/sf0.001").withColumn("arrived", F.current_timestamp())
+    names = ", ".join(f'"{c}"' for c in S.REQUEST_COLUMNS)
+    cells = ", ".join({"HR": "1e6", "Patient_ID": '"odd"', "ICULOS": "1"}.get(c, "null") for c in S.REQUEST_COLUMNS)
+    odd = spark.createDataFrame([("odd", f'{{"data": [[{cells}]], "columns": [{names}]}}')], "request string, value string")
+    writers.save_table(lines.unionByName(odd.withColumn("arrived", F.current_timestamp())), f"{tmp_path}/lines")
+    stream = streams.file_stream(spark, f"{tmp_path}/lines", spark.read.parquet(f"{tmp_path}/lines").schema, "parquet")
+    streams.score_stream(stream, lambda rows: jobs.score_requests(spark, rows, artifacts), f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert spark.read.parquet(f"{tmp_path}/out/scored").count() == 1001
+    found = spark.read.parquet(f"{tmp_path}/out/anomalies").filter("request = 'odd'").collect()
+    assert "HR" in {r["column_name"] for r in found}
+
+
 def test_windows_wait_for_late_rows(spark, tmp_path):
     (tmp_path / "log").mkdir()
     schema = "timestamp timestamp, n_input_rows bigint, total_latency double"

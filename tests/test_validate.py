@@ -94,6 +94,15 @@ def test_anomaly_signs(spark):
     assert {r["column_name"] for r in V.request_anomalies(df, recorded, names, legacy_sign=True).collect()} == {"b"}
 
 
+def test_anomaly_of_one_request_among_many(spark):
+    recorded = spark.createDataFrame([("a", 10.0, 1.0)], "column_name string, mean double, std double")
+    rows = [(str(i), 10.0 + j) for i in range(50) for j in (-1.0, 0.0, 1.0)] + [("odd", 99.0), ("odd", 101.0), ("empty", None)]
+    df = spark.createDataFrame(rows, "request string, a double")
+    assert V.request_anomalies(df.filter("request <> 'odd'"), recorded, ["a"], request="request").isEmpty()
+    got = V.request_anomalies(df, recorded, ["a"], request="request").collect()
+    assert [(r["request"], r["column_name"], r["mean_percent"]) for r in got] == [("odd", "a", 900.0)]
+
+
 def test_batches(spark):
     df = spark.createDataFrame([(None,), ("batch-3",), ("batch-4",)], "batch string")
     got = [(r["next_batch"], r["state"]) for r in V.next_batch(df).collect()]

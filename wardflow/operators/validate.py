@@ -132,18 +132,23 @@ def all_findings(*tables):
     return result
 
 
-def request_anomalies(df, recorded, columns, limit=300.0, legacy_sign=False):
+def request_anomalies(df, recorded, columns, limit=300.0, legacy_sign=False, request=None):
     """Columns of a request whose mean or deviation is more than `limit` percent off.
 
+    With the name of a request column, each request of df is checked by itself and the
+    findings carry it; without one, df is a single request.
+
     The recorded value divides by size; legacy_sign divides by the signed value, so a
     negative recorded mean never alarms. A recorded 0 alarms when there is any
     difference. Columns without a value in the request are skipped.
     """
-    stats = df.agg(
+    keys = [request] if request else []
+    stats = df.groupBy(*keys).agg(
         *[F.avg(c).alias(f"{c}__mean") for c in columns],
         *[F.stddev_samp(c).alias(f"{c}__std") for c in columns],
     )
     observed = stats.select(
+        *keys,
         F.inline(
             F.array(
                 *[
@@ -157,7 +162,8 @@ def request_anomalies(df, recorded, columns, limit=300.0, legacy_sign=False):
             )
         )
     ).filter(F.col("mean").isNotNull())
-    pairs = observed.alias("o").join(recorded.alias("r"), "column_name")
+    # one row per column
+    pairs = observed.alias("o").join(F.broadcast(recorded).alias("r"), "column_name")
 
     def percent(stat):
         gap = F.abs(100.0 * (F.col(f"r.{stat}") - F.col(f"o.{stat}")))
@@ -166,7 +172,7 @@ def request_anomalies(df, recorded, columns, limit=300.0, legacy_sign=False):
         return F.coalesce(F.try_divide(gap, base), at_zero)
 
     return pairs.select(
-        "column_name", percent("mean").alias("mean_percent"), percent("std").alias("std_percent")
+        *[F.col(f"o.{k}") for k in keys], "column_name", percent("mean").alias("mean_percent"), percent("std").alias("std_percent")
     ).filter((F.col("mean_percent") > limit) | (F.col("std_percent") > limit))
 
 

@@ -572,6 +572,23 @@ def request_anomaly(spark, folder):
     return rounded(found, "mean_percent", "std_percent")
 
 
+@query
+def request_anomaly_by_request(spark, folder):
+    """All events of each user as one request, every third in another unit, against the profile of all."""
+    e = table(spark, folder, "events")
+    z, by = F.col("value"), F.when(F.col("user_id") % 3 == 0, 9).otherwise(1)
+
+    def shape(by):
+        return e.select(
+            F.col("user_id").cast("string").alias("request"),
+            (z * by).alias("HR"), (z - 25).alias("Temp"), (-z).alias("HospAdmTime"), F.lit(5.0).alias("Age"),
+        )
+
+    columns = ["HR", "Temp", "HospAdmTime", "Age"]
+    recorded = R.profile_numeric(shape(F.lit(1)), columns)
+    return rounded(V.request_anomalies(shape(by), recorded, columns, request="request"), "mean_percent", "std_percent")
+
+
 @query
 def model_drift_decision(spark, folder):
     """Weighted recall by gender, recorded against new patients."""

@@ -125,6 +125,8 @@ def score_requests(spark, rows, artifacts, model=None):
 
     Rows that keep nulls after the fill, or have no patient, get a null prediction. A model
     that is handed in uses the scaler in the artifacts folder, else both are of the newest run.
+    The column anomalies lists what is anomalous in the whole request of the row, as received,
+    against the saved profile.
     """
     home = artifacts
     if model is None:
@@ -138,7 +140,13 @@ def score_requests(spark, rows, artifacts, model=None):
     prepared = P.prepare_features(grouped, key="_unit", order=(S.HOUR, "row"), keep=carried).drop("_unit")
     scored = materialize(training.predictions(model, P.scaler_apply(prepared, fitted)))
     without = rows.join(scored.select("request", "row"), ["request", "row"], "left_anti")
-    return scored.unionByName(without.select(*carried, S.HOUR, "row"), allowMissingColumns=True)
+    out = scored.unionByName(without.select(*carried, S.HOUR, "row"), allowMissingColumns=True)
+    statistics = readers.json_table(spark, f"{artifacts}/profile/statistics", S.PROFILE_STATS)
+    columns = S.numeric_columns(rows.select(*S.REQUEST_COLUMNS))
+    found = V.request_anomalies(rows, statistics, columns, request="request")
+    # at most one entry for each column
+    listed = found.groupBy("request").agg(F.collect_list(F.struct("column_name", "mean_percent", "std_percent")).alias("anomalies"))
+    return out.join(listed, "request", "left")
 
 
 def monitor_requests(df, profile):

@@ -255,6 +255,7 @@ def stream_score(spark, folder):
     out = new_folder(spark, "score")
     scaled, fitted = jobs.prepare_and_scale(raw, keep=("event_id",))
     writers.save_json(fitted, f"{out}/scaler")
+    readers.profile_or_new(spark, drop_parts(raw).drop("event_id"), f"{out}/profile")
     model = training.fit(G.undersample(scaled, "event_id"), "Logistic_Regression")
     writers.save_table(request_lines(spark, folder).withColumn("arrived", F.current_timestamp()), f"{out}/lines")
     lines = streams.file_stream(spark, f"{out}/lines", spark.read.parquet(f"{out}/lines").schema, "parquet")

@@ -285,6 +285,12 @@ ORACLES = {
         UNION ALL SELECT 'Temp', abs(100 * (r.tm - o.tm)) / abs(r.tm), abs(100 * (r.ts - o.ts)) / r.ts FROM r, o
         UNION ALL SELECT 'HospAdmTime', abs(100 * (o.m - r.m)) / r.m, abs(100 * (r.s - o.s)) / r.s FROM r, o)
         SELECT column_name, round(a, 6) AS mean_percent, round(b, 6) AS std_percent FROM p WHERE a > 300 OR b > 300""",
+    "request_anomaly_by_request": """WITH r AS (SELECT avg(value) AS m, stddev_samp(value) AS s, avg(value - 25) AS tm FROM events),
+        o AS (SELECT cast(user_id AS varchar) AS request, CASE WHEN user_id % 3 = 0 THEN 9 ELSE 1 END AS unit, avg(value) AS m, stddev_samp(value) AS s, avg(value - 25) AS tm FROM events GROUP BY user_id),
+        p AS (SELECT request, 'HR' AS column_name, abs(100 * (r.m - unit * o.m)) / abs(r.m) AS a, abs(100 * (r.s - unit * o.s)) / r.s AS b FROM r, o
+        UNION ALL SELECT request, 'Temp', abs(100 * (r.tm - o.tm)) / abs(r.tm), abs(100 * (r.s - o.s)) / r.s FROM r, o
+        UNION ALL SELECT request, 'HospAdmTime', abs(100 * (r.m - o.m)) / abs(r.m), abs(100 * (r.s - o.s)) / r.s FROM r, o)
+        SELECT request, column_name, round(a, 6) AS mean_percent, round(b, 6) AS std_percent FROM p WHERE a > 300 OR b > 300""",
     "model_drift_decision": f"""{HALVES}, {SCORED.replace("FROM obs", "FROM sides")}, recalls AS (SELECT Gender,
         round(avg(CASE WHEN side = 'train' THEN cast(SepsisLabel = prediction AS integer) END), 6) AS old_recall,
         round(avg(CASE WHEN side = 'test' THEN cast(SepsisLabel = prediction AS integer) END), 6) AS new_recall FROM scored GROUP BY Gender)

@@ -57,7 +57,7 @@ def per_batch(stream, work, out, checkpoint):
 
 
 def score_stream(stream, score, out, checkpoint):
-    """Score request lines: tables `scored`, `rejects` and `log` below `out`.
+    """Score request lines: tables `scored`, `rejects`, `log` and, if score lists them, `anomalies` below `out`.
 
     score(rows) returns the rows with a prediction and their other columns. Latency is
     the time from the arrival of a line (column arrived) to its scoring.
@@ -69,6 +69,8 @@ def score_stream(stream, score, out, checkpoint):
         seconds = F.current_timestamp().cast("double") - F.col("arrived").cast("double")
         scored = save("scored", score(rows).withColumns({"latency": seconds, "created_at": F.current_timestamp()}))
         save("log", M.scoring_log(scored, "request", "latency", "arrived"))
+        if "anomalies" in scored.columns:
+            save("anomalies", scored.select("request", F.inline("anomalies")).distinct())
 
     return per_batch(stream, work, out, checkpoint)
 
