@@ -19,17 +19,12 @@ from wardflow.sources import readers, writers
 from wardflow.sources.requests import as_request, parse_requests
 from wardflow.streaming import streams
 
-SMALL_GRIDS = {
-    "Random_Forest_Classifier": {"numTrees": [5, 10], "maxDepth": [4]},
-    "Gradient_Boosted_Trees": {"maxIter": [3], "maxDepth": [3], "stepSize": [0.1, 0.2]},
-    "Logistic_Regression": {"C": [0.1, 1.0, 10.0]},
-    "Decision_Tree": {"maxDepth": [3, 5], "minInstancesPerNode": [2, 5]},
-}
+#: The largest forest and boosting of the full grids, and a tree without a depth limit.
 FIXED = {
-    "Random_Forest_Classifier": {"numTrees": 10, "maxDepth": 5, "minInstancesPerNode": 5},
-    "Gradient_Boosted_Trees": {"maxIter": 5, "maxDepth": 3, "stepSize": 0.1},
+    "Random_Forest_Classifier": {"numTrees": 100, "maxDepth": 20, "minInstancesPerNode": 5},
+    "Gradient_Boosted_Trees": {"maxIter": 200, "maxDepth": 9, "stepSize": 0.1},
     "Logistic_Regression": {"regParam": 0.01},
-    "Decision_Tree": {"maxDepth": 5, "minInstancesPerNode": 2},
+    "Decision_Tree": {"maxDepth": 30, "minInstancesPerNode": 2},
 }
 
 
@@ -67,18 +62,37 @@ def train_dt(spark, folder):
     return fitted_metrics(spark, folder, "Decision_Tree")
 
 
+def searched(spark, folder, name):
+    """Every setting of one family's full grid with its score over five folds."""
+    train, _ = sets(spark, folder)
+    return training.grid_search(train, name, training.FULL_GRIDS[name], "event_id", folds=5)[1]
+
+
 @query
 def grid_search_results(spark, folder):
-    train, _ = sets(spark, folder)
-    grid = SMALL_GRIDS["Logistic_Regression"]
-    return training.grid_search(train, "Logistic_Regression", grid, "event_id", folds=3)[1]
+    return searched(spark, folder, "Logistic_Regression")
+
+
+@query
+def grid_search_rf(spark, folder):
+    return searched(spark, folder, "Random_Forest_Classifier")
+
+
+@query
+def grid_search_gbt(spark, folder):
+    return searched(spark, folder, "Gradient_Boosted_Trees")
+
+
+@query
+def grid_search_dt(spark, folder):
+    return searched(spark, folder, "Decision_Tree")
 
 
 @query
 def model_selection(spark, folder):
+    """The winner of all four families, each searched over its full grid with five folds."""
     train, validation = sets(spark, folder)
-    grids = {n: SMALL_GRIDS[n] for n in ("Logistic_Regression", "Decision_Tree")}
-    _, best, found, _ = training.train_and_select(train, validation, "event_id", grids, folds=3)
+    _, best, found, _ = training.train_and_select(train, validation, "event_id", training.FULL_GRIDS, folds=5)
     return spark.createDataFrame([(best, found["accuracy"], found["f1_score"])], "model string, accuracy double, f1_score double")
 
 
