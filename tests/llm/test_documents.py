@@ -319,6 +319,18 @@ def test_a_changed_character_in_an_ordinary_line(spark):
     assert len(kept) <= 200 + 6
 
 
+def test_texts_of_one_id_stay_unless_they_are_copies(spark):
+    rng = random.Random(12)
+    copied, first, second, third = (words_of(rng, 60) for _ in range(4))
+    rows = [(1, copied), (5, first + "\n" + copied), (5, second + "\n" + third), (5, copied), (7, second)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = lines.without_repeated_lines(frame)
+    assert bag((r.doc_id, r.text) for r in out.collect()) == bag([(1, copied), (5, first), (5, second + "\n" + third)])
+    near = spark.createDataFrame([(3, first), (5, first), (5, second), (5, second), (7, second), (None, first)], "doc_id long, text string")
+    got = simhash.keep_one(near).collect()
+    assert bag((r.doc_id, r.text) for r in got) == bag([(3, first), (5, second), (None, first)])
+
+
 def test_sharding(docs, rows):
     got = hilbert.document_shards(docs, 40).collect()
     want = [(r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows]

@@ -15,8 +15,8 @@ that meets is either compared exactly or already joined, and no bucket gives its
 rows. Components come from distributed union-find, and the first line of each,
 by document and place, stays.
 
-Defined results: a null text has no lines; a row without an id takes no part and stays; rows
-with one id count as one document, in which places are equal or not by their text; an empty
+Defined results: a null text has no lines; a row without an id takes no part and stays; of rows
+with one id each different text is a document of its own, told apart by a 64-bit hash; an empty
 table gives an empty table. Lines are equal if their 64-bit hashes are (for n different
 lines one false pair is expected in 2**65 / n**2 runs).
 """
@@ -125,15 +125,16 @@ def _signed(rows):
 
 
 def _places(rows):
-    """(line, doc, place) of every line of rows (id, text)."""
+    """(line, doc, version, place) of every line of rows (id, text, version)."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, size=1 << 20):
                 lines = _Lines(part)
-                yield _batch([lines.ids(), part.column("id").to_numpy()[lines.row], lines.place], ["line", "doc", "place"])
+                doc, version = (part.column(c).to_numpy()[lines.row] for c in ("id", "version"))
+                yield _batch([lines.ids(), doc, version, lines.place], ["line", "doc", "version", "place"])
 
-    return rows.mapInArrow(run, "line long, doc long, place long")
+    return rows.mapInArrow(run, "line long, doc long, version long, place long")
 
 
 def _texts(rows):
@@ -276,17 +277,23 @@ def line_classes(rows, threshold=THRESHOLD):
     return components(links).withColumnRenamed("id", "line")
 
 
-def line_verdicts(docs, key="doc_id", text="text", threshold=THRESHOLD):
-    """key, place (from 0), line (hash), component (smallest line hash) and kept of every line
-    that is not blank. Of each component the first line by key and place is kept."""
+def _verdicts(docs, key, text, threshold):
+    """(doc, version, line, place, component, kept) of every line; version is the hash of the whole text."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
     classes = line_classes(rows, threshold)
-    places = _places(rows).join(classes, "line", "left").withColumn("component", F.coalesce("root", "line")).drop("root")
+    versions = rows.withColumn("version", F.xxhash64("text"))
+    places = _places(versions).join(classes, "line", "left").withColumn("component", F.coalesce("root", "line")).drop("root")
     places = stored(places, "places")
-    first = places.groupBy("component").agg(F.min(F.struct("doc", "place")).alias("first"))
+    first = places.groupBy("component").agg(F.min(F.struct("doc", "place", "version")).alias("first"))
     out = places.join(first, "component")
-    kept = F.struct("doc", "place") == F.col("first")
-    return out.select(F.col("doc").alias(key), "place", "line", "component", kept.alias("kept"))
+    return out.withColumn("kept", F.struct("doc", "place", "version") == F.col("first")).drop("first")
+
+
+def line_verdicts(docs, key="doc_id", text="text", threshold=THRESHOLD):
+    """key, place (from 0), line (hash), component (smallest line hash) and kept of every line
+    that is not blank. Of each component the first line by key and place is kept."""
+    out = _verdicts(docs, key, text, threshold)
+    return out.select(F.col("doc").alias(key), "place", "line", "component", "kept")
 
 
 def without_repeated_lines(docs, key="doc_id", text="text", threshold=THRESHOLD, length="n_chars"):
@@ -294,11 +301,12 @@ def without_repeated_lines(docs, key="doc_id", text="text", threshold=THRESHOLD,
 
     Other columns stay; the length column, if there is one, is the new number of characters.
     """
-    gone = line_verdicts(docs, key, text, threshold).filter("not kept")
-    gone = gone.groupBy(F.col(key).alias("_key")).agg(F.collect_list("place").alias("_gone"))
+    gone = _verdicts(docs, key, text, threshold).filter("not kept")
+    gone = gone.groupBy(F.col("doc").alias("_key"), F.col("version").alias("_version")).agg(F.collect_set("place").alias("_gone"))
     names = docs.columns
     rows = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), F.col(key).cast("long").alias("_id"), F.col(text).alias("text"))
-    rows = rows.join(gone, F.col("_id") == gone["_key"], "left").select("_row", "text", "_gone")
+    same = (F.col("_id") == gone["_key"]) & (F.xxhash64("text") == gone["_version"])
+    rows = rows.join(gone, same, "left").select("_row", "text", "_gone")
 
     def run(batches):
         for batch in batches:

@@ -54,16 +54,18 @@ def fingerprint(text, n=3, seed=42):
 
 
 def fingerprints(docs, key="doc_id", text="text", n=3, seed=42):
-    """(id, fp): fingerprints as signed longs."""
+    """(id, fp, version): fingerprints as signed longs, and a hash of the whole text."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = text_buffer(part.column("text"))
                 prints = [fingerprint(data[a:b].tobytes(), n, seed) for a, b in zip(offsets[:-1], offsets[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["id", "fp"])
+                columns = [part.column("id"), pa.array(np.array(prints, np.uint64).view(np.int64)), part.column("version")]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "version"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("version"))
+    return rows.mapInArrow(run, "id long, fp long, version long")
 
 
 def covering_masks(free, radius):
@@ -126,7 +128,7 @@ def links(classes, radius=3, bucket=BUCKET):
 
 def near_duplicates(docs, key="doc_id", text="text", n=3, seed=42, radius=3, bucket=BUCKET):
     """key, fingerprint (16 hex digits) and component_id, the smallest id that is reachable."""
-    prints = stored(fingerprints(docs, key, text, n, seed), "prints")
+    prints = stored(fingerprints(docs, key, text, n, seed).drop("version"), "prints")
     classes = stored(prints.filter("id is not null").groupBy("fp").agg(F.min("id").alias("id")), "classes")
     roots = components(links(classes, radius, bucket))
     labelled = classes.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
@@ -138,9 +140,17 @@ def near_duplicates(docs, key="doc_id", text="text", n=3, seed=42, radius=3, buc
     )
 
 
-def keep_one(docs, key="doc_id", text="text", **options):
-    """The documents whose id is the smallest of its component, one row of each."""
-    found = near_duplicates(docs, key, text, **options)
-    kept = found.filter(F.col("component_id") == F.col(key)).select(F.col(key).alias("_kept")).distinct()
-    rows = docs.join(kept, docs[key] == kept["_kept"], "left_semi").dropDuplicates([key])
+def keep_one(docs, key="doc_id", text="text", n=3, seed=42, radius=3, bucket=BUCKET):
+    """One row of each component, that with the smallest id; rows without an id stay.
+
+    Components are of fingerprints, not of ids, so rows of one id with different texts stay
+    or go each by its own text.
+    """
+    prints = stored(fingerprints(docs, key, text, n, seed).filter("id is not null"), "prints")
+    roots = components(links(stored(prints.select("fp").distinct().withColumn("id", F.col("fp")), "classes"), radius, bucket))
+    labelled = prints.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = labelled.groupBy("root").agg(F.min(F.struct("id", "version")).alias("kept")).select("kept.*").distinct()
+    named = docs.withColumn("_version", F.xxhash64(text))
+    same = (named[key].cast("long") == kept["id"]) & (named["_version"] == kept["version"])
+    rows = named.join(kept, same, "left_semi").dropDuplicates([key, "_version"]).drop("_version")
     return rows.unionByName(docs.filter(F.col(key).isNull()))
