@@ -1,6 +1,8 @@
 """Queries of this package over the given tables, and their SQL."""
 
-from wardflow.llm import ann, hilbert, lines, mixing, pieces, quality, repeats, simhash, tokenfiles, toxicity
+from pyspark.sql import functions as F
+
+from wardflow.llm import alignment, ann, bytepairs, hilbert, lines, mixing, pieces, quality, repeats, simhash, tokenfiles, toxicity, whitening
 from wardflow.llm.stages import share_package
 
 
@@ -50,6 +52,19 @@ def op10_hilbert_shards(spark, folder):
     return hilbert.document_shards(_table(spark, folder, "documents"), 40)
 
 
+def op11_byte_pairs(spark, folder):
+    return bytepairs.digests(_table(spark, folder, "documents"))
+
+
+def op12_whitening(spark, folder):
+    out = whitening.whiten(_table(spark, folder, "embeddings"), 8)
+    return out.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+def op13_alignment(spark, folder):
+    return alignment.align(_table(spark, folder, "documents"))
+
+
 def pipeline(spark, folder):
     import corpus_pipeline
 
@@ -68,6 +83,9 @@ QUERIES = {f.__name__: f for f in (
     op8_toxicity,
     op9_soft_mixing,
     op10_hilbert_shards,
+    op11_byte_pairs,
+    op12_whitening,
+    op13_alignment,
     pipeline,
 )}
 
