@@ -157,7 +157,8 @@ def test_chunks_give_the_texts_back(texts):
     data = np.frombuffer("".join(t or "" for t in texts).encode(), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len((t or "").encode()) for t in texts])])
     starts = chunks.chunk_starts(data, offsets)
-    of, reps = chunks.distinct(data, starts)
+    of, found = chunks.distinct(data, starts)
+    reps = found.bytes()
     assert b"".join(reps[i] for i in of) == data.tobytes() and len(set(reps)) == len(reps)
     assert set(offsets[:-1][np.diff(offsets) > 0]) <= set(starts)
 

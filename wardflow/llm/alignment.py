@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wardflow.llm.blocks import block_number, numbers, reassembled, squeezed, things
-from wardflow.llm.chunks import Memory, chunk_starts, distinct, packed, per_text, strung
+from wardflow.llm.chunks import ByteLevel, Memory, chunk_starts, distinct, listed, strung
 from wardflow.llm.stages import stored
 from wardflow.llm.words import slices, text_buffer
 
@@ -51,42 +51,29 @@ def byte_of_character():
 
 
 class Side:
-    """One tokenizer: ids of chunks, bytes of ids, and the ids as text followed by a border."""
+    """One tokenizer: ids of chunks, bytes of ids, and the ids as text."""
 
-    def __init__(self, token_bytes, encode, inside, border):
+    def __init__(self, token_bytes, encode):
         self.sizes = np.array([len(t) for t in token_bytes], np.int64)
         self.flat = np.frombuffer(b"".join(token_bytes), np.uint8)
-        self.memory = Memory(encode)
-        names = [f"{i}{sign}".encode() for sign in (inside, border) for i in range(len(token_bytes))]
-        self.names, self.name_sizes = np.frombuffer(b"".join(names), np.uint8), np.array([len(n) for n in names], np.int64)
+        self.memory = Memory(encode, self.gives_back)
+        self.names = [str(i).encode() for i in range(len(token_bytes))]
 
-    def ids(self, of, chunks):
-        """(ids of the chunks `of` strung together, how many each has, whether each gives its bytes back)."""
-        values, sizes = self.memory(chunks)
-        ends = np.cumsum(np.concatenate([[0], self.sizes[values]]))[np.concatenate([[0], np.cumsum(sizes)])]
-        given = strung(values, self.flat, self.sizes)[0].tobytes()
-        right = np.array([given[a:b] == c for a, b, c in zip(ends[:-1].tolist(), ends[1:].tolist(), chunks)], bool)
-        ids, lengths = strung(of, values.astype(np.int64), sizes)
-        return ids, lengths, right
+    def gives_back(self, chunks, ids, sizes):
+        """Whether the bytes of the ids of a chunk are the chunk."""
+        ends = np.concatenate([[0], np.cumsum(self.sizes[ids])])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        given = strung(ids, self.flat, self.sizes)[0].tobytes()
+        return np.fromiter((given[a:b] == c for a, b, c in zip(ends, ends[1:], chunks)), bool, len(chunks))
 
-    def shown(self, ids, last):
-        """Text of the ids; last marks those before a border."""
-        return strung(ids + last * len(self.sizes), self.names, self.name_sizes)
+    def ids(self, chunks):
+        """(ids of the chunks, how many each has, whether each gives its bytes back)."""
+        values, sizes, right = self.memory(chunks)
+        return values.astype(np.int64), sizes, right
 
 
 def byte_level(path):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    code = byte_of_character()
-    entries = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())]
-    token_bytes = [bytes(code[c] for c in e) if all(c in code for c in e) else e.encode() for e in entries]
-
-    def encode(chunks):
-        return [packed(e.ids) for e in tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
-
-    return Side(token_bytes, encode, ",", "|")
+    tokenizer, code = ByteLevel(path, special=False), byte_of_character()
+    return Side([bytes(code[c] for c in e) if all(c in code for c in e) else e.encode() for e in tokenizer.entries], tokenizer)
 
 
 def piece_level(path):
@@ -97,11 +84,7 @@ def piece_level(path):
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i)
         token_bytes.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace(SPACE, " ").encode())
-
-    def encode(chunks):
-        return [packed(ids) for ids in model.encode([c[1:].decode() for c in chunks], num_threads=1)]
-
-    return Side(token_bytes, encode, ",", ";")
+    return Side(token_bytes, lambda chunks: listed(model.encode([c[1:].decode() for c in chunks], num_threads=1)))
 
 
 _LOADED = {}
@@ -162,47 +145,61 @@ def _with_space(data, offsets):
 NAMES = ("n_a", "n_b", "n_groups", "n_links")
 
 
+def _lines(sides, ids, of_a, of_b, chunk_of):
+    """Groups of each chunk as text, each followed by a semicolon; of_a, of_b: groups of the
+    tokens; chunk_of: chunk of each group."""
+    n_groups, texts = len(chunk_of), []
+    for side, tokens, of in zip(sides, ids, (of_a, of_b)):
+        names, ends = [side.names[i] for i in tokens.tolist()], np.cumsum(np.bincount(of, minlength=n_groups)).tolist()
+        texts.append([b",".join(names[a:b]) if b - a > 1 else names[a] for a, b in zip([0, *ends], ends)])
+    whole = [a + b"|" + b + b";" for a, b in zip(*texts)]
+    ends = np.searchsorted(chunk_of, np.arange(1, (chunk_of[-1] if n_groups else -1) + 2)).tolist()
+    return [b"".join(whole[a:b]) for a, b in zip([0, *ends], ends)]
+
+
 def _aligned(part, sides):
-    """Counts of each text, its groups as a digest, and the linked id pairs."""
+    """Counts of each text, its groups as a digest, and the linked id pairs.
+
+    Tokens of both sides end at the borders of chunks, so no group goes over one, and the
+    different chunks of the slice are aligned, each once.
+    """
     data, offsets = _with_space(*text_buffer(part.column("text")))
     n = part.num_rows
     starts = chunk_starts(data, offsets)
     of, chunks = distinct(data, starts)
-    text = np.searchsorted(offsets, starts, "right") - 1
-    found = [side.ids(of, chunks) for side in sides]
-    wrong = ~(found[0][2] & found[1][2])
+    text, m = np.searchsorted(offsets, starts, "right") - 1, len(chunks)
+    found = [side.ids(chunks) for side in sides]
+    right = found[0][2] & found[1][2]
     bad = np.zeros(n, bool)
-    bad[text[wrong[of]]] = True
+    bad[text[~right[of]]] = True
+    stays = ~bad[text]
+    of, text = of[stays], text[stays]
+
     ids, rows, ends = [], [], []
     for side, (tokens, lengths, _) in zip(sides, found):
-        row = np.repeat(text, lengths)
-        stays = ~bad[row]
-        ids.append(tokens[stays])
-        rows.append(row[stays])
+        chunk = np.repeat(np.arange(m), lengths)
+        keep = right[chunk]
+        ids.append(tokens[keep])
+        rows.append(chunk[keep])
         ends.append(np.cumsum(side.sizes[ids[-1]]))
     of_a, of_b = groups(*ends)
-    first_a = np.flatnonzero(np.diff(of_a, prepend=-1))
-    n_groups, row_of = len(first_a), rows[0][first_a]
-    m, k = np.bincount(of_a, minlength=n_groups), np.bincount(of_b, minlength=n_groups)
-    counts = [np.bincount(r, minlength=n) for r in (*rows, row_of)]
-    counts.append(np.bincount(row_of, m * k, n).astype(np.int64) if n_groups else np.zeros(n, np.int64))
-
-    last = [np.append(g[1:] != g[:-1], True)[: len(g)] for g in (of_a, of_b)]
-    shown, sizes = zip(*(side.shown(i, x) for side, i, x in zip(sides, ids, last)))
-    before_b = np.cumsum(m)[of_b]  # tokens of A that stand before a token of B
-    order = np.empty(sum(map(len, ids)), np.int64)
-    order[np.arange(len(of_a)) + (np.cumsum(k) - k)[of_a]] = np.arange(len(of_a))
-    order[np.arange(len(of_b)) + before_b] = len(of_a) + np.arange(len(of_b))
-    line, lengths = strung(order, np.concatenate(shown), np.concatenate(sizes))
-    cuts = np.concatenate([[0], np.cumsum(np.bincount(np.concatenate(rows)[order], lengths, n).astype(np.int64))])
-    line = line.tobytes()
-    digest = [hashlib.sha256(line[a : b - 1]).hexdigest() if b > a else "" for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-
-    group, x, y, times = _links(*ids, of_a, of_b, n_groups)
+    chunk_of = rows[0][np.flatnonzero(np.diff(of_a, prepend=-1))]  # chunk of each group
+    group, x, y, times = _links(*ids, of_a, of_b, len(chunk_of))
+    of_link = chunk_of[group]
+    sizes = [np.bincount(r, minlength=m) for r in (*rows, chunk_of)] + [np.bincount(of_link, times, m).astype(np.int64)]
+    counts = [np.bincount(text, s[of], n).astype(np.int64) for s in sizes]
+
+    lines, cuts = _lines(sides, ids, of_a, of_b, chunk_of), np.searchsorted(text, np.arange(n + 1)).tolist()
+    lines += [b""] * (m - len(lines))
+    order = of.tolist()
+    digest = [hashlib.sha256(b"".join([lines[i] for i in order[a:b]])[:-1]).hexdigest() if b > a else "" for a, b in zip(cuts, cuts[1:])]
+
     pairs, code = np.unique(x << 32 | y, return_inverse=True)
+    by_chunk = np.argsort(of_link, kind="stable")
+    places, links = strung(of, by_chunk, np.bincount(of_link, minlength=m))
     width = max(len(pairs), 1)
-    held, at = np.unique(row_of[group] * width + code, return_inverse=True)
-    times = np.bincount(at, times, len(held)).astype(np.int64)
+    held, at = np.unique(np.repeat(text, links) * width + code[places], return_inverse=True)
+    times = np.bincount(at, times[places], len(held)).astype(np.int64)
     return counts, digest, pairs, held // width, held % width, times
 
 

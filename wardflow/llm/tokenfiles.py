@@ -14,10 +14,7 @@ key is left out; rows with equal keys follow each other in text order; an empty
 writes no file.
 """
 
-import os
-import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wardflow.llm.chunks import ByteLevel, Memory, chunk_starts, distinct, per_text, strung
 from wardflow.llm.stages import stored
 from wardflow.llm.words import slices, text_buffer
 from wardflow.session import new_folder
 
-#: Words that a Python worker remembers, and their length; a full table is emptied.
-REMEMBERED = 1_000_000
-LONGEST_REMEMBERED = 48
+#: Bytes of text that are encoded together, and documents that are read from files together.
+SLICE, AT_ONCE = 1 << 22, 1024
 
 
 def default_tokenizer():
@@ -42,64 +39,31 @@ def default_tokenizer():
 
 
 class Encoder:
-    """Byte-level BPE of the tokenizers library, with the ids of earlier words remembered.
-
-    The library splits a text before every space that a character other than white space
-    follows, and encodes what lies between by itself. Texts are cut there and only new
-    words go to the library. A text that holds an added token goes to it whole.
-    """
+    """Byte-level BPE of the tokenizers library; each different chunk of a slice is encoded
+    once (see chunks). A text that holds an added token is one chunk, because the library
+    splits it elsewhere."""
 
     def __init__(self, path):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.size = self.tokenizer.get_vocab_size()
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.known = {}  # ids of a word after a space
-
-    def _ids(self, texts):
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, words):
-        """The parts of a text between the library's borders, from its split at spaces."""
-        pieces = [words[0]]
-        for word in words[1:]:
-            if word and not word[0].isspace():
-                pieces.append(" " + word)
-            else:
-                pieces[-1] += " " + word
-        return pieces
-
-    def encode_all(self, texts):
-        """Ids of each text as 32-bit bytes in the order of this machine (little-endian)."""
-        whole = {i: t for i, t in enumerate(texts) if self.added and self.added.search(t)}
-        split = [[""] if i in whole else t.split(" ") for i, t in enumerate(texts)]
-        tails = set().union(*(words[1:] for words in split))
-        odd = {w for w in tails if not w or w[0].isspace()}
-        odd_rows = {i: self._pieces(words) for i, words in enumerate(split) if odd and not odd.isdisjoint(words[1:])}
-        other = {words[0] for words in split}.union(*odd_rows.values())
-        known = self.known
-        if len(known) + len(tails) > REMEMBERED:
-            known.clear()
-        new = list(tails.difference(known, odd))
-        known.update(zip(new, self._ids([" " + w for w in new])))
-        other = list(other)
-        pieces = dict(zip(other, self._ids(other)))
-        out = []
-        for i, words in enumerate(split):
-            if i in whole:
-                out.append(self._ids([whole[i]])[0])
-            elif i in odd_rows:
-                out.append(b"".join(map(pieces.__getitem__, odd_rows[i])))
-            else:
-                out.append(pieces[words[0]] + b"".join(map(known.__getitem__, words[1:])))
-        for w in new:
-            if len(w) > LONGEST_REMEMBERED:
-                del known[w]
+        self.tokenizer = ByteLevel(path)
+        self.size, self.memory = self.tokenizer.size, Memory(self.tokenizer)
+
+    def _whole(self, data, offsets):
+        """Texts that may hold an added token."""
+        out = np.zeros(len(offsets) - 1, bool)
+        if self.tokenizer.added:
+            for found in self.tokenizer.added.finditer(data.tobytes()):
+                out[np.searchsorted(offsets, found.start(), "right") - 1] = True
         return out
 
+    def encode_all(self, column, end_id):
+        """(ids of all texts one after the other, each with the end id, and how many each has)."""
+        data, offsets = text_buffer(column)
+        starts = chunk_starts(data, offsets, self._whole(data, offsets))
+        of, chunks = distinct(data, starts)
+        ids, lengths = strung(of, *self.memory(chunks)[:2])
+        counts = per_text(starts, offsets, lengths)
+        return np.insert(ids, np.cumsum(counts), end_id), counts + 1
+
 
 _LOADED = {}
 
@@ -125,19 +89,18 @@ def write_tokens(docs, folder=None, key="doc_id", text="text", end_id=0, path=No
     def run(batches):
         encoder, store, context = _encoder(path), None, TaskContext.get()
         kind = np.dtype("<u2") if max(encoder.size, end_id + 1) <= 1 << 16 else np.dtype("<u4")
-        end, keys, lengths, out = np.array([end_id], "<u4").tobytes(), [], [], None
+        keys, lengths, out = [], [], None
         name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 if out is None:
                     store, root = _store(folder)
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/{name}.bin")
-                data, offsets = text_buffer(part.column("text"))
-                found = encoder.encode_all([data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:])])
+                ids, counts = encoder.encode_all(part.column("text"), end_id)
                 keys.append(part.column("key").to_numpy())
-                lengths.append(np.array([len(f) // 4 + 1 for f in found], "<i8"))
-                out.write(np.frombuffer(b"".join(x for f in found for x in (f, end)), "<u4").astype(kind).tobytes())
+                lengths.append(counts)
+                out.write(ids.astype(kind).tobytes())
         if out is None:
             return
         out.close()
@@ -156,16 +119,25 @@ def write_tokens(docs, folder=None, key="doc_id", text="text", end_id=0, path=No
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
+class _Ranges:
+    """Ids of a file that is not local, read range by range."""
+
+    def __init__(self, file, kind):
+        self.file, self.kind = file, np.dtype(kind)
+
+    def __getitem__(self, span):
+        a, b = (x * self.kind.itemsize for x in (int(span.start), int(span.stop)))
+        return np.frombuffer(self.file.read_at(b - a, a), self.kind)
+
+
 def open_pair(name):
-    """(keys, offsets, ids) of a file pair, as memory maps where the store is local."""
+    """(keys, offsets, ids) of a file pair: memory maps where the store is local, else the
+    index read whole and the ids by ranges."""
     store, root = _store(name)
-    if isinstance(store, fs.LocalFileSystem):
-        index = np.memmap(f"{root}.idx", "<i8", "r")
-        ids = np.memmap(f"{root}.bin", "<u2" if index[0] == 2 else "<u4", "r")
-    else:
-        index = np.frombuffer(store.open_input_file(f"{root}.idx").readall(), "<i8")
-        ids = np.frombuffer(store.open_input_file(f"{root}.bin").readall(), "<u2" if index[0] == 2 else "<u4")
-    n = int(index[1])
+    local = isinstance(store, fs.LocalFileSystem)
+    index = np.memmap(f"{root}.idx", "<i8", "r") if local else np.frombuffer(store.open_input_file(f"{root}.idx").readall(), "<i8")
+    kind, n = "<u2" if index[0] == 2 else "<u4", int(index[1])
+    ids = np.memmap(f"{root}.bin", kind, "r") if local else _Ranges(store.open_input_file(f"{root}.bin"), kind)
     return index[2 : 2 + n], index[2 + n :], ids
 
 
@@ -176,10 +148,12 @@ def read_tokens(manifest, key="doc_id", with_ids=False):
         for batch in batches:
             for name, base in zip(batch.column("name").to_pylist(), batch.column("base").to_pylist()):
                 keys, offsets, ids = open_pair(name)
-                for at in range(0, len(keys), 1024):
-                    to = min(at + 1024, len(keys))
-                    spans = [ids[a:b] for a, b in zip(offsets[at:to], offsets[at + 1 : to + 1])]
-                    checks = [zlib.crc32(s.astype("<u4").tobytes()) for s in spans]
+                for at in range(0, len(keys), AT_ONCE):
+                    to = min(at + AT_ONCE, len(keys))
+                    held = ids[offsets[at] : offsets[to]].astype("<u4")
+                    cuts = (np.array(offsets[at : to + 1]) - offsets[at]).tolist()
+                    spans = [held[a:b] for a, b in zip(cuts, cuts[1:])]
+                    checks = [zlib.crc32(s) for s in spans]
                     columns = [
                         pa.array(np.array(keys[at:to])),
                         pa.array(np.array(offsets[at:to]) + base),
