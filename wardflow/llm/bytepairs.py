@@ -2,8 +2,10 @@
 
 Encoding: tasks cut texts into pre-tokens by the pattern and give each document the sequence
 of its pre-tokens, as places in its block's list of different ones (see blocks). The lists
-are exploded; a distinct over the whole table leaves each word once, and it is encoded once
-by its merges; the ids are joined back to the exploded rows and put at the words' places.
+are exploded to (word, block, place). A shuffle on the word brings all rows of a word
+together; it is encoded once by its merges, and its ids join all its rows. A shuffle on the
+block brings the ids back to the sequences, which give every place its ids. One shuffle of
+the blocks serves both sides, so that neither texts nor sequences are written twice.
 
 Decoding: the token-byte table has one row for each token of the vocabulary, which bounds it,
 so its join is a broadcast one: every task gathers the bytes of its ids from the table.
@@ -20,15 +22,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
-from wardflow.llm.blocks import block_number, numbers, reassembled, squeezed, things
-from wardflow.llm.chunks import chunk_starts, distinct, packed, per_text, strung
-from wardflow.llm.stages import stored
+from wardflow.llm.blocks import block_number, numbers, reassembled, squeezed, squeezed_texts, strings_of, texts
+from wardflow.llm.chunks import chunk_starts, distinct, listed, per_text, strung
 from wardflow.llm.words import slices, text_buffer
 
 #: Bytes of text of a block, one document at least.
 BLOCK = 1 << 22
-#: Words that are encoded at a time.
-AT_ONCE = 4096
+#: Words of a record batch.
+AT_ONCE = 8192
 
 
 def default_ranks():
@@ -62,8 +63,8 @@ def _encoding(path):
 
 
 def pretokens(docs, pattern, size=BLOCK):
-    """(block, keys, counts, codes, words) of docs (key, text): the words of a block, and for
-    each document how many it has and where they stand in words."""
+    """(block, keys, counts, codes, words) of docs (key, text): the words of a block, the more
+    frequent first, and for each document how many it has and where they stand in words."""
 
     def run(batches):
         cut, n = regex.compile(pattern).findall, 0
@@ -72,58 +73,83 @@ def pretokens(docs, pattern, size=BLOCK):
                 data, offsets = text_buffer(part.column("text"))
                 starts = chunk_starts(data, offsets)
                 of, chunks = distinct(data, starts)
-                codes, found = {}, [cut(c.decode()) for c in chunks]
-                values = np.array([codes.setdefault(w, len(codes)) for words in found for w in words], np.int64)
+                found, number = [cut(c.decode()) for c in chunks.bytes()], {}
+                values = np.array([number.setdefault(w, len(number)) for words in found for w in words], np.int64)
                 sequence, lengths = strung(of, values, np.array([len(words) for words in found], np.int64))
+                words = sorted(number)
+                at = np.array([number[w] for w in words], np.int64)
+                order = np.argsort(-np.bincount(sequence, minlength=len(words))[at], kind="stable")
+                rank = np.empty(len(words), np.int64)
+                rank[at[order]] = np.arange(len(words))
+                keys = part.column("key").to_pylist()
                 row = [
-                    pa.array([block_number(n)], pa.int64()),
-                    pa.array([part.column("key").to_pylist()], pa.list_(pa.int64())),
+                    pa.array([block_number(n, data.tobytes(), repr(keys).encode())], pa.int64()),
+                    pa.array([keys], pa.list_(pa.int64())),
                     pa.array([per_text(starts, offsets, lengths)], pa.list_(pa.int64())),
-                    pa.array([squeezed(sequence)], pa.binary()),
-                    pa.array([list(codes)], pa.list_(pa.string())),
+                    pa.array([squeezed(rank[sequence])], pa.binary()),
+                    pa.array([squeezed_texts([words[i] for i in order.tolist()])], pa.binary()),
                 ]
                 n += 1
                 yield pa.RecordBatch.from_arrays(row, names=["block", "keys", "counts", "codes", "words"])
 
-    return docs.mapInArrow(run, "block long, keys array<long>, counts array<long>, codes binary, words array<string>")
+    return docs.mapInArrow(run, "block long, keys array<long>, counts array<long>, codes binary, words binary")
 
 
-def encoded_words(words, path):
-    """(word, ids): ids of each word as little-endian unsigned 32-bit integers."""
+def exploded(blocks):
+    """(word, block, code): a row for each word of each block; code is its place."""
+
+    def run(batches):
+        for batch in batches:
+            for block, packed in zip(batch.column("block").to_pylist(), batch.column("words")):
+                words = texts(packed.as_py())
+                for at in range(0, len(words), AT_ONCE):
+                    part = words.slice(at, AT_ONCE)
+                    code = np.arange(at, at + len(part), dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), block)), pa.array(code)], names=["word", "block", "code"])
+
+    return blocks.mapInArrow(run, "word string, block long, code int")
+
+
+def answered(rows, path):
+    """(block, code, ids) of rows (word, block, code) sorted by word; ids as 32-bit integers.
+
+    A word's rows follow each other, so it is encoded once, or twice at the border of batches.
+    """
 
     def run(batches):
         encoding = _encoding(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part = batch.column("word").slice(at, AT_ONCE)
-                ids = [packed(encoding.encode_ordinary(w)) for w in part.to_pylist()]
-                yield pa.RecordBatch.from_arrays([part, pa.array(ids, pa.binary())], names=["word", "ids"])
+            numbered = batch.column("word").dictionary_encode()
+            values, sizes = listed([encoding.encode_ordinary(w) for w in numbered.dictionary.to_pylist()])
+            ids, lengths = strung(numbered.indices.to_numpy(), values, sizes)
+            column = strings_of(4 * np.concatenate([[0], np.cumsum(lengths)]), ids.astype("<u4").tobytes(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), column], names=["block", "code", "ids"])
 
-    return words.mapInArrow(run, "word string, ids binary")
+    return rows.mapInArrow(run, "block long, code int, ids binary")
 
 
 def _build(row, answers):
-    packed_ids = answers.column("ids").combine_chunks()
-    data, offsets = text_buffer(packed_ids.cast(pa.large_binary()) if len(packed_ids) else pa.array([], pa.large_binary()))
+    data, offsets = text_buffer(answers.column("ids"))
     flat, sizes = np.ascontiguousarray(data).view("<u4"), np.diff(offsets) // 4
+    if len(texts(row["words"])) != len(sizes):
+        raise RuntimeError("a block and its words were not made from the same rows")
     ids, lengths = strung(numbers(row["codes"]), flat, sizes)
     counts = np.array(row["counts"], np.int64)
-    ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-    raw = ids.astype("<u4").tobytes()
-    column = pa.array([raw[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
-    return pa.table([pa.array(row["keys"], pa.int64()), column], names=["key", "ids"])
+    ends = 4 * np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+    return pa.table([pa.array(row["keys"], pa.int64()), strings_of(ends, ids.astype("<u4").tobytes(), pa.binary())], names=["key", "ids"])
 
 
 def encode(docs, key="doc_id", text="text", path=None, pattern=None, size=BLOCK):
-    """key and ids (little-endian unsigned 32-bit integers, binary) of every document."""
+    """key and ids (little-endian unsigned 32-bit integers, binary) of every document.
+
+    docs must give its rows in the same partitions and order whenever they are read, as a
+    table does; otherwise repeated tasks may end in an error.
+    """
     path, pattern = path or default_ranks(), pattern or default_pattern()
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    blocks = stored(pretokens(rows, pattern, size), "blocks")
-    exploded = things(blocks, "words", "word")
-    words = stored(encoded_words(exploded.select("word").distinct(), path), "words")
-    answers = exploded.join(words, "word").select("block", "code", "ids")
-    out = reassembled(blocks.select("block", "keys", "counts", "codes"), answers, _build, "key long, ids binary")
-    return out.withColumnRenamed("key", key)
+    blocks = pretokens(rows, pattern, size).repartition("block")
+    answers = answered(exploded(blocks).repartition("word").sortWithinPartitions("word"), path)
+    return reassembled(blocks, answers, _build, "key long, ids binary").withColumnRenamed("key", key)
 
 
 def decode(table, ids="ids", decoded="decoded", path=None):
