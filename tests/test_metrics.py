@@ -98,3 +98,29 @@ def test_contributions_sum_to_the_linear_score(spark):
     c = M.linear_contributions(df, {"a": 2.0, "b": -1.0}, ["id"]).orderBy("id").collect()
     mean = 2.0 * 2.0 - 6.0
     assert [r["a"] + r["b"] + mean for r in c] == pytest.approx([2 * i - i * i for i in range(5)])
+
+
+def test_ten_thousand_classes(spark):
+    df = spark.range(40_000).select((F.col("id") % 10_000).alias("y"), F.when(F.col("id") < 30_000, F.col("id") % 10_000).otherwise(0).alias("p"))
+    found = M.class_metrics(df, "y", "p")
+    assert found.count() == 10_000 and found.agg(F.sum("hits"), F.sum("support")).first() == (30_001, 40_000)
+    assert M.weighted_metrics(df, "y", "p").first()["accuracy"] == pytest.approx(30_001 / 40_000)
+
+
+def test_rows_without_a_side_do_not_count(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", None), (None, "b"), ("c", "a")], "y string, p string")
+    got = {r["label"]: (r["support"], r["hits"]) for r in M.class_metrics(df, "y", "p").collect()}
+    assert got == {"a": (1, 1), "b": (0, 0), "c": (1, 0)}
+    assert M.confusion_matrix(df, "y", "p").count() == 9
+    assert M.class_metrics(df, "y", "p", ["a"]).collect()[0]["support"] == 1
+
+
+def test_histogram_of_values_that_are_not_finite(spark):
+    from wardflow.operators.profile import histogram
+
+    known = [(float(i),) for i in range(100)]
+    df = spark.createDataFrame([*known, (float("nan"),), (float("inf"),), (float("-inf"),), (None,)], "x double")
+    rows = histogram(df, "x").orderBy("bin").collect()
+    assert [tuple(r) for r in rows][0] == (-1, None, 3)
+    assert [tuple(r) for r in rows][1:] == [tuple(r) for r in histogram(spark.createDataFrame(known, "x double"), "x").orderBy("bin").collect()]
+    assert [tuple(r) for r in histogram(df.filter("isnan(x)"), "x").collect()][0] == (-1, None, 1)

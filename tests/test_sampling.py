@@ -1,6 +1,7 @@
 """Splits, samples, folds and cohorts: exact sizes, whole groups, same result on every layout."""
 
 import hashlib
+import math
 import random
 
 import pytest
@@ -149,3 +150,29 @@ def test_strata_of_four_classes(spark):
     df = spark.range(400).withColumn("c", (F.col("id") % 4).cast("int"))
     got = G.stratified_sample(df, "id", 40, by="c").groupBy("c").count().collect()
     assert sorted(map(tuple, got)) == [(c, 10) for c in range(4)]
+
+
+def test_keys_of_several_columns_are_told_apart(spark):
+    rows = [("p", "1|2"), ("p|1", "2"), ("p", None), ("p", ""), (None, "p"), ("", "p"), ("1:p", "-"), ("-", "1:p")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.select(G.hash_of(["a", "b"], "s")).distinct().count() == len(rows)
+    for i in range(0, len(rows), 2):
+        pair = spark.createDataFrame(rows[i : i + 2], "a string, b string")
+        assert G.row_split(pair, ["a", "b"], 0.5).filter("side = 'test'").count() == 1
+
+
+@pytest.mark.parametrize("bucket", [1, 3, 1_000_000])
+def test_cuts_by_longer_prefixes(spark, bucket):
+    df = spark.range(500)
+    hashes = sorted(r[0] for r in df.select(G.hash_of("id", "s")).collect())
+    for share in (0.002, 0.3, 1.0):
+        cuts = G.hash_cuts(df, "id", "s", G.share_of_total(share), digits=1, bucket=bucket)
+        assert cuts == {0: hashes[math.ceil(500 * share) - 1]}
+
+
+def test_strata_of_very_many_classes(spark):
+    df = spark.range(30_000).withColumn("c", F.col("id") % 10_000)
+    got = G.stratified_sample(df, "id", 10_000, by="c")
+    assert got.count() == 10_000 and got.select("c").distinct().count() == 10_000
+    few = G.stratified_sample(df, "id", 20, by="c", classes=[1, 2, 3])
+    assert few.count() == 9

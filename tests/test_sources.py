@@ -174,3 +174,26 @@ def test_request_round_trip(spark, psv):
     assert rejects.count() == 0
     names = S.REQUEST_COLUMNS
     assert sorted(map(str, rows.select(names).collect())) == sorted(map(str, df.select(names).collect()))
+
+
+def test_two_writers_get_a_version_each(spark, tmp_path):
+    from multiprocessing.pool import ThreadPool
+
+    data = [writers.Versioned(spark, f"{tmp_path}/data") for _ in range(6)]
+    staged = [d.stage(spark.range(i + 1)) for i, d in enumerate(data)]
+    with ThreadPool(6) as pool:
+        pool.map(lambda x: x[0].switch(x[1]), zip(data, staged))
+    pointers = data[0]._pointers().orderBy("version").collect()
+    assert [p["version"] for p in pointers] == [1, 2, 3, 4, 5, 6]
+    assert {p["path"] for p in pointers} == set(staged)
+    assert [p["parent"] for p in pointers] == [None, 1, 2, 3, 4, 5]
+
+
+def test_a_batch_is_in_the_log_once(spark, tmp_path):
+    log = writers.BatchLog(spark, f"{tmp_path}/log")
+    for batch, n in ((0, 3), (1, 4), (0, 3)):
+        assert log.append(spark.range(n).withColumn("created_at", F.current_timestamp()), batch).count() == n
+    spark.range(50).withColumn("created_at", F.current_timestamp()).write.parquet(f"{log.folder}/rows/batch=2/attempt=a-lost")
+    got = {r["batch"]: r["count"] for r in log.read().groupBy("batch").count().collect()}
+    assert got == {0: 3, 1: 4}
+    assert not writers.create_file(spark, f"{log.folder}/ledger/0.json", "{}")

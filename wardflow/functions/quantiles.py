@@ -1,78 +1,115 @@
-"""Exact interpolated quantiles in two scans, without a buffer of all distinct values."""
+"""Exact interpolated quantiles by narrowing brackets, without ordering the rows."""
 
 import math
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+class _Search:
+    """One column and share: the wanted ranks and the open bracket (low, high) that holds those
+    that are not known yet. `base` rows are at low or below, `inside` lie in the bracket."""
+
+    def __init__(self, column, share, n):
+        at = share * (n - 1)
+        self.column, self.share, self.weight = column, share, at - math.floor(at)
+        self.ranks, self.known = {math.floor(at), math.ceil(at)} if n else set(), {}
+        self.ends = (math.floor(at), math.ceil(at))
+        self.low = self.high = None
+        self.base, self.inside = 0, n
+
+    def open_ranks(self):
+        return sorted(self.ranks - set(self.known))
+
+    def value(self):
+        if not self.ranks:
+            return None
+        low, high = (self.known[r] for r in self.ends)
+        return low if self.weight == 0 or low == high else low + (high - low) * self.weight
+
+
+def _inside(c, low, high):
+    """SQL: the value of a column if it lies in the open bracket, else null."""
+    tests = [f"{c} > double('{low}')"] if low is not None else []
+    tests += [f"{c} < double('{high}')"] if high is not None else []
+    return f"CASE WHEN {' AND '.join(tests) or 'true'} THEN {c} END"
+
+
+def _narrow(df, searches, accuracy):
+    """One scan: a new bracket for each search, from a sketch of the values in the old one.
+
+    A sketch of this accuracy misses a rank by inside / accuracy at most, so the new
+    bracket holds the ranks, and 10 / accuracy of the rows at most lie strictly in it.
+    """
+    margin, wanted = 4.0 / accuracy, []
+    for i, s in enumerate(searches):
+        ranks = s.open_ranks()
+        shares = max((ranks[0] - s.base) / s.inside - margin, 0.0), min((ranks[-1] - s.base + 1) / s.inside + margin, 1.0)
+        x = _inside(f"cast(`{s.column}` AS double)", s.low, s.high)
+        wanted.append(F.expr(f"percentile_approx({x}, array({shares[0]!r}D, {shares[1]!r}D), {accuracy})").alias(f"e{i}"))
+    return [tuple(ends) for ends in df.agg(*wanted).first()]
+
+
+def _settle(df, searches, borders, accuracy):
+    """One scan: counts around the new brackets; their values too where those are few."""
+    wanted, few = [], [10 * s.inside <= accuracy * accuracy for s in searches]
+    for i, (s, (low, high)) in enumerate(zip(searches, borders)):
+        c = f"cast(`{s.column}` AS double)"
+        x = _inside(c, low, high)
+        counts = {"l": f"{c} < double('{low}')", "a": f"{c} = double('{low}')", "m": f"({x}) IS NOT NULL", "b": f"{c} = double('{high}')"}
+        if low is None:  # the whole column
+            counts.update({k: "false" for k in "lab"})
+        wanted += [F.expr(f"count_if({test})").alias(f"{k}{i}") for k, test in counts.items()]
+        if few[i]:
+            wanted.append(F.expr(f"sort_array(collect_list({x}))").alias(f"v{i}"))
+    row = df.agg(*wanted).first()
+    for i, (s, (low, high)) in enumerate(zip(searches, borders)):
+        below, at_low, middle, at_high = (row[f"{k}{i}"] for k in "lamb")
+        at_high = 0 if low == high else at_high
+        for rank in s.open_ranks():
+            if rank < below or rank >= below + at_low + middle + at_high:
+                raise ValueError("quantile bracket missed its rank; use a higher accuracy")
+            if rank < below + at_low:
+                s.known[rank] = low
+            elif rank >= below + at_low + middle:
+                s.known[rank] = high
+            elif few[i]:
+                s.known[rank] = row[f"v{i}"][rank - below - at_low]
+        s.low, s.high, s.base, s.inside = low, high, below + at_low, middle
+
+
 def exact_quantiles(df, columns, shares=(0.5,), accuracy=10_000, stats=None):
     """Rows (column_name, share, value) with linear interpolation between neighbours.
 
-    The first scan brackets each wanted rank with a mergeable sketch and returns a
-    few numbers per column. The second counts the values below the bracket and keeps
-    the value counts inside it, about 8/accuracy of the rows. Columns with at most
-    `accuracy` values need no bracket. `stats` maps further result columns to
-    SQL aggregates of {c} with their type, which the first scan computes as well.
+    Runs when called, in scans that handle all columns and shares at once. A mergeable
+    sketch brackets the wanted ranks; a second scan counts what is below the bracket and,
+    once it holds `accuracy` values at most, fetches them. That is two scans up to
+    accuracy ** 2 / 10 rows; above, sketch and count are repeated inside the bracket. No
+    scan holds more than `accuracy` values of a column and share. `stats` maps further
+    result columns to SQL aggregates of {c} with their type, which the first scan computes.
     """
-    spark, margin, stats = df.sparkSession, 4.0 / accuracy, stats or {}
-    wanted_ends = ", ".join(f"{p!r}D" for q in shares for p in (max(q - margin, 0.0), min(q + margin, 1.0)))
+    spark, stats = df.sparkSession, stats or {}
+    margin = 4.0 / accuracy
+    ends = ", ".join(f"{p!r}D" for q in shares for p in (max(q - margin, 0.0), min(q + margin, 1.0)))
 
     def measures(c):
-        fields = {"n": "count({c})", "ends": f"percentile_approx(cast({{c}} AS double), array({wanted_ends}), {accuracy})"}
+        fields = {"n": "count({c})", "ends": f"percentile_approx(cast({{c}} AS double), array({ends}), {accuracy})"}
         fields.update({s: f"cast({aggregate} AS {kind})" for s, (aggregate, kind) in stats.items()})
         body = ", ".join(f"'{s}', {sql}" for s, sql in fields.items())
         return F.expr(f"named_struct({body})".format(c=f"`{c}`")).alias(c)
 
     first = df.agg(*map(measures, columns)).first()
-
-    pieces, wanted, known = [], [], []
-    for c in columns:
-        n, borders = first[c]["n"], first[c]["ends"]
-        if 0 < n <= accuracy:
-            pieces.append(_piece(len(pieces), c, None, None))
-        for i, q in enumerate(shares):
-            if n > accuracy:
-                pieces.append(_piece(len(pieces), c, borders[2 * i], borders[2 * i + 1]))
-            at = q * (n - 1)
-            if n > 0:
-                wanted.append((len(pieces) - 1, c, q, math.floor(at), math.ceil(at), at - math.floor(at)))
-            known.append((c, q, *[first[c][s] for s in stats]))
-    fields = ["column_name string", "share double", *[f"{s} {kind}" for s, (_, kind) in stats.items()]]
-    known = spark.createDataFrame(known, ", ".join(fields))
-    if not pieces:
-        return known.withColumn("value", F.lit(None).cast("double")).select("column_name", "share", "value", *stats)
-
-    counted = (
-        df.select(F.inline(F.array(*pieces)))
-        .filter("keep")
-        .groupBy("piece", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = W.partitionBy("piece").orderBy(F.col("v").asc_nulls_first())
-    ranked = counted.withColumn("upto", F.sum("n").over(upto))
-    ranks = spark.createDataFrame(
-        wanted, "piece int, column_name string, share double, below bigint, above bigint, weight double"
-    )
-    missed = F.raise_error(F.lit("quantile bracket missed its rank; use a higher accuracy"))
-    low, high = (F.min(F.when(F.col("upto") > F.col(rank), F.col("v"))) for rank in ("below", "above"))
-    short = F.max("upto") <= F.max("above")
-    early = F.coalesce(F.max(F.when(F.col("v").isNull(), F.col("upto"))), F.lit(0)) > F.min("below")
-    values = (
-        ranked.join(F.broadcast(ranks), "piece")  # columns * shares rows
-        .groupBy("column_name", "share")
-        .agg(
-            F.when(short | early, missed.cast("double"))
-            .otherwise(low + (high - low) * F.max("weight"))
-            .alias("value")
-        )
-    )
-    return known.join(values, ["column_name", "share"], "left").select("column_name", "share", "value", *stats)
-
-
-def _piece(number, column, low, high):
-    """One value of a column for the second scan: null stands for everything below the bracket."""
-    c = f"cast(`{column}` AS double)"
-    keep = f"{c} IS NOT NULL" if high is None else f"coalesce({c} <= double('{high}'), false)"
-    v = c if low is None else f"CASE WHEN {c} >= double('{low}') THEN {c} END"
-    return F.expr(f"named_struct('piece', {number}, 'v', {v}, 'keep', {keep})")
+    found = [_Search(c, q, first[c]["n"]) for c in columns for q in shares]
+    left = [s for s in found if s.open_ranks()]
+    borders = {}
+    for s in left:
+        at = 2 * list(shares).index(s.share)
+        # few rows need no bracket, and their ranks lie too far apart for the margin
+        borders[id(s)] = (None, None) if s.inside <= accuracy else tuple(first[s.column]["ends"][at : at + 2])
+    while left:
+        _settle(df, left, [borders[id(s)] for s in left], accuracy)
+        left = [s for s in left if s.open_ranks()]
+        if left:
+            borders = dict(zip(map(id, left), _narrow(df, left, accuracy)))
+    fields = ["column_name string", "share double", "value double", *[f"{s} {kind}" for s, (_, kind) in stats.items()]]
+    rows = [(s.column, s.share, s.value(), *[first[s.column][x] for x in stats]) for s in found]
+    return spark.createDataFrame(rows, ", ".join(fields))

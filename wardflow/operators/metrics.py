@@ -11,33 +11,36 @@ def _inline(df, rows):
     return df.select(F.inline(F.array(*rows)))
 
 
-def classes_of(df, *columns):
-    """The labels in the columns, sorted; 0 and 1 are always among them where nothing else is."""
-    sets = df.agg(*[F.collect_set(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    found = set().union(*sets)
-    return sorted(found | {0, 1} if found <= {0, 1} else found)
+def _cells(df, truth, guess):
+    """(y_true, y_pred, n) of the pairs that occur, nulls among them: one aggregate, combined on the map side."""
+    return df.groupBy(F.col(truth).alias("y_true"), F.col(guess).alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _labels(cells, classes):
+    """The classes as rows: those listed, else all in the cells; 0 and 1 are always among them
+    where nothing else is."""
+    found = cells.select(F.explode(F.array("y_true", "y_pred")).alias("label")).filter("label is not null").distinct()
+    kind = found.schema["label"].dataType
+    if classes is not None:
+        rows = cells.sparkSession.createDataFrame([(c,) for c in classes], "label " + ("string" if kind.typeName() == "string" else "bigint"))
+        return rows.select(F.col("label").cast(kind))
+    if kind.typeName() == "string":
+        return found
+    only = F.coalesce(F.every(F.col("label").isin(0, 1)), F.lit(True))
+    pair = found.agg(only.alias("only")).filter("only").select(F.explode(F.array(F.lit(0).cast(kind), F.lit(1).cast(kind))).alias("label"))
+    return found.unionByName(pair).distinct()
 
 
 def confusion_matrix(df, truth, guess, classes=None):
-    """All (truth, prediction) pairs of the classes with their counts, in one aggregate.
+    """All (truth, prediction) pairs of the classes with their counts.
 
-    Without a list of classes, one more aggregate takes them from both columns.
+    Without a list of classes, both columns give them. The pairs that occur are counted, and
+    the result, a row for every pair of classes, is filled up with zeros.
     """
-    classes = classes_of(df, truth, guess) if classes is None else classes
-    pairs = [(a, b) for a in classes for b in classes]
-    counts = df.agg(
-        *[
-            F.count_if((F.col(truth) == a) & (F.col(guess) == b)).alias(f"n{i}")
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    return _inline(
-        counts,
-        [
-            F.struct(F.lit(a).alias("y_true"), F.lit(b).alias("y_pred"), F.col(f"n{i}").alias("n"))
-            for i, (a, b) in enumerate(pairs)
-        ],
-    )
+    cells = _cells(df, truth, guess)
+    labels = _labels(cells, classes)
+    pairs = labels.select(F.col("label").alias("y_true")).crossJoin(labels.select(F.col("label").alias("y_pred")))
+    return pairs.join(cells, ["y_true", "y_pred"], "left").select("y_true", "y_pred", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _ratio(a, b):
@@ -45,19 +48,26 @@ def _ratio(a, b):
 
 
 def class_metrics(df, truth, guess, classes=None):
-    """Per class: support, hits, precision, recall, f1; 0 where a denominator is 0."""
-    cells = confusion_matrix(df, truth, guess, classes)
-    n = F.col("n")
-    sides = cells.select(
+    """Per class: support, hits, precision, recall, f1; 0 where a denominator is 0.
+
+    Works on the pairs that occur, so there may be any number of classes. Rows without a
+    truth or a prediction, or with one that is not listed, do not count.
+    """
+    cells, n, zero = _cells(df, truth, guess), F.col("n"), F.lit(0).cast("bigint")
+    labels = _labels(cells, classes)
+    known = cells.filter("y_true is not null and y_pred is not null")
+    if classes is not None:
+        known = known.filter(F.col("y_true").isin(*classes) & F.col("y_pred").isin(*classes))
+    sides = known.select(
         F.inline(
             F.array(
-                F.struct(F.col("y_true").alias("label"), n.alias("s"), F.lit(0).cast("bigint").alias("p"),
+                F.struct(F.col("y_true").alias("label"), n.alias("s"), zero.alias("p"),
                          F.when(F.col("y_true") == F.col("y_pred"), n).otherwise(0).alias("t")),
-                F.struct(F.col("y_pred").alias("label"), F.lit(0).cast("bigint").alias("s"), n.alias("p"),
-                         F.lit(0).cast("bigint").alias("t")),
+                F.struct(F.col("y_pred").alias("label"), zero.alias("s"), n.alias("p"), zero.alias("t")),
             )
         )
     )
+    sides = sides.unionByName(labels.select("label", zero.alias("s"), zero.alias("p"), zero.alias("t")))
     per_class = sides.groupBy("label").agg(
         F.sum("s").alias("support"), F.sum("p").alias("predicted"), F.sum("t").alias("hits")
     )

@@ -141,22 +141,25 @@ def shape(df):
 
 
 def histogram(df, column, bins=10):
-    """Equal bins between the extremes, the last one closed, empty bins kept."""
+    """Equal bins between the extremes of the finite values, the last one closed, empty bins kept.
+
+    Where there are NaN or infinite values, bin -1 without a lower border counts them; nulls
+    are not counted.
+    """
     x = F.col(column).cast("double")
-    lo, hi = df.agg(F.min(x), F.max(x)).first()
+    odd = F.isnan(x) | (F.abs(x) == float("inf"))
+    lo, hi = df.filter(~odd).agg(F.min(x), F.max(x)).first()
     width = (hi - lo) / bins if hi is not None else 0.0
     at = F.least(F.floor((x - F.lit(lo)) / width), F.lit(bins - 1)) if width else x * 0
-    counts = df.select(at.alias("_bin")).agg(
-        *[F.count_if(F.col("_bin") == i).alias(f"n{i}") for i in range(bins)]
-    )
-    return _inline(
-        counts,
-        [
-            F.struct(
-                F.lit(i).alias("bin"),
-                (F.lit(lo).cast("double") + width * i).alias("lower"),
-                F.col(f"n{i}").alias("n"),
-            )
-            for i in range(bins)
-        ],
+    counts = df.select(F.when(odd, -1).when(x.isNotNull(), at).alias("_bin")).agg(
+        *[F.count_if(F.col("_bin") == i).alias(f"n{i}") for i in range(-1, bins)]
     )
+    rows = [
+        F.struct(
+            F.lit(i).alias("bin"),
+            (F.lit(lo).cast("double") + width * i if i >= 0 else F.lit(None).cast("double")).alias("lower"),
+            F.col(f"n{i}").alias("n"),
+        )
+        for i in range(-1, bins)
+    ]
+    return _inline(counts, rows).filter("bin >= 0 OR n > 0")

@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 from wardflow import schema as S
 
 DIGITS = 4  # hash digits per bucket: 65,536 buckets per class
+BUCKET = 1_000_000  # rows of a bucket that one task sorts for a cut
 
 
 def hash_of(key, seed):
-    names = [key] if isinstance(key, str) else list(key)
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.concat_ws("|", *[F.col(c).cast("string") for c in names])))
+    """md5 of the seed and the key. Keys of several columns are told apart by the lengths of
+    their parts, and null is not the empty text; a key of one column is its text."""
+    if isinstance(key, str) or len(key) == 1:
+        whole = F.col(key if isinstance(key, str) else key[0]).cast("string")
+        return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(whole, F.lit(""))))
+    parts = [F.col(c).cast("string") for c in key]
+    return F.md5(F.concat(F.lit(f"{seed}|"), *[F.coalesce(F.concat(F.length(p), F.lit(":"), p), F.lit("-")) for p in parts]))
 
 
 def hash_rank(df, key, seed, by=(), digits=DIGITS, name="position", total=None):
@@ -46,37 +52,71 @@ def hash_rank(df, key, seed, by=(), digits=DIGITS, name="position", total=None):
     )
 
 
-def hash_cuts(df, key, seed, quota, by=None, classes=(0,), digits=DIGITS):
-    """Hash value of the last sampled row, for each listed class with a quota above 0.
+def _hashed(df, key, seed, by):
+    return df.select((F.col(by) if by else F.lit(0)).alias("_class"), hash_of(key, seed).alias("_h"))
 
-    quota(totals) gets a small table (_class, total) and adds the column `quota`.
-    Counts per hash prefix find the bucket that holds the cut; only that bucket is
-    sorted. What returns to the driver is one value per listed class.
-    """
-    cls = F.col(by) if by else F.lit(0)
-    rows = (
-        df.select(cls.alias("_class"), hash_of(key, seed).alias("_h"))
-        .filter(F.col("_class").isin(*classes))
-        .withColumn("_b", F.substring("_h", 1, digits))
-    )
-    buckets = rows.groupBy("_class", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    totals = buckets.groupBy("_class").agg(F.sum("_n").alias("total"))
-    quotas = quota(totals).select("_class", F.least("quota", "total").alias("quota"))
+
+def _cut_buckets(rows, quotas, digits):
+    """(_class, _b, _k, _n) of the bucket that holds the cut of each class: its hash prefix,
+    the wanted position in it and its size. quotas: (_class, quota)."""
+    buckets = rows.groupBy("_class", F.substring("_h", 1, digits).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     running = F.sum("_n").over(W.partitionBy("_class").orderBy("_b"))
-    cut_bucket = (
+    return (
         buckets.withColumn("_upto", running)
-        .join(F.broadcast(quotas), "_class")  # one row per listed class
+        .join(quotas, "_class")
         .filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
-        .select("_class", "_b", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_k"))
+        .select("_class", "_b", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_k"), "_n")
     )
+
+
+def _within(rows, cuts, digits):
+    """The rows in the buckets of cuts, with the columns _k and _n of their class."""
+    prefix = F.substring("_h", 1, digits)
+    return rows.withColumn("_b", prefix).join(cuts, ["_class", "_b"])
+
+
+def _quotas(rows, quota):
+    totals = rows.groupBy("_class").agg(F.count(F.lit(1)).alias("total"))
+    return quota(totals).select("_class", F.least("quota", "total").alias("quota"))
+
+
+def hash_cut_table(df, key, seed, quota, by, digits=DIGITS):
+    """(_class, _h): hash value of the last sampled row of each class with a quota above 0, for
+    any number of classes. A class has 16 ** digits buckets, and the one of its cut is sorted."""
+    rows = _hashed(df, key, seed, by).filter("_class is not null")
+    found = _within(rows, _cut_buckets(rows, _quotas(rows, quota), digits), digits)
     inside = W.partitionBy("_class").orderBy("_h")
-    cuts = (
-        rows.join(F.broadcast(cut_bucket), ["_class", "_b"])  # one row per listed class
-        .withColumn("_r", F.row_number().over(inside))
-        .filter("_r = _k")
-        .select("_class", "_h")
-    )
-    return dict(map(tuple, cuts.collect()))
+    return found.withColumn("_r", F.row_number().over(inside)).filter("_r = _k").select("_class", "_h")
+
+
+def hash_cuts(df, key, seed, quota, by=None, classes=(0,), digits=DIGITS, bucket=BUCKET):
+    """Hash value of the last sampled row, for each listed class with a quota above 0.
+
+    quota(totals) gets a small table (_class, total) and adds the column `quota`. Counts
+    per hash prefix find the bucket that holds the cut; while it has more than `bucket` rows,
+    it is counted again by a longer prefix. Only that bucket is sorted. What returns to the
+    driver is one row per listed class and round.
+    """
+    spark, out = df.sparkSession, {}
+    rows = _hashed(df, key, seed, by).filter(F.col("_class").isin(*classes))
+    kind = rows.schema["_class"].dataType.simpleString()
+    inside = W.partitionBy("_class").orderBy("_h")
+    cuts = _cut_buckets(rows, F.broadcast(_quotas(rows, quota)), digits).collect()
+    while cuts:
+        table = F.broadcast(spark.createDataFrame(cuts, f"_class {kind}, _b string, _k bigint, _n bigint"))
+        held, ready = _within(rows, table, digits), F.col("_n") <= bucket
+        if digits >= 32:
+            ready = F.lit(True)
+        found = held.filter(ready).withColumn("_r", F.row_number().over(inside)).filter("_r = _k")
+        out.update(tuple(r) for r in found.select("_class", "_h").collect())
+        left = [r for r in cuts if r["_class"] not in out]
+        if not left:
+            break
+        quotas = spark.createDataFrame([(r["_class"], r["_k"]) for r in left], f"_class {kind}, quota bigint")
+        rows = held.filter(~ready).select("_class", "_h")
+        digits = min(digits + DIGITS, 32)
+        cuts = _cut_buckets(rows, F.broadcast(quotas), digits).collect()
+    return out
 
 
 def in_sample(cuts, key, seed, by=None):
@@ -151,12 +191,13 @@ def largest_remainder(draws):
 def stratified_sample(df, key, draws, by=S.LABEL, classes=None, seed="strata"):
     """Exactly `draws` rows with class shares kept, ties of remainders to the lower class.
 
-    Without a list of classes, they are taken from the data.
+    Without a list of classes, all in the data count, however many; their cuts are joined.
     """
-    if classes is None:
-        classes = sorted(r[0] for r in df.select(by).filter(F.col(by).isNotNull()).distinct().collect())
-    cuts = hash_cuts(df, key, seed, largest_remainder(draws), by=by, classes=classes)
-    return df.filter(in_sample(cuts, key, seed, by))
+    if classes is not None:
+        return df.filter(in_sample(hash_cuts(df, key, seed, largest_remainder(draws), by=by, classes=classes), key, seed, by))
+    cuts = hash_cut_table(df, key, seed, largest_remainder(draws), by)
+    cuts = cuts.select(F.col("_class").alias("_cut_class"), F.col("_h").alias("_cut"))
+    return df.join(cuts, F.col(by) == F.col("_cut_class")).filter(hash_of(key, seed) <= F.col("_cut")).drop("_cut_class", "_cut")
 
 
 def assign_folds(df, key, folds=5, by=S.LABEL, seed="folds", name="fold"):

@@ -149,6 +149,7 @@ def score_requests(spark, rows, artifacts, model=None):
     return out.join(listed, "request", "left")
 
 
-def monitor_requests(df, profile):
-    """Findings of logged requests against the profile; the label is not expected there."""
-    return V.monitor(df.drop("created_at"), profile["schema"], profile["statistics"], profile["values"])
+def monitor_requests(logged, profile):
+    """Findings of logged request rows against the profile; the label is not expected there."""
+    rows = logged.select(*[c for c in S.REQUEST_COLUMNS if c in logged.columns])
+    return V.monitor(rows, profile["schema"], profile["statistics"], profile["values"])

@@ -220,8 +220,8 @@ def patient_split_training(spark, folder):
 
 def event_stream(spark, folder):
     schema = table(spark, folder, "events").schema
-    # a pattern, so that the table may be one file or a folder of files
-    return streams.file_stream(spark, f"{folder}/events.parquet*", schema, "parquet")
+    # a pattern for just this name, because a stream takes one file by a pattern only
+    return streams.file_stream(spark, f"{folder}/events.parque[t]", schema, "parquet")
 
 
 @query
@@ -278,4 +278,41 @@ def stream_score(spark, folder):
     return log.select("request", "n_input_rows")
 
 
+def logged_requests(spark, lines):
+    """Request lines streamed in batches of one file each; the log of their rows as received."""
+    out = new_folder(spark, "requests")
+    writers.save_table(lines.withColumn("arrived", F.current_timestamp()).repartition(4, "request"), f"{out}/lines")
+    stream = streams.file_stream(spark, f"{out}/lines", spark.read.parquet(f"{out}/lines").schema, "parquet", files_per_batch=1)
+    none = F.lit(None).cast("int").alias("prediction")
+    streams.score_stream(stream, lambda rows: rows.select("request", "row", "arrived", none), f"{out}/out", f"{out}/checkpoint")
+    return streams.request_log(spark, f"{out}/out")
+
+
+@query
+def request_log(spark, folder):
+    """Logged request rows, after a batch came twice and an attempt was left unfinished."""
+    log = logged_requests(spark, request_lines(spark, folder))
+    again = materialize(log.read().filter("batch = 0").drop("batch"))
+    log.append(again, 0)
+    again.write.parquet(f"{log.folder}/rows/batch=0/attempt=a-unfinished")
+    return log.read().select(*S.REQUEST_COLUMNS)
+
+
+@query
+def request_log_monitor(spark, folder):
+    """Findings in the logged requests of one half of the patients against the other half's profile."""
+    halves = G.group_split(drop_parts(raw_observations(spark, folder)), share=0.5)
+    base, new = (halves.filter(F.col("side") == s).drop("side") for s in ("train", "test"))
+    recorded = base.select(*S.REQUEST_COLUMNS)
+    profile = {
+        "schema": R.recorded_schema(recorded),
+        "statistics": R.profile_numeric(recorded, S.numeric_columns(recorded)),
+        "values": R.profile_values(recorded, []),
+    }
+    rows = new.withColumns({"request": F.col(S.KEY), "row": F.col(S.HOUR) - 1})
+    log = logged_requests(spark, as_request(rows, S.REQUEST_COLUMNS))
+    found = jobs.monitor_requests(log.read(), profile)
+    return rounded(found.withColumn("expected", F.col("expected").cast("double")), "expected").select("rule", "column_name", "severity", "expected")
+
+
 MODEL_QUERIES = [n for n, f in QUERIES.items() if f.__module__ == __name__]

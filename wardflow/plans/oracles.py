@@ -6,6 +6,7 @@ Single windows and plain aggregates throughout: these state what the result is.
 from wardflow import schema as S
 
 VALUES = ["HR", "Temp", "MAP", "BUN", "WBC", "Hct", "AST"]
+NUMERIC = [*VALUES, "ICULOS", "Age", "Gender", "Unit1", "Unit2", "HospAdmTime"]
 SCALED = ["HR", "Temp", "MAP", "BUN", "Hct", "WBC"]
 TYPES = {
     "Patient_ID": "object", "ICULOS": "int64", "HR": "float64", "Temp": "float64", "MAP": "float64",
@@ -296,9 +297,11 @@ ORACLES = {
         round(avg(CASE WHEN side = 'test' THEN cast(SepsisLabel = prediction AS integer) END), 6) AS new_recall FROM scored GROUP BY Gender)
         SELECT Gender, old_recall, new_recall, round(100 * (old_recall - new_recall) / old_recall, 6) AS recall_change,
         CASE WHEN 100 * (old_recall - new_recall) / old_recall > 5 THEN 'retrain' WHEN 100 * (old_recall - new_recall) / old_recall > 3 THEN 'warn' ELSE 'keep' END AS decision FROM recalls""",
-    "next_step": f"""{HALVES}, recorded AS ({profile(["HR", "WBC"], "sides", "WHERE side = 'train'")}),
-        observed AS ({profile(["HR", "WBC"], "sides", "WHERE side = 'test'")}), findings AS ({stat_checks()})
-        SELECT count(*) AS findings, cast(0 AS bigint) AS blocking, 'score_batch' AS action FROM findings""",
+    "next_step": f"""{HALVES}, recorded AS ({profile(NUMERIC, "sides", "WHERE side = 'train'")}),
+        observed AS ({profile(NUMERIC, "sides", "WHERE side = 'test'")}), findings AS (SELECT severity FROM ({stat_checks()})
+        UNION ALL SELECT 'error' FROM sides WHERE side = 'test' AND event_id % 100 = 0 HAVING count(*) > 0)
+        SELECT count(*) AS findings, count(*) FILTER (WHERE severity = 'error') AS blocking,
+        CASE WHEN count(*) FILTER (WHERE severity = 'error') > 0 THEN 'alert' ELSE 'score_batch' END AS action FROM findings""",
     "next_batch": """SELECT concat('batch-', n) AS batch, n AS number, concat('batch-', n + 1) AS next_batch,
         CASE WHEN n > 3 THEN 'stop' ELSE 'run' END AS state FROM (SELECT DISTINCT user_id % 5 + 1 AS n FROM events)""",
     "confusion_matrix": f"WITH {confusion('labels', 'quality', 'toxic')} SELECT y_true, y_pred, n FROM cells",
@@ -401,8 +404,8 @@ ORACLES.update(
 
 ORACLES.update(
     {
-        "alert_text": f"""{HALVES}, recorded AS ({profile(["HR", "WBC", "ICULOS"], "sides", "WHERE side = 'train'")}),
-        observed AS ({profile(["HR", "WBC", "ICULOS"], "sides", "WHERE side = 'test'")}), findings AS ({stat_checks()})
+        "alert_text": f"""{HALVES}, recorded AS ({profile(NUMERIC, "sides", "WHERE side = 'train'")}),
+        observed AS ({profile(NUMERIC, "sides", "WHERE side = 'test'")}), findings AS ({stat_checks()})
         SELECT rule, column_name, concat('Validation of schema and statistics failed [monitor] ', severity, ': column ', column_name,
         ', rule ', rule, ', expected ', cast(expected AS varchar), ', observed ', cast(observed AS varchar)) AS message FROM findings""",
         "stream_drift": f"""WITH recorded AS ({profile(["event_id", "user_id", "value"], "events", "WHERE event_type = 'error'")}),
@@ -412,3 +415,15 @@ ORACLES.update(
         HAVING count(DISTINCT event_type) > 1""",
     }
 )
+
+REQUESTED = [*S.MEASUREMENTS, "Age", "Gender", "Unit1", "Unit2", "HospAdmTime", "ICULOS"]
+QUOTED = [f'"{c}"' for c in REQUESTED]
+
+ORACLES.update(
+    {
+        "request_log": f"{ALL_RAW} SELECT * EXCLUDE (SepsisLabel) FROM raw",
+        "request_log_monitor": f"""{ALL_RAW}, {sides("raw", "Patient_ID", "split", 0.5)},
+        recorded AS ({profile(QUOTED, "sides", "WHERE side = 'train'")}), observed AS ({profile(QUOTED, "sides", "WHERE side = 'test'")}),
+        findings AS ({stat_checks()}) SELECT rule, replace(column_name, '"', '') AS column_name, severity, expected FROM findings""",
+    }
+)

@@ -1,7 +1,10 @@
 """Sinks: tables, JSON artifacts, append-only logs, and versioned tables with a pointer."""
 
+import json
+import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from wardflow import schema as S
@@ -80,21 +83,96 @@ class Versioned:
         df.write.parquet(path)
         return path
 
-    def _point(self, path, parent):
-        pointer = self.spark.createDataFrame([(self._current()[0] + 1, path, parent)], POINTER)
-        pointer.coalesce(1).write.mode("append").json(f"{self.folder}/pointers")
+    def _point(self, path, parent, version):
+        """Publish the next version, if nobody else has meanwhile: its file is created or exists."""
+        pointer = json.dumps({"version": version, "path": path, "parent": parent})
+        if not create_file(self.spark, f"{self.folder}/pointers/{version:012d}.json", pointer):
+            raise Conflict(f"version {version} was published by another writer")
 
     def switch(self, path):
-        """Make a staged version the current one; the version before it becomes its parent."""
-        self._point(path, self._current()[0] or None)
+        """Make a staged version the current one; the version before it becomes its parent.
+
+        Of two writers that switch at the same time both get a version of their own, one
+        after the other.
+        """
+        while True:
+            current = self._current()[0]
+            try:
+                return self._point(path, current or None, current + 1)
+            except Conflict:
+                continue
 
     def revert(self):
-        """Go back to the parent of the current version; repeated, to its parent, and so on."""
-        parent = self._current()[2]
+        """Go back to the parent of the current version; repeated, to its parent, and so on.
+        Raises Conflict when another writer published a version meanwhile."""
+        version, _, parent = self._current()
         row = self._pointers().filter(F.col("version") == parent).first() if parent else None
         if row is None:
             raise ValueError("there is no earlier version")
-        self._point(row["path"], row["parent"])
+        self._point(row["path"], row["parent"], version + 1)
+
+
+class BatchLog:
+    """An append-only table of numbered batches, each in it once or not at all.
+
+    A batch is written to a folder of its own and then entered in the ledger, by a file that
+    can be created once only. Readers take the folders in the ledger, so what a failed or
+    repeated attempt left behind does not count.
+    """
+
+    def __init__(self, spark, folder):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def append(self, df, batch):
+        """Add df as this batch, unless the ledger has it; returns the rows of the batch."""
+        entry = f"{self.folder}/ledger/{batch}.json"
+        if not exists(self.spark, entry):
+            attempt = f"a-{uuid.uuid4().hex}"
+            df.write.parquet(f"{self.folder}/rows/batch={batch}/attempt={attempt}")
+            create_file(self.spark, entry, json.dumps({"batch": batch, "attempt": attempt}))
+        return self.read().filter(F.col("batch") == batch).drop("batch")
+
+    def read(self):
+        """All rows of the batches in the ledger, with the number of their batch."""
+        ledger = self.spark.read.schema("batch bigint, attempt string").json(f"{self.folder}/ledger")
+        rows = self.spark.read.option("basePath", f"{self.folder}/rows").parquet(f"{self.folder}/rows")
+        rows = rows.withColumn("batch", F.col("batch").cast("bigint"))
+        return rows.join(ledger, ["batch", "attempt"], "left_semi").drop("attempt")
+
+
+class Conflict(Exception):
+    """Another writer was faster."""
+
+
+def create_file(spark, path, text):
+    """Create a file with this text; False if there is one already, which stays as it is.
+
+    The text is written beside it and moved to the name in one step that fails if the name is
+    taken: a link on a local disk, a rename without overwriting elsewhere.
+    """
+    java, name = spark._jvm.org.apache.hadoop.fs, path.rsplit("/", 1)
+    target, draft = java.Path(path), java.Path(f"{name[0]}/.{name[1]}-{uuid.uuid4().hex}")
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(target.getParent())
+    out = system.create(draft, False)
+    out.write(bytearray(f"{text}\n".encode()))
+    out.close()
+    try:
+        if system.getUri().getScheme() == "file":
+            os.link(draft.toUri().getPath(), target.toUri().getPath())
+        else:
+            context = java.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration())
+            no_options = spark.sparkContext._gateway.new_array(java.Options.Rename, 0)
+            context.rename(system.makeQualified(draft), system.makeQualified(target), no_options)
+    except FileExistsError:
+        return False
+    except Py4JJavaError as error:
+        if system.exists(target):
+            return False
+        raise error
+    finally:
+        system.delete(draft, False)
+    return True
 
 
 def publish(spark, staged, path):

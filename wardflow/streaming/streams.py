@@ -39,7 +39,7 @@ def ingest(stream, out, checkpoint):
 
 
 def per_batch(stream, work, out, checkpoint):
-    """Call work(batch, save) on every micro-batch; save(name, df) writes and re-reads a table of it.
+    """Call work(batch, save, number) on every micro-batch; save(name, df) writes and re-reads a table of it.
 
     Each table has one folder per batch. A batch that is repeated after a failure
     overwrites its folders, so nothing doubles.
@@ -51,7 +51,7 @@ def per_batch(stream, work, out, checkpoint):
             writers.save_table(df, path)
             return batch.sparkSession.read.parquet(path)
 
-        work(batch, save)
+        work(batch, save, batch_id)
 
     return _run(stream.writeStream.foreachBatch(write), checkpoint)
 
@@ -60,14 +60,18 @@ def score_stream(stream, score, out, checkpoint):
     """Score request lines: tables `scored`, `rejects`, `log` and, if score lists them, `anomalies` below `out`.
 
     score(rows) returns the rows with a prediction and their other columns. Latency is
-    the time from the arrival of a line (column arrived) to its scoring.
+    the time from the arrival of a line (column arrived) to its scoring. The parsed rows go,
+    as received and with the time of writing, to the request log (request_log), from which
+    the batch is scored; a repeated batch is in it once.
     """
 
-    def work(lines, save):
+    def work(lines, save, number):
         rows, rejects = parse_requests(lines, keep=["arrived"])
         save("rejects", rejects)
+        logged = request_log(lines.sparkSession, out).append(rows.withColumn("created_at", F.current_timestamp()), number)
         seconds = F.current_timestamp().cast("double") - F.col("arrived").cast("double")
-        scored = save("scored", score(rows).withColumns({"latency": seconds, "created_at": F.current_timestamp()}))
+        scored = score(logged.drop("created_at"))
+        scored = save("scored", scored.withColumns({"latency": seconds, "created_at": F.current_timestamp()}))
         save("log", M.scoring_log(scored, "request", "latency", "arrived"))
         if "anomalies" in scored.columns:
             save("anomalies", scored.select("request", F.inline("anomalies")).distinct())
@@ -75,10 +79,15 @@ def score_stream(stream, score, out, checkpoint):
     return per_batch(stream, work, out, checkpoint)
 
 
+def request_log(spark, out):
+    """The log of request rows that score_stream keeps below `out`."""
+    return writers.BatchLog(spark, f"{out}/requests")
+
+
 def drift_stream(stream, profile, out, checkpoint, skip=(S.LABEL,)):
     """Findings of every micro-batch against a saved profile."""
 
-    def work(batch, save):
+    def work(batch, save, number):
         save("findings", V.monitor(batch, profile["schema"], profile["statistics"], profile["values"], skip))
 
     return per_batch(stream, work, out, checkpoint)
