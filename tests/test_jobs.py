@@ -157,3 +157,27 @@ def test_windows_wait_for_late_rows(spark, tmp_path):
     assert run() == [("10:00", 3, 6.0), ("11:00", 1, 2.0)]
     land("c", ["2024-01-01 10:55:00"])
     assert run() == [("10:00", 3, 6.0), ("11:00", 1, 2.0)]
+
+
+def test_staged_boosting_equals_separate_fits(spark, halves, tmp_path):
+    """One fit for all numbers of rounds scores as fits of their own do, and is not repeated."""
+    scaled, _ = jobs.prepare_and_scale(halves[0].limit(3000))
+    train, _ = training.training_sets(scaled, jobs.ROW)
+    name, store = "Gradient_Boosted_Trees", f"{tmp_path}/search"
+    grid = {"maxIter": [1, 2, 4], "maxDepth": [2], "stepSize": [0.2]}
+    _, results = training.grid_search(train, name, grid, jobs.ROW, folds=2, store=store)
+    found = {r["params"]["maxIter"]: r for r in results.collect()}
+    for rounds in grid["maxIter"]:
+        one = training.grid_search(train, name, {**grid, "maxIter": [rounds]}, jobs.ROW, folds=2)[1].first()
+        assert one["fold_scores"] == pytest.approx(found[str(rounds)]["fold_scores"], abs=1e-12)
+    assert all(len(r["fold_scores"]) == 2 and r["training_time"] > 0 for r in found.values())
+    again = training.grid_search(train, name, grid, jobs.ROW, folds=2, store=store)[1].collect()
+    assert {r["params"]["maxIter"]: (r["fold_scores"], r["training_time"]) for r in again} == {k: (r["fold_scores"], r["training_time"]) for k, r in found.items()}
+
+
+def test_each_setting_has_its_own_time(spark, halves):
+    scaled, _ = jobs.prepare_and_scale(halves[0].limit(2000))
+    train, _ = training.training_sets(scaled, jobs.ROW)
+    grid = {"maxDepth": [1, 5], "minInstancesPerNode": [1, 2]}
+    _, results = training.grid_search(train, "Decision_Tree", grid, jobs.ROW, folds=2)
+    assert results.count() == 4 and results.select("training_time").distinct().count() == 4

@@ -1,10 +1,14 @@
 """Model training, grid search and selection with pyspark.ml."""
 
 import time
+from itertools import product
+from multiprocessing.pool import ThreadPool
 
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
@@ -12,7 +16,6 @@ from pyspark.ml.classification import (
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from wardflow import schema as S
@@ -20,8 +23,9 @@ from wardflow.operators import metrics as M
 from wardflow.operators.prepare import features_in
 from wardflow.operators.sampling import assign_folds, group_split, row_split, undersample
 from wardflow.session import materialize
+from wardflow.sources.writers import exists
 
-# The parameter grids of the full search. A tree depth of 30 stands for
+# The names of the families and the parameter grids of the full search. A tree depth of 30 stands for
 # no limit (the most Spark allows); rows per leaf stand in for rows per split.
 FULL_GRIDS = {
     "Random_Forest_Classifier": {"numTrees": [50, 100], "maxDepth": [10, 20], "minInstancesPerNode": [5, 7]},
@@ -59,15 +63,15 @@ def training_sets(prepared, key, seed="42", share=0.2, by_patient=False):
     return [sides.filter(F.col("side") == s).drop("side") for s in ("train", "test")]
 
 
-def param_grid(estimator, grid, n):
-    """Parameter maps; C of n training rows becomes the penalty 1 / (C * n)."""
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        if name == "C":
-            builder = builder.addGrid(estimator.regParam, [1.0 / (c * n) for c in values])
-        else:
-            builder = builder.addGrid(estimator.getParam(name), values)
-    return builder.build()
+def settings_of(grid, n):
+    """Every combination of the grid, in order; C of n training rows becomes the penalty 1 / (C * n)."""
+    out = []
+    for values in product(*grid.values()):
+        setting = dict(zip(grid, values))
+        if "C" in setting:
+            setting["regParam"] = 1.0 / (setting.pop("C") * n)
+        out.append(setting)
+    return out
 
 
 def fit(train, name, params=None, label=S.LABEL, seed=42):
@@ -79,38 +83,111 @@ def fit(train, name, params=None, label=S.LABEL, seed=42):
     return Pipeline(stages=[assembler, estimator]).fit(train)
 
 
-def grid_search(train, name, grid, key, folds=5, score="f1", label=S.LABEL, seed=42, parallelism=4):
+def _with(estimator, setting):
+    return estimator.copy({estimator.getParam(p): v for p, v in setting.items()})
+
+
+def shortened(model, rounds):
+    """The model that boosting would have stopped at after fewer rounds: its first trees.
+
+    Without row or feature samples a round depends on the rounds before it alone, so the
+    first trees of a long fit are the trees of a short one.
+    """
+    java, context = model._java_obj, SparkContext._active_spark_context
+    kind = context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    trees, weights = context._gateway.new_array(kind, rounds), context._gateway.new_array(context._jvm.double, rounds)
+    all_trees, all_weights = java.trees(), java.treeWeights()
+    for i in range(rounds):
+        trees[i], weights[i] = all_trees[i], all_weights[i]
+    short = context._jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), trees, weights)
+    out = GBTClassificationModel(short)
+    return out.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
+
+
+class _SearchTable:
+    """Scores of finished fits below a folder, one small file each, so that a search that was
+    stopped goes on where it was. Without a folder nothing is kept."""
+
+    FIELDS = "fit int, fold int, setting int, score double, seconds double"
+
+    def __init__(self, spark, folder):
+        self.spark, self.folder = spark, folder
+        self.known = {}
+        if folder and exists(spark, folder):
+            for row in spark.read.schema(self.FIELDS).json(f"{folder}/*").collect():  # one for each setting and fold
+                self.known.setdefault((row["fit"], row["fold"]), []).append((row["setting"], row["score"], row["seconds"]))
+
+    def add(self, unit, rows):
+        if self.folder:
+            table = self.spark.createDataFrame([(*unit, *r) for r in rows], self.FIELDS)
+            table.coalesce(1).write.mode("overwrite").json(f"{self.folder}/fit-{unit[0]}-fold-{unit[1]}")
+
+
+#: Rows of a task of a search: smaller tables are read in fewer tasks, as each round of a
+#: tree is a job of its own.
+ROWS_OF_A_TASK = 20_000
+
+
+def grid_search(train, name, grid, key, folds=5, score="f1", label=S.LABEL, seed=42, parallelism=None, store=None):
     """(best pipeline, results): exhaustive search over stratified folds.
 
-    The training rows with their folds are written once and every fit reads that copy.
+    The training rows with their folds are written once and every fit reads that copy. Fits
+    run side by side, each with its own clock. Settings of boosting that differ in the number
+    of rounds only share one fit of the most rounds (see shortened), whose time they all
+    report. store names a folder that keeps the scores of finished fits; a search that is
+    started again with it, over the same rows and grid, does not repeat them.
     """
-    names = features_in(train)
+    spark, names = train.sparkSession, features_in(train)
     assembler = VectorAssembler(inputCols=names, outputCol="features")
     keys = [key] if isinstance(key, str) else list(key)
     rows = assign_folds(train.select(*dict.fromkeys([*keys, label, *names])), keys, folds, label)
     rows = materialize(assembler.transform(rows).select("features", F.col(label).cast("double").alias(label), "fold"))
-    estimator = ESTIMATORS[name](seed).setLabelCol(label)
-    maps = param_grid(estimator, grid, rows.count())
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=maps,
-        evaluator=evaluator(score, label),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    )
-    start = time.time()
-    found = search.fit(rows)
-    seconds = time.time() - start
+    n = rows.count()
+    tasks = max(1, n // ROWS_OF_A_TASK)
+    rows = rows.coalesce(tasks)
+    # jobs of few tasks wait for the driver more than they compute, so many fits go side by side
+    parallelism = parallelism or min(64, max(4, 6 * spark.sparkContext.defaultParallelism // tasks))
+    estimator, settings, judge = ESTIMATORS[name](seed).setLabelCol(label), settings_of(grid, n), evaluator(score, label)
+    fits = {}  # settings that share a fit, by what they have in common
+    for i, setting in enumerate(settings):
+        common = tuple((p, v) for p, v in setting.items() if p != "maxIter")
+        fits.setdefault(common, []).append(i)
+    fits, table = list(fits.values()), _SearchTable(spark, store)
+
+    def run(unit):
+        if unit in table.known:
+            return unit, table.known[unit]
+        members, fold = fits[unit[0]], unit[1]
+        longest = max(members, key=lambda i: settings[i].get("maxIter", 0))
+        start = time.time()
+        model = _with(estimator, settings[longest]).fit(rows.filter(F.col("fold") != fold))
+        seconds, held, found = time.time() - start, rows.filter(F.col("fold") == fold), []
+        for i in members:
+            scored = model if i == longest else shortened(model, settings[i]["maxIter"])
+            found.append((i, float(judge.evaluate(scored.transform(held))), seconds))
+        table.add(unit, found)
+        return unit, found
+
+    # the slowest fits first, so that none is left alone at the end
+    units = sorted(((f, k) for f in range(len(fits)) for k in range(folds)), key=lambda u: -settings[fits[u[0]][0]].get("maxDepth", 0))
+    with ThreadPool(parallelism) as pool:
+        found = pool.map(inheritable_thread_target(spark)(run), units, chunksize=1)
+    scores, seconds = [[0.0] * folds for _ in settings], [0.0] * len(settings)
+    for (_, fold), rows_found in found:
+        for i, value, took in rows_found:
+            scores[i][fold] = value
+            seconds[i] += took
+    means = [sum(s) / folds for s in scores]
+    best = max(range(len(settings)), key=lambda i: means[i])
     # one row per parameter setting
-    results = train.sparkSession.createDataFrame(
+    results = spark.createDataFrame(
         [
-            (name, {p.name: str(v) for p, v in m.items()}, float(s), float(d), seconds)
-            for m, s, d in zip(maps, found.avgMetrics, found.stdMetrics)
+            (name, {p: str(v) for p, v in t.items()}, m, (sum((x - m) ** 2 for x in s) / folds) ** 0.5, s, took)
+            for t, m, s, took in zip(settings, means, scores, seconds)
         ],
-        "model string, params map<string,string>, mean_score double, std_score double, training_time double",
+        "model string, params map<string,string>, mean_score double, std_score double, fold_scores array<double>, training_time double",
     )
-    return PipelineModel([assembler, found.bestModel]), results
+    return PipelineModel([assembler, _with(estimator, settings[best]).fit(rows)]), results
 
 
 def predictions(model, df, label=S.LABEL):
@@ -122,11 +199,14 @@ def predictions(model, df, label=S.LABEL):
     return out.withColumn("prediction", F.col("prediction").cast("int")).drop(*drop)
 
 
-def train_and_select(train, validation, key, grids, folds=5, seed=42):
-    """(best model, its name, its metrics row, all results): the winner by weighted f1 on validation."""
+def train_and_select(train, validation, key, grids, folds=5, seed=42, store=None):
+    """(best model, its name, its metrics row, all results): the winner by weighted f1 on validation.
+
+    store: see grid_search; each family has a folder of its own below it.
+    """
     spark, candidates, tables, scores = train.sparkSession, {}, None, []
     for name, grid in grids.items():
-        model, results = grid_search(train, name, grid, key, folds, seed=seed)
+        model, results = grid_search(train, name, grid, key, folds, seed=seed, store=store and f"{store}/{name}")
         found = M.weighted_metrics(predictions(model, validation), S.LABEL, "prediction").first()
         candidates[name] = (model, found)
         scores.append((name, found["f1_score"]))
