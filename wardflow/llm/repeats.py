@@ -22,8 +22,9 @@ starts in a text with a smaller id, judged on the texts as they come.
 
 Defined results: null texts have no words; texts shorter than a window lose none; a row
 without an id neither loses words nor takes any from others; equal rows lose the same words;
-rows with one id and different texts lose the words at the places found in any of them; an
-empty table gives an empty table. Other columns are not read.
+rows with one id and different texts are told apart by a 64-bit hash, and each loses its own
+repeats; an empty table gives an empty table. Other columns are not read. A window has PREFIX
+to 32,767 words; others raise a ValueError.
 """
 
 import hashlib
@@ -40,6 +41,8 @@ WINDOW = 50
 PREFIX = 8
 #: Leaves that one tree holds, and about as many meet in one pass of a task.
 LEAVES = 8192
+#: Bits of an offset beside the place of an anchor.
+FIELD = 15
 #: Windows of one text that are looked at together.
 RUN = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
@@ -86,8 +89,9 @@ def _context_hash(hashes, begins, ends, offsets):
 
 
 def anchors(docs, window=WINDOW, prefix=PREFIX):
-    """(g, ctx, doc, spot) of every anchor of docs (id, text): prefix hash, hash of the words
-    of all its windows, id, and place of the anchor with smallest and largest offset."""
+    """(g, ctx, doc, version, spot) of every anchor of docs (id, text, version): prefix hash,
+    hash of the words of all its windows, id, and place of the anchor with smallest and
+    largest offset."""
 
     def run(batches):
         for batch in batches:
@@ -97,12 +101,12 @@ def anchors(docs, window=WINDOW, prefix=PREFIX):
                 text, at, low, high = _anchors(hashes, first, window, prefix)
                 g, _ = grams(hashes, first, prefix)
                 ctx = _context_hash(hashes, at - high, at - low + window, high)
-                ids = part.column("id").to_numpy()[text]
-                spot = (at - first[text]) << 16 | low << 8 | high
-                columns = [pa.array(g[at].view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(ids), pa.array(spot)]
-                yield pa.RecordBatch.from_arrays(columns, names=["g", "ctx", "doc", "spot"])
+                ids, versions = (part.column(c).to_numpy()[text] for c in ("id", "version"))
+                spot = (at - first[text]) << 2 * FIELD | low << FIELD | high
+                columns = [g[at].view(np.int64), ctx.view(np.int64), ids, versions, spot]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["g", "ctx", "doc", "version", "spot"])
 
-    return docs.mapInArrow(run, "g long, ctx long, doc long, spot long")
+    return docs.mapInArrow(run, "g long, ctx long, doc long, version long, spot long")
 
 
 def _contexts(rows, window):
@@ -116,7 +120,7 @@ def _contexts(rows, window):
                 for a, b, doc, spots in zip(offsets, offsets[1:], part.column("doc").to_pylist(), part.column("spots").to_pylist()):
                     found = data[a:b].tobytes().split()
                     for s in spots:
-                        at, low, high = s["spot"] >> 16, s["spot"] >> 8 & 255, s["spot"] & 255
+                        at, (low, high) = s["spot"] >> 2 * FIELD, _spots(s["spot"])
                         cut = found[at - high : at - low + window]
                         if len(cut) == high - low + window:
                             for column, value in zip(out, (s["g"], s["ctx"], doc, s["last"], s["spot"], b" ".join(cut).decode())):
@@ -190,7 +194,7 @@ def _runs(table, low, high):
 
 
 def _spots(spot):
-    return spot >> 8 & 255, spot & 255
+    return spot >> FIELD & (1 << FIELD) - 1, spot & (1 << FIELD) - 1
 
 
 def _grow(contexts, window, prefix):
@@ -253,34 +257,39 @@ def _whole_windows(contexts, window, prefix):
 
 
 def spans(docs, key="doc_id", text="text", window=WINDOW, prefix=PREFIX, leaves=LEAVES):
-    """(id, from, to): words from..to - 1 of a text are in windows that also start in a text
-    with a smaller id. Spans of one text may overlap."""
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
+    """(id, version, from, to): words from..to - 1 of the text with this hash are in windows
+    that also start in a text with a smaller id. Spans of one text may overlap."""
+    if not prefix <= window < 1 << FIELD:
+        raise ValueError(f"a window has {prefix} to {(1 << FIELD) - 1} words")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("version")).filter("id is not null")
     table = stored(anchors(rows, window, prefix), "anchors")
     shared = stored(repeated_keys(table, "g", ["doc", "spot"]), "shared")
-    classes = shared.groupBy("g", "ctx").agg(F.min(F.struct("doc", "spot")).alias("rep"), F.max("doc").alias("last"))
+    classes = shared.groupBy("g", "ctx").agg(F.min(F.struct("doc", "version", "spot")).alias("rep"), F.max("doc").alias("last"))
     classes = stored(classes.select("g", "ctx", "rep.*", "last"), "leaves")
     groups = classes.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("_low"), F.max("last").alias("_high"))
     groups = stored(groups.filter("_low < _high").select("g", "n"), "groups")  # a plain join can split a hot prefix
     several = stored(classes.join(groups, "g"), "several")
 
-    alone = several.filter("n = 1").select("g", "ctx", *[(F.shiftright("spot", s).bitwiseAND(255)).alias(c) for c, s in (("a", 8), ("b", 0))], F.col("doc").alias("least"))
-    wanted = several.filter("n > 1").groupBy("doc").agg(F.collect_list(F.struct("g", "ctx", "spot", "last", "n")).alias("spots"))
-    cut = _contexts(rows.join(wanted, rows["id"] == wanted["doc"]).select("doc", "text", "spots"), window)
+    field = (1 << FIELD) - 1
+    alone = several.filter("n = 1").select("g", "ctx", *[(F.shiftright("spot", s).bitwiseAND(F.lit(field))).alias(c) for c, s in (("a", FIELD), ("b", 0))], F.col("doc").alias("least"))
+    wanted = several.filter("n > 1").groupBy("doc", "version").agg(F.collect_list(F.struct("g", "ctx", "spot", "last", "n")).alias("spots"))
+    same = (rows["id"] == wanted["doc"]) & (rows["version"] == wanted["version"])
+    cut = _contexts(rows.join(wanted, same).select("doc", "text", "spots"), window)
     contexts = stored(cut, "contexts")
     sizes = several.filter("n > 1").select("g", "n").distinct()
     small = contexts.join(sizes.filter(F.col("n") <= leaves), "g", "left_semi")
     large = contexts.join(sizes.filter(F.col("n") > leaves), "g", "left_semi")
     found = alone.unionByName(_grow(small, window, prefix)).unionByName(_whole_windows(large, window, prefix))
     members = shared.join(found, ["g", "ctx"]).filter("least < doc")
-    at = F.shiftright("spot", 16)
-    return members.select(F.col("doc").alias("id"), (at - F.col("b")).alias("from"), (at - F.col("a") + window).alias("to"))
+    at = F.shiftright("spot", 2 * FIELD)
+    return members.select(F.col("doc").alias("id"), "version", (at - F.col("b")).alias("from"), (at - F.col("a") + window).alias("to"))
 
 
 def _cleaned(docs, key, text, last, finish, **options):
     """key, n_words, n_removed and the column `last`: finish(bytes of the kept words)."""
-    found = spans(docs, key, text, **options).groupBy("id").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).join(found, F.col("key") == found["id"], "left")
+    found = spans(docs, key, text, **options).groupBy("id", "version").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    rows = rows.join(found, (rows["key"] == found["id"]) & (rows["hash"] == found["version"]), "left")
 
     def run(batches):
         for batch in batches:
