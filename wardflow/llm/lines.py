@@ -284,9 +284,11 @@ def _verdicts(docs, key, text, threshold):
     versions = rows.withColumn("version", F.xxhash64("text"))
     places = _places(versions).join(classes, "line", "left").withColumn("component", F.coalesce("root", "line")).drop("root")
     places = stored(places, "places")
+    # the line that stays is found again by its place, so that no component is dealt to one task
     first = places.groupBy("component").agg(F.min(F.struct("doc", "place", "version")).alias("first"))
-    out = places.join(first, "component")
-    return out.withColumn("kept", F.struct("doc", "place", "version") == F.col("first")).drop("first")
+    spot = ["doc", "place", "version"]
+    out = places.join(first.select("first.*", F.lit(True).alias("kept")), spot, "left")
+    return out.withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
 def line_verdicts(docs, key="doc_id", text="text", threshold=THRESHOLD):
