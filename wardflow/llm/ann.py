@@ -36,8 +36,8 @@ EPSILON = 2.1
 FIRST = 32
 
 
-def _matrix(column, dims):
-    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, dims)
+def _matrix(column, dims, kind="<f4"):
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dims)
 
 
 def _nearest(x, centroids, count=1):
@@ -49,8 +49,10 @@ def _nearest(x, centroids, count=1):
 
 
 def usable(table, key, vector):
-    """(id, x) of the vectors that take part, and their dimensions (0: there are none)."""
-    rows = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("x")).filter("id is not null")
+    """(id, x) of the vectors that take part, and their dimensions (0: there are none). x is
+    of floats if the column is, else of doubles."""
+    kind = "array<float>" if table.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("x")).filter("id is not null")
     finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = rows.filter(F.coalesce(finite & F.exists("x", lambda v: v != 0), F.lit(False)))
     most = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -58,23 +60,23 @@ def usable(table, key, vector):
     return rows.filter(F.size("x") == dims), dims
 
 
-def _packed(rows, dims):
+def _packed(rows, dims, kind):
     def run(batches):
         for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype("<f4")
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(kind)
             packed = [r.tobytes() for r in x.reshape(-1, dims)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], names=["id", "x"])
 
     return rows.mapInArrow(run, "id long, x binary")
 
 
-def fit_centroids(vectors, dims, lists, k, recall, rounds=10):
+def fit_centroids(vectors, dims, lists, k, recall, rounds=10, kind="<f4"):
     """(centroids, probes): k-means on at most SAMPLE vectors, those whose hashed ids come
     first, in one task, and the lists to probe to meet this share of the k nearest there."""
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
 
     def run(batches):
-        parts = [_matrix(b.column("x"), dims) for b in batches if b.num_rows]
+        parts = [_matrix(b.column("x"), dims, kind) for b in batches if b.num_rows]
         if not parts:
             return
         x = np.concatenate(parts)
@@ -124,6 +126,8 @@ def scan(ids, x, turned, own, q, q_turned, k, epsilon=EPSILON):
     """(ids, distances) of the k nearest rows to one query; turned: column blocks of rotated rows."""
     dims = len(q)
     rows = np.flatnonzero(ids != own)
+    # what rounding may add to a distance of the turned vectors
+    slack = 1e-12 + dims * (1e-14 * max(np.abs(q).max(initial=0.0), np.abs(x).max(initial=0.0))) ** 2
 
     def exact(at):
         return np.sqrt(((x[at].astype(np.float64) - q.astype(np.float64)) ** 2).sum(1))
@@ -141,7 +145,7 @@ def scan(ids, x, turned, own, q, q_turned, k, epsilon=EPSILON):
         for block, a, b in turned:
             partial = partial + ((block[:, left] - q_turned[a:b, None]) ** 2).sum(0)
             seen = b
-            bound = limit * seen / dims * (1 + epsilon / np.sqrt(seen)) ** 2 if seen < dims else limit * (1 + 1e-4) + 1e-12
+            bound = limit * seen / dims * (1 + epsilon / np.sqrt(seen)) ** 2 + slack if seen < dims else limit * (1 + 1e-4) + slack
             stays = partial <= bound
             left, partial = left[stays], partial[stays]
     top, reach = best(np.concatenate([top, left]), np.concatenate([reach, exact(left)]))
@@ -160,10 +164,11 @@ def search(table, queries, k, key="vec_id", vector="embedding", lists=None, prob
     schema = "query_id long, vec_id long, score double"
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    vectors = stored(_packed(rows, dims), "vectors")
+    kind = "<f4" if rows.schema["x"].dataType.simpleString() == "array<float>" else "<f8"
+    vectors = stored(_packed(rows, dims, kind), "vectors")
     n = vectors.count()
     lists = min(lists or max(1, round(n**0.5 / 4)), MAX_LISTS)
-    centroids, needed = fit_centroids(vectors, dims, lists, k, recall)
+    centroids, needed = fit_centroids(vectors, dims, lists, k, recall, kind=kind)
     lists = len(centroids)
     probes = min(probes or needed, lists)
     shared = spark.sparkContext.broadcast(centroids)  # MAX_LISTS rows at most
@@ -171,7 +176,7 @@ def search(table, queries, k, key="vec_id", vector="embedding", lists=None, prob
     def assign(batches):
         for batch in batches:
             if batch.num_rows:
-                of = _nearest(_matrix(batch.column("x"), dims), shared.value)[:, 0]
+                of = _nearest(_matrix(batch.column("x"), dims, kind), shared.value)[:, 0]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.int32())], names=["id", "x", "list"])
 
     placed = stored(vectors.mapInArrow(assign, "id long, x binary, list int"), "lists")
@@ -183,7 +188,7 @@ def search(table, queries, k, key="vec_id", vector="embedding", lists=None, prob
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = _nearest(_matrix(batch.column("x"), dims), shared.value, lists)
+            order = _nearest(_matrix(batch.column("x"), dims, kind), shared.value, lists)
             enough = (np.cumsum(sizes[order], axis=1) < 4 * (k + 1)).sum(1) + 1
             count = np.minimum(np.maximum(enough, probes), lists)
             at = np.repeat(np.arange(batch.num_rows), count)
@@ -204,13 +209,13 @@ def search(table, queries, k, key="vec_id", vector="embedding", lists=None, prob
     def compare(rows, asking):
         own, found, score = [], [], []
         if rows.num_rows and asking.num_rows:
-            ids, x = rows.column("id").to_numpy(), _matrix(rows.column("x"), dims)
+            ids, x = rows.column("id").to_numpy(), _matrix(rows.column("x"), dims, kind)
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
             turn = rotation(dims)
             y, borders = x @ turn, _borders(dims)
             turned = [(np.ascontiguousarray(y[:, a:b].T), a, b) for a, b in zip(borders, borders[1:])]
-            q = _matrix(asking.column("x"), dims)
+            q = _matrix(asking.column("x"), dims, kind)
             for own_id, one, other in zip(asking.column("id").to_pylist(), q, q @ turn):
                 near, distance = scan(ids, x, turned, own_id, one, other, k)
                 own += [own_id] * len(near)

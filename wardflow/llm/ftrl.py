@@ -38,7 +38,7 @@ def hashed(part, bits=BITS, text="text"):
 
 def sample(docs, labels, target, key="doc_id", text="text", max_rows=MAX_ROWS, bits=BITS):
     """Stored rows (place, label, columns) of at most max_rows labelled documents, those whose
-    hashed keys come first. target: a column of labels, not null where it is to be used."""
+    hashed keys come first, and of rows with one key those whose features do. target: a column of labels, not null where it is to be used."""
     chosen = labels.select(F.col(key).alias("_key"), target.alias("label")).filter("_key is not null and label is not null")
     chosen = chosen.groupBy("_key").agg(F.max("label").alias("label"))
     chosen = stored(chosen.orderBy(F.xxhash64("_key"), "_key").limit(max_rows), "sample")  # max_rows bounds the broadcast
@@ -56,7 +56,10 @@ def sample(docs, labels, target, key="doc_id", text="text", max_rows=MAX_ROWS, b
                 arrays = [part.column("place"), part.column("label"), pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["place", "label", "columns"])
 
-    return stored(rows.mapInArrow(run, "place long, label int, columns binary"), "features")
+    features = stored(rows.mapInArrow(run, "place long, label int, columns binary"), "features")
+    if features.count() > max_rows:  # ids that repeat
+        features = stored(features.orderBy("place", "label", "columns").limit(max_rows), "features")
+    return features
 
 
 def learn(rows, labels, bits=BITS, rounds=4, alpha=1.5, beta=1.0, l1=5.0, l2=0.1):

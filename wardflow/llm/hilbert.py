@@ -122,6 +122,12 @@ def shard_boxes(placed, columns):
 
 
 def write_shards(docs, placed, path, key="doc_id"):
-    """Write each shard of docs into its own folder, in slot order; key must be unique."""
+    """Write each shard of docs into its own folder, in slot order; key must be unique.
+
+    Columns shard and slot of docs are kept as input_shard and input_slot.
+    """
+    for name in ("shard", "slot"):
+        if name in docs.columns:
+            docs = docs.withColumnRenamed(name, f"input_{name}")
     rows = docs.join(placed.select(key, "shard", "slot"), key)
     rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

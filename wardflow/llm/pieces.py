@@ -335,11 +335,23 @@ def _pieces(path):
     return _LOADED[path]
 
 
+def _moved(docs, names):
+    """docs with columns of these names renamed to input_<name>, repeated until it is free."""
+    for name in names:
+        if name in docs.columns:
+            free = f"input_{name}"
+            while free in docs.columns:
+                free = f"input_{free}"
+            docs = docs.withColumnRenamed(name, free)
+    return docs
+
+
 def encode(docs, text="text", ids="ids", path=None, check=None):
     """docs with the ids of its text column; check names a boolean column: decoding the ids
-    gives the text back."""
+    gives the text back. Columns of docs that have these names stay as input_<name>."""
     path = path or default_model()
-    names = [c for c in docs.columns if c not in (ids, check)]
+    docs = _moved(docs, [c for c in (ids, check) if c])
+    names = docs.columns
     fields = [docs.schema[c] for c in names] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False))]
     fields += [T.StructField(check, T.BooleanType())] if check else []
     kind = pa.list_(pa.field("element", pa.int32(), False))

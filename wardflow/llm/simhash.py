@@ -144,13 +144,15 @@ def keep_one(docs, key="doc_id", text="text", n=3, seed=42, radius=3, bucket=BUC
     """One row of each component, that with the smallest id; rows without an id stay.
 
     Components are of fingerprints, not of ids, so rows of one id with different texts stay
-    or go each by its own text.
+    or go each by its own text. Of rows with one id and text that with the smallest hash of
+    its columns stays (maps not counted). Columns may have any names.
     """
     prints = stored(fingerprints(docs, key, text, n, seed).filter("id is not null"), "prints")
     roots = components(links(stored(prints.select("fp").distinct().withColumn("id", F.col("fp")), "classes"), radius, bucket))
     labelled = prints.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     kept = labelled.groupBy("root").agg(F.min(F.struct("id", "version")).alias("kept")).select("kept.*").distinct()
-    named = docs.withColumn("_version", F.xxhash64(text))
-    same = (named[key].cast("long") == kept["id"]) & (named["_version"] == kept["version"])
-    rows = named.join(kept, same, "left_semi").dropDuplicates([key, "_version"]).drop("_version")
-    return rows.unionByName(docs.filter(F.col(key).isNull()))
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    plain = [docs[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    named = docs.select(docs[key].cast("long").alias("id"), F.xxhash64(docs[text]).alias("version"), whole.alias("row"), F.xxhash64(*plain).alias("order"))
+    rows = named.join(kept, ["id", "version"], "left_semi").groupBy("id", "version").agg(F.min_by("row", "order").alias("row"))
+    return rows.select("row.*").unionByName(docs.filter(docs[key].isNull()))
