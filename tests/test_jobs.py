@@ -119,7 +119,8 @@ def test_stream_scores_requests(spark, halves, first, artifacts, tmp_path):
     streams.score_stream(stream, lambda rows: jobs.score_requests(spark, rows, artifacts), f"{tmp_path}/out", f"{tmp_path}/cp")
     scored = spark.read.parquet(f"{tmp_path}/out/scored")
     assert scored.count() == 1000
-    assert spark.read.parquet(f"{tmp_path}/out/rejects").count() == 1
+    refused = spark.read.parquet(f"{tmp_path}/out/rejects").collect()
+    assert [(r["request"], r["reason"], r["value"]) for r in refused] == [("bad", "no JSON payload", "{}")]
     log = spark.read.parquet(f"{tmp_path}/out/log")
     assert log.agg(F.sum("n_input_rows")).first()[0] == 1000
     assert log.filter("total_latency < 0").isEmpty()

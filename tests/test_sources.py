@@ -53,6 +53,31 @@ def test_contents_and_other_files(spark, psv):
     assert [r["file"] for r in readers.other_files(spark, psv).collect()] == ["notes.txt"]
 
 
+def test_ingest_refuses_broken_records(spark, tmp_path):
+    good, extra = line(1, 80), f"{line(2)}|1"
+    (tmp_path / "Patient_ID=p7").mkdir()
+    (tmp_path / "Patient_ID=p7" / "a.psv").write_text("\n".join([HEADER, good, "1|torn", line(3, "high"), extra]) + "\n")
+    (tmp_path / "p000009.psv").write_text("\n".join([HEADER, line(1)]) + "\n")
+    (tmp_path / "empty.psv").write_text("")
+    rows, rejects = readers.ingest_files(spark, str(tmp_path))
+    assert rows.columns == S.OBSERVATIONS.names
+    assert sorted((r["Patient_ID"], r["ICULOS"], r["HR"]) for r in rows.collect()) == [("a", 1, 80.0), ("p000009", 1, None)]
+    assert sorted(r["record"] for r in rejects.collect()) == sorted(["1|torn", line(3, "high"), extra])
+    assert {r["file"].rsplit("/", 1)[1] for r in rejects.collect()} == {"a.psv"}
+    rows, _ = readers.ingest_files(spark, str(tmp_path), id_rule="folder")
+    assert {r["Patient_ID"] for r in rows.collect()} == {"p7", None}
+
+
+def test_ingest_of_some_columns(spark, tmp_path):
+    (tmp_path / "p1.psv").write_text("HR|ICULOS\n60.5|1\nNaN|2\n61\n")
+    rows, rejects = readers.ingest_files(spark, str(tmp_path), columns=["HR", "ICULOS"])
+    assert rows.columns == S.OBSERVATIONS.names
+    assert sorted((r["ICULOS"], r["HR"], r["Age"], r["Patient_ID"]) for r in rows.collect()) == [(1, 60.5, None, "p1"), (2, None, None, "p1")]
+    assert [r["record"] for r in rejects.collect()] == ["61"]
+    with pytest.raises(readers.NoFiles):
+        readers.ingest_files(spark, str(tmp_path), name_glob="*.csv")
+
+
 def test_first_rows(spark, psv):
     rows = readers.first_rows(readers.patient_files(spark, psv), 2).collect()
     assert [(r["Patient_ID"], r["ICULOS"]) for r in rows] == [("p000002", 1), ("p000002", 2)]

@@ -51,6 +51,7 @@ def id_from_path(path, rule="file_name"):
     trimmed: name without its first two characters and suffix (-> 00002).
     after_p: text between the first p and the next dot or p (-> 000002).
     stem: name up to its last dot, or the whole name without one.
+    folder: value of the folder Patient_ID=..., as partitioned writers name it.
     """
     path = F.col(path) if isinstance(path, str) else path
     name = F.regexp_extract(path, r"([^/]*)$", 1)
@@ -62,6 +63,8 @@ def id_from_path(path, rule="file_name"):
         return F.split(F.split(name, "p").getItem(1), r"\.").getItem(0)
     if rule == "stem":
         return F.regexp_replace(name, r"\.[^.]*$", "")
+    if rule == "folder":
+        return F.nullif(F.regexp_extract(path, r"/Patient_ID=([^/]+)/", 1), F.lit(""))
     raise ValueError(f"unknown id rule {rule!r}")
 
 

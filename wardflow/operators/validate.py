@@ -104,16 +104,17 @@ def value_findings(observed, recorded, skip=()):
 
 def null_key_findings(df, key=S.KEY):
     """An error when any key is null."""
-    return (
-        df.agg(F.count_if(F.col(key).isNull()).cast("double").alias("observed"))
-        .filter("observed > 0")
-        .select(
-            F.lit("null_key").alias("rule"),
-            F.lit(key).alias("column_name"),
-            F.lit("error").alias("severity"),
-            F.lit(0.0).alias("expected"),
-            "observed",
-        )
+    lost = df.agg(F.count_if(F.col(key).isNull()).cast("double").alias("observed")).filter("observed > 0")
+    return _null_key(lost, key)
+
+
+def _null_key(lost, key):
+    return lost.select(
+        F.lit("null_key").alias("rule"),
+        F.lit(key).alias("column_name"),
+        F.lit("error").alias("severity"),
+        F.lit(0.0).alias("expected"),
+        "observed",
     )
 
 
@@ -237,3 +238,23 @@ def monitor(df, recorded_schema, recorded_stats, recorded_values, skip=(S.LABEL,
         value_findings(P.profile_values(df, text), recorded_values, (S.KEY, *skip)) if text else None,
     ]
     return all_findings(*[p for p in parts if p is not None])
+
+
+def monitor_parts(parts, schema, profile, skip=(S.LABEL,), key=S.KEY):
+    """Findings as of monitor, from a mergeable profile (operators.mergeable) and a schema.
+
+    Medians are near ones (see mergeable); everything else is exact.
+    """
+    from wardflow.operators import mergeable
+
+    statistics = mergeable.statistics(parts, schema).filter(F.col("column_name") != key)
+    lost = parts.filter((F.col("column_name") == key) & F.col("value").isNull() & F.col("bucket").isNull())
+    lost = lost.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("observed")).filter("observed > 0")
+    ignored = (key, *skip)
+    recorded = profile["statistics"].filter(F.col("column_name") != key)
+    return all_findings(
+        schema_findings(schema, profile["schema"], skip),
+        _null_key(lost, key),
+        stat_findings(statistics, recorded, skip),
+        value_findings(mergeable.values(parts), profile["values"], ignored),
+    )

@@ -1,6 +1,7 @@
 """Registered queries that train, score, parse requests or stream. They read whole tables too."""
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from wardflow import schema as S
@@ -125,6 +126,54 @@ def batch_score(spark, folder):
     return scored.select("event_id", S.KEY, S.HOUR, S.LABEL, "prediction")
 
 
+@query
+def batch_score_rows(spark, folder):
+    """Keys and labels of the rows that batch_score scores, and whether each has a prediction."""
+    scored = batch_score(spark, folder)
+    return scored.select("event_id", S.KEY, S.LABEL, F.coalesce(F.col("prediction").isin(0, 1), F.lit(False)).alias("predicted"))
+
+
+@query
+def batch_retrain(spark, folder):
+    """Rows of the stored data after a first run, after a drifted batch, and after going back.
+
+    A fifth of the patients is the batch. It has its labels turned round, so recall falls and
+    the model is trained again.
+    """
+    raw = drop_parts(raw_observations(spark, folder)).drop("event_id")
+    base, batch = (G.group_split(raw, share=0.2).filter(f"side = '{s}'").drop("side") for s in ("train", "test"))
+    home, name = new_folder(spark, "retrain"), "Logistic_Regression"
+    grids = {name: training.FULL_GRIDS[name]}
+    jobs.first_run(spark, base, home, grids, stamp="20240101-000000")
+    data = writers.Versioned(spark, f"{home}/data")
+    steps = [data.read().withColumn("step", F.lit("first run"))]
+    out = jobs.batch_run(spark, batch.withColumn(S.LABEL, 1 - F.col(S.LABEL)), "batch-1", home, grids, stamp="20240102-000000")
+    newest = readers.latest_run(spark, f"{home}/models")["run"]
+    merged = f"{out['decision']['decision']}, {newest}, then {out['next_batch']}"
+    steps.append(data.read().withColumn("step", F.lit(merged)))
+    data.revert()
+    steps.append(data.read().withColumn("step", F.lit("reverted")))
+    counts = [s.groupBy("step").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(S.LABEL).alias("positives")) for s in steps]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query
+def model_contributions(spark, folder):
+    """Whether the contributions in a saved linear model add up to the margin of each row."""
+    train, _ = sets(spark, folder)
+    path = f"{new_folder(spark, 'linear')}/model"
+    training.fit(train, "Logistic_Regression").write().overwrite().save(path)
+    model, names = PipelineModel.load(path), P.features_in(train)
+    weights = training.coefficients(model, names)
+    means = train.agg(*[F.avg(c).alias(c) for c in names]).first()
+    base = model.stages[-1].intercept + sum(weights[c] * means[c] for c in names)
+    parts = M.linear_contributions(train, weights, ["event_id"])
+    margin = model.transform(train).select("event_id", vector_to_array("rawPrediction")[1].alias("margin"))
+    total = sum((F.col(c) for c in names), F.lit(base))
+    same = F.abs(total - F.col("margin")) <= 1e-9 * (1 + F.abs(F.col("margin")))
+    return parts.join(margin, "event_id").select("event_id", same.alias("adds_up"))
+
+
 def request_lines(spark, folder):
     """The raw observations of each patient as one JSON request."""
     raw = drop_parts(raw_observations(spark, folder))
@@ -183,6 +232,53 @@ def merged_csv(spark, folder):
     return back.select(*S.OBSERVATIONS.names)
 
 
+def delimited_files(spark, folder):
+    """The raw observations as delimited files with a header, below batch and patient.
+
+    A patient has one file for each ten thousand hours. One record in a hundred is torn, and as
+    many have a word in place of the first number, or a field too many.
+    """
+    raw = drop_parts(raw_observations(spark, folder))
+    names, at = S.RAW_FILE.names, F.col("event_id") % 100
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("NaN")) for c in names]
+    line = F.concat_ws("|", *cells)
+    line = (
+        F.when(at == 0, F.concat_ws("|", F.col("event_id").cast("string"), F.lit("torn")))
+        .when(at == 50, F.concat_ws("|", F.lit("high"), *cells[1:]))
+        .when(at == 75, F.concat_ws("|", line, F.lit("extra")))
+        .otherwise(line)
+    )
+    batch, part = F.substring(S.KEY, 2, 20).cast("bigint") % 3, F.floor(F.col(S.HOUR) / 10_000)
+    rows = raw.select(batch.alias("batch"), S.KEY, part.alias("part"), F.col(S.HOUR).alias("at"), line.alias("value"))
+    place = ["batch", S.KEY, "part"]
+    heads = rows.select(*place).distinct().withColumns({"at": F.lit(0).cast("bigint"), "value": F.lit("|".join(names))})
+    path = f"{new_folder(spark, 'delimited')}/files"
+    sorted_ = rows.unionByName(heads).repartition(*place).sortWithinPartitions(*place, "at")
+    sorted_.select(*place, "value").write.partitionBy(*place).text(path)
+    return path
+
+
+@query
+def delimited_ingest(spark, folder):
+    """All columns of the accepted records of all batches of delimited files."""
+    return readers.ingest_files(spark, delimited_files(spark, folder), id_rule="folder", name_glob="*.txt")[0]
+
+
+@query
+def delimited_batch(spark, folder):
+    """The accepted records of one batch, picked by its folder."""
+    path = f"{delimited_files(spark, folder)}/batch=1"
+    return readers.ingest_files(spark, path, id_rule="folder", name_glob="*.txt")[0]
+
+
+@query
+def delimited_rejects(spark, folder):
+    """Refused records of each patient by their number of fields."""
+    _, rejects = readers.ingest_files(spark, delimited_files(spark, folder), id_rule="folder", name_glob="*.txt")
+    fields = F.size(F.split("record", r"\|")).cast("bigint")
+    return rejects.groupBy(S.KEY, fields.alias("n_fields")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def cohort_files(spark, folder):
     """Cohorts written as delimited files, one folder each, and counted after reading."""
@@ -246,36 +342,78 @@ def stream_latency_window(spark, folder):
     )
 
 
-@query
-def stream_drift(spark, folder):
-    """Findings of each micro-batch of events against the profile of the error events."""
-    e = table(spark, folder, "events").drop("ts", "props").withColumn(S.KEY, F.col("user_id").cast("string"))
-    errors = e.filter("event_type = 'error'")
+def drift_input(events):
+    """Events as observations of users; every hundredth has lost its user."""
+    lost = F.when(F.col("event_id") % 100 > 0, F.col("user_id").cast("string"))
+    return events.withColumn(S.KEY, lost)
+
+
+def drift_found(spark, folder, stream):
+    """Findings in a whole stream of events against the profile of the error events, all columns."""
+    errors = drift_input(table(spark, folder, "events")).filter("event_type = 'error'")
     profile = {
         "schema": R.recorded_schema(errors),
         "statistics": materialize(R.profile_numeric(errors)),
-        "values": materialize(R.profile_values(errors, ["event_type"])),
+        "values": materialize(R.profile_values(errors, ["event_type", "props"])),
     }
-    stream = event_stream(spark, folder).drop("ts", "props").withColumn(S.KEY, F.col("user_id").cast("string"))
     out = new_folder(spark, "drift")
-    streams.drift_stream(stream, profile, out, f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/findings").select("rule", "column_name", "severity", "expected", "observed")
+    streams.drift_stream(drift_input(stream), profile, out, f"{out}/checkpoint")
+    return streams.drift_so_far(spark, out).select("rule", "column_name", "severity", "expected", "observed")
 
 
 @query
-def stream_score(spark, folder):
-    """Request lines stream in, are scored with a fitted model, and are logged."""
+def stream_drift(spark, folder):
+    """Findings in the events, read as one micro-batch."""
+    return drift_found(spark, folder, event_stream(spark, folder))
+
+
+@query
+def stream_drift_files(spark, folder):
+    """Findings in the events, which arrive in seven files, each a micro-batch."""
+    events, landing = table(spark, folder, "events"), f"{new_folder(spark, 'landing')}/events"
+    writers.save_table(events.repartition(7, "event_id"), landing)
+    return drift_found(spark, folder, streams.file_stream(spark, landing, events.schema, "parquet", files_per_batch=1))
+
+
+def scored_requests(spark, folder, lines):
+    """Folder with what score_stream makes of the lines, with a model fitted on the raw observations."""
     raw = raw_observations(spark, folder)
     out = new_folder(spark, "score")
     scaled, fitted = jobs.prepare_and_scale(raw, keep=("event_id",))
     writers.save_json(fitted, f"{out}/scaler")
     readers.profile_or_new(spark, drop_parts(raw).drop("event_id"), f"{out}/profile")
     model = training.fit(G.undersample(scaled, "event_id"), "Logistic_Regression")
-    writers.save_table(request_lines(spark, folder).withColumn("arrived", F.current_timestamp()), f"{out}/lines")
-    lines = streams.file_stream(spark, f"{out}/lines", spark.read.parquet(f"{out}/lines").schema, "parquet")
-    streams.score_stream(lines, lambda rows: jobs.score_requests(spark, rows, out, model), f"{out}/out", f"{out}/checkpoint")
-    log = spark.read.parquet(f"{out}/out/log")
-    return log.select("request", "n_input_rows")
+    writers.save_table(lines.withColumn("arrived", F.current_timestamp()), f"{out}/lines")
+    stream = streams.file_stream(spark, f"{out}/lines", spark.read.parquet(f"{out}/lines").schema, "parquet")
+    streams.score_stream(stream, lambda rows: jobs.score_requests(spark, rows, out, model), f"{out}/out", f"{out}/checkpoint")
+    return f"{out}/out"
+
+
+@query
+def stream_score(spark, folder):
+    """Request lines stream in, are scored with a fitted model, and are logged."""
+    out = scored_requests(spark, folder, request_lines(spark, folder))
+    return spark.read.parquet(f"{out}/log").select("request", "n_input_rows")
+
+
+@query
+def stream_outcomes(spark, folder):
+    """Rows with and without a prediction of every request of a stream, and refused requests.
+
+    The requests of every tenth patient come without names of columns.
+    """
+    whole = F.substring(S.KEY, 2, 20).cast("bigint") % 10 > 0
+    lines = request_lines(spark, folder).withColumn(S.KEY, F.col("request"))
+    body = F.when(whole, F.col("value")).otherwise(F.replace("value", F.lit('"columns"'), F.lit('"names"')))
+    out = scored_requests(spark, folder, lines.withColumn("value", body).drop(S.KEY))
+    scored = spark.read.parquet(f"{out}/scored").groupBy("request").agg(
+        F.lit("accepted").alias("outcome"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("prediction").isin(0, 1)).alias("n_predicted"),
+        F.count_if(F.col("prediction").isNull()).alias("n_not_predicted"),
+    )
+    none = [F.lit(0).cast("bigint").alias(c) for c in ("n_rows", "n_predicted", "n_not_predicted")]
+    return scored.unionByName(spark.read.parquet(f"{out}/rejects").select("request", F.col("reason").alias("outcome"), *none))
 
 
 def logged_requests(spark, lines):

@@ -402,17 +402,25 @@ ORACLES.update(
     }
 )
 
+DRIFT = f"""WITH recorded AS ({profile(["event_id", "user_id", "value"], "events", "WHERE event_type = 'error'")}),
+    observed AS ({profile(["event_id", "user_id", "value"], "events")}), findings AS ({stat_checks()})
+    SELECT rule, column_name, severity, cast(expected AS varchar) AS expected, cast(observed AS varchar) AS observed FROM findings
+    UNION ALL SELECT 'null_key', 'Patient_ID', 'error', '0.0', cast(cast(count(*) AS double) AS varchar) FROM events
+    WHERE event_id % 100 = 0 HAVING count(*) > 0 """ + " ".join(
+    f"""UNION ALL SELECT 'unique_values', '{c}', 'warning', cast(cast(count(DISTINCT {c}) FILTER (WHERE event_type = 'error') AS double) AS varchar),
+    cast(cast(count(DISTINCT {c}) AS double) AS varchar) FROM events
+    HAVING count(DISTINCT {c}) > count(DISTINCT {c}) FILTER (WHERE event_type = 'error')"""
+    for c in ("event_type", "props")
+)
+
 ORACLES.update(
     {
         "alert_text": f"""{HALVES}, recorded AS ({profile(NUMERIC, "sides", "WHERE side = 'train'")}),
         observed AS ({profile(NUMERIC, "sides", "WHERE side = 'test'")}), findings AS ({stat_checks()})
         SELECT rule, column_name, concat('Validation of schema and statistics failed [monitor] ', severity, ': column ', column_name,
         ', rule ', rule, ', expected ', cast(expected AS varchar), ', observed ', cast(observed AS varchar)) AS message FROM findings""",
-        "stream_drift": f"""WITH recorded AS ({profile(["event_id", "user_id", "value"], "events", "WHERE event_type = 'error'")}),
-        observed AS ({profile(["event_id", "user_id", "value"], "events")}), findings AS ({stat_checks()})
-        SELECT rule, column_name, severity, cast(expected AS varchar) AS expected, cast(observed AS varchar) AS observed FROM findings
-        UNION ALL SELECT 'unique_values', 'event_type', 'warning', '1.0', cast(cast(count(DISTINCT event_type) AS double) AS varchar) FROM events
-        HAVING count(DISTINCT event_type) > 1""",
+        "stream_drift": DRIFT,
+        "stream_drift_files": DRIFT,
     }
 )
 
@@ -427,3 +435,32 @@ ORACLES.update(
         findings AS ({stat_checks()}) SELECT rule, replace(column_name, '"', '') AS column_name, severity, expected FROM findings""",
     }
 )
+
+ACCEPTED = ALL_RAW.replace("SELECT Patient_ID", "SELECT o.event_id, Patient_ID", 1)
+SURVIVING = (
+    RAW + ", filled AS (SELECT event_id, Patient_ID, SepsisLabel, Gender, Age, HospAdmTime, ICULOS, " + each(SHIFTS, FILL) + " FROM raw), "
+    "kept AS (SELECT *, " + each(SHIFTS, "{c} IS NOT NULL", " AND ") + " AS known FROM filled)"
+)
+NUMBER = "cast(substr(Patient_ID, 2) AS bigint)"
+
+ORACLES.update(
+    {
+        "delimited_ingest": f"{ACCEPTED} SELECT * EXCLUDE (event_id) FROM raw WHERE event_id % 100 NOT IN (0, 50, 75)",
+        "delimited_batch": f"{ACCEPTED} SELECT * EXCLUDE (event_id) FROM raw WHERE event_id % 100 NOT IN (0, 50, 75) AND {NUMBER} % 3 = 1",
+        "delimited_rejects": f"""{WITH} SELECT Patient_ID, cast(CASE event_id % 100 WHEN 0 THEN 2 WHEN 50 THEN 41 ELSE 42 END AS bigint) AS n_fields,
+        count(*) AS n FROM obs WHERE event_id % 100 IN (0, 50, 75) GROUP BY ALL""",
+        "stream_outcomes": f"""{SURVIVING} SELECT Patient_ID AS request, 'accepted' AS outcome, count(*) AS n_rows,
+        count(*) FILTER (WHERE known) AS n_predicted, count(*) FILTER (WHERE NOT known) AS n_not_predicted
+        FROM kept WHERE {NUMBER} % 10 > 0 GROUP BY Patient_ID
+        UNION ALL SELECT DISTINCT Patient_ID, '''columns'' field is missing', 0, 0, 0 FROM kept WHERE {NUMBER} % 10 = 0""",
+        "batch_score_rows": PREP.replace(WITH, HALVES, 1).replace("FROM obs), prep", "FROM sides WHERE side = 'test'), prep", 1)
+        + " SELECT event_id, Patient_ID, SepsisLabel, true AS predicted FROM prep",
+        "model_contributions": f"""{PREP}, ranked AS (SELECT *, row_number() OVER (PARTITION BY SepsisLabel ORDER BY md5(concat('undersample|', event_id))) AS r FROM prep),
+        balanced AS (SELECT event_id FROM ranked WHERE SepsisLabel = 1 OR r <= 2 * (SELECT count(*) FROM prep WHERE SepsisLabel = 1)),
+        {sides("balanced", "event_id", "42", 0.2)} SELECT event_id, true AS adds_up FROM sides WHERE side = 'train'""",
+        "batch_retrain": f"""{WITH}, {sides("obs", "Patient_ID", "split", 0.2)}, ends AS (SELECT count(*) AS n, sum(SepsisLabel) AS p FROM sides WHERE side = 'train'),
+        news AS (SELECT count(*) AS n, count(*) - sum(SepsisLabel) AS p FROM sides WHERE side = 'test')
+        SELECT 'first run' AS step, n AS n_rows, cast(p AS bigint) AS positives FROM ends UNION ALL SELECT 'reverted', n, cast(p AS bigint) FROM ends
+        UNION ALL SELECT 'retrain, model-run-20240102-000000, then batch-2', e.n + w.n, cast(e.p + w.p AS bigint) FROM ends e, news w""",
+    }
+)

@@ -1,9 +1,11 @@
 """Readers: one scan over many files, always with a declared schema."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardflow import schema as S
 from wardflow.functions import scalars as X
+from wardflow.session import materialize
 
 CSV = {"sep": "|", "header": "true", "nullValue": "NaN", "enforceSchema": "true"}
 
@@ -26,6 +28,28 @@ def patient_files(spark, paths, id_rule="file_name", name_glob="*.psv"):
     return rows.withColumn(S.KEY, X.id_from_path(F.col("_metadata.file_path"), id_rule))
 
 
+def ingest_files(spark, paths, columns=None, id_rule="file_name", name_glob="*.psv"):
+    """(rows, rejects): the records of all delimited files below the folders, each parsed once.
+
+    columns names those that the files hold, in their order; others of the schema are null in
+    rows. A record with another number of fields, or with text where a number belongs, is
+    refused as a whole: rejects has its text, file and patient id. Parsed records are written
+    to the shared folder, and both results read that table.
+    """
+    names = columns or S.RAW_FILE.names
+    schema = T.StructType([S.RAW_FILE[c] for c in names] + [T.StructField("_record", T.StringType())])
+    reader = spark.read.schema(schema).options(**CSV, mode="PERMISSIVE", columnNameOfCorruptRecord="_record")
+    found = reader.option("pathGlobFilter", name_glob).option("recursiveFileLookup", True).csv(paths)
+    path = F.col("_metadata.file_path")
+    parsed = materialize(found.withColumns({S.KEY: X.id_from_path(path, id_rule), "_file": path}))
+    if parsed.isEmpty():
+        raise NoFiles(f"no records in {name_glob} files of {paths}")
+    absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in S.RAW_FILE if f.name not in names]
+    rows = parsed.filter(F.col("_record").isNull()).select(*names, *absent, S.KEY).select(*S.OBSERVATIONS.names)
+    rejects = parsed.filter(F.col("_record").isNotNull()).select(S.KEY, F.col("_file").alias("file"), F.col("_record").alias("record"))
+    return rows, rejects
+
+
 def observation_table(spark, path, batch=None):
     """A merged observation table: a folder of Parquet or, by suffix of the path, CSV."""
     path = f"{path}/{batch}" if batch else path

@@ -16,13 +16,14 @@ def text_array(names):
     return F.expr(text_array_sql(names))
 
 
-def parse_requests(lines, body="value", request="request", expected=S.REQUEST_COLUMNS, keep=()):
-    """(rows, rejects): one typed row per data row, and one reason per refused request.
+def checked_requests(lines, body="value", request="request", expected=S.REQUEST_COLUMNS, keep=()):
+    """Requests with their parsed cells and the reason why they are refused, null if they are not.
 
     Columns are bound by name, so their order does not matter. A flat list of values
     is a request with one row. Names must equal the expected ones and every row must
-    have as many values; otherwise the whole request is refused. `row` numbers the
-    rows of a request from 0. `keep` names columns of the lines to carry to their rows.
+    have as many values; otherwise the whole request is refused. `keep` names columns of the
+    lines to carry along. Where both rows and refusals are wanted, store this table first,
+    so that lines are parsed once.
     """
     nested = F.from_json(F.col("_e.data"), "array<array<string>>")
     flat = F.from_json(F.col("_e.data"), "array<string>")
@@ -52,8 +53,16 @@ def parse_requests(lines, body="value", request="request", expected=S.REQUEST_CO
         )
         .when(F.size("_names") != width, "invalid input shape")
     )
-    checked = opened.withColumn("reason", reason)
-    rejects = checked.filter(F.col("reason").isNotNull()).select(request, "reason")
+    return opened.withColumn("reason", reason)
+
+
+def refused(checked, request="request", keep=()):
+    """Refused requests with the reason."""
+    return checked.filter(F.col("reason").isNotNull()).select(request, "reason", *keep)
+
+
+def rows_of(checked, request="request", expected=S.REQUEST_COLUMNS, keep=()):
+    """One typed row per data row of the accepted requests; `row` numbers them from 0."""
     types = {f.name: f.dataType.simpleString() for f in S.OBSERVATIONS}
     places = F.expr("transform({}, c -> cast(array_position(_names, c) AS int))".format(text_array_sql(expected)))
     cells = (
@@ -62,7 +71,13 @@ def parse_requests(lines, body="value", request="request", expected=S.REQUEST_CO
         .select(request, *keep, "_places", F.posexplode("_data").alias("row", "_cells"))
     )
     values = [f"try_cast(element_at(_cells, _places[{i}]) AS {types[c]}) AS `{c}`" for i, c in enumerate(expected)]
-    return cells.selectExpr(f"`{request}`", "row", *keep, *values), rejects
+    return cells.selectExpr(f"`{request}`", "row", *keep, *values)
+
+
+def parse_requests(lines, body="value", request="request", expected=S.REQUEST_COLUMNS, keep=()):
+    """(rows, rejects) of request lines: see checked_requests, rows_of and refused."""
+    checked = checked_requests(lines, body, request, expected, keep)
+    return rows_of(checked, request, expected, keep), refused(checked, request)
 
 
 def as_request(df, columns, request="request", row="row", rows_per_request=None):

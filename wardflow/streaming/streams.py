@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 
 from wardflow import schema as S
 from wardflow.functions import scalars as X
+from wardflow.operators import mergeable
 from wardflow.operators import metrics as M
+from wardflow.operators import profile as R
 from wardflow.operators import validate as V
 from wardflow.sources import writers
 from wardflow.sources.readers import CSV
-from wardflow.sources.requests import parse_requests
+from wardflow.sources.requests import checked_requests, refused, rows_of
 
 
 def file_stream(spark, folder, schema=S.RAW_FILE, fmt="csv", glob=None, files_per_batch=1000, **options):
@@ -59,6 +61,9 @@ def per_batch(stream, work, out, checkpoint):
 def score_stream(stream, score, out, checkpoint):
     """Score request lines: tables `scored`, `rejects`, `log` and, if score lists them, `anomalies` below `out`.
 
+    Each batch is parsed once, into the table `parsed`, from which rows and refusals are taken.
+    Refused lines keep their body, so they can be sent again once they are mended.
+
     score(rows) returns the rows with a prediction and their other columns. Latency is
     the time from the arrival of a line (column arrived) to its scoring. The parsed rows go,
     as received and with the time of writing, to the request log (request_log), from which
@@ -66,8 +71,9 @@ def score_stream(stream, score, out, checkpoint):
     """
 
     def work(lines, save, number):
-        rows, rejects = parse_requests(lines, keep=["arrived"])
-        save("rejects", rejects)
+        checked = save("parsed", checked_requests(lines, keep=["arrived"]))  # lines are parsed here only
+        save("rejects", refused(checked, keep=["arrived", F.col("_body").alias("value")]))
+        rows = rows_of(checked, keep=["arrived"])
         logged = request_log(lines.sparkSession, out).append(rows.withColumn("created_at", F.current_timestamp()), number)
         seconds = F.current_timestamp().cast("double") - F.col("arrived").cast("double")
         scored = score(logged.drop("created_at"))
@@ -85,14 +91,45 @@ def request_log(spark, out):
 
 
 def drift_stream(stream, profile, out, checkpoint, skip=(S.LABEL,)):
-    """Findings of every micro-batch against a saved profile."""
+    """Findings against a saved profile, of every micro-batch and of all rows so far.
+
+    A batch is read once, into a mergeable profile. `findings` are those of the batch by itself;
+    `state` is the profile of this and all earlier batches, and `findings_so_far` what it
+    shows, so the newest of these do not depend on how files fall into batches. The state of a
+    repeated batch is made again from the state before it.
+    """
 
     def work(batch, save, number):
-        save("findings", V.monitor(batch, profile["schema"], profile["statistics"], profile["values"], skip))
+        spark, columns = batch.sparkSession, {c: F.col(c) for c in batch.columns if c not in skip}
+        if S.KEY in columns:  # of the key only whether it is there
+            columns[S.KEY] = F.when(F.col(S.KEY).isNotNull(), F.lit(""))
+        part = save("part", mergeable.parts(batch.select(*[x.alias(c) for c, x in columns.items()])))
+        earlier = [n for n in batch_numbers(spark, f"{out}/state") if n < number]
+        state = part
+        if earlier:
+            before = spark.read.schema(part.schema).parquet(f"{out}/state/run={max(earlier)}")
+            state = mergeable.merged(before.unionByName(part))
+        state = save("state", state)
+        for name, known in (("findings", part), ("findings_so_far", state)):
+            save(name, V.monitor_parts(known, R.recorded_schema(batch), profile, skip))
 
     return per_batch(stream, work, out, checkpoint)
 
 
+def batch_numbers(spark, folder):
+    """Numbers of the batches that have a table below the folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
+    return [int(n.split("=")[1]) for n in names if n.startswith("run=")]
+
+
+def drift_so_far(spark, out):
+    """Findings of drift_stream in all rows up to its newest batch."""
+    newest = max(batch_numbers(spark, f"{out}/findings_so_far"))
+    return spark.read.parquet(f"{out}/findings_so_far/run={newest}")
+
+
 def latency_windows(log, width="1 hour", delay="1 hour"):
     """Requests, rows and latency per time window of a log stream; late rows wait for `delay`."""
     return (
