@@ -36,13 +36,33 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Lines of a block, and shingles that a task counts at once.
 BLOCK, COLUMNS = 1024, 4096
+#: Hashes that are turned at once.
+CELLS = 1 << 15
 #: More rows make buckets of unrelated lines rarer; bands then keep the 0.99 at the threshold.
 BANDS, ROWS = 16, 6
-_SEEDS = np.random.default_rng(7).integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
-_STEP, _STEP32 = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x9E3779B1)
+#: Odd, so each of them reorders all 32-bit hashes.
+_FACTORS = np.random.default_rng(7).integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.array([32, 9, 11, 12, 13], np.uint32)
 
 
+def _minima(hashes, starts):
+    """Least value of each line's hashes under every factor, one row for each factor.
+
+    Lines are taken in groups of about CELLS hashes (or one line), which stay in the cache of a core.
+    """
+    out, a = np.empty((len(_FACTORS), len(starts)), np.uint32), 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + CELLS)))
+        held = hashes[starts[a] : starts[b] if b < len(starts) else None]
+        turned, cuts = np.empty_like(held), starts[a:b] - starts[a]
+        for i, factor in enumerate(_FACTORS):
+            np.multiply(held, factor, out=turned)
+            np.minimum.reduceat(turned, cuts, out=out[i, a:b])
+        a = b
+    return out
+
+
 class _Lines:
     """Lines of a record batch: row, place, and the characters of those that are not blank."""
 
@@ -93,13 +113,11 @@ class _Lines:
         for i in np.flatnonzero(self.ends - self.starts < SHINGLE):
             hashes[first[i]] = self.mixed[self.starts[i] : self.ends[i]].sum()
         hashes = (mix(hashes) >> np.uint64(32)).astype(np.uint32)
-        turned, out = np.empty_like(hashes), []
+        minima, out = _minima(hashes, first), []
         for band in range(BANDS):
             key = np.full(n, band + 1, np.uint64)
-            for seed in _SEEDS[band * ROWS : (band + 1) * ROWS]:
-                np.bitwise_xor(hashes, seed, out=turned)
-                np.multiply(turned, _STEP32, out=turned)
-                key = mix(key * _STEP + np.minimum.reduceat(turned, first))
+            for row in minima[band * ROWS : (band + 1) * ROWS]:
+                key = mix(key * _STEP + row)
             out.append(key.view(np.int64))
         return out
 
