@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -62,6 +63,27 @@ def test_byte_pairs_in_small_blocks(spark, texts):
     assert {r.doc_id: r.decoded.decode() for r in back} == {i: t or "" for i, t in enumerate(texts[:300])}
 
 
+def test_byte_pairs_with_many_buckets_and_few_known_words(spark, texts, monkeypatch):
+    own, want = library(), {}
+    monkeypatch.setattr(bytepairs, "KNOWN", 5)
+    frame = spark.createDataFrame(list(enumerate(texts[:300])), "doc_id long, text string").repartition(2).cache()
+    for i, t in enumerate(texts[:300]):
+        want[i] = own.encode_ordinary(t or "")
+    for buckets, size in ((1, 1 << 20), (500, 64), (500, 1 << 20)):
+        got = bytepairs.encode(frame, size=size, buckets=buckets).collect()
+        assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == want
+
+
+def test_blocks_with_other_answers_are_refused():
+    words = [b"x"]
+    row = {"keys": [1], "counts": [1], "codes": squeezed(np.array([0])), "buckets": squeezed(np.array([3])), "words": words}
+    good = pa.table({"code": [3], "sizes": [squeezed(np.array([2]))], "ids": [squeezed(np.array([7, 9]))]})
+    assert np.frombuffer(bytepairs._build(row, good).column("ids")[0].as_py(), "<u4").tolist() == [7, 9]
+    for other in (good.set_column(0, "code", pa.array([2])), good.set_column(1, "sizes", pa.array([squeezed(np.array([1, 1]))])), good.slice(0, 0)):
+        with pytest.raises(RuntimeError):
+            bytepairs._build(row, other)
+
+
 def test_decoding_keeps_nulls(spark):
     rows = spark.createDataFrame([(1, None, "x"), (2, bytearray(), "y")], "doc_id long, ids binary, decoded string")
     assert [(r.doc_id, r.decoded) for r in bytepairs.decode(rows).orderBy("doc_id").collect()] == [(1, None), (2, b"")]

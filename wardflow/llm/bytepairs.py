@@ -2,10 +2,16 @@
 
 Encoding: tasks cut texts into pre-tokens by the pattern and give each document the sequence
 of its pre-tokens, as places in its block's list of different ones (see blocks). The lists
-are exploded to (word, block, place). A shuffle on the word brings all rows of a word
-together; it is encoded once by its merges, and its ids join all its rows. A shuffle on the
-block brings the ids back to the sequences, which give every place its ids. One shuffle of
-the blocks serves both sides, so that neither texts nor sequences are written twice.
+are exploded to (bucket, block, words): a word's bucket is a hash of the word, and a row
+holds, compressed, all words of one block that go to one bucket, in the order of their
+places. A shuffle on the bucket brings all rows of a word together; it is encoded once by its
+merges, and its ids join all its rows. A shuffle on the block brings the ids back to the
+sequences, which give every place its ids. One shuffle of the blocks serves both sides, so
+that neither texts nor sequences are written twice.
+
+A task goes through its buckets one after the other and keeps the ids of one bucket's words
+only; beyond KNOWN different words it begins anew, so its memory has a bound, and a word may
+then be encoded again.
 
 Decoding: the token-byte table has one row for each token of the vocabulary, which bounds it,
 so its join is a broadcast one: every task gathers the bytes of its ids from the table.
@@ -16,6 +22,7 @@ text are not read, so their names do not matter; a text that is all one word is
 """
 
 import base64
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +34,13 @@ from wardflow.llm.chunks import chunk_starts, distinct, listed, per_text, strung
 from wardflow.llm.words import slices, text_buffer
 
 #: Bytes of text of a block, one document at least.
-BLOCK = 1 << 22
-#: Words of a record batch.
-AT_ONCE = 8192
+BLOCK = 1 << 23
+#: Rows of a record batch.
+AT_ONCE = 1024
+#: Buckets of words for each shuffle partition of the session.
+BUCKETS = 2
+#: Different words that a task keeps with their ids.
+KNOWN = 400_000
 
 
 def default_ranks():
@@ -62,9 +73,15 @@ def _encoding(path):
     return _LOADED[path]
 
 
-def pretokens(docs, pattern, size=BLOCK):
-    """(block, keys, counts, codes, words) of docs (key, text): the words of a block, the more
-    frequent first, and for each document how many it has and where they stand in words."""
+def _by_bucket(buckets):
+    """Places in the order of their buckets, and within a bucket in their own order."""
+    return np.argsort(buckets, kind="stable")
+
+
+def pretokens(docs, pattern, n_buckets, size=BLOCK):
+    """(block, keys, counts, codes, buckets, words) of docs (key, text): for each document how
+    many pre-tokens it has and their places in the block's list of different words, the more
+    frequent first; the bucket of each place; and the words of each bucket that has any."""
 
     def run(batches):
         cut, n = regex.compile(pattern).findall, 0
@@ -76,79 +93,99 @@ def pretokens(docs, pattern, size=BLOCK):
                 found, number = [cut(c.decode()) for c in chunks.bytes()], {}
                 values = np.array([number.setdefault(w, len(number)) for words in found for w in words], np.int64)
                 sequence, lengths = strung(of, values, np.array([len(words) for words in found], np.int64))
-                words = sorted(number)
-                at = np.array([number[w] for w in words], np.int64)
-                order = np.argsort(-np.bincount(sequence, minlength=len(words))[at], kind="stable")
-                rank = np.empty(len(words), np.int64)
-                rank[at[order]] = np.arange(len(words))
+                order = np.argsort(-np.bincount(sequence, minlength=len(number)), kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                words = list(number)
+                words = [words[i] for i in order.tolist()]
+                buckets = np.fromiter((crc32(w.encode()) for w in words), np.int64, len(words)) % n_buckets
+                places = _by_bucket(buckets)
+                edges = np.flatnonzero(np.diff(buckets[places], prepend=-1, append=-1))
+                packed = [squeezed_texts([words[i] for i in places[a:b].tolist()]) for a, b in zip(edges[:-1], edges[1:])]
                 keys = part.column("key").to_pylist()
                 row = [
                     pa.array([block_number(n, data.tobytes(), repr(keys).encode())], pa.int64()),
                     pa.array([keys], pa.list_(pa.int64())),
                     pa.array([per_text(starts, offsets, lengths)], pa.list_(pa.int64())),
                     pa.array([squeezed(rank[sequence])], pa.binary()),
-                    pa.array([squeezed_texts([words[i] for i in order.tolist()])], pa.binary()),
+                    pa.array([squeezed(buckets)], pa.binary()),
+                    pa.array([packed], pa.list_(pa.binary())),
                 ]
                 n += 1
-                yield pa.RecordBatch.from_arrays(row, names=["block", "keys", "counts", "codes", "words"])
+                yield pa.RecordBatch.from_arrays(row, names=["block", "keys", "counts", "codes", "buckets", "words"])
 
-    return docs.mapInArrow(run, "block long, keys array<long>, counts array<long>, codes binary, words binary")
+    return docs.mapInArrow(run, "block long, keys array<long>, counts array<long>, codes binary, buckets binary, words array<binary>")
 
 
 def exploded(blocks):
-    """(word, block, code): a row for each word of each block; code is its place."""
+    """(bucket, block, words): a row for each bucket that has words of the block."""
 
     def run(batches):
         for batch in batches:
-            for block, packed in zip(batch.column("block").to_pylist(), batch.column("words")):
-                words = texts(packed.as_py())
-                for at in range(0, len(words), AT_ONCE):
-                    part = words.slice(at, AT_ONCE)
-                    code = np.arange(at, at + len(part), dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), block)), pa.array(code)], names=["word", "block", "code"])
+            for block, buckets, words in zip(batch.column("block"), batch.column("buckets"), batch.column("words")):
+                used = np.unique(numbers(buckets.as_py()))
+                column = words.values
+                for at in range(0, len(used), AT_ONCE):
+                    part = used[at : at + AT_ONCE].astype(np.int32)
+                    of = pa.array(np.full(len(part), block.as_py()))
+                    yield pa.RecordBatch.from_arrays([pa.array(part), of, column.slice(at, len(part))], names=["bucket", "block", "words"])
 
-    return blocks.mapInArrow(run, "word string, block long, code int")
+    return blocks.mapInArrow(run, "bucket int, block long, words binary")
 
 
 def answered(rows, path):
-    """(block, code, ids) of rows (word, block, code) sorted by word; ids as 32-bit integers.
-
-    A word's rows follow each other, so it is encoded once, or twice at the border of batches.
-    """
+    """(block, code, sizes, ids) of rows (bucket, block, words) sorted by bucket: code is the
+    bucket; how many ids each of its words has, and all of them one after the other."""
 
     def run(batches):
-        encoding = _encoding(path)
+        encoding, known, bucket = _encoding(path), {}, None
         for batch in batches:
-            numbered = batch.column("word").dictionary_encode()
-            values, sizes = listed([encoding.encode_ordinary(w) for w in numbered.dictionary.to_pylist()])
-            ids, lengths = strung(numbered.indices.to_numpy(), values, sizes)
-            column = strings_of(4 * np.concatenate([[0], np.cumsum(lengths)]), ids.astype("<u4").tobytes(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("code"), column], names=["block", "code", "ids"])
-
-    return rows.mapInArrow(run, "block long, code int, ids binary")
+            sizes, ids = [], []
+            for of, packed in zip(batch.column("bucket").to_pylist(), batch.column("words")):
+                words = texts(packed.as_py()).to_pylist()
+                if of != bucket or len(known) > KNOWN:
+                    known, bucket = {}, of
+                for w in words:
+                    if w not in known:
+                        known[w] = encoding.encode_ordinary(w)
+                values, counts = listed([known[w] for w in words])
+                sizes.append(squeezed(counts))
+                ids.append(squeezed(values))
+            columns = [batch.column("block"), batch.column("bucket"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "code", "sizes", "ids"])
+
+    return rows.mapInArrow(run, "block long, code int, sizes binary, ids binary")
 
 
 def _build(row, answers):
-    data, offsets = text_buffer(answers.column("ids"))
-    flat, sizes = np.ascontiguousarray(data).view("<u4"), np.diff(offsets) // 4
-    if len(texts(row["words"])) != len(sizes):
+    buckets = numbers(row["buckets"])
+    used, each = np.unique(buckets, return_counts=True)
+    sizes = [numbers(s.as_py()) for s in answers.column("sizes")]
+    if answers.column("code").to_pylist() != used.tolist() or [len(s) for s in sizes] != each.tolist():
         raise RuntimeError("a block and its words were not made from the same rows")
-    ids, lengths = strung(numbers(row["codes"]), flat, sizes)
+    sizes = np.concatenate([np.zeros(0, np.int64), *sizes])
+    flat = np.concatenate([np.zeros(0, np.int64), *(numbers(i.as_py()) for i in answers.column("ids"))])
+    place = np.empty(len(buckets), np.int64)
+    place[_by_bucket(buckets)] = np.arange(len(buckets))
+    ids, lengths = strung(place[numbers(row["codes"])], flat.astype("<u4"), sizes)
     counts = np.array(row["counts"], np.int64)
     ends = 4 * np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-    return pa.table([pa.array(row["keys"], pa.int64()), strings_of(ends, ids.astype("<u4").tobytes(), pa.binary())], names=["key", "ids"])
+    return pa.table([pa.array(row["keys"], pa.int64()), strings_of(ends, ids.tobytes(), pa.binary())], names=["key", "ids"])
 
 
-def encode(docs, key="doc_id", text="text", path=None, pattern=None, size=BLOCK):
+def encode(docs, key="doc_id", text="text", path=None, pattern=None, size=BLOCK, buckets=None):
     """key and ids (little-endian unsigned 32-bit integers, binary) of every document.
 
-    docs must give its rows in the same partitions and order whenever they are read, as a
-    table does; otherwise repeated tasks may end in an error.
+    buckets: how many parts the different words of the whole table are dealt to; each should
+    have at most some 100,000 (default: BUCKETS for each shuffle partition). docs must give its
+    rows in the same partitions and order whenever they are read, as a table does; otherwise
+    repeated tasks may end in an error.
     """
     path, pattern = path or default_ranks(), pattern or default_pattern()
+    buckets = buckets or BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    blocks = pretokens(rows, pattern, size).repartition("block")
-    answers = answered(exploded(blocks).repartition("word").sortWithinPartitions("word"), path)
+    blocks = pretokens(rows, pattern, buckets, size).repartition("block")
+    answers = answered(exploded(blocks).repartition("bucket").sortWithinPartitions("bucket"), path)
     return reassembled(blocks, answers, _build, "key long, ids binary").withColumnRenamed("key", key)
 
 
