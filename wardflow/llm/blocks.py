@@ -52,7 +52,8 @@ def squeezed_texts(texts):
     raw = [t.encode() for t in texts]
     lengths = squeezed(np.array([len(t) for t in raw], np.int64))
     joined = b"".join(raw)
-    return len(lengths).to_bytes(8, "little") + len(joined).to_bytes(8, "little") + lengths + pa.compress(joined, "zstd", asbytes=True)
+    packed = pa.Codec("zstd", compression_level=6).compress(joined, asbytes=True)
+    return len(lengths).to_bytes(8, "little") + len(joined).to_bytes(8, "little") + lengths + packed
 
 
 def texts(squeezed_):

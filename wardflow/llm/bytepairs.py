@@ -22,6 +22,7 @@ text are not read, so their names do not matter; a text that is all one word is
 """
 
 import base64
+from array import array
 from zlib import crc32
 
 import numpy as np
@@ -34,7 +35,7 @@ from wardflow.llm.chunks import chunk_starts, distinct, listed, per_text, strung
 from wardflow.llm.words import slices, text_buffer
 
 #: Bytes of text of a block, one document at least.
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 #: Rows of a record batch.
 AT_ONCE = 1024
 #: Buckets of words for each shuffle partition of the session.
@@ -90,9 +91,12 @@ def pretokens(docs, pattern, n_buckets, size=BLOCK):
                 data, offsets = text_buffer(part.column("text"))
                 starts = chunk_starts(data, offsets)
                 of, chunks = distinct(data, starts)
-                found, number = [cut(c.decode()) for c in chunks.bytes()], {}
-                values = np.array([number.setdefault(w, len(number)) for words in found for w in words], np.int64)
-                sequence, lengths = strung(of, values, np.array([len(words) for words in found], np.int64))
+                number, values, sizes = {}, array("q"), array("q")
+                for chunk in chunks.bytes():
+                    found = cut(chunk.decode())
+                    sizes.append(len(found))
+                    values.extend([number.setdefault(w, len(number)) for w in found])
+                sequence, lengths = strung(of, np.array(values, np.int64), np.array(sizes, np.int64))
                 order = np.argsort(-np.bincount(sequence, minlength=len(number)), kind="stable")
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
