@@ -41,7 +41,7 @@ AT_ONCE = 1024
 #: Buckets of words for each shuffle partition of the session.
 BUCKETS = 2
 #: Different words that a task keeps with their ids.
-KNOWN = 400_000
+KNOWN = 200_000
 
 
 def default_ranks():
@@ -84,39 +84,42 @@ def pretokens(docs, pattern, n_buckets, size=BLOCK):
     many pre-tokens it has and their places in the block's list of different words, the more
     frequent first; the bucket of each place; and the words of each bucket that has any."""
 
+    def block_of(part, n, cut):
+        data, offsets = text_buffer(part.column("text"))
+        starts = chunk_starts(data, offsets)
+        of, chunks = distinct(data, starts)
+        number, values, sizes = {}, array("q"), array("q")
+        for chunk in chunks.bytes():
+            found = cut(chunk.decode())
+            sizes.append(len(found))
+            values.extend([number.setdefault(w, len(number)) for w in found])
+        sequence, lengths = strung(of, np.array(values, np.int64), np.array(sizes, np.int64))
+        order = np.argsort(-np.bincount(sequence, minlength=len(number)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        words = list(number)
+        words = [words[i] for i in order.tolist()]
+        buckets = np.fromiter((crc32(w.encode()) for w in words), np.int64, len(words)) % n_buckets
+        places = _by_bucket(buckets)
+        edges = np.flatnonzero(np.diff(buckets[places], prepend=-1, append=-1))
+        packed = [squeezed_texts([words[i] for i in places[a:b].tolist()]) for a, b in zip(edges[:-1], edges[1:])]
+        keys = part.column("key").to_pylist()
+        row = [
+            pa.array([block_number(n, data.tobytes(), repr(keys).encode())], pa.int64()),
+            pa.array([keys], pa.list_(pa.int64())),
+            pa.array([per_text(starts, offsets, lengths)], pa.list_(pa.int64())),
+            pa.array([squeezed(rank[sequence])], pa.binary()),
+            pa.array([squeezed(buckets)], pa.binary()),
+            pa.array([packed], pa.list_(pa.binary())),
+        ]
+        return pa.RecordBatch.from_arrays(row, names=["block", "keys", "counts", "codes", "buckets", "words"])
+
     def run(batches):
         cut, n = regex.compile(pattern).findall, 0
         for batch in batches:
             for part in slices(batch, size=size):
-                data, offsets = text_buffer(part.column("text"))
-                starts = chunk_starts(data, offsets)
-                of, chunks = distinct(data, starts)
-                number, values, sizes = {}, array("q"), array("q")
-                for chunk in chunks.bytes():
-                    found = cut(chunk.decode())
-                    sizes.append(len(found))
-                    values.extend([number.setdefault(w, len(number)) for w in found])
-                sequence, lengths = strung(of, np.array(values, np.int64), np.array(sizes, np.int64))
-                order = np.argsort(-np.bincount(sequence, minlength=len(number)), kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                words = list(number)
-                words = [words[i] for i in order.tolist()]
-                buckets = np.fromiter((crc32(w.encode()) for w in words), np.int64, len(words)) % n_buckets
-                places = _by_bucket(buckets)
-                edges = np.flatnonzero(np.diff(buckets[places], prepend=-1, append=-1))
-                packed = [squeezed_texts([words[i] for i in places[a:b].tolist()]) for a, b in zip(edges[:-1], edges[1:])]
-                keys = part.column("key").to_pylist()
-                row = [
-                    pa.array([block_number(n, data.tobytes(), repr(keys).encode())], pa.int64()),
-                    pa.array([keys], pa.list_(pa.int64())),
-                    pa.array([per_text(starts, offsets, lengths)], pa.list_(pa.int64())),
-                    pa.array([squeezed(rank[sequence])], pa.binary()),
-                    pa.array([squeezed(buckets)], pa.binary()),
-                    pa.array([packed], pa.list_(pa.binary())),
-                ]
+                yield block_of(part, n, cut)
                 n += 1
-                yield pa.RecordBatch.from_arrays(row, names=["block", "keys", "counts", "codes", "buckets", "words"])
 
     return docs.mapInArrow(run, "block long, keys array<long>, counts array<long>, codes binary, buckets binary, words array<binary>")
 
@@ -207,11 +210,12 @@ def decode(table, ids="ids", decoded="decoded", path=None):
         flat = np.frombuffer(b"".join(shared.value), np.uint8)
         sizes = np.array([len(t) for t in shared.value], np.int64)
         for batch in batches:
-            out = []
-            for packed_ids in batch.column(ids):
-                found = np.frombuffer(packed_ids.as_py() or b"", "<u4")
-                out.append(strung(found, flat, sizes)[0].tobytes() if packed_ids.is_valid else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, decoded])
+            for part in slices(batch, ids, BLOCK):
+                out = []
+                for packed_ids in part.column(ids):
+                    found = np.frombuffer(packed_ids.as_py() or b"", "<u4")
+                    out.append(strung(found, flat, sizes)[0].tobytes() if packed_ids.is_valid else None)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=[*names, decoded])
 
     schema = ", ".join(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in names) + f", `{decoded}` binary"
     return table.select(*names).mapInArrow(run, schema)
