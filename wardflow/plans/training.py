@@ -22,7 +22,7 @@ from wardflow import schema as S
 from wardflow.operators import metrics as M
 from wardflow.operators.prepare import features_in
 from wardflow.operators.sampling import assign_folds, group_split, row_split, undersample
-from wardflow.session import materialize
+from wardflow.session import checkpointed, materialize
 from wardflow.sources.writers import exists
 
 # The names of the families and the parameter grids of the full search. A tree depth of 30 stands for
@@ -145,6 +145,9 @@ def grid_search(train, name, grid, key, folds=5, score="f1", label=S.LABEL, seed
     n = rows.count()
     tasks = max(1, n // ROWS_OF_A_TASK)
     rows = rows.coalesce(tasks)
+    others = [rows.filter(F.col("fold") != k) for k in range(folds)]
+    if tasks == 1:  # a small table's thousands of short jobs each carry the plan that reads it
+        others = [checkpointed(o) for o in others]
     # jobs of few tasks wait for the driver more than they compute, so many fits go side by side
     parallelism = parallelism or min(64, max(4, 6 * spark.sparkContext.defaultParallelism // tasks))
     estimator, settings, judge = ESTIMATORS[name](seed).setLabelCol(label), settings_of(grid, n), evaluator(score, label)
@@ -160,7 +163,7 @@ def grid_search(train, name, grid, key, folds=5, score="f1", label=S.LABEL, seed
         members, fold = fits[unit[0]], unit[1]
         longest = max(members, key=lambda i: settings[i].get("maxIter", 0))
         start = time.time()
-        model = _with(estimator, settings[longest]).fit(rows.filter(F.col("fold") != fold))
+        model = _with(estimator, settings[longest]).fit(others[fold])
         seconds, held, found = time.time() - start, rows.filter(F.col("fold") == fold), []
         for i in members:
             scored = model if i == longest else shortened(model, settings[i]["maxIter"])

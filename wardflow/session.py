@@ -53,3 +53,14 @@ def materialize(df):
     path = new_folder(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df):
+    """df without the plan it came from: a checkpoint in the shared folder.
+
+    For small tables that thousands of short jobs read; larger ones are materialized.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
