@@ -311,6 +311,15 @@ def patient_split_training(spark, folder):
     return J.leakage(train, validation)
 
 
+@query
+def patient_split_rows(spark, folder):
+    """Balanced rows with the side that their whole patient went to."""
+    p = P.prepare_features(observations(spark, folder, parts=True).drop("ts"), keep=("event_id",))
+    split = training.training_sets(p, "event_id", by_patient=True)
+    train, validation = (rows.select("event_id", S.KEY, S.LABEL, F.lit(side).alias("side")) for rows, side in zip(split, ("train", "test")))
+    return train.unionByName(validation)
+
+
 # streams ------------------------------------------------------------------------------
 
 

@@ -458,6 +458,9 @@ ORACLES.update(
         "model_contributions": f"""{PREP}, ranked AS (SELECT *, row_number() OVER (PARTITION BY SepsisLabel ORDER BY md5(concat('undersample|', event_id))) AS r FROM prep),
         balanced AS (SELECT event_id FROM ranked WHERE SepsisLabel = 1 OR r <= 2 * (SELECT count(*) FROM prep WHERE SepsisLabel = 1)),
         {sides("balanced", "event_id", "42", 0.2)} SELECT event_id, true AS adds_up FROM sides WHERE side = 'train'""",
+        "patient_split_rows": f"""{PREP}, ranked AS (SELECT *, row_number() OVER (PARTITION BY SepsisLabel ORDER BY md5(concat('undersample|', event_id))) AS r FROM prep),
+        balanced AS (SELECT event_id, Patient_ID, SepsisLabel FROM ranked WHERE SepsisLabel = 1 OR r <= 2 * (SELECT count(*) FROM prep WHERE SepsisLabel = 1)),
+        {sides("balanced", "Patient_ID", "42", 0.2)} SELECT event_id, Patient_ID, SepsisLabel, side FROM sides""",
         "batch_retrain": f"""{WITH}, {sides("obs", "Patient_ID", "split", 0.2)}, ends AS (SELECT count(*) AS n, sum(SepsisLabel) AS p FROM sides WHERE side = 'train'),
         news AS (SELECT count(*) AS n, count(*) - sum(SepsisLabel) AS p FROM sides WHERE side = 'test')
         SELECT 'first run' AS step, n AS n_rows, cast(p AS bigint) AS positives FROM ends UNION ALL SELECT 'reverted', n, cast(p AS bigint) FROM ends
