@@ -22,7 +22,7 @@ from wardflow import schema as S
 from wardflow.operators import metrics as M
 from wardflow.operators.prepare import features_in
 from wardflow.operators.sampling import assign_folds, group_split, row_split, undersample
-from wardflow.session import checkpointed, materialize
+from wardflow.session import checkpoint_folder, checkpointed, materialize
 from wardflow.sources.writers import exists
 
 # The names of the families and the parameter grids of the full search. A tree depth of 30 stands for
@@ -34,11 +34,13 @@ FULL_GRIDS = {
     "Decision_Tree": {"maxDepth": [30, 10, 20], "minInstancesPerNode": [2, 5, 10]},
 }
 
+# Deep trees keep the node that each row has reached; otherwise every level takes each row from the root again,
+# through trees that travel with the tasks. The trees are the same. Shallow boosted trees gain nothing by it.
 ESTIMATORS = {
-    "Random_Forest_Classifier": lambda seed: RandomForestClassifier(seed=seed),
+    "Random_Forest_Classifier": lambda seed: RandomForestClassifier(seed=seed, cacheNodeIds=True),
     "Gradient_Boosted_Trees": lambda seed: GBTClassifier(seed=seed),
     "Logistic_Regression": lambda seed: LogisticRegression(maxIter=200, elasticNetParam=0.0, standardization=False),
-    "Decision_Tree": lambda seed: DecisionTreeClassifier(seed=seed),
+    "Decision_Tree": lambda seed: DecisionTreeClassifier(seed=seed, cacheNodeIds=True),
 }
 
 
@@ -80,6 +82,7 @@ def fit(train, name, params=None, label=S.LABEL, seed=42):
     for p, v in (params or {}).items():
         estimator = estimator.copy({estimator.getParam(p): v})
     assembler = VectorAssembler(inputCols=features_in(train), outputCol="features")
+    checkpoint_folder(train.sparkSession)  # where kept nodes and boosting cut their lineage
     return Pipeline(stages=[assembler, estimator]).fit(train)
 
 
@@ -138,6 +141,7 @@ def grid_search(train, name, grid, key, folds=5, score="f1", label=S.LABEL, seed
     started again with it, over the same rows and grid, does not repeat them.
     """
     spark, names = train.sparkSession, features_in(train)
+    checkpoint_folder(spark)
     assembler = VectorAssembler(inputCols=names, outputCol="features")
     keys = [key] if isinstance(key, str) else list(key)
     rows = assign_folds(train.select(*dict.fromkeys([*keys, label, *names])), keys, folds, label)

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -38,6 +39,19 @@ def shared_folder(spark):
     return folder.rstrip("/")
 
 
+@contextmanager
+def settings(spark, values):
+    """Session settings that hold inside a with block; what they were before comes back after it."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, str(value))
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def new_folder(spark, name):
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -55,12 +69,16 @@ def materialize(df):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpoint_folder(spark):
+    """Sees to it that checkpoints of iterative fits have the shared folder to go to."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def checkpointed(df):
     """df without the plan it came from: a checkpoint in the shared folder.
 
     For small tables that thousands of short jobs read; larger ones are materialized.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
