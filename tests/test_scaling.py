@@ -1,9 +1,12 @@
 """Work is dealt out by its size: deep trees, listings of many folders, long lines of one file."""
 
+import glob
+
 from pyspark.sql import functions as F
 
 from wardflow import schema as S
 from wardflow.plans import training
+from wardflow.streaming import streams
 
 
 def test_deep_trees_keep_the_node_of_each_row(spark):
@@ -15,3 +18,14 @@ def test_deep_trees_keep_the_node_of_each_row(spark):
         assert training.ESTIMATORS[name](42).getCacheNodeIds()
         kept, walked = (training.fit(rows, name, {"maxDepth": 12, "cacheNodeIds": keep}).stages[-1] for keep in (True, False))
         assert kept.toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
+
+
+def test_the_lines_of_one_file_are_parsed_by_many_tasks(spark, tmp_path):
+    body = F.to_json(F.struct(F.array(F.array(*[F.lit("1")] * len(S.REQUEST_COLUMNS))).alias("data"), F.array(*map(F.lit, S.REQUEST_COLUMNS)).alias("columns")))
+    lines = spark.range(200, numPartitions=1).select(F.lit("same").alias("request"), F.concat(body, F.repeat(F.lit(" "), F.col("id").cast("int"))).alias("value"), F.current_timestamp().alias("arrived"))
+    lines.write.parquet(f"{tmp_path}/lines")
+    stream = streams.file_stream(spark, f"{tmp_path}/lines", lines.schema, "parquet")
+    none = F.lit(None).cast("int").alias("prediction")
+    streams.score_stream(stream, lambda rows: rows.select("request", "row", "arrived", none), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    assert spark.read.parquet(f"{tmp_path}/out/parsed").count() == 200
+    assert len(glob.glob(f"{tmp_path}/out/parsed/run=0/part-*.parquet")) > 1

@@ -71,7 +71,11 @@ def score_stream(stream, score, out, checkpoint):
     """
 
     def work(lines, save, number):
-        checked = save("parsed", checked_requests(lines, keep=["arrived"]))  # lines are parsed here only
+        # a file is one task of the scan up to the size of a Parquet row group, however long its lines take
+        # to parse, so they are dealt out first; by a hash of the line, as a request may have any number of them
+        tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = lines.repartition(tasks, F.xxhash64("request", "value"))
+        checked = save("parsed", checked_requests(dealt, keep=["arrived"]))  # lines are parsed here only
         save("rejects", refused(checked, keep=["arrived", F.col("_body").alias("value")]))
         rows = rows_of(checked, keep=["arrived"])
         logged = request_log(lines.sparkSession, out).append(rows.withColumn("created_at", F.current_timestamp()), number)
