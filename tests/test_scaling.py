@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wardflow import schema as S
 from wardflow.plans import training
+from wardflow.sources import readers
 from wardflow.streaming import streams
 
 
@@ -29,3 +30,20 @@ def test_the_lines_of_one_file_are_parsed_by_many_tasks(spark, tmp_path):
     streams.score_stream(stream, lambda rows: rows.select("request", "row", "arrived", none), f"{tmp_path}/out", f"{tmp_path}/checkpoint")
     assert spark.read.parquet(f"{tmp_path}/out/parsed").count() == 200
     assert len(glob.glob(f"{tmp_path}/out/parsed/run=0/part-*.parquet")) > 1
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"p{i:06d}").mkdir()
+        (tmp_path / f"p{i:06d}" / f"p{i:06d}.psv").write_text("|".join(S.RAW_FILE.names) + "\n" + "|".join(["1"] * len(S.RAW_FILE.names)) + "\n")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        rows, rejects = readers.ingest_files(spark, str(tmp_path))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= 4 * spark.sparkContext.defaultParallelism
+    assert rows.select(S.KEY).distinct().count() == rows.count() == 300 and rejects.count() == 0
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before

@@ -5,11 +5,20 @@ from pyspark.sql import types as T
 
 from wardflow import schema as S
 from wardflow.functions import scalars as X
-from wardflow.session import materialize
+from wardflow.session import materialize, settings
 
 CSV = {"sep": "|", "header": "true", "nullValue": "NaN", "enforceSchema": "true"}
 
 
+def many_small_files(spark):
+    """Settings for a scan of very many small files: a few listing tasks for each core, not one for
+    every few folders, and some hundred files in a task, so that what it writes is not as many files again."""
+    return {
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism": 4 * spark.sparkContext.defaultParallelism,
+        "spark.sql.files.openCostInBytes": 512 * 1024,
+    }
+
+
 class NoFiles(Exception):
     """No file of the wanted kind is in the folder."""
 
@@ -39,9 +48,10 @@ def ingest_files(spark, paths, columns=None, id_rule="file_name", name_glob="*.p
     names = columns or S.RAW_FILE.names
     schema = T.StructType([S.RAW_FILE[c] for c in names] + [T.StructField("_record", T.StringType())])
     reader = spark.read.schema(schema).options(**CSV, mode="PERMISSIVE", columnNameOfCorruptRecord="_record")
-    found = reader.option("pathGlobFilter", name_glob).option("recursiveFileLookup", True).csv(paths)
     path = F.col("_metadata.file_path")
-    parsed = materialize(found.withColumns({S.KEY: X.id_from_path(path, id_rule), "_file": path}))
+    with settings(spark, many_small_files(spark)):
+        found = reader.option("pathGlobFilter", name_glob).option("recursiveFileLookup", True).csv(paths)
+        parsed = materialize(found.withColumns({S.KEY: X.id_from_path(path, id_rule), "_file": path}))
     if parsed.isEmpty():
         raise NoFiles(f"no records in {name_glob} files of {paths}")
     absent = [F.lit(None).cast(f.dataType).alias(f.name) for f in S.RAW_FILE if f.name not in names]
