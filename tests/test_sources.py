@@ -222,3 +222,26 @@ def test_a_batch_is_in_the_log_once(spark, tmp_path):
     got = {r["batch"]: r["count"] for r in log.read().groupBy("batch").count().collect()}
     assert got == {0: 3, 1: 4}
     assert not writers.create_file(spark, f"{log.folder}/ledger/0.json", "{}")
+
+
+def test_generated_code_of_request_rows_can_be_compiled(spark, capsys):
+    """The JVM never compiles a method of more than 8,000 bytes."""
+    import re
+
+    from wardflow.plans import model_catalog
+    from wardflow.session import settings
+
+    with settings(spark, {"spark.sql.adaptive.enabled": False}):
+        model_catalog.request_parse(spark, "/root/testdata/sf0.001").explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
+
+
+def test_cells_that_do_not_parse_are_null_one_by_one(spark):
+    names = list(reversed(S.REQUEST_COLUMNS))
+    cells = {"HR": "81.5", "Temp": "warm", "Gender": "1", "ICULOS": "1.5", "Age": None, S.KEY: "p1"}
+    body = json.dumps({"data": [[cells.get(n) for n in names]], "columns": names})
+    rows, rejects = parse_requests(spark.createDataFrame([("r", body)], "request string, value string"))
+    (row,) = rows.collect()
+    assert (row.HR, row.Temp, row.Gender, row.ICULOS, row.Age, row[S.KEY], row.row) == (81.5, None, 1, None, None, "p1", 0)
+    assert rejects.count() == 0

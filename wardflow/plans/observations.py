@@ -60,12 +60,18 @@ def observations(spark, folder, parts=False, max_rows=MAX_ROWS, hours=True):
 
 
 def raw_observations(spark, folder, max_rows=MAX_ROWS):
-    """One row per event with all raw columns: measurement i is known in every third hour."""
+    """One row per event with all raw columns: measurement i is known in every third hour.
+
+    The measurements are made as one array: an expression for each makes the generated code of a row
+    one method of more than 8,000 bytes, which the JVM never compiles.
+    """
     numbered = _numbered(spark, folder, max_rows)
-    measured = {
-        c: F.when((F.col("event_id") + i) % 3 == 0, F.round(F.col("value") + i, 2))
-        for i, c in enumerate(S.MEASUREMENTS)
-    }
+    value = F.transform(
+        F.array(*map(F.lit, range(len(S.MEASUREMENTS)))),
+        lambda i: F.when((F.col("event_id") + i) % 3 == 0, F.round(F.col("value") + i, 2)),
+    )
+    numbered = numbered.withColumn("_measured", value)
+    measured = {c: F.get("_measured", F.lit(i)) for i, c in enumerate(S.MEASUREMENTS)}
     columns = {**measured, **_context(), S.HOUR: F.col(S.HOUR), S.KEY: F.col(S.KEY)}
     raw = [columns[c].alias(c) for c in S.OBSERVATIONS.names]
     return numbered.select("event_id", *raw, *part_columns(numbered))

@@ -62,16 +62,28 @@ def refused(checked, request="request", keep=()):
 
 
 def rows_of(checked, request="request", expected=S.REQUEST_COLUMNS, keep=()):
-    """One typed row per data row of the accepted requests; `row` numbers them from 0."""
+    """One typed row per data row of the accepted requests; `row` numbers them from 0.
+
+    The cells of a row are cast as one array for each type. A cast for each column would make the
+    generated code of a row one method of more than 8,000 bytes, which the JVM never compiles.
+    """
     types = {f.name: f.dataType.simpleString() for f in S.OBSERVATIONS}
-    places = F.expr("transform({}, c -> cast(array_position(_names, c) AS int))".format(text_array_sql(expected)))
+    groups = {}  # columns by type
+    for c in expected:
+        groups.setdefault(types[c], []).append(c)
+    places = {
+        f"_at_{t}": F.expr("transform({}, c -> cast(array_position(_names, c) AS int))".format(text_array_sql(members)))
+        for t, members in groups.items()
+    }
+    typed = [f"try_cast(transform(`_at_{t}`, p -> element_at(_cells, p)) AS array<{t}>) AS `_as_{t}`" for t in groups]
     cells = (
         checked.filter(F.col("reason").isNull())
-        .select(request, *keep, places.alias("_places"), "_data")
-        .select(request, *keep, "_places", F.posexplode("_data").alias("row", "_cells"))
+        .select(request, *keep, *[e.alias(name) for name, e in places.items()], "_data")
+        .select(request, *keep, *[F.col(name) for name in places], F.posexplode("_data").alias("row", "_cells"))
+        .selectExpr(f"`{request}`", "row", *[f"`{k}`" for k in keep], *typed)
     )
-    values = [f"try_cast(element_at(_cells, _places[{i}]) AS {types[c]}) AS `{c}`" for i, c in enumerate(expected)]
-    return cells.selectExpr(f"`{request}`", "row", *keep, *values)
+    values = [F.get(f"_as_{types[c]}", F.lit(groups[types[c]].index(c))).alias(c) for c in expected]
+    return cells.select(request, "row", *keep, *values)
 
 
 def parse_requests(lines, body="value", request="request", expected=S.REQUEST_COLUMNS, keep=()):
