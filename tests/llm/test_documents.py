@@ -460,3 +460,29 @@ def test_shards_as_files(spark, tmp_path):
     assert back.count() == 50 and back.select("shard").distinct().count() == 4
     boxes = hilbert.shard_boxes(placed, ["size", "source"]).collect()
     assert sum(b.n_rows for b in boxes) == 50 and all(b.min_size <= b.max_size for b in boxes)
+
+
+def test_rounds_over_few_edges_write_few_files(spark, monkeypatch):
+    from wardflow.llm import components as module
+    from wardflow.llm.stages import stored
+    from wardflow.session import settings
+
+    written = []
+    monkeypatch.setattr(module, "stored", lambda df, name: (written.append(stored(df, name)), written[-1])[1])
+    with settings(spark, {"spark.sql.shuffle.partitions": 20, "spark.sql.adaptive.coalescePartitions.enabled": False}):
+        chain = spark.range(40).select((F.col("id") + 1).alias("u"), F.col("id").alias("v"))
+        assert {r.root for r in module.components(chain).collect()} == {0}
+    files = [len(table.inputFiles()) for table in written[1:]]  # the number of the first edges is not known before
+    assert files and max(files) == 1
+
+
+def test_stored_tables_have_no_checksum_files(spark):
+    import os
+    from urllib.parse import urlparse
+
+    from wardflow.llm.stages import stored
+    from wardflow.session import materialize
+
+    for table in (stored(spark.range(10)), materialize(spark.range(10))):
+        folder = os.path.dirname(urlparse(table.inputFiles()[0]).path)
+        assert table.count() == 10 and not [x for x in os.listdir(folder) if x.endswith(".crc")]

@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from wardflow.llm.stages import stored
 
+#: Edges of a file of a round, so that a round over few edges does not write a file for each shuffle partition.
+FILE_ROWS = 1 << 18
+
 
 def _print_of(edges):
     """Rows and an order-free checksum."""
@@ -24,6 +27,11 @@ def _small_star(edges):
     return moved.unionByName(smallest.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
 
 
+def _round(moved, n):
+    """Stored edges after a star operation on n edges, which never makes them more."""
+    return stored(moved.coalesce(n // FILE_ROWS + 1), "edges")
+
+
 def components(edges):
     """(id, root) for every id on an edge (u, v); root is the smallest id of its component.
 
@@ -35,7 +43,7 @@ def components(edges):
     edges = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _print_of(edges)
     while before[0]:
-        edges = stored(_small_star(stored(_large_star(edges), "edges")), "edges")
+        edges = _round(_small_star(_round(_large_star(edges), before[0])), before[0])
         after = _print_of(edges)
         if after == before:
             break

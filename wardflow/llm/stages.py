@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardflow.session import new_folder
+from wardflow.session import WRITES, new_folder
 
 
 _SHARED = set()
@@ -34,7 +34,7 @@ def stored(df, name="step"):
     Cuts lineage: a lost executor costs the reading of files, not the work before them.
     """
     path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**WRITES, compression="zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -52,6 +52,13 @@ def settings(spark, values):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+#: Options of a write into the shared folder. They bear on local disks only: there Hadoop, without its native library,
+#: starts a process for the permissions of each file, one for those of its checksum file and one for those of its folder, and
+#: until it begins such a process counts as a second copy of its JVM. Without checksum files there are two in place of
+#: three; parquet pages have checksums of their own.
+WRITES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def new_folder(spark, name):
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -65,7 +72,7 @@ def materialize(df):
     """
     spark = df.sparkSession
     path = new_folder(spark, "table")
-    df.write.parquet(path)
+    df.write.options(**WRITES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
