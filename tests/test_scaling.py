@@ -2,6 +2,8 @@
 
 import glob
 
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from wardflow import schema as S
@@ -21,6 +23,27 @@ def test_deep_trees_keep_the_node_of_each_row(spark):
         assert kept.toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
 
 
+def test_boosting_takes_few_tasks_and_short_lineage(spark):
+    rows = spark.range(0, 600, numPartitions=6).select(
+        "id", (F.col("id") * 37 % 101).cast("double").alias("HR"), (F.col("id") * 53 % 97).cast("double").alias("WBC"),
+        ((F.col("id") * 11 % 7) < 3).cast("bigint").alias(S.LABEL),
+    )
+    assert training.ESTIMATORS["Gradient_Boosted_Trees"](42).getCheckpointInterval() <= 3
+    spark.sparkContext.setJobGroup("boosting", "boosting")
+    try:
+        model = training.fit(rows, "Gradient_Boosted_Trees", {"maxIter": 4, "maxDepth": 4}).stages[-1]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("boosting") for s in tracker.getJobInfo(j).stageIds]
+    levels = [s.numTasks for s in stages if s and "RandomForest.scala" in s.name]
+    assert levels and max(levels) == 1
+    assembled = VectorAssembler(inputCols=["HR", "WBC"], outputCol="features").transform(rows)
+    plain = GBTClassifier(labelCol=S.LABEL, seed=42, maxIter=4, maxDepth=4).fit(assembled)
+    found, wanted = ({r["id"]: r["probability"][1] for r in m.transform(assembled).collect()} for m in (model, plain))
+    assert len(found) == 600 and all(abs(found[i] - wanted[i]) < 1e-9 for i in found)
+
+
 def test_the_lines_of_one_file_are_parsed_by_many_tasks(spark, tmp_path):
     body = F.to_json(F.struct(F.array(F.array(*[F.lit("1")] * len(S.REQUEST_COLUMNS))).alias("data"), F.array(*map(F.lit, S.REQUEST_COLUMNS)).alias("columns")))
     lines = spark.range(200, numPartitions=1).select(F.lit("same").alias("request"), F.concat(body, F.repeat(F.lit(" "), F.col("id").cast("int"))).alias("value"), F.current_timestamp().alias("arrived"))

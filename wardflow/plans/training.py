@@ -35,10 +35,11 @@ FULL_GRIDS = {
 }
 
 # Deep trees keep the node that each row has reached; otherwise every level takes each row from the root again,
-# through trees that travel with the tasks. The trees are the same. Shallow boosted trees gain nothing by it.
+# through trees that travel with the tasks. The trees are the same. Shallow boosted trees gain nothing by it; tasks of
+# boosting carry the trees of all rounds since the last checkpoint instead, so few rounds lie between two.
 ESTIMATORS = {
     "Random_Forest_Classifier": lambda seed: RandomForestClassifier(seed=seed, cacheNodeIds=True),
-    "Gradient_Boosted_Trees": lambda seed: GBTClassifier(seed=seed),
+    "Gradient_Boosted_Trees": lambda seed: GBTClassifier(seed=seed, checkpointInterval=3),
     "Logistic_Regression": lambda seed: LogisticRegression(maxIter=200, elasticNetParam=0.0, standardization=False),
     "Decision_Tree": lambda seed: DecisionTreeClassifier(seed=seed, cacheNodeIds=True),
 }
@@ -76,6 +77,22 @@ def settings_of(grid, n):
     return out
 
 
+#: Rows of a task of a search or of boosting: smaller tables are read in fewer tasks, as each
+#: level of a tree is a job of its own. A task of boosting has at most MOST_ROWS, however few the cores.
+ROWS_OF_A_TASK, MOST_ROWS = 20_000, 1_000_000
+
+
+def dealt(rows):
+    """rows in as many tasks as their number and the cores call for, cut off from their plan.
+
+    Every task of boosting's many short jobs unpacks that plan and the latest trees, which takes
+    longer than a level of a few thousand rows.
+    """
+    rows = materialize(rows)
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    return checkpointed(rows.coalesce(max(1, min(cores, -(-n // ROWS_OF_A_TASK)), -(-n // MOST_ROWS))))
+
+
 def fit(train, name, params=None, label=S.LABEL, seed=42):
     """One model with fixed parameters, as a pipeline from feature columns to predictions."""
     estimator = ESTIMATORS[name](seed).setLabelCol(label)
@@ -83,6 +100,9 @@ def fit(train, name, params=None, label=S.LABEL, seed=42):
         estimator = estimator.copy({estimator.getParam(p): v})
     assembler = VectorAssembler(inputCols=features_in(train), outputCol="features")
     checkpoint_folder(train.sparkSession)  # where kept nodes and boosting cut their lineage
+    if isinstance(estimator, GBTClassifier):
+        rows = dealt(assembler.transform(train).select("features", label))
+        return PipelineModel([assembler, estimator.fit(rows)])
     return Pipeline(stages=[assembler, estimator]).fit(train)
 
 
@@ -126,11 +146,6 @@ class _SearchTable:
             table.coalesce(1).write.mode("overwrite").json(f"{self.folder}/fit-{unit[0]}-fold-{unit[1]}")
 
 
-#: Rows of a task of a search: smaller tables are read in fewer tasks, as each round of a
-#: tree is a job of its own.
-ROWS_OF_A_TASK = 20_000
-
-
 def grid_search(train, name, grid, key, folds=5, score="f1", label=S.LABEL, seed=42, parallelism=None, store=None):
     """(best pipeline, results): exhaustive search over stratified folds.
 
