@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wardflow.functions.quantiles import exact_quantiles
 from wardflow.operators import profile as R
@@ -49,3 +50,19 @@ def test_profile_of_an_empty_column(table):
 def test_profile_of_an_empty_table(spark):
     row = R.profile_numeric(spark.createDataFrame([], "a double")).first()
     assert row["median"] is None and row["n_rows"] == 0
+
+
+def test_many_columns_are_values_in_rows(spark):
+    """No aggregate has a function for each column, and tables without rows give rows without values."""
+    names = [f"c {i}" for i in range(40)]
+    df = spark.range(101).select(*[((F.col("id") * 7 + i) % 101).cast("double").alias(c) for i, c in enumerate(names)])
+    df = df.withColumn("d", F.col("`c 0`").cast("decimal(12,2)"))
+    plans, collected = [], type(df).collect
+    stats = {"null_count": ("count_if({c} IS NULL)", "bigint"), "mean": ("avg({c})", "double")}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(df), "collect", lambda self: (plans.append(len(self.schema)), collected(self))[1])
+        found = exact_quantiles(df, [*names, "d"], (0.5,), stats=stats)
+    assert plans and max(plans) < 10
+    assert {r["column_name"]: (r["value"], r["null_count"], r["mean"]) for r in found.collect()} == {c: (50.0, 0, 50.0) for c in [*names, "d"]}
+    empty = exact_quantiles(df.filter("false"), names[:2], (0.5,), stats=stats).collect()
+    assert [(r["value"], r["null_count"], r["mean"]) for r in empty] == [(None, 0, None)] * 2

@@ -27,11 +27,24 @@ class _Search:
         return low if self.weight == 0 or low == high else low + (high - low) * self.weight
 
 
-def _inside(c, low, high):
-    """SQL: the value of a column if it lies in the open bracket, else null."""
-    tests = [f"{c} > double('{low}')"] if low is not None else []
-    tests += [f"{c} < double('{high}')"] if high is not None else []
-    return f"CASE WHEN {' AND '.join(tests) or 'true'} THEN {c} END"
+def _tall(df, columns):
+    """(i, v): the values of the columns, one row for each, numbered by i.
+
+    A few aggregates by i are compiled code; some for each of many columns, in one row, are interpreted.
+    """
+    return df.select(F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in columns])).alias("i", "v"))
+
+
+def _bracketed(df, searches, borders, few=()):
+    """_tall for each search, with its bracket a, b, whether v lies in it, and whether that is few."""
+
+    def each(values, kind):
+        return F.get(F.array(*[F.lit(x).cast(kind) for x in values]), F.col("i"))
+
+    rows = _tall(df, [s.column for s in searches])
+    a, b = (each([ends[k] for ends in borders], "double") for k in (0, 1))
+    rows = rows.withColumns({"a": a, "b": b, "few": each(few or [False] * len(searches), "boolean")})
+    return rows.withColumn("m", F.expr("v IS NOT NULL AND (a IS NULL OR v > a) AND (b IS NULL OR v < b)"))
 
 
 def _narrow(df, searches, accuracy):
@@ -40,30 +53,26 @@ def _narrow(df, searches, accuracy):
     A sketch of this accuracy misses a rank by inside / accuracy at most, so the new
     bracket holds the ranks, and 10 / accuracy of the rows at most lie strictly in it.
     """
-    margin, wanted = 4.0 / accuracy, []
-    for i, s in enumerate(searches):
+    margin, shares = 4.0 / accuracy, []
+    for s in searches:
         ranks = s.open_ranks()
-        shares = max((ranks[0] - s.base) / s.inside - margin, 0.0), min((ranks[-1] - s.base + 1) / s.inside + margin, 1.0)
-        x = _inside(f"cast(`{s.column}` AS double)", s.low, s.high)
-        wanted.append(F.expr(f"percentile_approx({x}, array({shares[0]!r}D, {shares[1]!r}D), {accuracy})").alias(f"e{i}"))
-    return [tuple(ends) for ends in df.agg(*wanted).first()]
+        shares += [max((ranks[0] - s.base) / s.inside - margin, 0.0), min((ranks[-1] - s.base + 1) / s.inside + margin, 1.0)]
+    rows = _bracketed(df, searches, [(s.low, s.high) for s in searches]).filter("m")
+    sketch = F.expr(f"percentile_approx(v, array({', '.join(f'{x!r}D' for x in shares)}), {accuracy})")
+    own = [F.get("ends", F.col("i") * 2 + k).alias(f"e{k}") for k in (0, 1)]
+    found = {r["i"]: (r["e0"], r["e1"]) for r in rows.groupBy("i").agg(sketch.alias("ends")).select("i", *own).collect()}
+    return [found[i] for i in range(len(searches))]
 
 
 def _settle(df, searches, borders, accuracy):
     """One scan: counts around the new brackets; their values too where those are few."""
-    wanted, few = [], [10 * s.inside <= accuracy * accuracy for s in searches]
+    few = [10 * s.inside <= accuracy * accuracy for s in searches]
+    counts = {"l": "v < a", "a": "v = a", "m": "m", "b": "v = b"}
+    wanted = [F.expr(f"count_if({test})").alias(f"n_{k}") for k, test in counts.items()]
+    wanted.append(F.expr("sort_array(collect_list(CASE WHEN m AND few THEN v END))").alias("values"))
+    found = {r["i"]: r for r in _bracketed(df, searches, borders, few).groupBy("i").agg(*wanted).collect()}
     for i, (s, (low, high)) in enumerate(zip(searches, borders)):
-        c = f"cast(`{s.column}` AS double)"
-        x = _inside(c, low, high)
-        counts = {"l": f"{c} < double('{low}')", "a": f"{c} = double('{low}')", "m": f"({x}) IS NOT NULL", "b": f"{c} = double('{high}')"}
-        if low is None:  # the whole column
-            counts.update({k: "false" for k in "lab"})
-        wanted += [F.expr(f"count_if({test})").alias(f"{k}{i}") for k, test in counts.items()]
-        if few[i]:
-            wanted.append(F.expr(f"sort_array(collect_list({x}))").alias(f"v{i}"))
-    row = df.agg(*wanted).first()
-    for i, (s, (low, high)) in enumerate(zip(searches, borders)):
-        below, at_low, middle, at_high = (row[f"{k}{i}"] for k in "lamb")
+        below, at_low, middle, at_high = (found[i][f"n_{k}"] for k in "lamb")
         at_high = 0 if low == high else at_high
         for rank in s.open_ranks():
             if rank < below or rank >= below + at_low + middle + at_high:
@@ -73,7 +82,7 @@ def _settle(df, searches, borders, accuracy):
             elif rank >= below + at_low + middle:
                 s.known[rank] = high
             elif few[i]:
-                s.known[rank] = row[f"v{i}"][rank - below - at_low]
+                s.known[rank] = found[i]["values"][rank - below - at_low]
         s.low, s.high, s.base, s.inside = low, high, below + at_low, middle
 
 
@@ -95,9 +104,19 @@ def exact_quantiles(df, columns, shares=(0.5,), accuracy=10_000, stats=None):
         fields = {"n": "count({c})", "ends": f"percentile_approx(cast({{c}} AS double), array({ends}), {accuracy})"}
         fields.update({s: f"cast({aggregate} AS {kind})" for s, (aggregate, kind) in stats.items()})
         body = ", ".join(f"'{s}', {sql}" for s, sql in fields.items())
-        return F.expr(f"named_struct({body})".format(c=f"`{c}`")).alias(c)
-
-    first = df.agg(*map(measures, columns)).first()
+        return F.expr(f"named_struct({body})".format(c=c))
+
+    # an average of decimals is one of decimals, so these columns are not made doubles before it
+    decimals = [c for c, kind in df.dtypes if c in columns and kind.startswith("decimal")]
+    tall, first = [c for c in columns if c not in decimals], {}
+    if decimals:
+        first.update(df.agg(*[measures(f"`{c}`").alias(c) for c in decimals]).first().asDict())
+    if tall:
+        rows = _tall(df, tall).groupBy("i").agg(measures("v").alias("m")).collect()
+        first.update({tall[r["i"]]: r["m"] for r in rows})
+    if len(first) < len(columns):  # a table without rows
+        none = spark.range(0).select(F.lit(None).cast("double").alias("v")).agg(measures("v").alias("m")).first()["m"]
+        first = {c: first.get(c, none) for c in columns}
     found = [_Search(c, q, first[c]["n"]) for c in columns for q in shares]
     left = [s for s in found if s.open_ranks()]
     borders = {}
