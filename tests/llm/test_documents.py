@@ -430,6 +430,66 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert bag(tuple(r) for r in got) == bag(brute_lines(rows))
 
 
+def test_sketch_bins_are_equal_as_often_as_sets_overlap():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 20, 90, 700):
+        equal = met = 0
+        for _ in range(150):
+            both = rng.integers(0, 2**64, n, dtype=np.uint64)
+            one, two = both[: max(1, n * 9 // 10)], both[n // 10 :]
+            minima = lines._minima(np.concatenate([one, np.tile(two, 2)]), np.array([0, len(one)]))
+            same = minima[0] == minima[1]
+            equal += same.mean() / 150
+            met += same.reshape(lines.BANDS, lines.ROWS).all(axis=1).any() / 150
+        near = len(np.intersect1d(one, two)) / n
+        assert abs(equal - near) < 0.03 and met >= (0.97 if near >= 0.8 else 0)
+    several = rng.integers(0, 2**64, 5000, dtype=np.uint64)
+    starts = np.sort(rng.choice(np.arange(1, 5000), 700, replace=False))
+    starts[0] = 0
+    alone = [lines._minima(x, np.array([0]))[0] for x in np.split(several, starts[1:])]
+    assert np.array_equal(lines._minima(several, starts), alone)
+
+
+def test_buckets_by_small_pieces(monkeypatch):
+    """Keys with two lines or more give each line but the pivot, also if keys are put together many times."""
+    rng = np.random.default_rng(8)
+    key = np.concatenate([rng.integers(0, 3000, 4000), np.full(500, 3001)]).astype(np.uint64)
+    line = rng.integers(0, 40, len(key)) + 100 * key.astype(np.int64)
+    line[-500:] = np.arange(500) - 250
+    order = rng.permutation(len(key))
+    key, line = key[order], line[order]
+    for limit in (100, 1 << 20):
+        monkeypatch.setattr(lines, "PACKED", limit)
+        buckets, out = lines._Buckets(), []
+        for at in range(0, len(key), 50):
+            out += buckets.add(key[at : at + 50], line[at : at + 50], np.ones(len(key[at : at + 50]), np.uint16))
+        out += buckets.rows()
+        want, got, flat = {}, {}, {}
+        for k, x in zip(key.tolist(), line.tolist()):
+            want.setdefault(k, set()).add(x)
+        for rows in out:
+            for k, x, pivot, more in zip(*(c.tolist() for c in rows)):
+                got.setdefault(k, {pivot}).add(x)
+                flat.setdefault(k, []).append((pivot, more))
+        assert got == {k: v for k, v in want.items() if len(v) > 1}
+        assert all(len({pivot for pivot, _ in v}) == 1 for v in flat.values())
+        assert all(any(more for _, more in flat[k]) for k, v in got.items() if len(v) > 2)
+        assert list(buckets.rows()) == []
+
+
+def test_band_keys_travel_packed(spark):
+    """Neither one row for each band of a line, nor a table of all signatures."""
+    rng = random.Random(9)
+    rows = [(i, "\n".join(words_of(rng, 12) for _ in range(4)), i) for i in range(1000)]
+    frame = spark.createDataFrame(rows, "id long, text string, version long").repartition(2)
+    dealt = lines._dealt(frame, 8)
+    assert dealt.count() <= 2 * 2 * 8
+    found = lines._gathered(dealt.repartition("part").sortWithinPartitions("part")).collect()
+    places = [(r.doc, r.version, r.place) for r in found if r.key is None]
+    assert bag(places) == bag((i, i, k) for i in range(1000) for k in range(4))
+    assert len(found) < 2 * len(places)
+
+
 def test_forest_equals_all_pairs():
     rng = random.Random(3)
     base = [set(rng.sample(range(400), 40)) for _ in range(8)]

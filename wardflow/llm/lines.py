@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardflow.llm.components import components
-from wardflow.llm.stages import repeated_keys, stored
+from wardflow.llm.stages import stored
 from wardflow.llm.words import _powers, mix, slices, text_buffer
 
 #: Characters of a shingle. It decides with THRESHOLD which lines are near, so it is part of
@@ -36,47 +36,119 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Lines of a block, and shingles that a task counts at once.
 BLOCK, COLUMNS = 1024, 4096
-#: Hashes that are turned at once.
-CELLS = 1 << 15
+#: Hashes and lines that are turned at once, and keys that are packed or held at once.
+CELLS, CELL_LINES, PACKED = 1 << 15, 256, 1 << 20
 #: More rows make buckets of unrelated lines rarer; bands then keep the 0.99 at the threshold.
 BANDS, ROWS = 16, 6
-#: Odd, so each of them reorders all 32-bit hashes.
-_FACTORS = np.random.default_rng(7).integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+#: Odd, so each of them reorders all hashes: those of the rounds, and those of the bins that no round filled.
+_random = np.random.default_rng(7)
+_FACTORS = _random.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_TURNS = _random.integers(0, 2**64, 8, dtype=np.uint64) | np.uint64(1)
+_EMPTY, _HALF, _SPARE = np.uint32(2**32 - 1), np.uint64(32), np.uint32(5)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_BLANK = np.array([32, 9, 11, 12, 13], np.uint32)
+_PLANE = []
 
 
 def _minima(hashes, starts):
-    """Least value of each line's hashes under every factor, one row for each factor.
+    """BANDS x ROWS minima of each line's hashes, one row for each line, as a fast similarity sketch.
 
-    Lines are taken in groups of about CELLS hashes (or one line), which stay in the cache of a core.
+    In a round every hash falls into one bin; a bin keeps the least value of the first round that
+    reached it, and after the last round a bin still empty takes the least value of all hashes
+    under its own factor. So a bin of two lines is equal with the probability of their Jaccard
+    similarity, as with a factor for each bin, but a line costs a few rounds, not one for each bin.
     """
-    out, a = np.empty((len(_FACTORS), len(starts)), np.uint32), 0
-    while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(starts, starts[a] + CELLS)))
-        held = hashes[starts[a] : starts[b] if b < len(starts) else None]
-        turned, cuts = np.empty_like(held), starts[a:b] - starts[a]
-        for i, factor in enumerate(_FACTORS):
-            np.multiply(held, factor, out=turned)
-            np.minimum.reduceat(turned, cuts, out=out[i, a:b])
+    bins, n, total, a = BANDS * ROWS, len(starts), len(hashes), 0
+    out, lengths = np.full((n, bins), _EMPTY, np.uint32), np.diff(np.append(starts, total))
+    while a < n:  # about CELLS hashes (or one line) at once stay in the cache of a core
+        b = min(a + CELL_LINES, max(a + 1, int(np.searchsorted(starts, starts[a] + CELLS, "right")) - 1), n)
+        held, table = hashes[starts[a] : starts[b] if b < n else total], out[a:b].reshape(-1)
+        base = np.repeat(np.arange(b - a) * bins, lengths[a:b])
+        for turn, factor in enumerate(_TURNS):
+            turned = held * factor
+            value = turned.astype(np.uint32)
+            value >>= _SPARE
+            value |= np.uint32(turn << 27)
+            turned >>= _HALF
+            turned *= np.uint64(bins)
+            turned >>= _HALF
+            at = turned.view(np.int64)
+            at += base
+            np.minimum.at(table, at, value)
+            open_ = (out[a:b] == _EMPTY).any(axis=1)
+            if not open_.any():
+                break
+            stay = open_[base // bins]
+            held, base = held[stay], base[stay]
+        else:
+            line, bin_ = np.nonzero(out[a:b] == _EMPTY)
+            size = lengths[a:b][line]
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1]) + np.repeat(starts[a:b][line] - (ends - size), size)
+            value = (hashes[at].astype(np.uint32) * np.repeat(_FACTORS[bin_], size)) >> _SPARE
+            out[a:b][line, bin_] = np.minimum.reduceat(value, ends - size) | np.uint32(_TURNS.size << 27)
         a = b
     return out
 
 
+def _mixed(points):
+    """mix() of each code point; those of the first plane from a table."""
+    if not len(_PLANE):
+        _PLANE.append(mix(np.arange(1 << 16, dtype=np.uint64) + _STEP))
+    if len(points) and points.max() >= 1 << 16:
+        return mix(points.astype(np.uint64) + _STEP)
+    return _PLANE[0][points]
+
+
+def _sums(mixed):
+    """Running sums that give the hash of any run of code points."""
+    sums = np.zeros(len(mixed) + 1, np.uint64)
+    np.cumsum(mixed * _powers(len(mixed) + 1)[0][: len(mixed)], out=sums[1:])
+    return sums
+
+
+def _shingle_hashes(sums, starts, ends):
+    """(hashes, first): 64-bit hashes of the shingles of each run, repeats included; those of run i begin at first[i]."""
+    counts = np.maximum(ends - starts - SHINGLE + 1, 1)
+    first = np.cumsum(counts) - counts
+    at = np.arange(counts.sum()) + np.repeat(starts - first, counts)
+    size, down = max(len(sums) - SHINGLE, 0), _powers(len(sums))[1]
+    hashes = mix((sums[SHINGLE:] - sums[:size]) * down[:size]).take(at, mode="clip") if size else np.zeros(len(at), np.uint64)
+    short = np.flatnonzero(ends - starts < SHINGLE)
+    hashes[first[short]] = mix((sums[ends[short]] - sums[starts[short]]) * down[starts[short]])
+    return hashes, first
+
+
+def _points(texts):
+    """(code points of all texts, starts, ends)."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    ends = np.cumsum([len(t) for t in texts])
+    return points, np.r_[0, ends[:-1]], ends
+
+
+def _shingle_sets(texts):
+    """Sorted different shingle hashes of each text."""
+    points, starts, ends = _points(texts)
+    hashes, first = _shingle_hashes(_sums(_mixed(points)), starts, ends)
+    out = []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(hashes)]):
+        one = np.sort(hashes[a:b])
+        out.append(one[np.r_[True, one[1:] != one[:-1]]])
+    return out
+
+
 class _Lines:
     """Lines of a record batch: row, place, and the characters of those that are not blank."""
 
     def __init__(self, part):
         data, offsets = text_buffer(part.column("text"))
         texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:])]
-        self.joined = "\n".join(texts)
-        points = np.frombuffer(self.joined.encode("utf-32-le"), "<u4")
+        points = np.frombuffer("\n".join(texts).encode("utf-32-le"), "<u4")
         breaks = np.flatnonzero(points == 10)
         starts, ends = np.r_[0, breaks + 1], np.r_[breaks, len(points)]
         counts = np.array([t.count("\n") + 1 for t in texts])
         row = np.repeat(np.arange(len(texts)), counts)
         place = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
-        solid = np.flatnonzero((points != 10) & ~np.isin(points, _BLANK))
+        solid = np.flatnonzero((points > 32) | (points < 9) | ((points > 13) & (points < 32)))
         if len(solid):
             a = solid[np.minimum(np.searchsorted(solid, starts), len(solid) - 1)]
             b = solid[np.maximum(np.searchsorted(solid, ends) - 1, 0)] + 1
@@ -84,91 +156,176 @@ class _Lines:
         else:
             a, b, full = starts, starts, np.zeros(len(starts), bool)
         self.row, self.place, self.starts, self.ends = row[full], place[full], a[full], b[full]
-        self.points, self.mixed = points, None
+        self.sums = _sums(_mixed(points))
 
     def ids(self):
         """64-bit hash of each line as a signed long."""
-        self.mixed = mix(self.points.astype(np.uint64) + _STEP)
-        up, down = _powers(len(self.points) + 1)
-        sums = np.zeros(len(self.points) + 1, np.uint64)
-        np.cumsum(self.mixed * up[: len(self.points)], out=sums[1:])
         length = (self.ends - self.starts).astype(np.uint64)
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + length).view(np.int64)
-
-    def bands(self):
-        """Band keys: one array for each band. Needs ids() before."""
-        n = len(self.starts)
-        if not n:
-            return [np.zeros(0, np.int64)] * BANDS
-        padded = np.append(self.mixed, np.zeros(SHINGLE, np.uint64))
-        lasts = np.maximum(self.ends - SHINGLE, self.starts)
-        used = np.zeros(len(self.points) + 1, np.int8)
-        used[self.starts] += 1
-        np.add.at(used, lasts + 1, -1)
-        at = np.flatnonzero(np.cumsum(used[:-1]))
-        hashes = np.zeros(len(at), np.uint64)
-        for k in range(SHINGLE):
-            hashes = hashes * _STEP + padded[at + k]
-        first = np.searchsorted(at, self.starts)
-        for i in np.flatnonzero(self.ends - self.starts < SHINGLE):
-            hashes[first[i]] = self.mixed[self.starts[i] : self.ends[i]].sum()
-        hashes = (mix(hashes) >> np.uint64(32)).astype(np.uint32)
-        minima, out = _minima(hashes, first), []
-        for band in range(BANDS):
-            key = np.full(n, band + 1, np.uint64)
-            for row in minima[band * ROWS : (band + 1) * ROWS]:
-                key = mix(key * _STEP + row)
-            out.append(key.view(np.int64))
-        return out
-
-    def text(self, i):
-        return self.points[self.starts[i] : self.ends[i]].astype("<u4").tobytes().decode("utf-32-le")
+        down = _powers(len(self.sums))[1]
+        return mix((self.sums[self.ends] - self.sums[self.starts]) * down[self.starts] + length).view(np.int64)
+
+    def bands(self, which):
+        """Band keys of the lines at the places `which`, one row for each line."""
+        if not len(which):
+            return np.zeros((0, BANDS), np.uint64)
+        minima = _minima(*_shingle_hashes(self.sums, self.starts[which], self.ends[which]))
+        minima = minima.reshape(len(which), BANDS, ROWS)
+        keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(which), 1))
+        for k in range(ROWS):
+            keys = mix(keys * _STEP + minima[:, :, k])
+        return keys
 
 
 def _batch(arrays, names):
     return pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in arrays], names=names)
 
 
-def _signed(rows):
-    """(line, doc, b0 ..) of every line of rows (id, text)."""
-    names = ["line", "doc", *[f"b{i}" for i in range(BANDS)]]
+def _packed(parts, at, *columns):
+    """(part, bytes of the columns) for each of the parts that the rows are dealt to by at."""
+    order = np.argsort(at, kind="stable")
+    columns = [c[order] for c in columns]
+    cuts = np.searchsorted(at[order], np.arange(parts + 1))
+    return [(i, b"".join(c[a:b].tobytes() for c in columns)) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
+
+
+def _unpacked(data, kinds):
+    """The columns that _packed() took."""
+    n, at, out = len(data) // sum(np.dtype(k).itemsize for k in kinds), 0, []
+    for kind in kinds:
+        out.append(np.frombuffer(data, kind, n, at).copy())  # the copy is aligned
+        at += out[-1].nbytes
+    return out
+
+
+def _dealt(rows, parts):
+    """(part, kind, data): places and band keys of every line of rows (id, text, version), packed by parts.
+
+    A line goes by the hash of its place, a band key by itself, so neither a line nor a document is hot.
+    """
+
+    def packed(places, keys):
+        line, doc, version, place = (np.concatenate(c) for c in zip(*places))
+        spot = mix(mix(doc.view(np.uint64) + _STEP * place.astype(np.uint64)) + line.view(np.uint64))
+        out = [(i, 0, x) for i, x in _packed(parts, _part(spot, parts), line, doc, version, place)]
+        key, line, copies = (np.concatenate(c) for c in zip(*keys))
+        out += [(i, 1, x) for i, x in _packed(parts, _part(key, parts), key, line, copies)]
+        part, kind, data = zip(*out) if out else ((), (), ())
+        return _batch([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], ["part", "kind", "data"])
 
     def run(batches):
+        places, keys, size = [], [], 0
         for batch in batches:
-            for part in slices(batch, size=1 << 20):
+            for part in slices(batch, size=1 << 17):
                 lines = _Lines(part)
-                yield _batch([lines.ids(), part.column("id").to_numpy()[lines.row], *lines.bands()], names)
+                ids = lines.ids()
+                doc, version = (part.column(c).to_numpy()[lines.row] for c in ("id", "version"))
+                places.append((ids, doc, version, lines.place))
+                line, first, copies = np.unique(ids, return_index=True, return_counts=True)
+                key, copies = lines.bands(first), np.minimum(copies, 65535).astype(np.uint16)
+                keys.append((key.ravel(), np.repeat(line, BANDS), np.repeat(copies, BANDS)))
+                size += key.size
+                if size >= PACKED:
+                    yield packed(places, keys)
+                    places, keys, size = [], [], 0
+        if places:
+            yield packed(places, keys)
+
+    return rows.mapInArrow(run, "part int, kind int, data binary")
+
+
+def _part(hashes, parts):
+    return ((hashes >> _HALF) * np.uint64(parts) >> _HALF).astype(np.int64)
+
+
+class _Buckets:
+    """Lines of a part's keys, as they come; rows (key, line, pivot, more) of keys with two lines or more.
+
+    Of a key that has given its pivot only the pivot is held, so a key with very many lines
+    takes no more memory than any other.
+    """
+
+    def __init__(self):
+        self.held, self.new, self.size, self.limit = None, [], 0, PACKED
+
+    def add(self, key, line, copies):
+        self.new.append((key, line, copies.astype(np.int64), np.zeros(len(key), bool)))
+        self.size += len(key)
+        if self.size >= self.limit:
+            yield from self.rows(last=False)
+
+    def rows(self, last=True):
+        parts = ([self.held] if self.held else []) + self.new
+        if not parts:
+            return
+        key, line, copies, pivot = (np.concatenate(c) for c in zip(*parts))
+        order = np.argsort(key)
+        same = key[order][1:] == key[order][:-1]
+        again = np.zeros(len(key), bool)
+        again[1:] = same
+        again[:-1] |= same
+        single, order = order[~again], order[again]
+        order = order[np.lexsort((line[order], key[order]))]
+        key_, line_, copies_, pivot_ = key[order], line[order], copies[order], pivot[order]
+        if len(order):  # a line once for each key, with all its copies
+            cuts = np.flatnonzero(np.r_[True, (key_[1:] != key_[:-1]) | (line_[1:] != line_[:-1])])
+            key_, line_ = key_[cuts], line_[cuts]
+            copies_, pivot_ = np.add.reduceat(copies_, cuts), np.logical_or.reduceat(pivot_, cuts)
+            order = np.lexsort((line_, -copies_, ~pivot_, key_))  # the pivot first: an old one, or the line with most copies
+            key_, line_, copies_, pivot_ = key_[order], line_[order], copies_[order], pivot_[order]
+            cuts = np.flatnonzero(np.r_[True, key_[1:] != key_[:-1]])
+            n = np.diff(np.append(cuts, len(key_)))
+            rest = np.ones(len(key_), bool)
+            rest[cuts] = False
+            more = np.repeat((n > 2) | pivot_[cuts] | (not last), n)
+            yield key_[rest], line_[rest], np.repeat(line_[cuts], n)[rest], more[rest]
+            key_, line_, copies_, pivot_ = key_[cuts], line_[cuts], copies_[cuts], pivot_[cuts] | (n > 1)
+        if last:
+            self.__init__()
+        else:
+            first = key_, line_, copies_, pivot_
+            self.held = tuple(np.concatenate([x[single], y]) for x, y in zip((key, line, copies, pivot), first))
+            self.new, self.size = [], len(self.held[0])
+            self.limit = max(PACKED, 2 * self.size)
 
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
+def _gathered(rows):
+    """Rows of places (line, doc, version, place) and of buckets (key, line, pivot, more) from what _dealt() packed."""
+    names = ["key", "line", "pivot", "more", "doc", "version", "place"]
 
-def _places(rows):
-    """(line, doc, version, place) of every line of rows (id, text, version)."""
+    def bucket(key, line, pivot, more):
+        return _batch([key.view(np.int64), line, pivot, more, *[pa.nulls(len(key), pa.int64())] * 3], names)
 
     def run(batches):
+        found, at = _Buckets(), None
         for batch in batches:
-            for part in slices(batch, size=1 << 20):
-                lines = _Lines(part)
-                doc, version = (part.column(c).to_numpy()[lines.row] for c in ("id", "version"))
-                yield _batch([lines.ids(), doc, version, lines.place], ["line", "doc", "version", "place"])
+            for part, kind, data in zip(*(batch.column(c) for c in ("part", "kind", "data"))):
+                if part.as_py() != at:
+                    at = part.as_py()
+                    yield from (bucket(*x) for x in found.rows())
+                if kind.as_py():
+                    yield from (bucket(*x) for x in found.add(*_unpacked(data.as_buffer(), (np.uint64, np.int64, np.uint16))))
+                else:
+                    line, *spot = _unpacked(data.as_buffer(), [np.int64] * 4)
+                    none, no = pa.nulls(len(line), pa.int64()), pa.nulls(len(line), pa.bool_())
+                    yield _batch([none, line, none, no, *spot], names)
+        yield from (bucket(*x) for x in found.rows())
 
-    return rows.mapInArrow(run, "line long, doc long, version long, place long")
+    return rows.mapInArrow(run, "key long, line long, pivot long, more boolean, doc long, version long, place long")
 
 
 def _texts(rows):
-    """(line, text) of the wanted lines of rows (id, text, wanted)."""
+    """(line, text) of the wanted (place, line) of rows (text, wanted)."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, size=1 << 20):
-                lines = _Lines(part)
-                ids, hits = lines.ids(), []
-                wanted = [set(w.as_py()) for w in part.column("wanted")]
-                for i, (row, line) in enumerate(zip(lines.row.tolist(), ids.tolist())):
-                    if line in wanted[row]:
-                        wanted[row].discard(line)  # once, however often the text repeats it
-                        hits.append(i)
-                yield _batch([ids[hits], pa.array([lines.text(i) for i in hits], pa.string())], ["line", "text"])
+                ids, texts = [], []
+                for text, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist()):
+                    found = text.split("\n")
+                    for x in wanted:
+                        ids.append(x["line"])
+                        texts.append(found[x["place"]].strip(" \t\x0b\x0c\r"))
+                yield _batch([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["line", "text"])
 
     return rows.mapInArrow(run, "line long, text string")
 
@@ -184,15 +341,18 @@ def _verified(pairs, texts, threshold):
 
     def run(batches):
         for batch in batches:
-            known, keep = {}, []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                if b not in known:
-                    known.clear()
-                    known[b] = shingles(b)
-                one, two = shingles(a), known[b]
-                same = len(one & two)
-                keep.append(same >= threshold * (len(one) + len(two) - same))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for part in slices(batch, "a", size=1 << 17):
+                v, keep = part.column("v").to_numpy(), []
+                new = np.r_[True, v[1:] != v[:-1]]  # a pivot's rows stand together
+                ones = _shingle_sets(part.column("a").to_pylist())
+                twos = _shingle_sets(part.column("b").filter(pa.array(new)).to_pylist())
+                for one, at in zip(ones, (np.cumsum(new) - 1).tolist()):
+                    two = twos[at]
+                    both = np.concatenate([one, two])
+                    both.sort()
+                    same = int(np.count_nonzero(both[1:] == both[:-1]))
+                    keep.append(same >= threshold * (len(one) + len(two) - same))
+                yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     ordered = both.select("u", "v", "a", "b").sortWithinPartitions("v")
     return ordered.mapInArrow(run, "u long, v long")
@@ -201,17 +361,15 @@ def _verified(pairs, texts, threshold):
 def _forest(sets, sides, roots, threshold):
     """Links (i, j) that join near sets of different roots; with two sides, only across them."""
     n = len(sets)
-    sizes, counts = np.array([len(s) for s in sets], float), {}
-    for s in sets:
-        for x in s:
-            counts[x] = counts.get(x, 0) + 1
-    number = {x: i for i, x in enumerate(x for x, c in counts.items() if c > 1)}
-    row = np.array([i for i, s in enumerate(sets) for x in s if x in number], np.int64)
-    column = np.array([number[x] for s in sets for x in s if x in number], np.int64)
+    sizes = np.array([len(s) for s in sets], float)
+    _, column, counts = np.unique(np.concatenate([np.array(s if isinstance(s, np.ndarray) else list(s)) for s in sets]), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(n), sizes.astype(np.int64)), counts > 1
+    row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    total = int(shared.sum())
     same = np.zeros((n, n), np.float32)
-    for at in range(0, len(number), COLUMNS):
+    for at in range(0, total, COLUMNS):
         part = (column >= at) & (column < at + COLUMNS)
-        held = np.zeros((n, min(COLUMNS, len(number) - at)), np.float32)
+        held = np.zeros((n, min(COLUMNS, total - at)), np.float32)
         held[row[part], column[part] - at] = 1
         same += held @ held.T
     same = same.astype(float)
@@ -242,7 +400,7 @@ def _compared(open_, texts, threshold):
     names = ["key", "x", "y"]
 
     def solve(table):
-        lines_, sets = table.column("line").to_numpy(), [shingles(t) for t in table.column("text").to_pylist()]
+        lines_, sets = table.column("line").to_numpy(), _shingle_sets(table.column("text").to_pylist())
         found = _forest(sets, table.column("block").to_numpy(), table.column("root").to_numpy(), threshold)
         return [(lines_[i], lines_[j]) for i, j in found]
 
@@ -268,29 +426,16 @@ def _compared(open_, texts, threshold):
     return rows.select(*names, "block", "line", "root", "text").mapInArrow(run, "u long, v long")
 
 
-def line_classes(rows, threshold=THRESHOLD):
-    """(line, root) for lines that are near another one; rows: (id, text), id never null."""
-    signed = _signed(rows)
-    keys = [f"b{i}" for i in range(BANDS)]
-    distinct = signed.groupBy("line").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"), *[F.max(b).alias(b) for b in keys])
-    distinct = stored(distinct, "lines")
-    banded = distinct.select("line", F.explode(F.array(*keys)).alias("key"))
-    buckets = repeated_keys(banded, "key", ["line"]).join(distinct.select("line", "copies"), "line")
-    buckets = stored(buckets, "buckets")
-    best = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(-F.col("copies"), "line")).alias("best"))
-    best = best.filter("n > 1").select("key", F.col("best.line").alias("pivot"))
-    buckets = stored(buckets.select("key", "line").join(best, "key"), "pivots")
-
-    wanted = buckets.select("line").distinct().join(distinct.select("line", "doc"), "line")
-    wanted = wanted.groupBy("doc").agg(F.collect_list("line").alias("wanted"))
-    texts = stored(_texts(rows.join(wanted, rows["id"] == wanted["doc"]).select("id", "text", "wanted")), "texts")
-
-    pairs = buckets.filter("line <> pivot").select(F.col("line").alias("u"), F.col("pivot").alias("v")).distinct()
+def _links(buckets, texts, threshold):
+    """(line, root) for lines that are near another one."""
+    pairs = buckets.select(F.col("line").alias("u"), F.col("pivot").alias("v")).distinct()
     links = stored(_verified(pairs, texts, threshold), "links")
     roots = stored(components(links), "roots")
-    named = buckets.join(roots.withColumnRenamed("id", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    rest = buckets.filter("more").select("key", "line")
+    named = rest.join(roots.withColumnRenamed("id", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    named = stored(named, "named")
     open_ = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    named = stored(named.join(open_, "key").filter("line <> pivot").select("key", "line", "root"), "open")
+    named = stored(named.join(open_, "key").select("key", "line", "root"), "open")
     links = links.unionByName(_compared(named, texts, threshold))
     return components(links).withColumnRenamed("id", "line")
 
@@ -298,15 +443,29 @@ def line_classes(rows, threshold=THRESHOLD):
 def _verdicts(docs, key, text, threshold):
     """(doc, version, line, place, component, kept) of every line; version is the hash of the whole text."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
-    classes = line_classes(rows, threshold)
-    versions = rows.withColumn("version", F.xxhash64("text"))
-    places = _places(versions).join(classes, "line", "left").withColumn("component", F.coalesce("root", "line")).drop("root")
-    places = stored(places, "places")
-    # the line that stays is found again by its place, so that no component is dealt to one task
-    first = places.groupBy("component").agg(F.min(F.struct("doc", "place", "version")).alias("first"))
-    spot = ["doc", "place", "version"]
-    out = places.join(first.select("first.*", F.lit(True).alias("kept")), spot, "left")
-    return out.withColumn("kept", F.coalesce("kept", F.lit(False)))
+    rows = rows.withColumn("version", F.xxhash64("text"))
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = stored(_gathered(_dealt(rows, parts).repartition("part").sortWithinPartitions("part")), "lines")
+    places = found.filter("key is null").select("line", "doc", "version", "place")
+    buckets = found.filter("key is not null").select("key", "line", "pivot", "more")
+
+    # a line that meets none and has no copy stays, and is in none of the tables that follow
+    spot = F.struct("doc", "place", "version")
+    firsts = places.groupBy("line").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("copies"))
+    met = buckets.select("line").union(buckets.select("pivot")).distinct().withColumn("met", F.lit(True))
+    firsts = stored(firsts.join(met, "line", "left").filter("met or copies > 1"), "firsts")
+    wanted = firsts.filter("met").groupBy(F.col("first.doc").alias("id"), F.col("first.version").alias("version"))
+    wanted = wanted.agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "line")).alias("wanted"))
+    texts = stored(_texts(rows.join(wanted, ["id", "version"]).select("text", "wanted")), "texts")
+
+    # the first spot of a component is marked at its own line, so that no component is dealt to one task
+    firsts = firsts.join(_links(buckets, texts, threshold), "line", "left")
+    firsts = stored(firsts.select("line", "first", F.coalesce("root", "line").alias("component")), "classes")
+    kept = firsts.groupBy("component").agg(F.min(F.struct("first", "line")).alias("kept")).select(F.col("kept.line").alias("line"), F.col("kept.first").alias("kept"))
+    classes = stored(firsts.select("line", "component").join(kept, "line", "left").withColumn("known", F.lit(True)), "kept")
+    out = places.join(classes, "line", "left")
+    stays = F.when(F.col("known"), F.coalesce(F.col("kept") == spot, F.lit(False))).otherwise(F.lit(True))
+    return out.select("doc", "version", "line", "place", F.coalesce("component", "line").alias("component"), stays.alias("kept"))
 
 
 def line_verdicts(docs, key="doc_id", text="text", threshold=THRESHOLD):
