@@ -430,6 +430,19 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert bag(tuple(r) for r in got) == bag(brute_lines(rows))
 
 
+def test_few_sets_are_joined_as_many_are():
+    rng = np.random.default_rng(4)
+    for turn in range(40):
+        base = np.arange(200, dtype=np.uint64)
+        sets = [base[rng.random(200) > 0.1] for _ in range(lines.FEW)]
+        sides, roots = rng.integers(0, 1 + turn % 2, lines.FEW), rng.integers(0, 6, lines.FEW)
+        n, both = list(range(lines.FEW)), []
+        for solve in (lines._few, lines._forest):
+            joined = {tuple(sorted(p)) for p in solve(sets, sides, roots, 0.8)}
+            both.append(classes_of(n, lambda i, j, joined=joined: tuple(sorted((i, j))) in joined))
+        assert same_classes(*both)
+
+
 def test_sketch_bins_are_equal_as_often_as_sets_overlap():
     rng = np.random.default_rng(5)
     for n in (1, 3, 20, 90, 700):

@@ -3,13 +3,15 @@
 A line is what stands between newlines, without white space at its ends; blank lines are
 left as they are. Lines are near if the Jaccard similarity of their sets of SHINGLE
 characters is THRESHOLD or more (a shorter line is one shingle). Signatures of BANDS x ROWS
-minima are banded, so a pair at the threshold meets with probability
-1 - (1 - t**ROWS)**BANDS = 0.99, and more above it.
+minima, made as a fast similarity sketch in a few rounds over a line's shingles, are banded, so
+a pair at the threshold meets with probability 1 - (1 - t**ROWS)**BANDS = 0.99, and more above
+it. Band keys travel packed, many to a row, to the task of their range of keys, which gives on
+only the lines that meet another one.
 
 Equal lines are one row from then on. Pairs that meet are compared in two rounds. First all
-rows of a bucket with one of them, the line with the most copies; these links join nearly
-all of a group of copies. Then buckets that still hold lines of different components are cut
-into blocks of at most about BLOCK lines, and a task compares two blocks by counting the
+rows of a bucket with one of them, the line with the most copies (in blocks of documents); these links join nearly
+all of a group of copies. Then buckets that still hold lines of different components, one
+of those with the same lines, are cut into blocks of at most about BLOCK lines, and a task compares two blocks by counting the
 shingles that lines share, with links of a spanning forest as its only output. So every pair
 that meets is either compared exactly or already joined, and no bucket gives its pairs as
 rows. Components come from distributed union-find, and the first line of each,
@@ -17,7 +19,7 @@ by document and place, stays.
 
 Defined results: a null text has no lines; a row without an id takes no part and stays; of rows
 with one id each different text is a document of its own, told apart by a 64-bit hash; an empty
-table gives an empty table. Lines are equal if their 64-bit hashes are (for n different
+table gives an empty table. Shingles are compared as 64-bit hashes. Lines are equal if their 64-bit hashes are (for n different
 lines one false pair is expected in 2**65 / n**2 runs).
 """
 
@@ -36,6 +38,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: Lines of a block, and shingles that a task counts at once.
 BLOCK, COLUMNS = 1024, 4096
+#: Lines of a block that are compared pair by pair.
+FEW = 8
 #: Hashes and lines that are turned at once, and keys that are packed or held at once.
 CELLS, CELL_LINES, PACKED = 1 << 15, 256, 1 << 20
 #: More rows make buckets of unrelated lines rarer; bands then keep the 0.99 at the threshold.
@@ -334,6 +338,16 @@ def shingles(text, n=SHINGLE):
     return {text[i : i + n] for i in range(max(1, len(text) - n + 1))}
 
 
+def _near(one, two, threshold):
+    """Whether two sorted sets of hashes have this Jaccard similarity."""
+    if min(len(one), len(two)) < threshold * max(len(one), len(two)):
+        return False
+    both = np.concatenate([one, two])
+    both.sort()
+    same = int(np.count_nonzero(both[1:] == both[:-1]))
+    return same >= threshold * (len(one) + len(two) - same)
+
+
 def _verified(pairs, texts, threshold):
     """The pairs (u, v) whose texts are near."""
     both = pairs.join(texts.select(F.col("line").alias("u"), F.col("text").alias("a")), "u")
@@ -347,11 +361,7 @@ def _verified(pairs, texts, threshold):
                 ones = _shingle_sets(part.column("a").to_pylist())
                 twos = _shingle_sets(part.column("b").filter(pa.array(new)).to_pylist())
                 for one, at in zip(ones, (np.cumsum(new) - 1).tolist()):
-                    two = twos[at]
-                    both = np.concatenate([one, two])
-                    both.sort()
-                    same = int(np.count_nonzero(both[1:] == both[:-1]))
-                    keep.append(same >= threshold * (len(one) + len(two) - same))
+                    keep.append(_near(one, twos[at], threshold))
                 yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     ordered = both.select("u", "v", "a", "b").sortWithinPartitions("v")
@@ -390,6 +400,19 @@ def _forest(sets, sides, roots, threshold):
     return out
 
 
+def _few(sets, sides, roots, threshold):
+    """_forest() of a few sorted sets of hashes, pair by pair."""
+    n, crossing, out, group = len(sets), sides.min() != sides.max(), [], list(range(len(sets)))
+    for i in range(n):
+        for j in range(i + 1, n):
+            if group[i] == group[j] or roots[i] == roots[j] or (crossing and sides[i] == sides[j]):
+                continue
+            if _near(sets[i], sets[j], threshold):
+                out.append((i, j))
+                group = [group[i] if g == group[j] else g for g in group]
+    return out
+
+
 def _compared(open_, texts, threshold):
     """Links between the lines of each bucket of open_ (key, line, root)."""
     sizes = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -401,7 +424,8 @@ def _compared(open_, texts, threshold):
 
     def solve(table):
         lines_, sets = table.column("line").to_numpy(), _shingle_sets(table.column("text").to_pylist())
-        found = _forest(sets, table.column("block").to_numpy(), table.column("root").to_numpy(), threshold)
+        sides, roots = table.column("block").to_numpy(), table.column("root").to_numpy()
+        found = (_few if len(sets) <= FEW else _forest)(sets, sides, roots, threshold)
         return [(lines_[i], lines_[j]) for i, j in found]
 
     def run(batches):
@@ -434,7 +458,10 @@ def _links(buckets, texts, threshold):
     rest = buckets.filter("more").select("key", "line")
     named = rest.join(roots.withColumnRenamed("id", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     named = stored(named, "named")
-    open_ = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
+    # lines that meet in several bands make the same bucket again: 128 bits of their hashes tell
+    same = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("line")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "line")).alias("y")]
+    open_ = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), *same).filter("a < b")
+    open_ = open_.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
     named = stored(named.join(open_, "key").select("key", "line", "root"), "open")
     links = links.unionByName(_compared(named, texts, threshold))
     return components(links).withColumnRenamed("id", "line")
@@ -445,7 +472,7 @@ def _verdicts(docs, key, text, threshold):
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
     rows = rows.withColumn("version", F.xxhash64("text"))
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = stored(_gathered(_dealt(rows, parts).repartition("part").sortWithinPartitions("part")), "lines")
+    found = stored(_gathered(_dealt(rows, parts).repartitionById(parts, "part")), "lines")
     places = found.filter("key is null").select("line", "doc", "version", "place")
     buckets = found.filter("key is not null").select("key", "line", "pivot", "more")
 
