@@ -97,6 +97,31 @@ def test_a_search_starts_no_job_for_a_level_and_has_sparks_scores(spark, rows, m
         assert np.allclose(f["fold_scores"], w["fold_scores"]) and f["training_time"] > 0
 
 
+def test_a_search_of_forests_starts_no_job_for_a_level(spark, rows):
+    grid = {"numTrees": [5, 20], "maxDepth": [3, 8], "minInstancesPerNode": [1, 5]}
+    (model, results), levels = level_stages(spark, "forests in tasks", lambda: training.grid_search(rows, "Random_Forest_Classifier", grid, "id", folds=3))
+    assert levels == 0
+    results = results.collect()
+    assert len({str(r["params"]) for r in results}) == len(results) == 8 and all(len(r["fold_scores"]) == 3 for r in results)
+    assert all(0 < s <= 1 for r in results if r["params"]["maxDepth"] == "8" for s in r["fold_scores"])
+    best = max(results, key=lambda r: r["mean_score"])["params"]
+    forest = model.stages[-1]
+    assert {p: str(getattr(forest, f"get{p[0].upper()}{p[1:]}")()) if p != "numTrees" else str(len(forest.trees)) for p in best} == best
+
+
+def test_the_score_of_a_fold_is_that_of_its_forest(spark, rows):
+    """Votes of a search are those of the model fitted to the other folds."""
+    folded = assembled(rows).withColumn("fold", (F.col("id") % 2).cast("int"))
+    one, whole = RandomForestClassifier(labelCol=S.LABEL, seed=42, numTrees=7, maxDepth=6), E.Rows(folded, S.LABEL, 3)
+    train, held = folded.filter("fold = 1"), folded.filter("fold = 0")
+    cuts = whole.borders(42, train, train.count())
+    votes = E.scored_fold(one, [{}], [0], whole, cuts, 0)
+    model = E.fitted(one, E.Rows(train, S.LABEL, 3))
+    for score in ("f1", "weighted_recall", "roc_auc"):
+        judge = training.evaluator(score)
+        assert judge.evaluate(E.judged(votes, 0, S.LABEL)) == pytest.approx(judge.evaluate(model.transform(held)))
+
+
 def test_other_settings_and_odd_labels_are_sparks_business(rows):
     assert not table(rows).fit_here(RandomForestClassifier(labelCol=S.LABEL, maxBins=16))
     assert not table(rows.limit(0)).fit_here(GBTClassifier(labelCol=S.LABEL))
