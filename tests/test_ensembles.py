@@ -122,6 +122,37 @@ def test_the_score_of_a_fold_is_that_of_its_forest(spark, rows):
         assert judge.evaluate(E.judged(votes, 0, S.LABEL)) == pytest.approx(judge.evaluate(model.transform(held)))
 
 
+def test_forests_have_the_asked_trees_and_do_not_depend_on_the_layout(rows):
+    one = RandomForestClassifier(labelCol=S.LABEL, seed=42, numTrees=30, maxDepth=9, minInstancesPerNode=4)
+    found, other = E.fitted(one, table(rows)), E.fitted(one, table(rows.repartition(5, "WBC")))
+    assert same(probabilities(found, assembled(rows)), probabilities(other, assembled(rows)))
+    assert len(found.trees) == 30 and max(t.depth for t in found.trees) <= 9 and len({t.toDebugString.split("\n", 1)[1] for t in found.trees}) > 20
+    spark_forest = one.fit(assembled(rows))
+    right = [
+        np.mean([p.index(max(p)) == labels[i] for i, p in probabilities(m, assembled(rows)).items()])
+        for labels in [{r["id"]: r[S.LABEL] for r in rows.collect()}] for m in (found, spark_forest)
+    ]
+    assert abs(right[0] - right[1]) < 0.03
+    assert np.abs(found.featureImportances.toArray() - spark_forest.featureImportances.toArray()).max() < 0.1
+    assert not same(probabilities(found, assembled(rows)), probabilities(E.fitted(one.copy({one.seed: 43}), table(rows)), assembled(rows)))
+
+
+def test_a_forest_of_many_nodes_stays_a_table(rows, monkeypatch, tmp_path):
+    params = {"numTrees": 9, "maxDepth": 8, "minInstancesPerNode": 2}
+    small = training.fit(rows, "Random_Forest_Classifier", params)
+    monkeypatch.setattr(E, "DRIVER_NODES", 0)
+    monkeypatch.setattr(E, "PART_ROWS", 200)
+    large = training.fit(rows, "Random_Forest_Classifier", params)
+    assert isinstance(large.stages[-1], E.ForestModel) and not isinstance(small.stages[-1], E.ForestModel)
+    assert same(probabilities(large, rows), probabilities(small, rows))
+    assert np.allclose(large.stages[-1].featureImportances.toArray(), small.stages[-1].featureImportances.toArray())
+    wanted = training.predictions(small, rows).select("id", "prediction").collect()
+    assert sorted(training.predictions(large, rows).select("id", "prediction").collect()) == sorted(wanted)
+    large.write().overwrite().save(f"{tmp_path}/model")
+    again = PipelineModel.load(f"{tmp_path}/model")
+    assert isinstance(again.stages[-1], E.ForestModel) and same(probabilities(again, rows), probabilities(small, rows))
+
+
 def test_other_settings_and_odd_labels_are_sparks_business(rows):
     assert not table(rows).fit_here(RandomForestClassifier(labelCol=S.LABEL, maxBins=16))
     assert not table(rows.limit(0)).fit_here(GBTClassifier(labelCol=S.LABEL))
