@@ -161,3 +161,13 @@ def test_other_settings_and_odd_labels_are_sparks_business(rows):
     assert not three.fit_here(GBTClassifier(labelCol=S.LABEL))
     model = E.fitted(RandomForestClassifier(labelCol=S.LABEL, numTrees=3, seed=1), three)
     assert model.numClasses == 3 and all(sum(p) == pytest.approx(1) for p in probabilities(model, assembled(rows)).values())
+
+
+def test_importances_of_a_forest_in_a_table(spark, rows, monkeypatch):
+    params = {"numTrees": 6, "maxDepth": 5}
+    small = training.fit(rows, "Random_Forest_Classifier", params)
+    monkeypatch.setattr(E, "DRIVER_NODES", 0)
+    large = training.fit(rows, "Random_Forest_Classifier", params)
+    found, wanted = ([tuple(r) for r in training.feature_importance(spark, m, NAMES).collect()] for m in (large, small))
+    assert [f for f, _ in found] == [f for f, _ in wanted] and np.allclose([v for _, v in found], [v for _, v in wanted])
+    assert sum(v for _, v in found) == pytest.approx(1) and isinstance(large.stages[-1], E.ForestModel)
