@@ -171,3 +171,23 @@ def test_importances_of_a_forest_in_a_table(spark, rows, monkeypatch):
     found, wanted = ([tuple(r) for r in training.feature_importance(spark, m, NAMES).collect()] for m in (large, small))
     assert [f for f, _ in found] == [f for f, _ in wanted] and np.allclose([v for _, v in found], [v for _, v in wanted])
     assert sum(v for _, v in found) == pytest.approx(1) and isinstance(large.stages[-1], E.ForestModel)
+
+
+def test_selection_starts_jobs_for_the_levels_of_one_tree_only(spark, rows, monkeypatch, tmp_path):
+    grids = {
+        "Random_Forest_Classifier": {"numTrees": [3], "maxDepth": [6], "minInstancesPerNode": [5]},
+        "Gradient_Boosted_Trees": {"maxIter": [2], "maxDepth": [3], "stepSize": [0.1]},
+        "Logistic_Regression": {"C": [1.0]},
+        "Decision_Tree": {"maxDepth": [30], "minInstancesPerNode": [10]},
+    }
+    train, held = rows.filter("id % 4 > 0"), rows.filter("id % 4 = 0")
+    _, one = level_stages(spark, "one tree", lambda: training.fit(train, "Decision_Tree", {"maxDepth": 30, "minInstancesPerNode": 10}))
+    (_, best, found, results), levels = level_stages(spark, "selection", lambda: training.train_and_select(train, held, "id", grids, folds=2))
+    assert best in grids and found["f1_score"] > 0.5 and {r["model"] for r in results.collect()} == set(grids)
+    assert 0 < one and levels <= one + 2  # the best single tree is fitted again by Spark
+    monkeypatch.setattr(E, "DRIVER_NODES", 0)  # a winning forest that stays a table can be saved
+    forest = {"Random_Forest_Classifier": grids["Random_Forest_Classifier"]}
+    model, _, found, _ = training.train_and_select(train, held, "id", forest, folds=2)
+    model.write().overwrite().save(f"{tmp_path}/model")
+    scored = training.predictions(PipelineModel.load(f"{tmp_path}/model"), held)
+    assert scored.filter(F.col("prediction") == F.col(S.LABEL)).count() / held.count() == pytest.approx(found["accuracy"])
