@@ -41,6 +41,12 @@ def same(a, b):
     return a.keys() == b.keys() and all(np.allclose(a[i], b[i], atol=1e-9) for i in a)
 
 
+def here(rows, params):
+    """A forest as training.fit makes it of larger tables: small enough for a model of Spark's."""
+    one = RandomForestClassifier(labelCol=S.LABEL, seed=42, **params)
+    return PipelineModel([VectorAssembler(inputCols=NAMES, outputCol="features"), E.fitted(one, table(rows))])
+
+
 def level_stages(spark, group, run):
     """Result of run and how many of its stages are levels of Spark's trees."""
     spark.sparkContext.setJobGroup(group, group)
@@ -139,7 +145,7 @@ def test_forests_have_the_asked_trees_and_do_not_depend_on_the_layout(rows):
 
 def test_a_forest_of_many_nodes_stays_a_table(rows, monkeypatch, tmp_path):
     params = {"numTrees": 9, "maxDepth": 8, "minInstancesPerNode": 2}
-    small = training.fit(rows, "Random_Forest_Classifier", params)
+    small = here(rows, params)
     monkeypatch.setattr(E, "DRIVER_NODES", 0)
     monkeypatch.setattr(E, "PART_ROWS", 200)
     large = training.fit(rows, "Random_Forest_Classifier", params)
@@ -165,7 +171,7 @@ def test_other_settings_and_odd_labels_are_sparks_business(rows):
 
 def test_importances_of_a_forest_in_a_table(spark, rows, monkeypatch):
     params = {"numTrees": 6, "maxDepth": 5}
-    small = training.fit(rows, "Random_Forest_Classifier", params)
+    small = here(rows, params)
     monkeypatch.setattr(E, "DRIVER_NODES", 0)
     large = training.fit(rows, "Random_Forest_Classifier", params)
     found, wanted = ([tuple(r) for r in training.feature_importance(spark, m, NAMES).collect()] for m in (large, small))
@@ -191,3 +197,11 @@ def test_selection_starts_jobs_for_the_levels_of_one_tree_only(spark, rows, monk
     model.write().overwrite().save(f"{tmp_path}/model")
     scored = training.predictions(PipelineModel.load(f"{tmp_path}/model"), held)
     assert scored.filter(F.col("prediction") == F.col(S.LABEL)).count() / held.count() == pytest.approx(found["accuracy"])
+
+
+def test_a_forest_that_is_surely_small_is_sparks(rows, monkeypatch):
+    params = {"numTrees": 5, "maxDepth": 4}
+    one = RandomForestClassifier(labelCol=S.LABEL, seed=42, cacheNodeIds=True, **params)
+    assert same(probabilities(training.fit(rows, "Random_Forest_Classifier", params), rows), probabilities(one.fit(assembled(rows)), assembled(rows)))
+    deep = RandomForestClassifier(numTrees=100, maxDepth=20, minInstancesPerNode=5)
+    assert E.surely_small(deep, 12_500) and not E.surely_small(deep, 12_600)

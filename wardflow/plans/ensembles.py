@@ -85,6 +85,12 @@ def _options(estimator, features):
     return shared | {"seed": estimator.getSeed(), "subset": subset}
 
 
+def surely_small(estimator, n):
+    """Whether a forest over n rows has at most DRIVER_NODES nodes, however its trees come out."""
+    each = min(2 ** (estimator.getMaxDepth() + 1), max(1, 2 * n // estimator.getMinInstancesPerNode()))
+    return estimator.getNumTrees() * each <= DRIVER_NODES
+
+
 def fitted(estimator, table):
     """The model of the estimator over the Rows of table."""
     if isinstance(estimator, DecisionTreeClassifier) or not table.fit_here(estimator):

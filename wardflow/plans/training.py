@@ -104,7 +104,7 @@ def fit(train, name, params=None, label=S.LABEL, seed=42):
     if isinstance(estimator, GBTClassifier):
         rows = dealt(assembler.transform(train).select("features", label))
         return PipelineModel([assembler, estimator.fit(rows)])
-    if isinstance(estimator, RandomForestClassifier):
+    if isinstance(estimator, RandomForestClassifier) and not E.surely_small(estimator, train.count()):
         rows = materialize(assembler.transform(train).select("features", label))
         return PipelineModel([assembler, E.fitted(estimator, E.Rows(rows, label, len(assembler.getInputCols())))])
     return Pipeline(stages=[assembler, estimator]).fit(train)
